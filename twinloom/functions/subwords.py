@@ -51,9 +51,11 @@ def script_runs(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit(_run_pattern()), F.lit(0))
 
 
-def substrings(word: Column, max_length: int) -> Column:
-    """Array of ``(s, e, piece)`` for every part ``word[s:e]`` of at most ``max_length``."""
-    letters = chars(word)
+def substrings(letters: Column, max_length: int) -> Column:
+    """Array of ``(s, e, piece)`` for every part ``letters[s:e]`` of at most ``max_length``.
+
+    ``letters`` must be a plain column: an expression here would run again for every part.
+    """
     size = F.size(letters)
 
     def starting_at(s: Column) -> Column:

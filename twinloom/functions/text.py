@@ -162,12 +162,18 @@ def replace_nonprint(text: Column, replace_by: str = " ") -> Column:
 
 @F.arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    """Unicode compatibility composition, one Arrow batch at a time."""
+    """Unicode compatibility composition, one Arrow batch at a time.
+
+    ASCII batches return as they came; texts already in this form are only scanned.
+    """
+    from unicodedata import normalize
+
     import pyarrow.compute as pc
 
     if pc.all(pc.string_is_ascii(text)).as_py() is not False:
         return text
-    return pc.utf8_normalize(text, form="NFKC")
+    composed = [None if t is None else normalize("NFKC", t) for t in text.to_pylist()]
+    return pa.array(composed, pa.string())
 
 
 def preprocess(text: Column, lang: str = "en", replace_by: str = " ") -> Column:

@@ -68,16 +68,18 @@ def encode(
     vocab: DataFrame,
     unk_id: int,
     dummy_prefix: bool = True,
+    place_by: list[str] | None = None,
 ) -> DataFrame:
     """``(*key, ids)``: subword ids of each normalised text. ``key`` must identify a row.
 
     Each distinct word is segmented once. Texts are partitioned by key before they are
     exploded, so that a broadcast of the segmented words leaves the words of a text where
     the final grouping needs them; with too many words for that, both sides shuffle.
+    ``place_by``, a part of the key, lets a later step on those columns reuse the partitioning.
     """
     source = F.col(text) if isinstance(text, str) else text
     texts = df.select(*key, marked_words(source, dummy_prefix).alias("_words"))
-    placed = texts.repartition(*key).select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
+    placed = texts.repartition(*(place_by or key)).select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
     distinct = texts.select(F.explode("_words").alias("word")).distinct()
     segments = segment_words(distinct, vocab, unk_id)
     joined = placed.join(segments, "word", "left")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.subwords import marked_words, script_runs, substrings
+from twinloom.functions.text import chars
 from twinloom.operators.lattice import (
     Edges,
     best_paths,
@@ -30,7 +31,7 @@ from twinloom.operators.lattice import (
 )
 from twinloom.operators.ordering import with_row_idx
 from twinloom.operators.vocabulary import CONTROL, NORMAL, UNKNOWN
-from twinloom.storage import cut_lineage
+from twinloom.storage import cut_lineage, fan_out
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -74,7 +75,8 @@ def word_counts(
 
 def substring_counts(words: DataFrame, max_length: int) -> DataFrame:
     """``(piece, freq, size)`` for every substring, weighted by word count."""
-    parts = words.select("n", F.inline(substrings(F.col("word"), max_length)))
+    spelled = fan_out(words, "word").select("n", chars(F.col("word")).alias("_letters"))
+    parts = spelled.select("n", F.inline(substrings(F.col("_letters"), max_length)))
     return parts.groupBy("piece", (F.col("e") - F.col("s")).alias("size")).agg(F.sum("n").alias("freq"))
 
 
@@ -189,6 +191,18 @@ def maximise(expected: np.ndarray, is_char: np.ndarray) -> np.ndarray:
     return logp
 
 
+def piece_lattices(pieces: DataFrame, logp: np.ndarray, max_length: int) -> DataFrame:
+    """Lattices of the longer live pieces over the other live pieces."""
+    pids = pa.table({"pid": pa.array(np.flatnonzero(np.isfinite(logp)), pa.int32())})
+    live = pieces.join(pieces.sparkSession.createDataFrame(pids), "pid")
+    own = live.where(F.col("size") > 1).select(F.col("piece").alias("word"), F.col("pid").alias("self"))
+    edges = F.arrays_zip("e", "s", "pid")
+    # A piece is no alternative to itself.
+    proper = F.filter(edges, lambda x: x["e"] - x["s"] < F.col("size"))
+    lattices = build_lattice(own, live, max_length).withColumn("_x", proper)
+    return lattices.select("self", "size", "_x.e", "_x.s", "_x.pid").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prune(
     inner: DataFrame, logp: np.ndarray, freq: np.ndarray, is_char: np.ndarray, target: int
 ) -> np.ndarray:
@@ -240,15 +254,6 @@ def learn_vocab(
     pieces = cut_lineage(numbered)
 
     lattices = build_lattice(words, pieces, options.max_piece_length).persist(StorageLevel.MEMORY_AND_DISK)
-    own_text = pieces.where(F.col("size") > 1).select(F.col("piece").alias("word"), F.col("pid").alias("self"))
-    inner = build_lattice(own_text, pieces, options.max_piece_length)
-    # A piece is no alternative to itself.
-    proper = F.filter(
-        F.arrays_zip("e", "s", "pid"), lambda x: x["e"] - x["s"] < F.col("size")
-    )
-    inner = inner.withColumn("_x", proper).select("self", "size", "_x.e", "_x.s", "_x.pid")
-    inner = inner.persist(StorageLevel.MEMORY_AND_DISK)
-
     table = pieces.select("pid", "weight", "size").toArrow()
     place = table.column("pid").to_numpy()
     weight, size = np.zeros(len(place)), np.zeros(len(place), dtype=np.int64)
@@ -257,6 +262,7 @@ def learn_vocab(
     logp = np.log(weight) - np.log(weight.sum())
 
     desired = int(options.vocab_size * OVERSHOOT)
+    inner = None
     while True:
         for _ in range(options.sub_iterations):
             logp = maximise(expected_counts(lattices, logp), is_char)
@@ -265,9 +271,12 @@ def learn_vocab(
             break
         target = max(desired, int(options.shrinking_factor * alive))
         freq = viterbi_counts(lattices, logp)
+        # The first round drops most seeds, and a dropped piece never returns.
+        inner = inner or piece_lattices(pieces, logp, options.max_piece_length)
         logp = prune(inner, logp, freq, is_char, target)
     lattices.unpersist()
-    inner.unpersist()
+    if inner is not None:
+        inner.unpersist()
     return finalise(pieces, logp, is_char, options, required_chars)
 
 

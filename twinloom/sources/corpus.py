@@ -17,7 +17,14 @@ PAIR_SCHEMA = T.StructType([T.StructField(lang.column, T.StringType()) for lang
 SPLITS = ("train", "val", "test")
 
 # RFC 4180 quoting, so quoted line breaks and doubled quotes survive a round trip.
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {
+    "header": True,
+    "multiLine": True,
+    "quote": "\"",
+    "escape": "\"",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A vocabulary-like row is well under 100 bytes, so this stays near 100 MB.
-BROADCAST_MAX_ROWS = 1_000_000
+# A vocabulary-like row is well under 100 bytes, so this stays below 200 MB.
+BROADCAST_MAX_ROWS = 2_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -38,3 +38,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """Hint a broadcast after counting; a bigger table is left to a shuffled join."""
     counted = df.limit(max_rows + 1).count()
     return F.broadcast(df) if counted <= max_rows else df
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition compact rows that the next step multiplies.
+
+    A fixed partition count keeps adaptive execution from merging the partitions by their
+    size before the expansion.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, spark.sparkContext.defaultParallelism), *keys)
