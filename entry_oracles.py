@@ -394,9 +394,9 @@ ORACLES = {
     "decode": f"SELECT doc_id, {joined(words(clean('text')))} AS text FROM documents",
     "corpus_size": "SELECT count(*) AS n FROM documents",
     "distinct_pieces": f"WITH {vocab('f', 'fr')}, {vocab('e', 'en')} SELECT piece FROM f UNION SELECT piece FROM e",
-    "mean_loss_by_loader": f"WITH {METRICS} SELECT epoch, loader, round(val_loss, 6) AS val_loss FROM means",
+    "mean_loss_by_loader": f"WITH {METRICS} SELECT epoch, loader, round(val_loss, 9) AS val_loss FROM means",
     "macro_loss": f"""
-      WITH {METRICS} SELECT epoch, round(CASE WHEN count(*) = 5 THEN avg(val_loss) END, 6) AS val_loss FROM means GROUP BY epoch""",
+      WITH {METRICS} SELECT epoch, round(CASE WHEN count(*) = 5 THEN avg(val_loss) END, 9) AS val_loss FROM means GROUP BY epoch""",
     "best_checkpoints": f"""
       WITH {METRICS},
       placed AS (

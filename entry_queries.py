@@ -466,12 +466,12 @@ def _metrics(spark, folder):
 
 def mean_loss_by_loader(spark, folder):
     means = training_log.mean_loss_by_loader(_metrics(spark, folder))
-    return means.withColumn("val_loss", F.round("val_loss", 6))
+    return means.withColumn("val_loss", F.round("val_loss", 9))
 
 
 def macro_loss(spark, folder):
     means = training_log.mean_loss_by_loader(_metrics(spark, folder))
-    return training_log.macro_loss(means, n_loaders=5).withColumn("val_loss", F.round("val_loss", 6))
+    return training_log.macro_loss(means, n_loaders=5).withColumn("val_loss", F.round("val_loss", 9))
 
 
 def _checkpoints(spark, folder):

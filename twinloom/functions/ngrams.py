@@ -1,4 +1,4 @@
-"""N-gram arrays and the tokenisers of the translation scores."""
+"""Tokenisers and n-gram counts of the translation scores."""
 
 from __future__ import annotations
 
@@ -60,25 +60,6 @@ def drop_blanks(text: Column) -> Column:
     return F.regexp_replace(text, PY_WHITESPACE_CLASS + "+", "")
 
 
-def ngram_count(items: Column, n: Column | int) -> Column:
-    """How many n-grams a list has."""
-    return F.greatest(F.size(items) - F.lit(n) + 1, F.lit(0))
-
-
-def ngrams(items: Column, max_n: int, glue: str) -> Column:
-    """Array of ``(n, gram)`` for n = 1..max_n.
-
-    Works on an array, where an element is found in constant time; cutting the grams out of
-    the string would walk it from the start for every gram.
-    """
-
-    def of_size(n: int) -> Column:
-        starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.struct(
-                F.lit(n).alias("n"), F.array_join(F.slice(items, i, n), glue).alias("gram")
-            ),
-        )
-
-    return F.flatten(F.array(*[of_size(n) for n in range(1, max_n + 1)]))
+def ngram_count(size: Column, n: int) -> Column:
+    """How many n-grams a list or text of this size has."""
+    return F.greatest(size - n + 1, F.lit(0))

@@ -1,11 +1,11 @@
-"""Words, script runs and substrings as arrays."""
+"""Words and script runs as arrays."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinloom.functions.text import chars, words
+from twinloom.functions.text import words
 
 # Fixed value: stands for the space in front of a word.
 SPACE_MARK = "▁"
@@ -49,25 +49,3 @@ def marked_words(text: Column, dummy_prefix: bool) -> Column:
 def script_runs(word: Column) -> Column:
     """Maximal parts of one script; the space mark stays with the first part."""
     return F.regexp_extract_all(word, F.lit(_run_pattern()), F.lit(0))
-
-
-def substrings(letters: Column, max_length: int) -> Column:
-    """Array of ``(s, e, piece)`` for every part ``letters[s:e]`` of at most ``max_length``.
-
-    ``letters`` must be a plain column: an expression here would run again for every part.
-    """
-    size = F.size(letters)
-
-    def starting_at(s: Column) -> Column:
-        longest = F.least(F.lit(max_length), size - s)
-        return F.transform(
-            F.sequence(F.lit(1), longest),
-            lambda k: F.struct(
-                s.alias("s"),
-                (s + k).alias("e"),
-                F.array_join(F.slice(letters, s + 1, k), "").alias("piece"),
-            ),
-        )
-
-    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1))
-    return F.flatten(F.transform(starts, starting_at))

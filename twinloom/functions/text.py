@@ -161,11 +161,8 @@ def replace_nonprint(text: Column, replace_by: str = " ") -> Column:
 
 
 @F.arrow_udf(T.StringType())
-def nfkc(text: pa.Array) -> pa.Array:
-    """Unicode compatibility composition, one Arrow batch at a time.
-
-    ASCII batches return as they came; texts already in this form are only scanned.
-    """
+def _compose(text: pa.Array) -> pa.Array:
+    """ASCII batches return as they came; composed texts are only scanned."""
     from unicodedata import normalize
 
     import pyarrow.compute as pc
@@ -176,6 +173,16 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array(composed, pa.string())
 
 
+# The optimiser copies a deterministic function into every filter it pushes down, and so
+# would normalise the corpus once per filter. This flag makes it run once per row.
+_compose_once = _compose.asNondeterministic()
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition, one Arrow batch at a time."""
+    return _compose_once(text)
+
+
 def preprocess(text: Column, lang: str = "en", replace_by: str = " ") -> Column:
     """Punctuation, then non-printing characters, then compatibility forms."""
     return nfkc(replace_nonprint(normalize_punct(text, lang), replace_by))

@@ -16,8 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.functions.subwords import substrings
-from twinloom.functions.text import chars
+from twinloom.operators.parts import explode_substrings
 from twinloom.storage import broadcast_if_small, fan_out
 
 # The kernels travel inside the job, so executors need no copy of this package.
@@ -34,8 +33,8 @@ def build_lattice(
     ``pieces`` is ``(piece, pid)``. With ``open_chars`` a character without a piece of its
     own gets an edge ``NO_PIECE``, so that every word has a path.
     """
-    spelled = fan_out(words, word).select("*", F.length(word).alias("size"), chars(F.col(word)).alias("_letters"))
-    parts = spelled.select(*words.columns, "size", F.inline(substrings(F.col("_letters"), max_length)))
+    sized = fan_out(words, word).withColumn("size", F.length(word))
+    parts = explode_substrings(sized, word, max_length, *words.columns, "size")
     lookup = broadcast_if_small(pieces.select("piece", "pid"))
     if open_chars:
         found = parts.join(lookup, "piece", "left").where(

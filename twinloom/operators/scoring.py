@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.functions.ngrams import chrf_words, drop_blanks, ngram_count, ngrams, tokenize_13a
-from twinloom.functions.text import chars
+from twinloom.functions.ngrams import chrf_words, drop_blanks, ngram_count, tokenize_13a
+from twinloom.operators.parts import explode_ngrams, explode_substrings
+from twinloom.storage import fan_out
 
 # Fixed values.
 BLEU_ORDER = 4
@@ -20,6 +21,8 @@ CHAR_ORDER = 6
 WORD_ORDER = 2
 BETA = 2
 
+_ROW = ("_pair", "copies", "in_h", "in_r")
+
 
 def _distinct_pairs(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """``(*by, hyp, ref, copies, _pair)`` without null texts, hash-partitioned by ``_pair``."""
@@ -27,25 +30,16 @@ def _distinct_pairs(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     folded = known.groupBy(*by, "hyp", "ref").agg(F.count(F.lit(1)).alias("copies"))
     # The lengths keep ("ab", "c") and ("a", "bc") apart.
     content = F.concat_ws("|", F.length("hyp"), F.length("ref"), *by, "hyp", "ref")
-    return folded.withColumn("_pair", F.md5(content)).repartition("_pair")
+    return fan_out(folded.withColumn("_pair", F.unhex(F.md5(content))), "_pair")
 
 
-def _matches(
-    pairs: DataFrame, by: tuple[str, ...], hyp: Column, ref: Column, kind: str
-) -> DataFrame:
-    """``(*by, kind, n, matched)``: clipped matches per order, summed over the corpus."""
-    side = F.explode(
-        F.array(
-            F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), hyp.alias("grams")),
-            F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), ref.alias("grams")),
-        )
-    )
-    sides = pairs.select(*by, "_pair", "copies", side.alias("_s"))
-    grams = sides.select(
-        *by, "_pair", "copies", "_s.h", "_s.r", F.explode("_s.grams").alias("_g")
-    ).select(*by, "_pair", "copies", "h", "r", "_g.n", "_g.gram")
-    clipped = grams.groupBy(*by, "_pair", "copies", "n", "gram").agg(
-        F.least(F.sum("h"), F.sum("r")).alias("m")
+def _matches(sides: DataFrame, by: tuple[str, ...], kind: str) -> DataFrame:
+    """``(*by, kind, n, matched)``: clipped matches per order, summed over the corpus.
+
+    ``sides`` is ``(*by, _pair, copies, in_h, in_r, n, gram)``, one row per n-gram.
+    """
+    clipped = sides.groupBy(*by, "_pair", "copies", "n", "gram").agg(
+        F.least(F.sum("in_h"), F.sum("in_r")).alias("m")
     )
     return (
         clipped.groupBy(*by, "n")
@@ -54,6 +48,17 @@ def _matches(
     )
 
 
+def _sides(pairs: DataFrame, by: tuple[str, ...], hyp: str, ref: str) -> DataFrame:
+    """Hypothesis and reference as two rows ``(*by, _pair, copies, in_h, in_r, items)``."""
+    side = F.explode(
+        F.array(
+            F.struct(F.lit(1).alias("in_h"), F.lit(0).alias("in_r"), F.col(hyp).alias("items")),
+            F.struct(F.lit(0).alias("in_h"), F.lit(1).alias("in_r"), F.col(ref).alias("items")),
+        )
+    )
+    return pairs.select(*by, "_pair", "copies", side.alias("_s")).select(*by, "_pair", "copies", "_s.*")
+
+
 def _orders(kind: str, hyp: Column, ref: Column, max_n: int) -> list[Column]:
     """Per-order n-gram totals of one pair; a reference without n-grams voids the hypothesis."""
     rows = []
@@ -87,16 +92,16 @@ def bleu_statistics(pairs: DataFrame, *by: str) -> DataFrame:
     tokenized = distinct.select(
         *by, "_pair", "copies", tokenize_13a(F.col("hyp")).alias("h"), tokenize_13a(F.col("ref")).alias("r")
     )
-    h, r = F.col("h"), F.col("r")
     totals = (
-        tokenized.select(*by, "copies", F.inline(F.array(*_orders("word", h, r, BLEU_ORDER))))
+        tokenized.select(*by, "copies", F.inline(F.array(*_orders("word", F.size("h"), F.size("r"), BLEU_ORDER))))
         .groupBy(*by, "kind", "n")
         .agg(
             F.sum(F.col("all_hyp") * F.col("copies")).alias("total"),
             F.sum(F.col("in_ref") * F.col("copies")).alias("in_ref"),
         )
     )
-    matches = _matches(tokenized, by, ngrams(h, BLEU_ORDER, " "), ngrams(r, BLEU_ORDER, " "), "word")
+    grams = explode_ngrams(_sides(tokenized, by, "h", "r"), "items", BLEU_ORDER, *by, *_ROW)
+    matches = _matches(grams, by, "word")
     return _with_matches(totals, matches, by).drop("kind")
 
 
@@ -131,14 +136,15 @@ def corpus_bleu(pairs: DataFrame, *by: str) -> DataFrame:
 def chrf_statistics(pairs: DataFrame, *by: str) -> DataFrame:
     """``(*by, kind, n, in_hyp, in_ref, matched)`` per character and word order."""
     distinct = _distinct_pairs(pairs, by)
+    sides = ("hyp", "ref")
     prepared = distinct.select(
         *by,
         "_pair",
         "copies",
-        *[chars(drop_blanks(F.col(side))).alias(f"{side}_c") for side in ("hyp", "ref")],
-        *[chrf_words(F.col(side)).alias(f"{side}_w") for side in ("hyp", "ref")],
+        *[drop_blanks(F.col(side)).alias(f"{side}_c") for side in sides],
+        *[chrf_words(F.col(side)).alias(f"{side}_w") for side in sides],
     )
-    hc, rc, hw, rw = (F.col(c) for c in ("hyp_c", "ref_c", "hyp_w", "ref_w"))
+    hc, rc, hw, rw = F.length("hyp_c"), F.length("ref_c"), F.size("hyp_w"), F.size("ref_w")
     orders = [*_orders("char", hc, rc, CHAR_ORDER), *_orders("word", hw, rw, WORD_ORDER)]
     totals = (
         prepared.select(*by, "copies", F.inline(F.array(*orders)))
@@ -148,12 +154,12 @@ def chrf_statistics(pairs: DataFrame, *by: str) -> DataFrame:
             F.sum(F.col("in_ref") * F.col("copies")).alias("in_ref"),
         )
     )
-    char_matches = _matches(
-        prepared, by, ngrams(hc, CHAR_ORDER, ""), ngrams(rc, CHAR_ORDER, ""), "char"
-    )
-    word_matches = _matches(
-        prepared, by, ngrams(hw, WORD_ORDER, " "), ngrams(rw, WORD_ORDER, " "), "word"
+    substrings = explode_substrings(_sides(prepared, by, "hyp_c", "ref_c"), "items", CHAR_ORDER, *by, *_ROW)
+    char_grams = substrings.select(
+        *by, *_ROW, (F.col("e") - F.col("s")).alias("n"), F.col("piece").alias("gram")
     )
+    word_grams = explode_ngrams(_sides(prepared, by, "hyp_w", "ref_w"), "items", WORD_ORDER, *by, *_ROW)
+    char_matches, word_matches = _matches(char_grams, by, "char"), _matches(word_grams, by, "word")
     return _with_matches(totals, char_matches.unionByName(word_matches), by)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from twinloom.functions.subwords import SPACE_MARK, marked_words
 from twinloom.operators.lattice import NO_PIECE, best_paths, build_lattice, read_edges
 from twinloom.operators.vocabulary import NORMAL, normal_pieces
-from twinloom.storage import broadcast_if_small
+from twinloom.storage import broadcast_if_small, fan_out
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,7 +79,7 @@ def encode(
     """
     source = F.col(text) if isinstance(text, str) else text
     texts = df.select(*key, marked_words(source, dummy_prefix).alias("_words"))
-    placed = texts.repartition(*(place_by or key)).select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
+    placed = fan_out(texts, *(place_by or key)).select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
     distinct = texts.select(F.explode("_words").alias("word")).distinct()
     segments = segment_words(distinct, vocab, unk_id)
     joined = placed.join(segments, "word", "left")
@@ -96,7 +96,7 @@ def encode(
 def decode(df: DataFrame, key: list[str], ids: str, vocab: DataFrame) -> DataFrame:
     """``(*key, text)``: pieces joined, special tokens skipped, space marks resolved."""
     lookup = vocab.select(F.col("id").alias("_id"), "piece", "type")
-    placed = df.repartition(*key).select(*key, F.posexplode_outer(ids).alias("_pos", "_id"))
+    placed = fan_out(df, *key).select(*key, F.posexplode_outer(ids).alias("_pos", "_id"))
     joined = placed.join(broadcast_if_small(lookup), "_id", "left")
     kept = F.when(F.col("type") == NORMAL, F.struct("_pos", "piece"))
     pieces = F.sort_array(F.collect_list(kept))["piece"]

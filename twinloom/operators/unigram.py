@@ -19,8 +19,7 @@ from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.functions.subwords import marked_words, script_runs, substrings
-from twinloom.functions.text import chars
+from twinloom.functions.subwords import marked_words, script_runs
 from twinloom.operators.lattice import (
     Edges,
     best_paths,
@@ -30,6 +29,7 @@ from twinloom.operators.lattice import (
     select_edges,
 )
 from twinloom.operators.ordering import with_row_idx
+from twinloom.operators.parts import explode_substrings
 from twinloom.operators.vocabulary import CONTROL, NORMAL, UNKNOWN
 from twinloom.storage import cut_lineage, fan_out
 
@@ -75,8 +75,7 @@ def word_counts(
 
 def substring_counts(words: DataFrame, max_length: int) -> DataFrame:
     """``(piece, freq, size)`` for every substring, weighted by word count."""
-    spelled = fan_out(words, "word").select("n", chars(F.col("word")).alias("_letters"))
-    parts = spelled.select("n", F.inline(substrings(F.col("_letters"), max_length)))
+    parts = explode_substrings(fan_out(words, "word"), "word", max_length, "n")
     return parts.groupBy("piece", (F.col("e") - F.col("s")).alias("size")).agg(F.sum("n").alias("freq"))
 
 
