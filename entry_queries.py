@@ -86,7 +86,10 @@ def vocab_of(spark: SparkSession, folder: str, lang: str) -> DataFrame:
 
 
 def seed_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    """A subword vocabulary straight from the seed statistics of the documents."""
+    """A subword vocabulary straight from the seed statistics of the documents.
+
+    Scores are whole numbers, ten-thousandths of a log-probability, so that path sums are exact.
+    """
     clean = documents(spark, folder).select(text.preprocess(F.col("text")).alias("clean"))
     options = unigram.UnigramOptions(max_piece_length=16, seed_size=8000, dummy_prefix=True)
     seeds = unigram.substring_seeds(unigram.word_counts(clean, "clean", options), options)
@@ -96,7 +99,7 @@ def seed_vocab(spark: SparkSession, folder: str) -> DataFrame:
     normal = ranked.crossJoin(F.broadcast(total)).select(
         (F.col("row_idx") + 5).cast("int").alias("id"),
         "piece",
-        F.log(F.col("weight") / F.col("total")).alias("score"),
+        F.round(F.log(F.col("weight") / F.col("total")) * 10_000).alias("score"),
         F.lit(vocabulary.NORMAL).alias("type"),
     )
     special = [(PAD, "<pad>"), (EOS, "</s>"), (UNK, "<unk>"), (3, RUSSIAN.code), (4, LEZGIAN.code)]

@@ -26,28 +26,37 @@ NO_PIECE = -1
 
 
 def build_lattice(
-    words: DataFrame, pieces: DataFrame, max_length: int, word: str = "word", open_chars: bool = False
+    words: DataFrame,
+    pieces: DataFrame,
+    max_length: int,
+    word: str = "word",
+    unknown_score: float | None = None,
 ) -> DataFrame:
     """``words`` plus ``size`` and the parallel edge arrays ``e``, ``s``, ``pid``.
 
-    ``pieces`` is ``(piece, pid)``. With ``open_chars`` a character without a piece of its
-    own gets an edge ``NO_PIECE``, so that every word has a path.
+    ``pieces`` is ``(piece, pid)``, or ``(piece, pid, score)`` to add an array ``score``. Given
+    an ``unknown_score``, a character without a piece of its own gets an edge ``NO_PIECE``, so
+    that every word has a path.
     """
     sized = fan_out(words, word).withColumn("size", F.length(word))
     parts = explode_substrings(sized, word, max_length, *words.columns, "size")
-    lookup = broadcast_if_small(pieces.select("piece", "pid"))
-    if open_chars:
-        found = parts.join(lookup, "piece", "left").where(
-            F.col("pid").isNotNull() | (F.col("e") - F.col("s") == 1)
-        )
-        found = found.withColumn("pid", F.coalesce("pid", F.lit(NO_PIECE)))
-    else:
+    values = [c for c in ("pid", "score") if c in pieces.columns]
+    lookup = broadcast_if_small(pieces.select("piece", *values))
+    if unknown_score is None:
         found = parts.join(lookup, "piece")
-    edges = F.sort_array(F.collect_list(F.struct("e", "s", "pid")))
+    else:
+        fallback = {"pid": F.lit(NO_PIECE), "score": F.lit(unknown_score)}
+        found = (
+            parts.join(lookup, "piece", "left")
+            .where(F.col("pid").isNotNull() | (F.col("e") - F.col("s") == 1))
+            .withColumns({c: F.coalesce(c, fallback[c]) for c in values})
+        )
+    edge = ("e", "s", *values)
+    edges = F.sort_array(F.collect_list(F.struct(*edge)))
     return (
         found.groupBy(*words.columns, "size")
         .agg(edges.alias("_edges"))
-        .select(*words.columns, "size", "_edges.e", "_edges.s", "_edges.pid")
+        .select(*words.columns, "size", *[F.col("_edges")[c].alias(c) for c in edge])
     )
 
 

@@ -27,31 +27,22 @@ def segment_words(
     words: DataFrame, vocab: DataFrame, unk_id: int, max_length: int = MAX_PIECE_LENGTH
 ) -> DataFrame:
     """``(word, ids)``: the best segmentation of each word of ``words(word)``."""
-    pieces = normal_pieces(vocab)
-    scored = pieces.select("piece", F.col("id").alias("pid"), "score")
-    longest = scored.agg(F.max(F.length("piece")), F.min("score"), F.max("pid")).first()
-    span, lowest, last = (longest[0] or 1, longest[1] or 0.0, longest[2] or 0)
-    lattice = build_lattice(words, scored, min(span, max_length), open_chars=True)
-
-    # One float per vocabulary id. The lattice join already needs the ids, so this is the
-    # vocabulary's size once more.
-    table = scored.select("pid", F.col("score").cast("double")).toArrow()
-    scores = np.full(last + 2, lowest - UNKNOWN_PENALTY)
-    scores[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    shared = words.sparkSession.sparkContext.broadcast(scores)
+    pieces = normal_pieces(vocab).select("piece", F.col("id").alias("pid"), F.col("score").cast("double"))
+    span, lowest = pieces.agg(F.max(F.length("piece")), F.min("score")).first()
+    unknown = (lowest or 0.0) - UNKNOWN_PENALTY
+    lattice = build_lattice(words, pieces, min(span or 1, max_length), unknown_score=unknown)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value
         for batch in batches:
             edges = read_edges(batch)
-            path, _ = best_paths(edges, score[edges.pid])
+            path, _ = best_paths(edges, batch.column("score").flatten().to_numpy())
             ids = np.where(edges.pid[path] == NO_PIECE, unk_id, edges.pid[path])
             per_word = np.bincount(edges.word[path], minlength=batch.num_rows)
             offsets = np.concatenate([[0], np.cumsum(per_word)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("word"), lists], ["word", "ids"])
 
-    return lattice.select("word", "size", "e", "s", "pid").mapInArrow(run, "word string, ids array<int>")
+    return lattice.mapInArrow(run, "word string, ids array<int>")
 
 
 def merge_unknown(ids: Column, unk_id: int) -> Column:
@@ -80,7 +71,8 @@ def encode(
     source = F.col(text) if isinstance(text, str) else text
     texts = df.select(*key, marked_words(source, dummy_prefix).alias("_words"))
     placed = fan_out(texts, *(place_by or key)).select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
-    distinct = texts.select(F.explode("_words").alias("word")).distinct()
+    # Read off the placed words, so that one shuffle of the texts serves both branches.
+    distinct = placed.select("word").where(F.col("word").isNotNull()).distinct()
     segments = segment_words(distinct, vocab, unk_id)
     joined = placed.join(segments, "word", "left")
     ordered = F.sort_array(F.collect_list(F.struct("_pos", "ids")))

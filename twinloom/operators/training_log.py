@@ -24,24 +24,18 @@ def macro_loss(by_loader: DataFrame, n_loaders: int = 2) -> DataFrame:
 def best_checkpoints(records: DataFrame, *run: str, k: int = SAVE_TOP_K) -> DataFrame:
     """The ``k`` lowest losses and the last step of each run, flagged ``best`` / ``last``.
 
-    Both sides are small aggregates per run: ``min_by``-style top-k arrays of fixed length
-    combine inside each task, so a run with very many records is never sorted in one task.
+    Spark turns the rank filter into a group limit ahead of the shuffle, so every task sends
+    at most ``k`` rows of a run, however many the run has.
     """
-    partial = "_part"
-    by_loss = Window.partitionBy(*run, partial).orderBy("val_loss", "step")
-    overall = Window.partitionBy(*run).orderBy("val_loss", "step")
-    sliced = records.withColumn(partial, F.pmod(F.hash("step"), F.lit(64)))
-    # Top k per slice first: at most 64 * k rows of a run reach the final window.
-    local_best = sliced.withColumn("_r", F.row_number().over(by_loss)).where(F.col("_r") <= k)
+    by_loss = Window.partitionBy(*run).orderBy("val_loss", "step")
     best = (
-        local_best.withColumn("_r", F.row_number().over(overall))
-        .where(F.col("_r") <= k)
+        records.withColumn("_rank", F.row_number().over(by_loss))
+        .where(F.col("_rank") <= k)
         .select(*records.columns, F.lit("best").alias("kept_as"))
     )
-    whole = F.struct(*records.columns)
     last = (
         records.groupBy(*run)
-        .agg(F.max_by(whole, "step").alias("_row"))
+        .agg(F.max_by(F.struct(*records.columns), "step").alias("_row"))
         .select("_row.*", F.lit("last").alias("kept_as"))
     )
     return best.unionByName(last)

@@ -42,6 +42,8 @@ OVERSHOOT = 1.1
 FLOOR_STEP = 0.0001
 TOP_K_BUCKETS_PER_DOUBLING = 64
 
+LATTICE = ("size", "e", "s", "pid")
+
 
 @dataclass(frozen=True)
 class UnigramOptions:
@@ -89,7 +91,7 @@ def substring_seeds(
     counts = substring_counts(words, options.max_piece_length)
     usable = counts.where((F.col("size") == 1) | (F.col("freq") >= 2))
     weighted = usable.withColumn("weight", F.col("freq") * F.col("size"))
-    stored = weighted.persist(StorageLevel.MEMORY_AND_DISK)
+    stored = cut_lineage(weighted)
     letters = stored.where(F.col("size") == 1)
     longer = top_weighted(stored.where(F.col("size") > 1), options.seed_size)
     return letters.unionByName(longer)
@@ -159,6 +161,28 @@ def _sum_over_pieces(
     return result
 
 
+def live_edges(lattices: DataFrame, logp: np.ndarray) -> DataFrame:
+    """The lattices without the edges of pruned pieces, stored for the rounds to come."""
+    shared = lattices.sparkSession.sparkContext.broadcast(np.isfinite(logp))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = shared.value
+        for batch in batches:
+            edges = read_edges(batch)
+            keep = live[edges.pid]
+            per_word = np.bincount(edges.word[keep], minlength=batch.num_rows)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(per_word)]).astype(np.int32))
+            lists = [
+                pa.ListArray.from_arrays(offsets, batch.column(c).flatten().filter(pa.array(keep)))
+                for c in ("e", "s", "pid")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("n"), batch.column("size"), *lists], ["n", *LATTICE]
+            )
+
+    return lattices.mapInArrow(run, lattices.schema).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def expected_counts(lattices: DataFrame, logp: np.ndarray) -> np.ndarray:
     """E-step: expected number of uses of each piece."""
 
@@ -252,7 +276,8 @@ def learn_vocab(
     numbered = with_row_idx(seeds, *order, name="pid").withColumn("pid", F.col("pid").cast("int"))
     pieces = cut_lineage(numbered)
 
-    lattices = build_lattice(words, pieces, options.max_piece_length).persist(StorageLevel.MEMORY_AND_DISK)
+    lattices = build_lattice(words, pieces, options.max_piece_length).select("n", *LATTICE)
+    lattices = lattices.persist(StorageLevel.MEMORY_AND_DISK)
     table = pieces.select("pid", "weight", "size").toArrow()
     place = table.column("pid").to_numpy()
     weight, size = np.zeros(len(place)), np.zeros(len(place), dtype=np.int64)
@@ -261,13 +286,17 @@ def learn_vocab(
     logp = np.log(weight) - np.log(weight.sum())
 
     desired = int(options.vocab_size * OVERSHOOT)
-    inner = None
+    inner, stored = None, len(logp)
     while True:
         for _ in range(options.sub_iterations):
             logp = maximise(expected_counts(lattices, logp), is_char)
         alive = int(np.isfinite(logp).sum())
         if alive <= desired:
             break
+        if alive <= stored // 2:
+            full, lattices, stored = lattices, live_edges(lattices, logp), alive
+            lattices.count()
+            full.unpersist()
         target = max(desired, int(options.shrinking_factor * alive))
         freq = viterbi_counts(lattices, logp)
         # The first round drops most seeds, and a dropped piece never returns.
