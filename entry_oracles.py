@@ -292,6 +292,100 @@ units AS (
   FROM (SELECT unnest(regexp_extract_all(w, {q(_runs())})) AS word, n FROM marked_n) GROUP BY word
 )"""
 
+SEED_VOCAB = f"""
+seed_marked AS (
+  SELECT unnest(list_transform({words('t')}, lambda w: '▁' || w)) AS w
+  FROM (SELECT {clean('text')} AS t FROM documents) WHERE strlen(t) <= 16768
+),
+seed_units AS (
+  SELECT word, sum(n) AS n FROM (
+    SELECT unnest(regexp_extract_all(w, {q(_runs())})) AS word, n FROM (SELECT w, count(*) AS n FROM seed_marked GROUP BY w)
+  ) GROUP BY word
+),
+seed_parts AS (
+  SELECT n, word[s + 1:s + k] AS piece, k FROM (
+    SELECT word, n, s, unnest(range(1, least(16, length(word) - s) + 1)) AS k
+    FROM (SELECT word, n, unnest(range(length(word))) AS s FROM seed_units))
+),
+seed_weights AS (
+  SELECT piece, k, sum(n) * k AS weight FROM seed_parts GROUP BY piece, k HAVING k = 1 OR sum(n) >= 2
+),
+seed_best AS (
+  SELECT * FROM seed_weights WHERE k = 1
+  UNION ALL (SELECT * FROM seed_weights WHERE k > 1 ORDER BY weight DESC, piece LIMIT 8000)
+),
+seed_vocab AS (
+  SELECT piece, (row_number() OVER (ORDER BY k > 1, weight DESC, piece) + 4)::INT AS pid,
+    round(ln(weight / (SELECT sum(weight) FROM seed_best)) * 10000) AS score
+  FROM seed_best
+)"""
+
+
+def segmented(source: str) -> str:
+    """CTEs from ``source(word)`` to ``segments(word, ids)``: best path, position by position.
+
+    A state carries the best score and path of every position so far; on equal scores the
+    longer last piece wins.
+    """
+    return f"""
+seg_parts AS (
+  SELECT word, s, s + k AS e, word[s + 1:s + k] AS piece FROM (
+    SELECT word, s, unnest(range(1, least(16, length(word) - s) + 1)) AS k
+    FROM (SELECT word, unnest(range(length(word))) AS s FROM {source}))
+),
+seg_edges AS (
+  SELECT word, s, e, coalesce(v.pid, 2) AS pid, coalesce(v.score, (SELECT min(score) - 10 FROM seed_vocab)) AS score
+  FROM seg_parts p LEFT JOIN seed_vocab v USING (piece) WHERE v.pid IS NOT NULL OR e - s = 1
+),
+seg_into AS (SELECT word, e, list({{'s': s, 'pid': pid, 'score': score}}) AS edges FROM seg_edges GROUP BY word, e),
+seg_walk AS (
+  SELECT word, 0 AS pos, [0.0::DOUBLE] AS best, [[]::INT[]] AS paths FROM {source}
+  UNION ALL
+  SELECT word, pos, list_append(best, top.total), list_append(paths, list_append(paths[top.s + 1], top.pid::INT))
+  FROM (
+    SELECT w.word, w.pos + 1 AS pos, w.best, w.paths,
+      list_sort(list_transform(i.edges, lambda x: {{'total': w.best[x.s + 1] + x.score, 'back': -x.s, 's': x.s, 'pid': x.pid}}), 'DESC')[1] AS top
+    FROM seg_walk w JOIN seg_into i ON i.word = w.word AND i.e = w.pos + 1
+  )
+),
+segments AS (SELECT word, paths[pos + 1] AS ids FROM seg_walk WHERE pos = length(word))"""
+
+
+def encoded(source: str, *key: str) -> str:
+    """CTEs from ``source(*key, text)``, texts normalised, to ``ids(*key, ids)``."""
+    keys = ", ".join(key)
+    return f"""
+enc_words AS (
+  SELECT {keys}, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT {keys}, list_transform({words('text')}, lambda w: '▁' || w) AS ws FROM {source})
+),
+enc_distinct AS (SELECT DISTINCT word FROM enc_words),
+{segmented('enc_distinct')},
+enc_joined AS (
+  SELECT {keys}, flatten(list(ids ORDER BY pos)) AS raw FROM enc_words JOIN segments USING (word) GROUP BY ALL
+),
+ids AS (
+  SELECT {', '.join(f'x.{k}' for k in key)},
+    list_filter(coalesce(raw, []), lambda t, i: t <> 2 OR i = 1 OR raw[i - 1] <> 2) AS ids
+  FROM {source} x LEFT JOIN enc_joined y ON {' AND '.join(f'x.{k} = y.{k}' for k in key)}
+)"""
+
+
+def batch_rows(sides: str, extra: str = "") -> str:
+    """Padded training rows from ``sides(batch_id, row_idx, src_lang, xs, ys)``."""
+    return f"""
+framed AS (
+  SELECT *, list_concat([CASE src_lang WHEN 'rus_Cyrl' THEN 3 ELSE 4 END], xs[1:126], [1]) AS x,
+    list_concat([CASE src_lang WHEN 'rus_Cyrl' THEN 4 ELSE 3 END], ys[1:126], [1]) AS y FROM {sides}
+),
+wide AS (
+  SELECT *, max(len(x)) OVER (PARTITION BY batch_id, src_lang) AS xw, max(len(y)) OVER (PARTITION BY batch_id, src_lang) AS yw
+  FROM framed
+)
+SELECT batch_id, row_idx, {joined(padded('x', 'xw', '0'))} AS x, {joined(mask('x', 'xw'))} AS x_mask,
+  {joined(padded('y', 'yw', '-100'))} AS y, {joined(mask('y', 'yw'))} AS y_mask{extra} FROM wide"""
+
+
 CHARS_CLEAN = f"""
 ch AS (SELECT unnest(string_split({clean('text')}, '')) AS ch FROM documents),
 counts AS (SELECT ch, count(*) AS n FROM ch WHERE ch <> '' GROUP BY ch)"""
@@ -391,6 +485,49 @@ ORACLES = {
       wide AS (SELECT *, max(len(x)) OVER (PARTITION BY batch_id) AS xw FROM framed)
       SELECT batch_id, string_agg(row_idx || ':' || {joined(padded('x', 'xw', '0'))}, ',' ORDER BY row_idx) AS items
       FROM wide GROUP BY batch_id""",
+    "encode": f"""
+      WITH RECURSIVE {SEED_VOCAB}, src AS (SELECT doc_id, {clean('text')} AS text FROM documents),
+      {encoded('src', 'doc_id')}
+      SELECT doc_id, {joined('ids')} AS ids FROM ids""",
+    "training_batches": f"""
+      WITH RECURSIVE {SEED_VOCAB}, {PAIRS},
+      shuffled AS (
+        SELECT *, row_number() OVER (ORDER BY {hash32("'42'", "'0'", 'conv_id', 'turn')}, conv_id, turn) - 1 AS row_idx FROM pairs
+      ),
+      coin AS (SELECT *, row_idx // 16 AS batch_id, {hash32("'42'", "'0'", 'row_idx // 16')} % 2 = 0 AS fwd FROM shuffled),
+      src AS (
+        SELECT row_idx, 'x' AS side, {clean('CASE WHEN fwd THEN ru ELSE lez END')} AS text FROM coin
+        UNION ALL SELECT row_idx, 'y', {clean('CASE WHEN fwd THEN lez ELSE ru END')} FROM coin
+      ),
+      {encoded('src', 'row_idx', 'side')},
+      sides AS (
+        SELECT batch_id, row_idx, CASE WHEN fwd THEN 'rus_Cyrl' ELSE 'lez_Cyrl' END AS src_lang, a.ids AS xs, b.ids AS ys
+        FROM coin JOIN ids a USING (row_idx) JOIN ids b USING (row_idx) WHERE a.side = 'x' AND b.side = 'y'
+      ),
+      {batch_rows('sides')}""",
+    "validation_batches": f"""
+      WITH RECURSIVE {SEED_VOCAB}, {INDEXED},
+      src AS (
+        SELECT row_idx, 'ru' AS side, {clean('ru')} AS text FROM batched UNION ALL SELECT row_idx, 'lez', {clean('lez')} FROM batched
+      ),
+      {encoded('src', 'row_idx', 'side')},
+      both_ids AS (
+        SELECT batch_id, row_idx, a.ids AS ru_ids, b.ids AS lez_ids
+        FROM batched JOIN ids a USING (row_idx) JOIN ids b USING (row_idx) WHERE a.side = 'ru' AND b.side = 'lez'
+      ),
+      sides AS (
+        SELECT batch_id, row_idx, 'rus_Cyrl' AS src_lang, ru_ids AS xs, lez_ids AS ys, 0 AS loader FROM both_ids
+        UNION ALL SELECT batch_id, row_idx, 'lez_Cyrl', lez_ids, ru_ids, 1 FROM both_ids
+      ),
+      {batch_rows('sides', ', loader')}""",
+    "evaluation_batches": f"""
+      WITH RECURSIVE {SEED_VOCAB}, {INDEXED},
+      src AS (SELECT row_idx, {clean('ru')} AS text FROM batched),
+      {encoded('src', 'row_idx')},
+      framed AS (SELECT row_idx, {clean('lez')} AS tgt_text, list_concat([3], ids, [1]) AS f FROM ids JOIN batched USING (row_idx))
+      SELECT row_idx AS batch_id, row_idx, {joined('f')} AS x, {joined(mask('f', 'len(f)'))} AS x_mask,
+        4 AS forced_bos_token_id, (32 + 3 * len(f))::INT AS max_new_tokens, 4 AS num_beams, tgt_text,
+        'rus_Cyrl' AS src_lang, 'lez_Cyrl' AS tgt_lang FROM framed""",
     "decode": f"SELECT doc_id, {joined(words(clean('text')))} AS text FROM documents",
     "corpus_size": "SELECT count(*) AS n FROM documents",
     "distinct_pieces": f"WITH {vocab('f', 'fr')}, {vocab('e', 'en')} SELECT piece FROM f UNION SELECT piece FROM e",
