@@ -63,18 +63,19 @@ def encode(
 ) -> DataFrame:
     """``(*key, ids)``: subword ids of each normalised text. ``key`` must identify a row.
 
-    Each distinct word is segmented once. Texts are partitioned by key before they are
-    exploded, so that a broadcast of the segmented words leaves the words of a text where
-    the final grouping needs them; with too many words for that, both sides shuffle.
-    ``place_by``, a part of the key, lets a later step on those columns reuse the partitioning.
+    Each distinct word is segmented once and joined back to its occurrences. That join is left
+    to adaptive execution, which broadcasts a small table of words and splits the partitions
+    of very frequent ones. One shuffle then brings the words of a text together, by
+    ``place_by``, a part of the key that a later step groups by, or by the whole key.
     """
     source = F.col(text) if isinstance(text, str) else text
-    texts = df.select(*key, marked_words(source, dummy_prefix).alias("_words"))
-    placed = fan_out(texts, *(place_by or key)).select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
-    # Read off the placed words, so that one shuffle of the texts serves both branches.
-    distinct = placed.select("word").where(F.col("word").isNotNull()).distinct()
+    place = place_by or key
+    texts = fan_out(df.select(*key, marked_words(source, dummy_prefix).alias("_words")), *place)
+    # Both branches read the shuffled texts, so they are normalised and split once.
+    occurrences = texts.select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
+    distinct = occurrences.select("word").where(F.col("word").isNotNull()).distinct()
     segments = segment_words(distinct, vocab, unk_id)
-    joined = placed.join(segments, "word", "left")
+    joined = fan_out(occurrences.join(segments, "word", "left").drop("word"), *place)
     ordered = F.sort_array(F.collect_list(F.struct("_pos", "ids")))
     none = F.array().cast("array<int>")
     return (
