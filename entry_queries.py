@@ -6,6 +6,9 @@ its monolingual side. Array results are rendered as text, so that engines compar
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ from twinloom.plans import vocabulary as vocab_plans
 from twinloom.sources import corpus, tables
 from twinloom.storage import cut_lineage, scratch_path
 
+# The stand-in translator travels inside the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LANG_IDS = {RUSSIAN.code: 3, LEZGIAN.code: 4}
 PAD, EOS, UNK = 0, 1, 2
 

@@ -64,6 +64,10 @@ def test_shuffled_join_gives_the_same_ids(spark, trained, monkeypatch):
     vocab = vocab_of(spark, trained)
     want = {r.i: r.ids for r in segment.encode(df, ["i"], "t", vocab, 2).collect()}
     monkeypatch.setattr("twinloom.operators.lattice.broadcast_if_small", lambda d: d)
+    # With a high bar no word is frequent, with a low one most are.
+    monkeypatch.setattr(segment, "MAX_FREQUENT_WORDS", 1)
+    assert {r.i: r.ids for r in segment.encode(df, ["i"], "t", vocab, 2).collect()} == want
+    monkeypatch.setattr(segment, "MAX_FREQUENT_WORDS", 60)
     got = {r.i: r.ids for r in segment.encode(df, ["i"], "t", vocab, 2).collect()}
     assert got == want
 

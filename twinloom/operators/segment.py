@@ -22,6 +22,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNKNOWN_PENALTY = 10.0
 MAX_PIECE_LENGTH = 128
 
+# A word counts as frequent when its share of all words exceeds one in this many.
+MAX_FREQUENT_WORDS = 100_000
+
 
 def segment_words(
     words: DataFrame, vocab: DataFrame, unk_id: int, max_length: int = MAX_PIECE_LENGTH
@@ -63,19 +66,26 @@ def encode(
 ) -> DataFrame:
     """``(*key, ids)``: subword ids of each normalised text. ``key`` must identify a row.
 
-    Each distinct word is segmented once and joined back to its occurrences. That join is left
-    to adaptive execution, which broadcasts a small table of words and splits the partitions
-    of very frequent ones. One shuffle then brings the words of a text together, by
-    ``place_by``, a part of the key that a later step groups by, or by the whole key.
+    Each distinct word is segmented once and joined back to its occurrences. Words that make up
+    a notable share of the corpus are few, and are joined by broadcast; the shuffled join sees
+    only the rest, where no word is frequent. One shuffle then brings the words of a text
+    together, by ``place_by``, a part of the key that a later step groups by, or by the whole key.
     """
     source = F.col(text) if isinstance(text, str) else text
     place = place_by or key
     texts = fan_out(df.select(*key, marked_words(source, dummy_prefix).alias("_words")), *place)
-    # Both branches read the shuffled texts, so they are normalised and split once.
+    # All branches read the shuffled texts, so they are normalised and split once.
     occurrences = texts.select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
-    distinct = occurrences.select("word").where(F.col("word").isNotNull()).distinct()
-    segments = segment_words(distinct, vocab, unk_id)
-    joined = fan_out(occurrences.join(segments, "word", "left").drop("word"), *place)
+    counts = occurrences.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    frequent = counts.join(F.broadcast(total), F.col("n") * MAX_FREQUENT_WORDS > F.col("total")).select("word")
+    # At most MAX_FREQUENT_WORDS rows, whatever the corpus.
+    quick = F.broadcast(segment_words(frequent, vocab, unk_id))
+    rest = occurrences.join(F.broadcast(frequent), "word", "left_anti")
+    # Reading the count keeps this the same aggregate as above, which then runs once.
+    segments = segment_words(counts.where(F.col("n") > 0).select("word"), vocab, unk_id)
+    found = occurrences.join(quick, "word").unionByName(rest.join(segments, "word", "left"))
+    joined = fan_out(found.drop("word"), *place)
     ordered = F.sort_array(F.collect_list(F.struct("_pos", "ids")))
     none = F.array().cast("array<int>")
     return (
