@@ -86,9 +86,10 @@ def vocab_of(spark: SparkSession, folder: str, lang: str) -> DataFrame:
     ranked = ordering.with_row_idx(counts, -F.col("n"), F.col("piece"), name="id")
     score = F.round(F.log(F.col("n") / F.col("total")), 6)
     kind = F.when(F.col("id") < 3, vocabulary.CONTROL).otherwise(vocabulary.NORMAL)
-    return ranked.crossJoin(F.broadcast(total)).select(
+    scored = ranked.crossJoin(F.broadcast(total)).select(
         F.col("id").cast("int"), "piece", score.alias("score"), kind.alias("type")
     )
+    return cut_lineage(scored)
 
 
 def seed_vocab(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +101,7 @@ def seed_vocab(spark: SparkSession, folder: str) -> DataFrame:
     options = unigram.UnigramOptions(max_piece_length=16, seed_size=8000, dummy_prefix=True)
     seeds = unigram.substring_seeds(unigram.word_counts(clean, "clean", options), options)
     order = (F.col("size") > 1, -F.col("weight"), F.col("piece"))
-    ranked = cut_lineage(ordering.with_row_idx(seeds, *order))
+    ranked = ordering.with_row_idx(seeds, *order)
     total = ranked.agg(F.sum("weight").alias("total"))
     normal = ranked.crossJoin(F.broadcast(total)).select(
         (F.col("row_idx") + 5).cast("int").alias("id"),
