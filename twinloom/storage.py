@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import re
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +16,22 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private one only where none is configured."""
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
+
+    Where nothing is configured, a session that runs in one process gets a folder in its
+    warehouse, deleted at its end; on a cluster that is an error, as executors must share it.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="twinloom-"))
+        if not configured:
+            if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+            own = urlparse(configured).path
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(configured)
         current = context.getCheckpointDir()
     return current
 
