@@ -7,7 +7,7 @@ their ranks lie apart, or of the longest distance where the profile lacks one.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -17,12 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.llm.common import utf8
-
 UNKNOWN = "und"
-LONGEST = 3
 PROFILE = 400
-# Code points counted at once; a code point has 21 bits, so three make one number.
+# Code points counted at once. One has 21 bits, so up to three make one number.
 CHUNK = 1 << 20
 BITS = 21
 # Distinct words that a task counts before it hands them on.
@@ -46,20 +43,18 @@ def _letters(text: str) -> np.ndarray:
     return _letter_table()[codes]
 
 
-def _ngrams(codes: np.ndarray) -> np.ndarray:
-    """Numbers of all n-grams inside words and their two edges; runs of blanks are one blank."""
+def _ngrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all n-grams of one to three inside words and their two edges, and for each the
+    place of one of its letters. Runs of blanks are one blank; it may only stand at an end."""
     blank = codes == 32
-    codes = codes[np.append(True, ~(blank[1:] & blank[:-1]))]
-    wide = codes.astype(np.uint64)
-    letter = codes != 32
-    found, gram = [wide[letter]], wide
-    inside = np.ones(len(wide) + 1, bool)
-    for n in range(2, LONGEST + 1):
-        gram = (gram[:-1] << np.uint64(BITS)) | wide[n - 1 :]
-        # No blank but at the ends: those between two words belong to neither.
-        inside = inside[:-1][: len(gram)] & (letter[n - 2 : n - 2 + len(gram)] if n > 2 else True)
-        found.append(gram[inside])
-    return np.concatenate(found)
+    at = np.flatnonzero(np.append(True, ~(blank[1:] & blank[:-1])))
+    wide, letter = codes[at].astype(np.uint64), ~blank[at]
+    shift = np.uint64(BITS)
+    ones, threes = np.flatnonzero(letter), np.flatnonzero(letter[1:-1])
+    pairs = wide[:-1] << shift | wide[1:]
+    twos = np.arange(len(pairs)) + letter[1:]
+    keys = [wide[ones], pairs, pairs[threes] << shift | wide[threes + 2]]
+    return np.concatenate(keys), at[np.concatenate([ones, twos, threes + 1])]
 
 
 def ranked_ngrams(text: str, size: int = PROFILE) -> np.ndarray:
@@ -67,7 +62,7 @@ def ranked_ngrams(text: str, size: int = PROFILE) -> np.ndarray:
     codes = np.concatenate([[32], _letters(text), [32]]).astype(np.uint32)
     totals: dict[int, int] | None = None
     if len(codes) <= CHUNK:
-        keys, counts = np.unique(_ngrams(codes), return_counts=True)
+        keys, counts = np.unique(_ngrams(codes)[0], return_counts=True)
     else:
         totals = Counter()
         # Chunks end between words, so no n-gram is cut except inside a word longer than a chunk.
@@ -77,7 +72,7 @@ def ranked_ngrams(text: str, size: int = PROFILE) -> np.ndarray:
             if end < len(codes):
                 blanks = np.flatnonzero(codes[start + 1 : end] == 32)
                 end = start + 2 + int(blanks[-1]) if len(blanks) else end
-            part, n = np.unique(_ngrams(codes[start:end]), return_counts=True)
+            part, n = np.unique(_ngrams(codes[start:end])[0], return_counts=True)
             totals.update(dict(zip(part.tolist(), n.tolist(), strict=True)))
             start = end - 1
         keys = np.array(sorted(totals), np.uint64)
@@ -112,40 +107,33 @@ class Profiles:
         return self.langs[best], 1.0 - float(distances[best]) / (self.size * len(keys))
 
 
-def _word_ngram_counts(counts: Counter) -> Iterable[tuple[str, int, int]]:
-    """N-gram counts of counted (language, word) pairs, each word between two blanks."""
-    by_lang: dict[str, list[tuple[bytes, int]]] = {}
-    for (lang, word), n in counts.items():
-        by_lang.setdefault(lang, []).append((word, n))
-    for lang, words in by_lang.items():
-        keys, weights = [], []
-        for word, n in words:
-            codes = np.concatenate([[32], _letters(word.decode()), [32]]).astype(np.uint32)
-            if np.any(codes != 32):
-                grams = _ngrams(codes)
-                keys.append(grams)
-                weights.append(np.full(len(grams), n, np.int64))
-        if keys:
-            unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-            yield lang, unique, np.bincount(place, np.concatenate(weights)).astype(np.int64)
+def _ngram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram counts of counted words, each between two blanks."""
+    codes = _letters(" " + " ".join(words) + " ")
+    weights = np.repeat([*words.values()], [len(w) + 1 for w in words])
+    keys, letters = _ngrams(codes)
+    unique, place = np.unique(keys, return_inverse=True)
+    # A word's letters follow the blank before it.
+    return unique, np.bincount(place, weights[np.minimum(letters, len(codes) - 2) - 1]).astype(np.int64)
 
 
 def _counted(batches: Iterable[pa.RecordBatch]):
     """Partial n-gram counts of a task; words are counted first, as each repeats many times."""
 
-    def made(counts: Counter):
-        for lang, keys, n in _word_ngram_counts(counts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
-            )
+    def made(counts: dict[str, Counter]):
+        for lang, words in counts.items():
+            if words:
+                keys, n = _ngram_counts(words)
+                columns = [pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
-    counts: Counter = Counter()
+    counts: defaultdict[str, Counter] = defaultdict(Counter)
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            counts.update(zip([lang] * len(words), words, strict=True) if (words := text.split()) else ())
-            if len(counts) > HELD_WORDS:
-                yield from made(counts)
-                counts = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[lang].update(text.split())
+        if sum(map(len, counts.values())) > HELD_WORDS:
+            yield from made(counts)
+            counts.clear()
     yield from made(counts)
 
 

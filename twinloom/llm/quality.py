@@ -6,9 +6,9 @@ method asks; the threshold on its anomaly score is set from all labelled rows.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.llm.common import columns_of, fresh, slices, utf8
+from twinloom.llm.common import slices, utf8
 from twinloom.storage import cut_lineage
 
 # Fixed rules.
@@ -33,13 +33,12 @@ GOOD_LOSS = 0.005
 SCORE_STEPS = 1000
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["upper", "mark", "symbol", "digit", "repeat", "dup_line", "word_length", "wide"]
+FEATURES = ["upper", "shout", "symbol", "repeat", "dup_line"]
 STATS = T.StructType(
     [T.StructField(c, T.LongType()) for c in BASE] + [T.StructField(c, T.DoubleType()) for c in FEATURES]
 )
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-_DIGITS, _MARKS = b"0123456789", b"!?;:\"'()[]{}/\\=_~^+@"
 _CONTINUED = bytes(range(0x80, 0xC0))
 _WIDE = bytes(range(0xC0, 0x100))
 
@@ -72,18 +71,14 @@ def text_stats(text: bytes) -> tuple:
     lines = [line for line in text.split(b"\n") if line and not line.isspace()]
     dup_lines = len(lines) - len(set(lines))
     repeats = repeated_words(words)
-    per_char, per_word = 1 / max(chars, 1), 1 / max(len(words), 1)
-    wide = _count(joined, _WIDE)
-    letters = max(_count(joined, _UPPER + _LOWER) + wide, 1)
+    letters = max(_count(joined, _UPPER + _LOWER + _WIDE), 1)
+    # Square roots spread the small shares, where random cuts would hardly fall.
     features = (
         _count(joined, _UPPER) / letters,
-        _count(joined, _MARKS) * per_char,
-        symbols * per_char,
-        _count(joined, _DIGITS) * per_char,
-        repeats * per_word,
+        sqrt(_count(joined, b"!?") / max(chars, 1)),
+        sqrt(symbols / max(chars, 1)),
+        repeats / max(len(words), 1),
         dup_lines / max(len(lines), 1),
-        chars * per_word,
-        wide * per_char,
     )
     return (len(words), chars, symbols, dup_lines, repeats, *features)
 
