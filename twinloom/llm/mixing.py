@@ -9,6 +9,7 @@ and each step is one small aggregate. All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,9 @@ LEAN = 4.0 * BUCKETS
 EVIDENCE = 40.0
 # Posteriors are rounded to steps of 1 / GRID.
 GRID = 200
-STEPS = 400
+STEPS = 100
+# Steps without progress before it is given up.
+PATIENCE = 15
 TOLERANCE = 1e-4
 
 
@@ -118,70 +121,57 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     return Classifier(counts, sizes if counts else {})
 
 
-def _dot(posterior: Column, gradient: Column) -> Column:
-    return sum((F.get(posterior, F.lit(d)) / GRID * gradient[f"g{d}"] for d in range(len(DOMAINS))), F.lit(0.0))
-
-
 class Rates:
-    """The gradient steps found; ``rate`` replays them for a posterior."""
+    """The gradient steps found; ``replayed`` repeats them for a posterior."""
 
-    def __init__(self, steps: list[tuple[float, ...]], gap: float):
+    def __init__(self, steps: list[tuple[float, ...]], gap: float = 0.0):
         self.steps, self.gap = steps, gap
 
-    def rate(self, posterior: Column) -> Column:
+    def replayed(self, p: str, state: str = "r") -> Column:
+        """For the posterior in column ``p``: ``r``, its rate, or ``y``, where the next gradient
+        is taken. The steps are a constant, so the plan does not grow with them."""
         if not self.steps:
             return F.lit(1.0)
-        names = [f"g{d}" for d in range(len(DOMAINS))]
-        kind = "array<struct<{}>>".format(",".join(f"{n}:double" for n in [*names, "b"]))
-        text = "[" + ",".join(
-            "{" + ",".join(f'"{n}":{v!r}' for n, v in zip([*names, "b"], step, strict=True)) + "}"
-            for step in self.steps
-        ) + "]"
-        replayed = F.aggregate(
-            F.from_json(F.lit(text), kind),
-            F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")),
-            lambda acc, step: self._next(acc, step, posterior),
+        names = [*(f"g{d}" for d in range(len(DOMAINS))), "b"]
+        steps = json.dumps([dict(zip(names, step, strict=True)) for step in self.steps])
+        kind = "array<struct<{}>>".format(",".join(f"{n}:double" for n in names))
+        moved = " + ".join(f"get(`{p}`, {d}) * s.g{d}" for d in range(len(DOMAINS)))
+        r = f"greatest(acc.y - ({moved}) / {GRID}, 0D)"
+        return F.expr(
+            f"aggregate(from_json('{steps}', '{kind}'), named_struct('r', 1D, 'y', 1D), (acc, s) -> "
+            f"named_struct('r', {r}, 'y', {r} + s.b * ({r} - acc.r))).{state}"
         )
-        return replayed["r"]
-
-    @staticmethod
-    def _next(acc: Column, step: Column, posterior: Column) -> Column:
-        r = F.greatest(acc["y"] - _dot(posterior, step), F.lit(0.0))
-        return F.struct(r.alias("r"), (r + step["b"] * (r - acc["r"])).alias("y"))
 
 
 def fit_rates(groups: DataFrame, targets: dict[str, float], steps: int = STEPS) -> Rates:
     """Accelerated projected gradient over ``(p, n)``: distinct posteriors and their tokens.
 
-    Each step is one aggregate over at most as many rows as the posterior grid has points. State
-    is kept as two columns, stored every few steps.
+    Each step is one aggregate over at most as many rows as the posterior grid has points, and
+    brings one sum for each domain to the driver. It ends when the targets are met, or when
+    steps stop helping, as with a target for a domain that no document belongs to.
     """
+    groups = cut_lineage(groups)
     total = groups.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return Rates([], 0.0)
+        return Rates([])
     want = [targets.get(d, 0.0) for d in DOMAINS]
     # Weighted by tokens, the steps of all rows share one curvature, at most the trace of
     # sum n p p' / total, which is at most 1.
-    state = cut_lineage(groups.withColumns({"y": F.lit(1.0), "r": F.lit(1.0)}))
-    taken: list[tuple[float, ...]] = []
-    momentum, gap = 1.0, math.inf
-    sums = [F.sum(F.col("y") * F.col("n") * F.get("p", F.lit(d)) / GRID).alias(f"s{d}") for d in range(len(DOMAINS))]
-    while len(taken) < steps:
-        at = state.agg(*sums).first()
-        gradient = [at[f"s{d}"] / total - want[d] for d in range(len(DOMAINS))]
+    rates, momentum, before, best, since = Rates([]), 1.0, math.inf, math.inf, 0
+    sums = ", ".join(f"sum(y * n * p[{d}]) / {GRID} AS s{d}" for d in range(len(DOMAINS)))
+    while len(rates.steps) < steps and since < PATIENCE:
+        at = groups.select("p", "n", rates.replayed("p", "y").alias("y")).selectExpr(*sums.split(", ")).first()
+        gradient = [at[d] / total - want[d] for d in range(len(DOMAINS))]
         gap = max(map(abs, gradient))
         if gap < TOLERANCE:
             break
-        following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        step = (*gradient, (momentum - 1) / following)
+        best, since = (gap, 0) if gap < 0.98 * best else (best, since + 1)
+        # Momentum starts anew where it has carried too far.
+        momentum = 1.0 if gap > before else momentum
+        following, before = (1 + math.sqrt(1 + 4 * momentum**2)) / 2, gap
+        rates = Rates([*rates.steps, (*gradient, (momentum - 1) / following)], gap)
         momentum = following
-        taken.append(step)
-        moved = F.struct(*[F.lit(v).alias(n) for v, n in zip(step, ["g0", "g1", "g2", "b"], strict=True)])
-        nxt = Rates._next(F.struct("r", "y"), moved, F.col("p"))
-        state = state.withColumn("_s", nxt).select("p", "n", F.col("_s.r").alias("r"), F.col("_s.y").alias("y"))
-        if len(taken) % 10 == 0:
-            state = cut_lineage(state)
-    return Rates(taken, gap)
+    return rates
 
 
 def _measured(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -203,7 +193,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     measured = cut_lineage(_measured(docs, fit_classifier(docs, labels)))
     rates = _solved(measured, targets)
     shares = [(F.get("p", F.lit(i)) / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return measured.select("doc_id", "n_tokens", *shares, F.round(rates.rate(F.col("p")), 6).alias("rate"))
+    return measured.select("doc_id", "n_tokens", *shares, F.round(rates.replayed("p"), 6).alias("rate"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -214,10 +204,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """
     model = fit_classifier(docs, labels)
     measured = _measured(docs, model).groupBy("p").agg(F.sum("n_tokens").alias("n"))
-    rates = fit_rates(cut_lineage(measured), targets)
-    copies, rate = fresh(docs, "_copies"), fresh(docs, "_rate")
+    rates = fit_rates(measured, targets)
+    copies, rate, p = (fresh(docs, c) for c in ("_copies", "_rate", "_posterior"))
     drawn = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + F.lit(0.5)
-    rows = docs.withColumn(rate, rates.rate(model.posteriors(F.col("text"))))
+    rows = docs.withColumn(p, model.posteriors(F.col("text"))).withColumn(rate, rates.replayed(p))
     times = F.floor(F.col(rate)) + (drawn < F.col(rate) - F.floor(F.col(rate))).cast("long")
     rows = rows.withColumn(copies, F.array_repeat(F.lit(0), times.cast("int")))
     return rows.select(*columns_of(docs), F.explode(copies).alias(copies)).select(columns_of(docs))

@@ -131,7 +131,7 @@ def judge_urls(
     lower = a / (a + b) - bound * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     found = F.when(F.col("bad_rate_bound") > limit, "block").otherwise("allow")
-    judged = split.join(reputation.select("host", lower.alias("bad_rate_bound")), "host")
+    judged = split.join(reputation.select("host", F.round(lower, 6).alias("bad_rate_bound")), "host")
     return judged.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, found).alias("verdict"), "bad_rate_bound"
     )
