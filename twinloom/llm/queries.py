@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinloom.llm import bpe, exact_dedup, language, mixing, quality, simhash, url_filter
+from twinloom.llm import bpe, exact_dedup, html_text, language, line_dedup, lm, mixing, quality, simhash, url_filter
 from twinloom.llm.common import id_remainder, table
 
 # The file that the contract names, in the package of public vocabularies.
@@ -31,6 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    return lm.score_texts(table(spark, sf_dir, "documents").withColumn("held_out", held_out))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,14 +69,26 @@ QUERIES = {
     for f in (
         op1_language_id,
         op2_bpe,
+        op3_line_dedup,
         op4_quality_rules,
         op5_exact_dedup,
+        op6_lm_scoring,
+        op7_html_extraction,
         op8_mixing,
         op9_simhash,
         op10_url_filters,
     )
 }
 
+
+def _prior_weight_sql(groups: str) -> str:
+    """The method of moments over ``(bad, n, m)``, m being the prior mean."""
+    return f"""(SELECT CASE WHEN spread > 0 AND most > 0 THEN least(greatest(most / spread - 1, 1.0), 1000.0)
+                      ELSE 1000.0 END AS w
+               FROM (SELECT sum((bad - n * m) ** 2 - n * m * (1 - m)) AS spread,
+                            sum(n * (n - 1) * m * (1 - m)) AS most FROM {groups} WHERE n > 1))"""
+
+
 ORACLES = {
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
@@ -72,4 +97,38 @@ ORACLES = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g USING (norm)
     """,
+    "op10_url_filters": rf"""
+        WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3)
+                                        ELSE '' END AS rest FROM pages),
+        s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                     translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                               'abcdefghijklmnopqrstuvwxyz') AS host FROM a),
+        l AS (SELECT doc_id AS page_id, CASE WHEN quality <= 0 OR toxic > 0 THEN 1
+                     WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM labels),
+        c AS (SELECT host, coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n
+              FROM s LEFT JOIN l USING (page_id) GROUP BY host),
+        h AS (SELECT host, bad, n, regexp_extract(host, '([^.]*)$', 1) AS suffix,
+                     regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain FROM c),
+        d AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY domain, suffix),
+        x AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY suffix),
+        o AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) ELSE 0.5::DOUBLE END AS m FROM h),
+        x1 AS (SELECT suffix, bad, n, m FROM x, o),
+        x2 AS (SELECT suffix, (m * w + bad) / (w + n) AS m FROM x1, {_prior_weight_sql("x1")}),
+        d1 AS (SELECT domain, bad, n, m FROM d JOIN x2 USING (suffix)),
+        d2 AS (SELECT domain, (m * w + bad) / (w + n) AS m FROM d1, {_prior_weight_sql("d1")}),
+        h1 AS (SELECT host, bad, n, m FROM h JOIN d2 USING (domain)),
+        h2 AS (SELECT host, m * w + bad AS a, (1 - m) * w + n - bad AS b FROM h1, {_prior_weight_sql("h1")}),
+        r AS (SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) AS bound FROM h2),
+        f AS (SELECT page_id, host, path, bound,
+                     CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                          WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                          WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                          WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+              FROM s JOIN r USING (host))
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                    WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+               round(bound, 6) AS bad_rate_bound
+        FROM f
+    """,
 }
