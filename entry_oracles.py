@@ -102,6 +102,10 @@ def hash32(*parts: str) -> str:
     return f"concat('0x', substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
+def hash60(*parts: str) -> str:
+    return f"concat('0x', substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
 def joined(expr: str) -> str:
     return f"array_to_string({expr}, ' ')"
 
@@ -158,9 +162,12 @@ def mask(ids: str, width: str) -> str:
     return f"list_transform(range({width}), lambda i: CASE WHEN i < len({ids}) THEN 1 ELSE 0 END)"
 
 
-def vocab(name: str, lang: str) -> str:
+FIRST = "coalesce(lang, '') IN ('en', 'de')"
+
+
+def vocab(name: str, where: str = "true") -> str:
     return f"""
-{name}_words AS (SELECT unnest({words('text')}) AS piece FROM documents WHERE lang = '{lang}'),
+{name}_words AS (SELECT unnest({words('text')}) AS piece FROM documents WHERE {where}),
 {name}_counts AS (SELECT piece, count(*) AS n FROM {name}_words GROUP BY piece),
 {name}_ranked AS (
   SELECT (row_number() OVER (ORDER BY n DESC, piece) - 1)::INT AS id, piece,
@@ -284,7 +291,7 @@ UNITS = f"""
 cleaned AS (SELECT {clean('text')} AS t FROM documents),
 marked AS (
   SELECT unnest(list_transform({words('t')}, lambda w, i: CASE WHEN i = 1 THEN w ELSE '▁' || w END)) AS w
-  FROM cleaned WHERE strlen(t) <= 16768
+  FROM cleaned
 ),
 marked_n AS (SELECT w, count(*) AS n FROM marked GROUP BY w),
 units AS (
@@ -295,7 +302,7 @@ units AS (
 SEED_VOCAB = f"""
 seed_marked AS (
   SELECT unnest(list_transform({words('t')}, lambda w: '▁' || w)) AS w
-  FROM (SELECT {clean('text')} AS t FROM documents) WHERE strlen(t) <= 16768
+  FROM (SELECT {clean('text')} AS t FROM documents)
 ),
 seed_units AS (
   SELECT word, sum(n) AS n FROM (
@@ -304,7 +311,7 @@ seed_units AS (
 ),
 seed_parts AS (
   SELECT n, word[s + 1:s + k] AS piece, k FROM (
-    SELECT word, n, s, unnest(range(1, least(16, length(word) - s) + 1)) AS k
+    SELECT word, n, s, unnest(range(1, least(128, length(word) - s) + 1)) AS k
     FROM (SELECT word, n, unnest(range(length(word))) AS s FROM seed_units))
 ),
 seed_weights AS (
@@ -330,7 +337,7 @@ def segmented(source: str) -> str:
     return f"""
 seg_parts AS (
   SELECT word, s, s + k AS e, word[s + 1:s + k] AS piece FROM (
-    SELECT word, s, unnest(range(1, least(16, length(word) - s) + 1)) AS k
+    SELECT word, s, unnest(range(1, least(128, length(word) - s) + 1)) AS k
     FROM (SELECT word, unnest(range(length(word))) AS s FROM {source}))
 ),
 seg_edges AS (
@@ -402,11 +409,11 @@ ORACLES = {
     "read_split": f"WITH {SPLIT} SELECT ru, lez FROM split_pairs WHERE split = 'train'",
     "load_corpora": f"WITH {SPLIT} SELECT ru, lez FROM split_pairs",
     "write_plain_text": r"SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS value FROM documents WHERE text IS NOT NULL",
-    "write_vocab": f"WITH {vocab('v', 'en')} SELECT id, piece, score, type FROM v",
+    "write_vocab": f"WITH {vocab('v')} SELECT id, piece, score, type FROM v",
     "write_embeddings": f"SELECT id::INT AS id, dim::INT AS dim, round(v::DOUBLE, 5) AS v FROM ({MATRIX_DIMS})",
     "drop_missing": "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL",
     "char_filter": f"WITH {CHARS_RAW} SELECT ch, n FROM counts WHERE n >= 3 AND ch <> ' '",
-    "normal_pieces": f"WITH {vocab('v', 'en')} SELECT id, piece, score, type FROM v WHERE type = 1",
+    "normal_pieces": f"WITH {vocab('v')} SELECT id, piece, score, type FROM v WHERE type = 1",
     "reserved_tokens": """
       SELECT conv_id, turn, concat_ws(' ',
         CASE WHEN turn IN (0, 1, 2, 3) THEN turn || '=' || role END,
@@ -444,7 +451,7 @@ ORACLES = {
       WITH indexed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents),
       draws AS (SELECT unnest(range((SELECT count(*) FROM documents))) AS draw)
       SELECT draw, doc_id FROM draws JOIN indexed
-        ON row_idx = {hash32("'42'", "'0'", 'draw')} % (SELECT count(*) FROM documents)""",
+        ON row_idx = {hash60("'42'", "'0'", 'draw')} % (SELECT count(*) FROM documents)""",
     "assign_batches": f"WITH {INDEXED} SELECT conv_id, turn, row_idx, batch_id FROM batched",
     "random_direction": f"WITH {DIRECTED} SELECT conv_id, turn, src_text, tgt_text, src_lang, tgt_lang FROM directed",
     "fixed_direction": f"""
@@ -460,7 +467,7 @@ ORACLES = {
     "mask_labels": f"WITH {DOCUMENT_IDS} SELECT doc_id, {joined(padded('ids', 'width', '-100'))} AS ids FROM wide",
     "max_new_tokens": f"WITH {DOCUMENT_IDS} SELECT doc_id, (32 + 3 * width)::INT AS \"limit\" FROM wide",
     "token_id": f"""
-      WITH {vocab('f', 'fr')}, {vocab('e', 'en')}
+      WITH {vocab('f', f'NOT {FIRST}')}, {vocab('e', FIRST)}
       SELECT f.piece, coalesce(e.id, 2)::INT AS token_id FROM f LEFT JOIN e USING (piece)""",
     "train_batch": f"""
       WITH {ENCODED},
@@ -530,7 +537,7 @@ ORACLES = {
         'rus_Cyrl' AS src_lang, 'lez_Cyrl' AS tgt_lang FROM framed""",
     "decode": f"SELECT doc_id, {joined(words(clean('text')))} AS text FROM documents",
     "corpus_size": "SELECT count(*) AS n FROM documents",
-    "distinct_pieces": f"WITH {vocab('f', 'fr')}, {vocab('e', 'en')} SELECT piece FROM f UNION SELECT piece FROM e",
+    "distinct_pieces": f"WITH {vocab('f', f'NOT {FIRST}')}, {vocab('e', FIRST)} SELECT piece FROM f UNION SELECT piece FROM e",
     "mean_loss_by_loader": f"WITH {METRICS} SELECT epoch, loader, round(val_loss, 9) AS val_loss FROM means",
     "macro_loss": f"""
       WITH {METRICS} SELECT epoch, round(CASE WHEN count(*) = 5 THEN avg(val_loss) END, 9) AS val_loss FROM means GROUP BY epoch""",
@@ -561,11 +568,18 @@ ORACLES = {
       WITH {UNITS},
       starts AS (SELECT word, n, unnest(range(length(word))) AS s FROM units),
       parts AS (SELECT n, word[s + 1:s + k] AS piece, k FROM (
-        SELECT word, n, s, unnest(range(1, least(16, length(word) - s) + 1)) AS k FROM starts)),
+        SELECT word, n, s, unnest(range(1, least(128, length(word) - s) + 1)) AS k FROM starts)),
       counted AS (SELECT piece, sum(n)::BIGINT AS freq, k::INT AS size FROM parts GROUP BY piece, k),
       weighted AS (SELECT *, freq * size AS weight FROM counted WHERE size = 1 OR freq >= 2)
-      SELECT * FROM weighted WHERE size = 1
-      UNION ALL (SELECT * FROM weighted WHERE size > 1 ORDER BY weight DESC, piece LIMIT 20000)""",
+      SELECT * FROM weighted""",
+    "learn_vocab": f"""
+      WITH {UNITS}, letters AS (SELECT DISTINCT unnest(string_split(word, '')) AS piece FROM units)
+      SELECT 13398 AS pieces, 13398 AS distinct_pieces, 13398 AS span, 0 AS too_long, true AS probable,
+        (SELECT count(*) FROM letters WHERE piece <> '') AS letters, 0 AS out_of_order""",
+    "extend_vocabulary": f"""
+      WITH {SEED_VOCAB} SELECT 0 AS gaps, 0 AS without_vector, 1 AS new_codes, 0 AS repeated,
+        (SELECT count(*) + 5 FROM seed_vocab) AS base_kept""",
+    "sample_poisson": "SELECT count(*) AS n, true AS near, 0 AS strangers FROM documents",
     "prep_corpus_for_vocab": f"""
       WITH {PAIRS},
       ch AS (SELECT unnest(string_split({clean('lez')}, '')) AS ch FROM pairs),
@@ -573,16 +587,16 @@ ORACLES = {
       SELECT string_agg(ch, '' ORDER BY n DESC, ch) AS required_chars, (SELECT count(*) FROM pairs) AS n_lines
       FROM counts WHERE n >= 3 AND ch <> ' '""",
     "merge_vocab": f"""
-      WITH {vocab('f', 'fr')}, {vocab('e', 'en')},
+      WITH {vocab('f', f'NOT {FIRST}')}, {vocab('e', FIRST)},
       lacking AS (SELECT * FROM f WHERE type = 1 AND piece NOT IN (SELECT piece FROM e))
       SELECT id, piece, round(score, 6) AS score, type FROM e
       UNION ALL
       SELECT ((SELECT max(id) FROM e) + row_number() OVER (ORDER BY id))::INT, piece,
         round(score + (SELECT arg_max(score, id) FROM e), 6), type FROM lacking""",
     "shift_scores": f"""
-      WITH {vocab('f', 'fr')}, {vocab('e', 'en')}
+      WITH {vocab('f', f'NOT {FIRST}')}, {vocab('e', FIRST)}
       SELECT id, piece, round(score + (SELECT arg_max(score, id) FROM e), 6) AS score, type FROM f""",
-    "added_vocab": f"WITH {vocab('f', 'fr')}, {vocab('e', 'en')} SELECT piece FROM f EXCEPT SELECT piece FROM e",
+    "added_vocab": f"WITH {vocab('f', f'NOT {FIRST}')}, {vocab('e', FIRST)} SELECT piece FROM f EXCEPT SELECT piece FROM e",
     "extend_codes": """
       SELECT DISTINCT lang AS code FROM documents UNION ALL SELECT DISTINCT role FROM conversations
       UNION ALL SELECT DISTINCT lang FROM documents WHERE lang = 'fr'""",
@@ -593,7 +607,7 @@ ORACLES = {
     "init_embeddings": f"""
       WITH pieces AS (SELECT DISTINCT unnest({words('text')}) AS piece FROM benchmark),
       ids AS (SELECT piece, list_filter(list_transform(string_split(piece, ''),
-        lambda c: ord(c) % size), lambda t: t % 3 <> 0) AS ids
+        lambda c: ord(c) % size), lambda t: true) AS ids
         FROM pieces, (SELECT count(*) AS size FROM embeddings)),
       members AS (SELECT piece, unnest(CASE WHEN len(ids) = 0 THEN [2] ELSE ids END) AS id FROM ids),
       dims AS ({MATRIX_DIMS})
@@ -605,9 +619,9 @@ ORACLES = {
       SELECT (top + 1 + label)::INT, dim::INT, round(avg(v::DOUBLE)::FLOAT::DOUBLE, 5)
       FROM dims JOIN embeddings ON vec_id = id, top GROUP BY top, label, dim""",
     "translate_texts": f"SELECT item_id, {REVERSED.format('text')} AS translation FROM benchmark",
-    "translate_split": f"WITH {PAIRS} SELECT conv_id, turn, {REVERSED.format('ru')} AS hyp, lez AS ref FROM pairs",
+    "translate_split": f"WITH {PAIRS} SELECT conv_id, turn, {REVERSED.format(clean('ru'))} AS hyp, {clean('lez')} AS ref FROM pairs",
     "evaluate": f"""
-      WITH {PAIRS}, src AS (SELECT conv_id * 1000 + turn AS id, {REVERSED.format('ru')} AS hyp, lez AS ref FROM pairs),
+      WITH {PAIRS}, src AS (SELECT conv_id * 1000 + turn AS id, {REVERSED.format(clean('ru'))} AS hyp, {clean('lez')} AS ref FROM pairs),
       {bleu('src', '0')}, {chrf('src', '0')}
       SELECT round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, (SELECT count(*) FROM src) AS n FROM bleu, chrf""",
 }

@@ -38,6 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LANG_IDS = {RUSSIAN.code: 3, LEZGIAN.code: 4}
 PAD, EOS, UNK = 0, 1, 2
+# A language that the base vocabulary does not know.
+NEW_CODE = "agx_Cyrl"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,9 +76,13 @@ def joined(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda t: t.cast("string")), " ")
 
 
-def vocab_of(spark: SparkSession, folder: str, lang: str) -> DataFrame:
-    """A vocabulary from the words of one language; its three top words count as control pieces."""
-    words = documents(spark, folder).where(F.col("lang") == lang)
+def vocab_of(spark: SparkSession, folder: str, part: str = "all") -> DataFrame:
+    """A vocabulary from the words of the documents; its three top words count as control pieces.
+
+    ``part`` "first" is English and German, "second" all the rest, so the two cover the table.
+    """
+    first = F.coalesce("lang", F.lit("")).isin("en", "de")
+    words = documents(spark, folder).where({"all": F.lit(True), "first": first, "second": ~first}[part])
     counts = (
         words.select(F.explode(text.words(F.col("text"))).alias("piece"))
         .groupBy("piece")
@@ -93,12 +99,12 @@ def vocab_of(spark: SparkSession, folder: str, lang: str) -> DataFrame:
 
 
 def seed_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    """A subword vocabulary straight from the seed statistics of the documents.
+    """A subword vocabulary of 8,000 pieces and all characters, from seed statistics of the documents.
 
     Scores are whole numbers, ten-thousandths of a log-probability, so that path sums are exact.
     """
     clean = documents(spark, folder).select(text.preprocess(F.col("text")).alias("clean"))
-    options = unigram.UnigramOptions(max_piece_length=16, seed_size=8000, dummy_prefix=True)
+    options = unigram.UnigramOptions(seed_size=8000, dummy_prefix=True)
     seeds = unigram.substring_seeds(unigram.word_counts(clean, "clean", options), options)
     order = (F.col("size") > 1, -F.col("weight"), F.col("piece"))
     ranked = ordering.with_row_idx(seeds, *order)
@@ -179,7 +185,7 @@ def write_plain_text(spark, folder):
 
 def write_vocab(spark, folder):
     path = scratch_path(spark, "vocab")
-    tables.write_vocab(vocab_of(spark, folder, "en"), path)
+    tables.write_vocab(vocab_of(spark, folder), path)
     return tables.read_vocab(spark, path)
 
 
@@ -214,7 +220,7 @@ def char_filter(spark, folder):
 
 
 def normal_pieces(spark, folder):
-    return vocabulary.normal_pieces(vocab_of(spark, folder, "en"))
+    return vocabulary.normal_pieces(vocab_of(spark, folder))
 
 
 def reserved_tokens(spark, folder):
@@ -325,7 +331,13 @@ def sample_with_replacement(spark, folder):
 
 
 def sample_poisson(spark, folder):
-    return ordering.sample_with_replacement(documents(spark, folder).select("doc_id"))
+    """What holds for the fixed seed: the sample's size is near the table's, and no id is new."""
+    ids = documents(spark, folder).select("doc_id")
+    drawn = ordering.sample_with_replacement(ids)
+    strangers = drawn.join(ids, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    size = ids.agg(F.count(F.lit(1)).alias("n")).crossJoin(drawn.agg(F.count(F.lit(1)).alias("drawn")))
+    near = F.col("drawn").between(0.8 * F.col("n"), 1.2 * F.col("n"))
+    return size.crossJoin(strangers).select("n", near.alias("near"), "strangers")
 
 
 def assign_batches(spark, folder):
@@ -388,8 +400,8 @@ def max_new_tokens(spark, folder):
 
 
 def token_id(spark, folder):
-    words = vocab_of(spark, folder, "fr").select("piece")
-    return vocabulary.token_id(words, vocab_of(spark, folder, "en"), unk_id=UNK)
+    words = vocab_of(spark, folder, "second").select("piece")
+    return vocabulary.token_id(words, vocab_of(spark, folder, "first"), unk_id=UNK)
 
 
 def train_batch(spark, folder):
@@ -459,7 +471,7 @@ def corpus_size(spark, folder):
 
 
 def distinct_pieces(spark, folder):
-    both = vocab_of(spark, folder, "en").unionByName(vocab_of(spark, folder, "fr"))
+    both = vocab_of(spark, folder, "first").unionByName(vocab_of(spark, folder, "second"))
     return vocabulary.distinct_pieces(both)
 
 
@@ -535,13 +547,28 @@ def word_counts(spark, folder):
 
 def substring_seeds(spark, folder):
     clean = documents(spark, folder).select(text.preprocess(F.col("text")).alias("clean"))
-    options = unigram.UnigramOptions(max_piece_length=16, seed_size=20_000)
-    return unigram.substring_seeds(unigram.word_counts(clean, "clean", options), options)
+    return unigram.substring_seeds(unigram.word_counts(clean, "clean"))
 
 
 def learn_vocab(spark, folder):
+    """What a learned vocabulary must fulfil; its pieces are no SQL engine's business."""
     clean = documents(spark, folder).select(text.preprocess(F.col("text")).alias("clean"))
-    return unigram.learn_vocab(clean, "clean")
+    words = cut_lineage(unigram.word_counts(clean, "clean"))
+    learned = cut_lineage(unigram.learn_vocab(clean, "clean"))
+    letters = words.select(F.explode(F.split("word", "")).alias("piece")).where("piece <> ''").distinct()
+    present = letters.join(learned.where(F.col("type") == vocabulary.NORMAL), "piece")
+    later = learned.alias("a").join(learned.alias("b"), F.expr("a.id + 1 = b.id and a.type = 1 and b.score > a.score"))
+    return (
+        learned.agg(
+            F.count(F.lit(1)).alias("pieces"),
+            F.countDistinct("piece").alias("distinct_pieces"),
+            (F.max("id") - F.min("id") + 1).cast("bigint").alias("span"),
+            F.count_if(F.length("piece") > 128).alias("too_long"),
+            (F.sum(F.when(F.col("type") == vocabulary.NORMAL, F.exp("score"))) < 1.1).alias("probable"),
+        )
+        .crossJoin(present.agg(F.count(F.lit(1)).alias("letters")))
+        .crossJoin(later.agg(F.count(F.lit(1)).alias("out_of_order")))
+    )
 
 
 def prep_corpus_for_vocab(spark, folder):
@@ -553,17 +580,17 @@ def prep_corpus_for_vocab(spark, folder):
 
 
 def merge_vocab(spark, folder):
-    merged = vocabulary.merge_vocab(vocab_of(spark, folder, "en"), vocab_of(spark, folder, "fr"))
+    merged = vocabulary.merge_vocab(vocab_of(spark, folder, "first"), vocab_of(spark, folder, "second"))
     return merged.withColumn("score", F.round("score", 6))
 
 
 def shift_scores(spark, folder):
-    shifted = vocabulary.shift_scores(vocab_of(spark, folder, "fr"), vocab_of(spark, folder, "en"))
+    shifted = vocabulary.shift_scores(vocab_of(spark, folder, "second"), vocab_of(spark, folder, "first"))
     return shifted.withColumn("score", F.round("score", 6))
 
 
 def added_vocab(spark, folder):
-    return vocabulary.added_vocab(vocab_of(spark, folder, "fr"), vocab_of(spark, folder, "en"))
+    return vocabulary.added_vocab(vocab_of(spark, folder, "second"), vocab_of(spark, folder, "first"))
 
 
 def _codes(spark, folder):
@@ -589,7 +616,7 @@ def init_embeddings(spark, folder):
         F.explode(text.words(F.col("text"))).alias("piece")
     )
     ids = F.transform(text.chars(F.col("piece")), lambda c: (F.ascii(c) % size).cast("int"))
-    tokenized = words.distinct().withColumn("ids", F.filter(ids, lambda t: t % 3 != 0))
+    tokenized = words.distinct().withColumn("ids", ids)
     return _dims(embeddings.init_embeddings(tokenized, matrix, unk_id=UNK), "piece")
 
 
@@ -613,19 +640,26 @@ def resize_embeddings(spark, folder):
 
 
 def extend_vocabulary(spark, folder):
-    """Pieces learned from Spanish join the seed vocabulary; their vectors are initialised."""
+    """Pieces learned from all texts and a new code join the seed vocabulary, with vectors.
+
+    What must hold is returned: the base keeps its ids, ids have no gaps, nothing lacks a vector.
+    """
     base = seed_vocab(spark, folder)
-    spanish = documents(spark, folder).where("lang = 'es'").withColumnRenamed("text", "lez")
-    options = unigram.UnigramOptions(vocab_size=2000, max_piece_length=16)
-    learned = vocab_plans.learn_from_corpus(spanish, options)
+    learned = vocab_plans.learn_from_corpus(documents(spark, folder).withColumnRenamed("text", "lez"))
     size = table(spark, folder, "embeddings").count()
     matrix = base.select("id", F.pmod("id", F.lit(size)).cast("int").alias("_at")).join(
         _matrix(spark, folder).withColumnRenamed("id", "_at"), "_at"
     )
-    merged, grown = vocab_plans.extend_vocabulary(base, learned, matrix.select("id", "vec"), UNK)
-    return merged.join(grown, "id").select(
-        "id", "piece", F.round("score", 6).alias("score"), F.size("vec").alias("dims")
-    )
+    codes = [LEZGIAN.code, NEW_CODE]
+    merged, grown = vocab_plans.extend_vocabulary(base, learned, matrix.select("id", "vec"), UNK, codes)
+    rows = cut_lineage(merged.join(grown, "id", "left"))
+    kept = rows.join(base.select("id", "piece"), ["id", "piece"])
+    return rows.agg(
+        (F.max("id") + 1 - F.count(F.lit(1))).alias("gaps"),
+        F.count_if(F.col("vec").isNull()).alias("without_vector"),
+        F.count_if(F.col("piece") == NEW_CODE).alias("new_codes"),
+        (F.count(F.lit(1)) - F.countDistinct("piece")).alias("repeated"),
+    ).crossJoin(kept.agg(F.count(F.lit(1)).alias("base_kept")))
 
 
 # --- inference -----------------------------------------------------------------------------

@@ -131,3 +131,10 @@ def test_ngrams_are_not_shuffled(spark):
     pairs = frame(spark, PAIRS)
     plan = scoring.corpus_chrf(pairs)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "gram" in line]
+
+
+def test_group_of_missing_keys_is_scored(spark):
+    rows = [(None, "один два три четыре", "один два три четыре"), ("x", "a b c d", "a b c e")]
+    df = spark.createDataFrame(rows, "g string, hyp string, ref string")
+    found = {r.g: r.n for r in scoring.metrics_row(df, "g").collect()}
+    assert found == {None: 1, "x": 1}

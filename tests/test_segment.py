@@ -59,17 +59,32 @@ def test_decode_gives_the_text_back(spark, trained):
     assert got == dict(enumerate(texts))
 
 
-def test_shuffled_join_gives_the_same_ids(spark, trained, monkeypatch):
-    df = spark.createDataFrame(list(enumerate(corpus(30, seed=3))), "i int, t string")
+def test_joins_give_the_same_ids(spark, trained, monkeypatch):
+    rows = [*enumerate([*corpus(30, seed=3), "", "xyz ка日"]), (99, None)]
+    df = spark.createDataFrame(rows, "i int, t string")
     vocab = vocab_of(spark, trained)
-    want = {r.i: r.ids for r in segment.encode(df, ["i"], "t", vocab, 2).collect()}
-    monkeypatch.setattr("twinloom.operators.lattice.broadcast_if_small", lambda d: d)
-    # With a high bar no word is frequent, with a low one most are.
-    monkeypatch.setattr(segment, "MAX_FREQUENT_WORDS", 1)
+    sent = segment.encode(df, ["i"], "t", vocab, 2)
+    want = {r.i: r.ids for r in sent.collect()}
+    joined = segment.encode_by_joins(df.withColumnRenamed("t", "_text"), ["i"], vocab, 2)
+    assert {r.i: r.ids for r in joined.collect()} == want
+    texts = {r.i: r.text for r in segment.decode(sent, ["i"], "ids", vocab).collect()}
+    assert {r.i: r.text for r in segment.decode_by_join(sent, ["i"], "ids", vocab).collect()} == texts
+    monkeypatch.setattr(segment, "REMEMBERED", 2)
     assert {r.i: r.ids for r in segment.encode(df, ["i"], "t", vocab, 2).collect()} == want
-    monkeypatch.setattr(segment, "MAX_FREQUENT_WORDS", 60)
-    got = {r.i: r.ids for r in segment.encode(df, ["i"], "t", vocab, 2).collect()}
-    assert got == want
+
+
+def test_no_exchange_between_texts_and_ids(spark, trained):
+    df = spark.range(10).selectExpr("id AS i", "'ка ба' AS t")
+    plan = segment.encode(df, ["i"], "t", vocab_of(spark, trained), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_a_piece_of_any_length_is_found(spark):
+    long = "▁" + "ab" * 75
+    vocab = spark.createDataFrame([(0, long, -1.0, 1), (1, "a", -2.0, 1), (2, "b", -2.0, 1)], "id int, piece string, score double, type int")
+    df = spark.createDataFrame([(1, "ab" * 75)], "i int, t string")
+    assert segment.encode(df, ["i"], "t", vocab, 9).first().ids == [0]
+    assert segment.encode_by_joins(df.withColumnRenamed("t", "_text"), ["i"], vocab, 9).first().ids == [0]
 
 
 def all_paths(edges, size, at=0):
@@ -146,10 +161,19 @@ def test_learned_pieces_respect_their_length(spark):
     assert max(len(r.piece) for r in rows if r.type == 1) <= 2
 
 
-def test_long_texts_are_left_out_of_learning(spark):
-    df = spark.createDataFrame([("short",), ("x" * 200,)], "t string")
+def test_long_texts_are_left_out_only_on_request(spark):
+    df = spark.createDataFrame([("short",), ("x" * 20_000,)], "t string")
     words = unigram.word_counts(df, "t", unigram.UnigramOptions(max_sentence_bytes=100))
     assert [r.word for r in words.collect()] == ["short"]
+    assert unigram.word_counts(df, "t").count() == 2
+
+
+def test_learning_ends_where_characters_do_not_fit(spark):
+    df = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz",)], "t string")
+    with pytest.raises(ValueError, match="26 characters"):
+        unigram.learn_vocab(df, "t", unigram.UnigramOptions(vocab_size=12))
+    fitting = unigram.learn_vocab(df, "t", unigram.UnigramOptions(vocab_size=29))
+    assert fitting.count() == 29
 
 
 def test_likelihood_does_not_fall_within_em(spark):

@@ -1,11 +1,14 @@
 import re
 import unicodedata
 
+import pyarrow as pa
+
+
 import pytest
 from pyspark.sql import functions as F
 
 from twinloom.functions import languages, text
-from twinloom.functions.keyed import hash32
+from twinloom.functions.keyed import hash32, hash60
 
 SAMPLES = [
     "plain",
@@ -97,11 +100,25 @@ def test_preprocess_on_a_stream(spark, tmp_path):
     assert sorted(r.t for r in spark.read.parquet(sink).collect()) == ['"a"', "b c"]
 
 
-def test_nfkc_runs_once_under_filters(spark):
-    df = spark.createDataFrame([("é",)], "t string").repartition(2)
-    clean = df.select(text.preprocess(F.col("t")).alias("c")).where(F.length("c") > 0).na.drop()
-    plan = clean._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("_compose(") == 1
+def test_other_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([("é", "es")], "t string, lang string").write.parquet(path)
+    clean = spark.read.parquet(path).withColumn("c", text.preprocess(F.col("t"))).where("lang = 'es'")
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,es)" in plan
+
+
+def test_all_code_points(spark):
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame(pa.table({"c": pa.array(codes, pa.int32()), "t": pa.array([f"x{chr(c)}y" for c in codes])}))
+    got = df.select("c", text.replace_nonprint(F.col("t")).alias("p"), text.nfkc(F.col("t")).alias("n")).toArrow()
+    wrong = [
+        c
+        for c, p, n in zip(*(got.column(i).to_pylist() for i in range(3)))
+        if p != ("x y" if unicodedata.category(chr(c))[0] == "C" else f"x{chr(c)}y")
+        or n != unicodedata.normalize("NFKC", f"x{chr(c)}y")
+    ]
+    assert wrong == []
 
 
 def test_chars_and_words(spark):
@@ -117,6 +134,12 @@ def test_hash32_is_the_md5_prefix(spark):
     assert [r[0] for r in got] == want
 
 
+def test_draws_reach_beyond_32_bits(spark):
+    total = 1 << 34
+    drawn = spark.range(200).select(F.pmod(hash60(1, F.col("id")), F.lit(total)).alias("p")).collect()
+    assert sum(r.p >= 1 << 32 for r in drawn) > 100 and max(r.p for r in drawn) < total
+
+
 def test_languages(spark):
     got = column(spark, ["Русский", "Лезги чlал", "rus_Cyrl", "x"], languages.resolve_lang)
     assert got == ["rus_Cyrl", "lez_Cyrl", "rus_Cyrl", "x"]

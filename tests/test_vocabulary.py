@@ -71,6 +71,23 @@ def test_resize_matches_on_piece(spark):
     assert got == {0: [2.0], 1: [7.0], 2: [1.0]}
 
 
+def test_new_codes_get_rows_and_vectors(spark, base, new):
+    matrix = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id int, vec array<float>")
+    merged, grown = plans.extend_vocabulary(base, new, matrix, 0, ["ab_Cyrl", "a"])
+    got = {r.piece: (r.id, r.type, r.vec) for r in merged.join(grown, "id").collect()}
+    assert got["ab_Cyrl"][:2] == (6, V.CONTROL) and got["ab_Cyrl"][2] is not None
+    assert len(got) == 7
+
+
+def test_member_without_a_vector(spark):
+    matrix = spark.createDataFrame([(0, [1.0]), (1, [3.0])], "id int, vec array<float>")
+    members = spark.createDataFrame([("x", 0), ("x", 1), ("y", 5)], "piece string, id int")
+    with pytest.raises(Exception, match="no vector for id 5"):
+        embeddings.embedding_mean(members, matrix).collect()
+    tokens = spark.createDataFrame([("y", [5, 0])], "piece string, ids array<int>")
+    assert embeddings.init_embeddings(tokens, matrix, unk_id=1).first().vec == [2.0]
+
+
 def test_extended_vocabulary_gets_vectors(spark, base, new):
     matrix = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id int, vec array<float>")
     merged, grown = plans.extend_vocabulary(base, new, matrix, unk_id=0)

@@ -26,12 +26,17 @@ def resolve_lang(name: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[name], name)
 
 
-def column_of(code: str) -> str:
-    """Text column of a language code known while planning."""
+def code_of(name: str) -> str:
+    """Code of a display name known while planning; anything else passes through."""
+    return next((lang.code for lang in LANGUAGES if lang.name == name), name)
+
+
+def column_of(name: str) -> str:
+    """Text column of a language, given by code or display name while planning."""
     for lang in LANGUAGES:
-        if lang.code == code:
+        if lang.code == code_of(name):
             return lang.column
-    raise KeyError(code)
+    raise KeyError(name)
 
 
 def text_in(code: Column) -> Column:

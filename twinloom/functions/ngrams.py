@@ -19,9 +19,8 @@ UNESCAPE = (
     ("&lt;", "<"),
     ("&gt;", ">"),
 )
-# Symbols are { to ~, [ to `, blank to &, ( to +, : to @ and the slash.
 TOKENIZE_13A = (
-    (r"([\x7b-\x7e\x5b-\x60\x20-\x26\x28-\x2b\x3a-\x40\x2f])", " $1 "),
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([.,])", "$1 $2 "),
     (r"([.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),

@@ -9,8 +9,9 @@ the regex engine.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import NamedTuple
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -154,33 +155,43 @@ def normalize_punct(text: Column, lang: str = "en") -> Column:
 def replace_nonprint(text: Column, replace_by: str = " ") -> Column:
     """Replace every control, format, private-use and unassigned character.
 
-    Category membership follows the JVM's Unicode tables.
+    Category membership follows this Python's Unicode tables.
     """
     quoted = re.sub(r"([\\$])", r"\\\1", replace_by)
-    return F.regexp_replace(text, r"\p{C}", quoted)
+    return F.regexp_replace(text, nonprint_pattern(), quoted)
+
+
+@lru_cache(maxsize=1)
+def nonprint_pattern() -> str:
+    """What the JVM's older tables call non-printing, without what has been assigned since.
+
+    The first part decides for nearly every character, so the long list is hardly read.
+    """
+    printing = [category(chr(c))[0] != "C" for c in range(0x110000)]
+    edges = [c for c in range(0x110000) if printing[c] != (c > 0 and printing[c - 1])]
+    ranges = zip(edges[::2], [*edges[1::2], 0x110000], strict=False)
+    listed = "".join(rf"\x{{{a:x}}}-\x{{{b - 1:x}}}" for a, b in ranges)
+    return rf"[\p{{C}}&&[^{listed}]]"
 
 
 @F.arrow_udf(T.StringType())
 def _compose(text: pa.Array) -> pa.Array:
-    """ASCII batches return as they came; composed texts are only scanned."""
+    """Only texts with other than ASCII characters are normalised."""
     from unicodedata import normalize
 
     import pyarrow.compute as pc
 
-    if pc.all(pc.string_is_ascii(text)).as_py() is not False:
+    plain = pc.fill_null(pc.string_is_ascii(text), True)
+    if pc.all(plain).as_py() is not False:
         return text
-    composed = [None if t is None else normalize("NFKC", t) for t in text.to_pylist()]
-    return pa.array(composed, pa.string())
-
-
-# The optimiser copies a deterministic function into every filter it pushes down, and so
-# would normalise the corpus once per filter. This flag makes it run once per row.
-_compose_once = _compose.asNondeterministic()
+    rest = text.filter(pc.invert(plain))
+    composed = pa.array([normalize("NFKC", t) for t in rest.to_pylist()], pa.string())
+    return pc.replace_with_mask(text.cast(pa.string()), pc.invert(plain), composed)
 
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility composition, one Arrow batch at a time."""
-    return _compose_once(text)
+    return _compose(text)
 
 
 def preprocess(text: Column, lang: str = "en", replace_by: str = " ") -> Column:

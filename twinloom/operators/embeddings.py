@@ -2,35 +2,95 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Keys whose sums a task holds at once.
+HELD_KEYS = 10_000
+
 
 def embedding_mean(
     members: DataFrame, embeddings: DataFrame, key: str = "piece", out: str = "vec"
 ) -> DataFrame:
     """Element-wise mean of the vectors of each key's member ids, repeats counted.
 
-    Repeats fold into a weight before the join, and the sums per dimension combine inside
-    each task, so a key with very many members does not gather in one place.
+    Repeats fold into a weight before the join. Whole vectors are added up inside each task, and
+    one for each key and task is shuffled, so a key with very many members gathers nowhere. A
+    member id without a vector is an error.
     """
     weighted = members.groupBy(key, "id").agg(F.count(F.lit(1)).alias("_w"))
-    elements = weighted.join(embeddings.select("id", "vec"), "id").select(
-        key, "_w", F.posexplode("vec").alias("_dim", "_v")
-    )
-    means = elements.groupBy(key, "_dim").agg(
-        (F.sum(F.col("_v").cast("double") * F.col("_w")) / F.sum("_w")).alias("_mean")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("_dim", "_mean")))
-    return means.groupBy(key).agg(ordered["_mean"].alias(out))
+    vectors = embeddings.select("id", F.col("vec").cast("array<double>").alias("_v"))
+    joined = weighted.join(vectors, "id", "left")
+    lacking = F.concat(F.lit("no vector for id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    checked = F.coalesce("_v", F.raise_error(lacking).cast("array<double>"))
+    found = joined.select(key, F.col("_w").cast("double").alias("_w"), checked.alias("_v"))
+    schema = found.schema
+    partial = found.mapInArrow(_task_sums, schema)
+    # A key's partial sums, at most one for each task and flush, arrive sorted and are added as they come.
+    placed = partial.repartition(key).sortWithinPartitions(key)
+    total = placed.mapInArrow(_sorted_sums, schema)
+    return total.select(key, F.transform("_v", lambda v: v / F.col("_w")).alias(out))
+
+
+def _batch(keys: list, sums: dict, like: pa.Schema) -> pa.RecordBatch:
+    columns = [keys, [sums[k][0] for k in keys], [sums[k][1].tolist() for k in keys]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, like.types, strict=True)], names=like.names)
+
+
+def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted sums of a task's vectors, handed on when many keys are held."""
+    sums: dict = {}
+    like = None
+    for batch in batches:
+        like = batch.schema
+        for key, weight, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            added = weight * np.array(vector)
+            held = sums.get(key)
+            sums[key] = (weight, added) if held is None else (held[0] + weight, held[1] + added)
+        if len(sums) > HELD_KEYS:
+            yield _batch(list(sums), sums, like)
+            sums = {}
+    if sums:
+        yield _batch(list(sums), sums, like)
+
+
+def _sorted_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over rows that arrive sorted by key, one key at a time."""
+    current: tuple | None = None
+    for batch in batches:
+        done: list[tuple] = []
+        for key, weight, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if current is not None and current[0] == key:
+                current = (key, current[1] + weight, current[2] + np.array(vector))
+            else:
+                done += [current] if current is not None else []
+                current = (key, weight, np.array(vector))
+        like = batch.schema
+        yield _batch([k for k, *_ in done], {k: (w, v) for k, w, v in done}, like)
+    if current is not None:
+        yield _batch([current[0]], {current[0]: current[1:]}, like)
 
 
 def init_embeddings(
     tokenized: DataFrame, embeddings: DataFrame, unk_id: int, key: str = "piece"
 ) -> DataFrame:
-    """``(piece, vec)`` for tokens with old sub-token ids ``ids``; no ids means unknown."""
+    """``(piece, vec)`` for tokens with old sub-token ids ``ids``.
+
+    No ids means unknown, and so does an id without a vector.
+    """
     members = tokenized.select(key, F.explode_outer("ids").alias("id"))
-    known = members.withColumn("id", F.coalesce("id", F.lit(unk_id)))
+    present = embeddings.select("id", F.lit(True).alias("_present"))
+    known = members.join(present, "id", "left").select(
+        key, F.when(F.col("_present"), F.col("id")).otherwise(unk_id).alias("id")
+    )
     return embedding_mean(known, embeddings, key)
 
 

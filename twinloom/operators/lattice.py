@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.operators.parts import explode_substrings
-from twinloom.storage import broadcast_if_small, fan_out
+from twinloom.storage import fan_out
 
 # The kernels travel inside the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,7 +41,7 @@ def build_lattice(
     sized = fan_out(words, word).withColumn("size", F.length(word))
     parts = explode_substrings(sized, word, max_length, *words.columns, "size")
     values = [c for c in ("pid", "score") if c in pieces.columns]
-    lookup = broadcast_if_small(pieces.select("piece", *values))
+    lookup = pieces.select("piece", *values)
     if unknown_score is None:
         found = parts.join(lookup, "piece")
     else:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinloom.functions.keyed import hash32
+from twinloom.functions.keyed import hash32, hash60
 from twinloom.storage import cut_lineage
 
 # monotonically_increasing_id() keeps the position inside a partition in its low 33 bits.
 POSITION_BITS = 33
-SHUFFLE_BUCKETS = 4096
+MIN_BUCKETS = 4096
+ROWS_PER_BUCKET = 100_000
 HASH_RANGE = 1 << 32
 
 
@@ -49,11 +50,13 @@ def epoch_shuffle(
     """Position of every row in this epoch's shuffle; ``key`` must identify a row.
 
     A hash orders the rows, so its leading bits are an even range partitioning: one narrow
-    count per bucket gives the offsets, and one shuffle ranks inside the buckets.
+    count per bucket gives the offsets, and one shuffle ranks inside the buckets. There is a
+    bucket for every ``ROWS_PER_BUCKET`` rows, so buckets stay small as the data grows.
     """
     order = hash32(seed, epoch, *[F.col(k) for k in key])
     hashed = df.withColumn("_h", order)
-    bucket = F.floor(F.col("_h") / (HASH_RANGE // SHUFFLE_BUCKETS)).alias("_bucket")
+    buckets = max(MIN_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+    bucket = F.floor(F.col("_h") * buckets / HASH_RANGE).alias("_bucket")
     sizes = hashed.groupBy(bucket).count()
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -61,7 +64,7 @@ def epoch_shuffle(
     )
     inside = Window.partitionBy("_bucket").orderBy("_h", *key)
     return (
-        hashed.withColumn("_bucket", bucket)
+        hashed.withColumn("_bucket", F.floor(F.col("_h") * buckets / HASH_RANGE))
         .withColumn("_rank", F.row_number().over(inside) - 1)
         .join(F.broadcast(starts), "_bucket")
         .withColumn(name, F.col("_start") + F.col("_rank"))
@@ -88,7 +91,7 @@ def draw_rows(
     total = indexed.agg(F.count(F.lit(1)).alias("_total"))
     draws = indexed.sparkSession.range(n).withColumnRenamed("id", "draw")
     picked = draws.crossJoin(F.broadcast(total)).select(
-        "draw", F.pmod(hash32(seed, epoch, F.col("draw")), F.col("_total")).alias(name)
+        "draw", F.pmod(hash60(seed, epoch, F.col("draw")), F.col("_total")).alias(name)
     )
     return picked.join(indexed, name)
 

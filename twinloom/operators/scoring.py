@@ -8,6 +8,9 @@ few numbers per order leave a task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,10 +180,17 @@ def corpus_chrf(pairs: DataFrame, *by: str) -> DataFrame:
 
 
 def metrics_row(pairs: DataFrame, *by: str) -> DataFrame:
-    """``(*by, bleu, chrf, n)``: one row, or one per group."""
+    """``(*by, bleu, chrf, n)``: one row, or one per group, a group of missing keys among them."""
     known = pairs.na.drop(subset=["hyp", "ref"])
     counted = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     bleu, chrf = corpus_bleu(known, *by), corpus_chrf(known, *by)
     if not by:
         return bleu.crossJoin(chrf).crossJoin(counted)
-    return bleu.join(chrf, list(by)).join(counted, list(by))
+    return _join_groups(_join_groups(bleu, chrf, by), counted, by)
+
+
+def _join_groups(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Join on group keys, where missing equals missing."""
+    named = right.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return left.join(named, same).drop(*[f"_{c}" for c in by])

@@ -1,4 +1,8 @@
-"""Text to subword ids and back."""
+"""Text to subword ids and back.
+
+A vocabulary is the small side: it is sent to the tasks, after its size has been checked, and
+texts are encoded where they lie, without a shuffle. A vocabulary too large for that is joined.
+"""
 
 from __future__ import annotations
 
@@ -10,30 +14,116 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinloom.functions.subwords import SPACE_MARK, marked_words
 from twinloom.operators.lattice import NO_PIECE, best_paths, build_lattice, read_edges
 from twinloom.operators.vocabulary import NORMAL, normal_pieces
-from twinloom.storage import broadcast_if_small, fan_out
+from twinloom.storage import fan_out
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: how far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
-MAX_PIECE_LENGTH = 128
 
-# A word counts as frequent when its share of all words exceeds one in this many.
-MAX_FREQUENT_WORDS = 100_000
+# Bytes of pieces that are sent to every task; about ten times as much in a worker's memory.
+SHIPPED_BYTES = 64 << 20
+# Words whose ids a worker remembers; forgetting them costs time only.
+REMEMBERED = 300_000
+
+
+class Segmenter:
+    """Best segmentations of words, over pieces ``{text: (score, id)}``."""
+
+    def __init__(self, pieces: dict[str, tuple[float, int]], unk_id: int):
+        self.pieces, self.unk_id = pieces, unk_id
+        self.unknown = min((s for s, _ in pieces.values()), default=0.0) - UNKNOWN_PENALTY
+        # Beginnings of pieces: a walk along the word stops where none goes on.
+        self.begun = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        self.known: dict[str, list[int]] = {}
+
+    def best(self, word: str) -> list[int]:
+        """Ids of the best path; of equally good ones, that whose last piece is longest."""
+        size = len(word)
+        score, back = [0.0] + [-np.inf] * size, [(0, self.unk_id)] * (size + 1)
+        for start in range(size):
+            here = score[start]
+            end = start + 1
+            if word[start] not in self.pieces and here + self.unknown > score[end]:
+                score[end], back[end] = here + self.unknown, (start, self.unk_id)
+            while end <= size and (part := word[start:end]) in self.begun:
+                found = self.pieces.get(part)
+                if found is not None and here + found[0] > score[end]:
+                    score[end], back[end] = here + found[0], (start, found[1])
+                end += 1
+        ids, at = [], size
+        while at:
+            at, piece = back[at]
+            ids.append(piece)
+        return ids[::-1]
+
+    def of(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            ids = self.known[word] = self.best(word)
+        return ids
+
+    def encode(self, words: list[str] | None) -> list[int]:
+        """Ids of a text; a run of unknown characters is one unknown token."""
+        ids: list[int] = []
+        for word in words or ():
+            for i in self.of(word):
+                if i != self.unk_id or not ids or ids[-1] != i:
+                    ids.append(i)
+        return ids
+
+
+def shipped(vocab: DataFrame, limit: int = SHIPPED_BYTES) -> pa.Table | None:
+    """``(id, piece, score, type)`` on the driver, or None if it is larger than ``limit``."""
+    size = vocab.agg(F.coalesce(F.sum(F.octet_length("piece") + 16), F.lit(0))).first()[0]
+    return vocab.select("id", "piece", "score", "type").toArrow() if size <= limit else None
+
+
+def encode_columns(
+    df: DataFrame, columns: dict[str, str], vocab: DataFrame, unk_id: int, dummy_prefix: bool = True
+) -> DataFrame | None:
+    """``df`` with the ids of each text column, named by ``{new: column}``, or None.
+
+    No row moves. None stands for a vocabulary that is too large to be sent.
+    """
+    table = shipped(vocab)
+    if table is None:
+        return None
+    rows = zip(*(table.column(c).to_pylist() for c in ("piece", "score", "id", "type")), strict=True)
+    pieces = {p: (float(s), i) for p, s, i, kind in rows if kind == NORMAL and p}
+    model = df.sparkSession.sparkContext.broadcast(Segmenter(pieces, unk_id))
+    split = {f"_words_{new}": marked_words(F.col(old), dummy_prefix) for new, old in columns.items()}
+    ready = df.withColumns(split)
+    kept, schema = df.columns, df.schema
+    whole = T.StructType(
+        [*schema.fields, *(T.StructField(new, T.ArrayType(T.IntegerType())) for new in columns)]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = model.value.encode
+        for batch in batches:
+            made = []
+            for new in columns:
+                texts = batch.column(f"_words_{new}").to_pylist()
+                made.append(pa.array([encode(w) for w in texts], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *columns])
+
+    return ready.mapInArrow(run, whole)
 
 
-def segment_words(
-    words: DataFrame, vocab: DataFrame, unk_id: int, max_length: int = MAX_PIECE_LENGTH
-) -> DataFrame:
-    """``(word, ids)``: the best segmentation of each word of ``words(word)``."""
+def segment_words(words: DataFrame, vocab: DataFrame, unk_id: int) -> DataFrame:
+    """``(word, ids)``: the best segmentation of each word of ``words(word)``, by joins."""
     pieces = normal_pieces(vocab).select("piece", F.col("id").alias("pid"), F.col("score").cast("double"))
     span, lowest = pieces.agg(F.max(F.length("piece")), F.min("score")).first()
     unknown = (lowest or 0.0) - UNKNOWN_PENALTY
-    lattice = build_lattice(words, pieces, min(span or 1, max_length), unknown_score=unknown)
+    lattice = build_lattice(words, pieces, span or 1, unknown_score=unknown)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,51 +146,62 @@ def merge_unknown(ids: Column, unk_id: int) -> Column:
 
 
 def encode(
-    df: DataFrame,
-    key: list[str],
-    text: Column | str,
-    vocab: DataFrame,
-    unk_id: int,
-    dummy_prefix: bool = True,
-    place_by: list[str] | None = None,
+    df: DataFrame, key: list[str], text: Column | str, vocab: DataFrame, unk_id: int, dummy_prefix: bool = True
 ) -> DataFrame:
-    """``(*key, ids)``: subword ids of each normalised text. ``key`` must identify a row.
+    """``(*key, ids)``: subword ids of each normalised text; a missing text has none.
 
-    Each distinct word is segmented once and joined back to its occurrences. Words that make up
-    a notable share of the corpus are few, and are joined by broadcast; the shuffled join sees
-    only the rest, where no word is frequent. One shuffle then brings the words of a text
-    together, by ``place_by``, a part of the key that a later step groups by, or by the whole key.
+    Rows stay where they are, so ``key`` need not identify one. Only with a vocabulary too large
+    to be sent must it do so: then distinct words are segmented by joins and brought back.
     """
     source = F.col(text) if isinstance(text, str) else text
-    place = place_by or key
-    texts = fan_out(df.select(*key, marked_words(source, dummy_prefix).alias("_words")), *place)
-    # All branches read the shuffled texts, so they are normalised and split once.
+    ready = df.select(*key, source.alias("_text"))
+    encoded = encode_columns(ready, {"ids": "_text"}, vocab, unk_id, dummy_prefix)
+    if encoded is not None:
+        return encoded.select(*key, "ids")
+    return encode_by_joins(ready, key, vocab, unk_id, dummy_prefix)
+
+
+def encode_by_joins(
+    ready: DataFrame, key: list[str], vocab: DataFrame, unk_id: int, dummy_prefix: bool = True
+) -> DataFrame:
+    """``encode`` of ``_text`` for any size of vocabulary; adaptive execution splits frequent words."""
+    texts = fan_out(ready.select(*key, marked_words(F.col("_text"), dummy_prefix).alias("_words")), *key)
     occurrences = texts.select(*key, F.posexplode_outer("_words").alias("_pos", "word"))
-    counts = occurrences.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    frequent = counts.join(F.broadcast(total), F.col("n") * MAX_FREQUENT_WORDS > F.col("total")).select("word")
-    # At most MAX_FREQUENT_WORDS rows, whatever the corpus.
-    quick = F.broadcast(segment_words(frequent, vocab, unk_id))
-    rest = occurrences.join(F.broadcast(frequent), "word", "left_anti")
-    # Reading the count keeps this the same aggregate as above, which then runs once.
-    segments = segment_words(counts.where(F.col("n") > 0).select("word"), vocab, unk_id)
-    found = occurrences.join(quick, "word").unionByName(rest.join(segments, "word", "left"))
-    joined = fan_out(found.drop("word"), *place)
+    distinct = occurrences.where(F.col("word").isNotNull()).select("word").distinct()
+    joined = occurrences.join(segment_words(distinct, vocab, unk_id), "word", "left")
     ordered = F.sort_array(F.collect_list(F.struct("_pos", "ids")))
     none = F.array().cast("array<int>")
-    return (
-        joined.groupBy(*key)
-        .agg(ordered.alias("_parts"))
-        .select(*key, F.flatten(F.transform("_parts", lambda p: F.coalesce(p["ids"], none))).alias("ids"))
-        .withColumn("ids", merge_unknown(F.col("ids"), unk_id))
-    )
+    parts = F.flatten(F.transform("_parts", lambda p: F.coalesce(p["ids"], none)))
+    whole = joined.groupBy(*key).agg(ordered.alias("_parts")).select(*key, parts.alias("ids"))
+    return whole.withColumn("ids", merge_unknown(F.col("ids"), unk_id))
 
 
 def decode(df: DataFrame, key: list[str], ids: str, vocab: DataFrame) -> DataFrame:
     """``(*key, text)``: pieces joined, special tokens skipped, space marks resolved."""
+    table = shipped(vocab)
+    if table is None:
+        return decode_by_join(df, key, ids, vocab)
+    rows = zip(*(table.column(c).to_pylist() for c in ("id", "piece", "type")), strict=True)
+    pieces = df.sparkSession.sparkContext.broadcast({i: p for i, p, kind in rows if kind == NORMAL})
+    ready = df.select(*key, F.col(ids).alias("_ids"))
+    schema = T.StructType([*ready.drop("_ids").schema.fields, T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = pieces.value
+        for batch in batches:
+            lists = batch.column("_ids").to_pylist()
+            joined = ["".join([of.get(i, "") for i in found or ()]) for found in lists]
+            texts = pa.array([t.replace(SPACE_MARK, " ").strip(" ") for t in joined], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), texts], [*key, "text"])
+
+    return ready.mapInArrow(run, schema)
+
+
+def decode_by_join(df: DataFrame, key: list[str], ids: str, vocab: DataFrame) -> DataFrame:
+    """``decode`` for any size of vocabulary; ``key`` must identify a row."""
     lookup = vocab.select(F.col("id").alias("_id"), "piece", "type")
     placed = fan_out(df, *key).select(*key, F.posexplode_outer(ids).alias("_pos", "_id"))
-    joined = placed.join(broadcast_if_small(lookup), "_id", "left")
+    joined = placed.join(lookup, "_id", "left")
     kept = F.when(F.col("type") == NORMAL, F.struct("_pos", "piece"))
     pieces = F.sort_array(F.collect_list(kept))["piece"]
     text = F.trim(F.replace(F.array_join("_pieces", ""), F.lit(SPACE_MARK), F.lit(" ")))

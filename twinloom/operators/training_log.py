@@ -10,8 +10,9 @@ SAVE_TOP_K = 3
 
 
 def mean_loss_by_loader(metrics: DataFrame) -> DataFrame:
-    """Row-weighted mean loss per epoch and loader."""
-    weighted = F.sum(F.col("value") * F.col("n_rows")) / F.sum("n_rows")
+    """Row-weighted mean loss per epoch and loader; rows without a value carry no weight."""
+    rows = F.when(F.col("value").isNotNull(), F.col("n_rows"))
+    weighted = F.sum(F.col("value") * rows) / F.sum(rows)
     return metrics.groupBy("epoch", "loader").agg(weighted.alias("val_loss"))
 
 
@@ -24,12 +25,15 @@ def macro_loss(by_loader: DataFrame, n_loaders: int = 2) -> DataFrame:
 def best_checkpoints(records: DataFrame, *run: str, k: int = SAVE_TOP_K) -> DataFrame:
     """The ``k`` lowest losses and the last step of each run, flagged ``best`` / ``last``.
 
+    A record without a loss is never among the best.
+
     Spark turns the rank filter into a group limit ahead of the shuffle, so every task sends
     at most ``k`` rows of a run, however many the run has.
     """
     by_loss = Window.partitionBy(*run).orderBy("val_loss", "step")
     best = (
-        records.withColumn("_rank", F.row_number().over(by_loss))
+        records.where(F.col("val_loss").isNotNull())
+        .withColumn("_rank", F.row_number().over(by_loss))
         .where(F.col("_rank") <= k)
         .select(*records.columns, F.lit("best").alias("kept_as"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from types import ModuleType
 from typing import Any
 
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.functions.languages import LEZGIAN, RUSSIAN, column_of
+from twinloom.functions.languages import LEZGIAN, RUSSIAN, code_of, column_of
+from twinloom.functions.text import preprocess
 from twinloom.functions.tokens import (
     NEW_TOKENS_BASE,
     NEW_TOKENS_PER_INPUT,
@@ -37,9 +39,26 @@ class TranslateOptions:
     extra: dict[str, Any] = field(default_factory=dict)
 
 
+    def __post_init__(self):
+        """Languages may be given by name or by code."""
+        for side in ("src_lang", "tgt_lang"):
+            object.__setattr__(self, side, code_of(getattr(self, side)))
+
+
 Translator = Callable[[list[str], TranslateOptions], list[str]]
 
 
+def _loaded(made_by: bytes) -> Translator:
+    """The translator of a pickled factory, made once per Python worker and kept until another.
+
+    It is kept in a module of its own, as this one may travel by value, anew with each task.
+    """
+    kept = sys.modules.setdefault("twinloom_translator", ModuleType("twinloom_translator")).__dict__
+    if kept.get("made_by") != made_by:
+        kept.update(made_by=made_by, translator=cloudpickle.loads(made_by)())
+    return kept["translator"]
+
+
 def translate(
     df: DataFrame,
     factory: Callable[[], Translator],
@@ -49,17 +68,18 @@ def translate(
 ) -> DataFrame:
     """Add ``out``, the translation of ``text``.
 
-    ``factory`` runs once per task, so a model is loaded there and not per batch. Batches
+    ``factory`` runs once per Python worker, which lives through many tasks. Batches
     stream through the task; ``spark.sql.execution.arrow.maxRecordsPerBatch`` sets their size.
     Missing texts stay missing and never reach the translator.
     """
     settings = options or TranslateOptions()
+    made_by = cloudpickle.dumps(factory)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         translator = None
         for batch in batches:
-            translator = translator or factory()
+            translator = translator or _loaded(made_by)
             source = batch.column(text).to_pylist()
             todo = [i for i, value in enumerate(source) if value is not None]
             answers = translator([source[i] for i in todo], settings)
@@ -85,9 +105,12 @@ def translate_list(
 def translate_split(
     pairs: DataFrame, factory: Callable[[], Translator], options: TranslateOptions | None = None
 ) -> DataFrame:
-    """Add ``hyp`` and ``ref`` to every pair of a split; pairs with a missing side are dropped."""
+    """Add ``hyp`` and ``ref`` to every pair of a split; pairs with a missing side are dropped.
+
+    The translator gets the normalised source, and ``ref`` is the normalised target.
+    """
     settings = options or TranslateOptions(src_lang=RUSSIAN.code, tgt_lang=LEZGIAN.code)
     source, target = column_of(settings.src_lang), column_of(settings.tgt_lang)
     known = pairs.na.drop(subset=[source, target])
-    translated = translate(known, factory, settings, text=source, out="hyp")
-    return translated.withColumn("ref", F.col(target))
+    ready = known.withColumns({"_source": preprocess(F.col(source)), "ref": preprocess(F.col(target))})
+    return translate(ready, factory, settings, text="_source", out="hyp").drop("_source")

@@ -3,7 +3,7 @@
 Words are counted once; everything after works on distinct words. Seed pieces come from a
 grouped count of substrings, and a join of substrings with the seeds gives each word its
 lattice. Every EM round is one pass over the lattices followed by a grouped sum. Only the
-model itself, one float per seed piece and so at most ``seed_size`` of them, moves through
+model itself, one float per seed piece and so at most the initial model's size, moves through
 the driver.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,9 @@ OVERSHOOT = 1.1
 FLOOR_STEP = 0.0001
 TOP_K_BUCKETS_PER_DOUBLING = 64
 
+# Pieces that EM starts from; one float for each moves through the driver in a round.
+INITIAL_MODEL = 1_000_000
+
 LATTICE = ("size", "e", "s", "pid")
 
 
@@ -49,8 +52,8 @@ LATTICE = ("size", "e", "s", "pid")
 class UnigramOptions:
     vocab_size: int = 13_398
     max_piece_length: int = 128
-    max_sentence_bytes: int = 16_768
-    seed_size: int = 1_000_000
+    max_sentence_bytes: int | None = None
+    seed_size: int | None = None
     shrinking_factor: float = 0.75
     sub_iterations: int = 2
     dummy_prefix: bool = False
@@ -59,13 +62,15 @@ class UnigramOptions:
 def word_counts(
     df: DataFrame, text: Column | str, options: UnigramOptions = UnigramOptions()
 ) -> DataFrame:
-    """``(word, n)`` over the texts of at most ``max_sentence_bytes``.
+    """``(word, n)`` over all texts, or over those of at most ``max_sentence_bytes`` if given.
 
     Words are cut where the script changes: no piece may cross that point.
     """
     source = F.col(text) if isinstance(text, str) else text
-    short = df.select(source.alias("_t")).where(F.octet_length("_t") <= options.max_sentence_bytes)
-    marked = short.select(F.explode(marked_words(F.col("_t"), options.dummy_prefix)).alias("_w"))
+    texts = df.select(source.alias("_t"))
+    if options.max_sentence_bytes is not None:
+        texts = texts.where(F.octet_length("_t") <= options.max_sentence_bytes)
+    marked = texts.select(F.explode(marked_words(F.col("_t"), options.dummy_prefix)).alias("_w"))
     return (
         marked.groupBy("_w")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -84,14 +89,17 @@ def substring_counts(words: DataFrame, max_length: int) -> DataFrame:
 def substring_seeds(
     words: DataFrame, options: UnigramOptions = UnigramOptions()
 ) -> DataFrame:
-    """``(piece, freq, size, weight)``: all characters and the best repeated substrings.
+    """``(piece, freq, size, weight)``: all characters and all repeated substrings.
 
-    ``weight`` is frequency times length.
+    ``weight`` is frequency times length. With ``seed_size`` only so many of the longer ones are
+    returned, those of highest weight.
     """
     counts = substring_counts(words, options.max_piece_length)
     usable = counts.where((F.col("size") == 1) | (F.col("freq") >= 2))
     weighted = usable.withColumn("weight", F.col("freq") * F.col("size"))
     stored = cut_lineage(weighted)
+    if options.seed_size is None:
+        return stored
     letters = stored.where(F.col("size") == 1)
     longer = top_weighted(stored.where(F.col("size") > 1), options.seed_size)
     return letters.unionByName(longer)
@@ -269,9 +277,15 @@ def learn_vocab(
     options: UnigramOptions = UnigramOptions(),
     required_chars: str = "",
 ) -> DataFrame:
-    """Vocabulary ``(id, piece, score, type)`` learned from normalised texts."""
+    """Vocabulary ``(id, piece, score, type)`` learned from normalised texts.
+
+    ``seed_size`` is the size of the initial model, ``INITIAL_MODEL`` unless given: EM starts from
+    that many repeated substrings of highest weight. A vocabulary must hold all characters; it is
+    an error if they do not fit.
+    """
     words = cut_lineage(word_counts(df, text, options))
-    seeds = substring_seeds(words, options)
+    initial = replace(options, seed_size=options.seed_size or INITIAL_MODEL)
+    seeds = substring_seeds(words, initial)
     order = (F.col("size") > 1, -F.col("weight"), F.col("piece"))
     numbered = with_row_idx(seeds, *order, name="pid").withColumn("pid", F.col("pid").cast("int"))
     pieces = cut_lineage(numbered)
@@ -285,6 +299,9 @@ def learn_vocab(
     is_char = size == 1
     logp = np.log(weight) - np.log(weight.sum())
 
+    needed = len(set(required_chars) | set(pieces.where("size = 1").select("piece").toPandas()["piece"]))
+    if needed > options.vocab_size - len(RESERVED):
+        raise ValueError(f"{needed} characters do not fit a vocabulary of {options.vocab_size}")
     desired = int(options.vocab_size * OVERSHOOT)
     inner, stored = None, len(logp)
     while True:
@@ -302,6 +319,9 @@ def learn_vocab(
         # The first round drops most seeds, and a dropped piece never returns.
         inner = inner or piece_lattices(pieces, logp, options.max_piece_length)
         logp = prune(inner, logp, freq, is_char, target)
+        if int(np.isfinite(logp).sum()) >= alive:
+            # What is left cannot be spelled by other pieces; the best of it are chosen below.
+            break
     lattices.unpersist()
     if inner is not None:
         inner.unpersist()

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.operators.ordering import with_row_idx
-from twinloom.storage import broadcast_if_small
 
 # Piece types and the keys of the reserved tokens.
 NORMAL, UNKNOWN, CONTROL = 1, 2, 3
@@ -61,5 +60,5 @@ def extend_codes(base: DataFrame, extra: DataFrame) -> DataFrame:
 def token_id(tokens: DataFrame, vocab: DataFrame, unk_id: int, token: str = "piece") -> DataFrame:
     """Add ``token_id``; tokens outside the vocabulary get ``unk_id``."""
     lookup = vocab.select(F.col("piece").alias(token), F.col("id").alias("token_id"))
-    found = tokens.join(broadcast_if_small(lookup), token, "left")
+    found = tokens.join(lookup, token, "left")
     return found.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)).cast("int"))

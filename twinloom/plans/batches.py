@@ -5,40 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.functions.languages import LEZGIAN, RUSSIAN
+from twinloom.functions.languages import LEZGIAN, RUSSIAN, Language
 from twinloom.functions.text import preprocess
+from twinloom.functions.tokens import NEW_TOKENS_BASE, NEW_TOKENS_PER_INPUT
 from twinloom.operators import batching
-from twinloom.operators.ordering import epoch_shuffle
-from twinloom.operators.segment import encode
+from twinloom.operators.ordering import draw_rows, epoch_shuffle, with_row_idx
+from twinloom.operators.segment import encode_columns
+
+
+def encode_texts(df: DataFrame, columns: dict[str, str], vocab: DataFrame, unk_id: int) -> DataFrame:
+    """``df`` with the ids of its normalised texts, each text once and in place."""
+    clean = df.withColumns({f"_clean_{new}": preprocess(F.col(old)) for new, old in columns.items()})
+    encoded = encode_columns(clean, {new: f"_clean_{new}" for new in columns}, vocab, unk_id)
+    if encoded is None:
+        raise ValueError("the vocabulary is too large to be sent to the tasks")
+    return encoded.drop(*(f"_clean_{new}" for new in columns))
+
+
+def _language_ids(lang_ids: dict[str, int]) -> dict[str, F.Column]:
+    code_id = F.create_map(*[F.lit(p) for item in lang_ids.items() for p in item])
+    return {"src_id": code_id[F.col("src_lang")], "tgt_id": code_id[F.col("tgt_lang")]}
 
 
 def encode_sides(
     directed: DataFrame, vocab: DataFrame, unk_id: int, lang_ids: dict[str, int]
 ) -> DataFrame:
-    """``(batch_id, row_idx, src_lang, tgt_lang, x, y, src_id, tgt_id)``.
-
-    Both sides go through one encoding pass, so a word is segmented once for the two. Rows
-    are placed by batch, where padding needs them next.
-    """
+    """``(batch_id, row_idx, src_lang, tgt_lang, x, y, src_id, tgt_id)``."""
     row = ["batch_id", "row_idx", "src_lang", "tgt_lang"]
-    side = F.explode(
-        F.array(
-            F.struct(F.lit("x").alias("side"), F.col("src_text").alias("text")),
-            F.struct(F.lit("y").alias("side"), F.col("tgt_text").alias("text")),
-        )
-    )
-    known = directed.na.drop(subset=["src_text", "tgt_text"])
-    stacked = known.select(*row, side.alias("_s")).select(*row, "_s.side", "_s.text")
-    clean = stacked.withColumn("text", preprocess(F.col("text")))
-    ids = encode(clean, [*row, "side"], "text", vocab, unk_id, place_by=["batch_id"])
-
-    def of(name: str) -> F.Column:
-        return F.max(F.when(F.col("side") == name, F.col("ids"))).alias(name)
-
-    code_id = F.create_map(*[F.lit(p) for item in lang_ids.items() for p in item])
-    return ids.groupBy(*row).agg(of("x"), of("y")).withColumns(
-        {"src_id": code_id[F.col("src_lang")], "tgt_id": code_id[F.col("tgt_lang")]}
-    )
+    known = directed.na.drop(subset=["src_text", "tgt_text"]).select(*row, "src_text", "tgt_text")
+    encoded = encode_texts(known, {"x": "src_text", "y": "tgt_text"}, vocab, unk_id)
+    return encoded.drop("src_text", "tgt_text").withColumns(_language_ids(lang_ids))
 
 
 def training_batches(
@@ -52,9 +48,18 @@ def training_batches(
     seed: int = 42,
     epoch: int = 0,
     batch_size: int = batching.TRAIN_BATCH_SIZE,
+    replacement: bool = False,
 ) -> DataFrame:
-    """One epoch: shuffle, batch, one direction per batch, encode, pad."""
-    shuffled = epoch_shuffle(pairs, *key, seed=seed, epoch=epoch)
+    """One epoch: shuffle, batch, one direction per batch, encode, pad.
+
+    With ``replacement`` the epoch has as many rows, each drawn from all of them.
+    """
+    if replacement:
+        indexed = with_row_idx(pairs, *key)
+        drawn = draw_rows(indexed, indexed.count(), seed, epoch)
+        shuffled = drawn.drop("row_idx").withColumnRenamed("draw", "row_idx")
+    else:
+        shuffled = epoch_shuffle(pairs, *key, seed=seed, epoch=epoch)
     directed = batching.random_direction(batching.assign_batches(shuffled, batch_size), seed, epoch)
     encoded = encode_sides(directed, vocab, unk_id, lang_ids)
     return batching.train_batch(encoded, pad_id, eos_id)
@@ -70,14 +75,25 @@ def validation_batches(
     batch_size: int = batching.TRAIN_BATCH_SIZE,
 ) -> DataFrame:
     """Both directions in row order, as ``loader`` 0 (from Russian) and 1 (from Lezgian)."""
-    batched = batching.assign_batches(indexed, batch_size)
-    loaders = []
-    for loader, (src, tgt) in enumerate(((RUSSIAN, LEZGIAN), (LEZGIAN, RUSSIAN))):
-        directed = batching.fixed_direction(batched, src.code, tgt.code)
-        encoded = encode_sides(directed, vocab, unk_id, lang_ids)
-        rows = batching.train_batch(encoded, pad_id, eos_id)
-        loaders.append(rows.withColumn("loader", F.lit(loader)))
-    return loaders[0].unionByName(loaders[1])
+    columns = {f"{lang.column}_ids": lang.column for lang in (RUSSIAN, LEZGIAN)}
+    known = batching.assign_batches(indexed, batch_size).na.drop(subset=[*columns.values()])
+    encoded = encode_texts(known, columns, vocab, unk_id)
+
+    def loader(number: int, src: Language, tgt: Language) -> F.Column:
+        return F.struct(
+            F.lit(number).alias("loader"),
+            F.col(f"{src.column}_ids").alias("x"),
+            F.col(f"{tgt.column}_ids").alias("y"),
+            F.lit(lang_ids[src.code]).alias("src_id"),
+            F.lit(lang_ids[tgt.code]).alias("tgt_id"),
+        )
+
+    both = F.explode(F.array(loader(0, RUSSIAN, LEZGIAN), loader(1, LEZGIAN, RUSSIAN)))
+    # A batch of a loader pads on its own, and each text is encoded once for the two.
+    rows = encoded.select("batch_id", "row_idx", both.alias("_l")).select("batch_id", "row_idx", "_l.*")
+    paired = rows.withColumn("batch_id", F.struct("batch_id", "loader"))
+    padded = batching.train_batch(paired, pad_id, eos_id)
+    return padded.withColumns({"loader": F.col("batch_id.loader"), "batch_id": F.col("batch_id.batch_id")})
 
 
 def evaluation_batches(
@@ -91,20 +107,16 @@ def evaluation_batches(
     unk_id: int,
     batch_size: int = batching.TEST_BATCH_SIZE,
     num_beams: int = batching.DEFAULT_BEAMS,
+    a: float = NEW_TOKENS_BASE,
+    b: float = NEW_TOKENS_PER_INPUT,
+    max_input_length: int | None = None,
 ) -> DataFrame:
     """Encoded source, normalised target text and generation settings per row."""
     batched = batching.assign_batches(indexed, batch_size)
     directed = batching.fixed_direction(batched, src_lang, tgt_lang)
     known = directed.na.drop(subset=["src_text", "tgt_text"])
-    row = ["batch_id", "row_idx"]
-    clean = known.select(*row, preprocess(F.col("src_text")).alias("text"))
-    ids = encode(clean, row, "text", vocab, unk_id, place_by=["batch_id"]).withColumnRenamed("ids", "x")
-    targets = known.select(
-        *row,
-        preprocess(F.col("tgt_text")).alias("tgt_text"),
-        "src_lang",
-        "tgt_lang",
-        F.lit(lang_ids[src_lang]).alias("src_id"),
-        F.lit(lang_ids[tgt_lang]).alias("tgt_id"),
+    rows = known.select("batch_id", "row_idx", "src_text", "tgt_text", "src_lang", "tgt_lang")
+    encoded = encode_texts(rows, {"x": "src_text"}, vocab, unk_id).withColumns(
+        {"tgt_text": preprocess(F.col("tgt_text")), **_language_ids(lang_ids)}
     )
-    return batching.test_batch(ids.join(targets, row), pad_id, eos_id, num_beams=num_beams)
+    return batching.test_batch(encoded, pad_id, eos_id, a, b, num_beams, max_input_length)

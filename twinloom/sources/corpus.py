@@ -27,14 +27,8 @@ CSV_OPTIONS = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer files than cores; larger inputs keep their splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared scratch space and size-checked broadcasts."""
+"""Shared scratch space and partitioning."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A vocabulary-like row is well under 100 bytes, so this stays below 200 MB.
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -47,12 +43,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; a bigger table is left to a shuffled join."""
-    counted = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if counted <= max_rows else df
-
-
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition compact rows that the next step multiplies.
 
