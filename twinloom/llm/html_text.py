@@ -111,8 +111,8 @@ class TreeBuilder:
             del self.open[at:]
 
     def _body(self, tag: str) -> None:
-        if tag not in HEAD_ONLY and any(n.tag == "head" for n in self.open):
-            self._close(("head",), ())
+        if tag not in HEAD_ONLY and self.open[-1].tag == "head":
+            self.open.pop()
 
     def start(self, tag: str, attrs: dict[str, str], alone: bool = False) -> None:
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
@@ -271,8 +271,6 @@ def _element(node: Node, out: Writer, depth: int, pre: bool) -> None:
         out.block(spaced)
     else:
         _render(node, out, depth, pre or tag == "textarea")
-        if tag == "q":
-            pass
 
 
 def _list(node: Node, out: Writer, depth: int) -> None:
