@@ -1,8 +1,8 @@
 """Mixing by soft membership: domain posteriors, then rates whose expected token totals match.
 
 A multinomial word classifier, fitted on a bounded sample of labelled rows, gives each document
-a posterior over domains. Nonnegative rates r solve min |sum_i r_i n_i p_i - T|^2 by projected
-gradient steps from r = 1, where n are tokens, p posteriors and T the wanted totals. A step of a
+a posterior over domains. Nonnegative rates r solve min |sum_i r_i n_i p_i - T|^2, in the measure
+that makes all domains equally steep, by projected gradient steps from r = 1, where n are tokens, p posteriors and T the wanted totals. A step of a
 document depends on its posterior only, so rows with equal (rounded) posteriors are added up once
 and each step is one small aggregate. All of it is DataFrame functions.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +24,16 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 # Labelled rows that the classifier is fitted on, at most about this many.
 TRAIN_ROWS = 10_000
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 # Words added to each domain in the shares that they have in all of them.
 LEAN = 4.0 * BUCKETS
 # A longer text counts as so many words of its mean evidence, so that posteriors stay soft.
 EVIDENCE = 40.0
 # Posteriors are rounded to steps of 1 / GRID.
 GRID = 200
-STEPS = 100
+STEPS = 60
 # Steps without progress before it is given up.
-PATIENCE = 15
+PATIENCE = 10
 TOLERANCE = 1e-4
 
 
@@ -51,7 +52,7 @@ def _bucket(word: Column) -> Column:
 
 def _numbers(values: list[float]) -> Column:
     """A constant array; folded once when the plan is made."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.4f}" for v in values)), ",").cast("array<double>")
 
 
 class Classifier:
@@ -74,35 +75,39 @@ class Classifier:
             for d in range(len(DOMAINS))
         ]
 
-    def posteriors(self, text: Column) -> Column:
-        """Rounded posteriors, as whole numbers of 1 / GRID; all of it on the first domain unfitted."""
-        if not self.present:
-            return F.array(F.lit(GRID), *[F.lit(0)] * (len(DOMAINS) - 1))
+    def add_posteriors(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the rounded posteriors of ``text``, in whole numbers of 1 / GRID.
+
+        Unfitted, all of it is the first domain's. The sums over words are a column of their own
+        first, as each domain's share reads all of them.
+        """
+        if len(self.present) < 2:
+            only = self.present[0] if self.present else 0
+            return df.withColumn(name, F.array(*[F.lit(GRID if d == only else 0) for d in range(len(DOMAINS))]))
         base, others = self.present[0], self.present[1:]
-        if not others:
-            return F.array(*[F.lit(GRID if d == base else 0) for d in range(len(DOMAINS))])
         odds = [
             _numbers([a - b for a, b in zip(self.weights[d], self.weights[base], strict=True)]) for d in others
         ]
         # The last entry counts the words.
-        evidence = F.aggregate(
-            F.transform(_words(text), _bucket),
+        sums = F.aggregate(
+            F.transform(_words(F.col("text")), _bucket),
             F.array(*[F.lit(0.0)] * (len(others) + 1)),
             lambda acc, b: F.array(
                 *[F.get(acc, i) + F.get(o, b) for i, o in enumerate(odds)], F.get(acc, len(others)) + 1
             ),
-            lambda acc: F.transform(acc, lambda s: s * EVIDENCE / F.greatest(F.get(acc, len(others)), F.lit(EVIDENCE))),
         )
-        return self._rounded(evidence, base, others)
-
-    def _rounded(self, evidence: Column, base: int, others: list[int]) -> Column:
-        logs = {d: F.get(evidence, i) + (self.prior[d] - self.prior[base]) for i, d in enumerate(others)}
-        parts = {d: F.exp(F.least(logs[d], F.lit(50.0))) for d in others}
-        total = sum(parts.values(), F.lit(1.0))
-        shares = {d: F.floor(parts[d] / total * GRID + 0.5).cast("int") for d in others}
-        rest = F.lit(GRID) - sum(shares.values(), F.lit(0))
-        shares[base] = F.greatest(rest, F.lit(0))
-        return F.array(*[shares.get(d, F.lit(0)).cast("int") for d in range(len(DOMAINS))])
+        evidence, parts = fresh(df, "_evidence"), fresh(df, "_parts")
+        scale = EVIDENCE / F.greatest(F.get(evidence, F.lit(len(others))), F.lit(EVIDENCE))
+        logs = [F.get(evidence, F.lit(i)) * scale + (self.prior[d] - self.prior[base]) for i, d in enumerate(others)]
+        chances = F.array(F.lit(1.0), *[F.exp(F.least(x, F.lit(50.0))) for x in logs])
+        total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        shares = {
+            d: F.floor(F.get(parts, F.lit(i + 1)) / total * GRID + 0.5).cast("int") for i, d in enumerate(others)
+        }
+        shares[base] = F.greatest(F.lit(GRID) - sum(shares.values(), F.lit(0)), F.lit(0))
+        rounded = F.array(*[shares.get(d, F.lit(0)).cast("int") for d in range(len(DOMAINS))])
+        staged = df.withColumn(evidence, sums).withColumn(parts, chances)
+        return staged.withColumn(name, rounded).drop(evidence, parts)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
@@ -155,45 +160,53 @@ def fit_rates(groups: DataFrame, targets: dict[str, float], steps: int = STEPS)
     if not total:
         return Rates([])
     want = [targets.get(d, 0.0) for d in DOMAINS]
-    # Weighted by tokens, the steps of all rows share one curvature, at most the trace of
-    # sum n p p' / total, which is at most 1.
+    # Gaps are weighed by the inverse of sum n p p' / total: in that measure all directions have
+    # curvature one, so steps of length one are safe and few are needed.
+    size = range(len(DOMAINS))
+    second = groups.selectExpr(*[f"sum(n * p[{i}] * p[{j}]) / {GRID * GRID}D" for i in size for j in size]).first()
+    weigh = np.linalg.pinv(np.reshape(second, (len(DOMAINS), -1)) / total, rcond=1e-6)
     rates, momentum, before, best, since = Rates([]), 1.0, math.inf, math.inf, 0
-    sums = ", ".join(f"sum(y * n * p[{d}]) / {GRID} AS s{d}" for d in range(len(DOMAINS)))
     while len(rates.steps) < steps and since < PATIENCE:
-        at = groups.select("p", "n", rates.replayed("p", "y").alias("y")).selectExpr(*sums.split(", ")).first()
-        gradient = [at[d] / total - want[d] for d in range(len(DOMAINS))]
-        gap = max(map(abs, gradient))
+        placed = groups.select("p", "n", rates.replayed("p", "y").alias("y"))
+        at = placed.selectExpr(*[f"sum(y * n * p[{d}]) / {GRID}" for d in size]).first()
+        gaps = np.array(at) / total - want
+        gap = float(np.abs(gaps).max())
         if gap < TOLERANCE:
             break
         best, since = (gap, 0) if gap < 0.98 * best else (best, since + 1)
         # Momentum starts anew where it has carried too far.
         momentum = 1.0 if gap > before else momentum
         following, before = (1 + math.sqrt(1 + 4 * momentum**2)) / 2, gap
-        rates = Rates([*rates.steps, (*gradient, (momentum - 1) / following)], gap)
+        rates = Rates([*rates.steps, (*(weigh @ gaps).tolist(), (momentum - 1) / following)], gap)
         momentum = following
     return rates
 
 
 def _measured(docs: DataFrame, model: Classifier) -> DataFrame:
-    words = _words(F.col("text"))
-    tokens = F.size(F.filter(words, lambda w: w != "")).cast("long")
-    return docs.select("doc_id", tokens.alias("n_tokens"), model.posteriors(F.col("text")).alias("p"))
+    words = F.filter(_words(F.col("text")), lambda w: w != "")
+    source = docs.select("doc_id", "text", F.size(words).cast("long").alias("n_tokens"))
+    return model.add_posteriors(source, "p").drop("text")
 
 
-def _solved(measured: DataFrame, targets: dict[str, float]) -> Rates:
-    return fit_rates(measured.groupBy("p").agg(F.sum("n_tokens").alias("n")), targets)
+def _rate_table(measured: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """``(p, rate)`` of each distinct posterior: at most as many rows as the grid has points."""
+    groups = cut_lineage(measured.groupBy("p").agg(F.sum("n_tokens").alias("n")))
+    return cut_lineage(groups.select("p", fit_rates(groups, targets).replayed("p").alias("rate")))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, p_<domain>..., rate``.
 
-    A missing or empty text has no tokens, its posterior is the prior. Repeated rows get equal
-    rates. Without labels every rate moves the first domain only; an empty table gives no rows.
+    A missing or empty text has no tokens, its posterior is that of one empty word. Repeated rows
+    get equal rates. Without labels every rate moves the first domain only; an empty table gives
+    no rows.
     """
     measured = cut_lineage(_measured(docs, fit_classifier(docs, labels)))
-    rates = _solved(measured, targets)
+    rates = _rate_table(measured, targets)
     shares = [(F.get("p", F.lit(i)) / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return measured.select("doc_id", "n_tokens", *shares, F.round(rates.replayed("p"), 6).alias("rate"))
+    # The table of rates has at most (GRID + 1) (GRID + 2) / 2 rows.
+    placed = measured.join(F.broadcast(rates), "p")
+    return placed.select("doc_id", "n_tokens", *shares, F.round("rate", 6).alias("rate"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -203,11 +216,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     rest, so the expected token totals are those of the rates, and a rerun makes the same choice.
     """
     model = fit_classifier(docs, labels)
-    measured = _measured(docs, model).groupBy("p").agg(F.sum("n_tokens").alias("n"))
-    rates = fit_rates(measured, targets)
+    rates = _rate_table(_measured(docs, model), targets)
     copies, rate, p = (fresh(docs, c) for c in ("_copies", "_rate", "_posterior"))
+    known = rates.select(F.col("p").alias(p), F.col("rate").alias(rate))
+    rows = model.add_posteriors(docs, p).join(F.broadcast(known), p)
     drawn = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + F.lit(0.5)
-    rows = docs.withColumn(p, model.posteriors(F.col("text"))).withColumn(rate, rates.replayed(p))
     times = F.floor(F.col(rate)) + (drawn < F.col(rate) - F.floor(F.col(rate))).cast("long")
-    rows = rows.withColumn(copies, F.array_repeat(F.lit(0), times.cast("int")))
-    return rows.select(*columns_of(docs), F.explode(copies).alias(copies)).select(columns_of(docs))
+    repeated = rows.select(*columns_of(docs), F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(copies))
+    return repeated.select(columns_of(docs))
