@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from twinloom.functions.subwords import SCRIPTS
+
 WS = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NBSP = "\u00a0"
 
@@ -72,10 +74,7 @@ TOKENIZE_13A_SPLIT = [
     (r"([0-9])(-)", r"\1 \2 "),
 ]
 
-SCRIPT_GROUPS = [
-    "Latin", "Cyrillic", "Greek", "Armenian", "Georgian", "Hebrew", "Arabic", "Ethiopic",
-    "Devanagari", "Bengali", "Tamil", "Thai", "Hangul", "Han Hiragana Katakana", "Common",
-]
+SCRIPT_GROUPS = [" ".join(group) for group in SCRIPTS]
 
 
 def q(literal: str) -> str:

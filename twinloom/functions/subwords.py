@@ -10,25 +10,28 @@ from twinloom.functions.text import words
 # Fixed value: stands for the space in front of a word.
 SPACE_MARK = "▁"
 
-# A learned piece never mixes scripts. Kana count as Han; marks without a
-# script of their own go with their neighbours; scripts not listed count as one.
-SCRIPTS = (
-    ("Latin",),
-    ("Cyrillic",),
-    ("Greek",),
-    ("Armenian",),
-    ("Georgian",),
-    ("Hebrew",),
-    ("Arabic",),
-    ("Ethiopic",),
-    ("Devanagari",),
-    ("Bengali",),
-    ("Tamil",),
-    ("Thai",),
-    ("Hangul",),
-    ("Han", "Hiragana", "Katakana"),
-    ("Common",),
-)
+# A learned piece never mixes scripts. These are the names that regular expressions
+# know them by; kana count as Han, and marks without a script of their own go with their neighbours.
+SINGLE_SCRIPTS = """
+    Latin Common Greek Cyrillic Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi
+    Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan Myanmar Georgian
+    Hangul Ethiopic Cherokee Canadian_Aboriginal Ogham Runic Khmer Mongolian Bopomofo Yi
+    Old_Italic Gothic Deseret Tagalog Hanunoo Buhid Tagbanwa Limbu Tai_Le Linear_B Ugaritic
+    Shavian Osmanya Cypriot Braille Buginese Coptic New_Tai_Lue Glagolitic Tifinagh Syloti_Nagri
+    Old_Persian Kharoshthi Balinese Cuneiform Phoenician Phags_Pa Nko Sundanese Batak Lepcha
+    Ol_Chiki Vai Saurashtra Kayah_Li Rejang Lycian Carian Lydian Cham Tai_Tham Tai_Viet Avestan
+    Egyptian_Hieroglyphs Samaritan Mandaic Lisu Bamum Javanese Meetei_Mayek Imperial_Aramaic
+    Old_South_Arabian Inscriptional_Parthian Inscriptional_Pahlavi Old_Turkic Brahmi Kaithi
+    Meroitic_Hieroglyphs Meroitic_Cursive Sora_Sompeng Chakma Sharada Takri Miao
+    Caucasian_Albanian Bassa_Vah Duployan Elbasan Grantha Pahawh_Hmong Khojki Linear_A Mahajani
+    Manichaean Mende_Kikakui Modi Mro Old_North_Arabian Nabataean Palmyrene Pau_Cin_Hau
+    Old_Permic Psalter_Pahlavi Siddham Khudawadi Tirhuta Warang_Citi Ahom Anatolian_Hieroglyphs
+    Hatran Multani Old_Hungarian SignWriting Adlam Bhaiksuki Marchen Newa Osage Tangut
+    Masaram_Gondi Nushu Soyombo Zanabazar_Square Hanifi_Rohingya Old_Sogdian Sogdian Dogra
+    Gunjala_Gondi Makasar Medefaidrin Elymaic Nandinagari Nyiakeng_Puachue_Hmong Wancho Yezidi
+    Chorasmian Dives_Akuru Khitan_Small_Script
+""".split()
+SCRIPTS = (*((name,) for name in SINGLE_SCRIPTS), ("Han", "Hiragana", "Katakana"))
 
 
 def _run_pattern() -> str:
