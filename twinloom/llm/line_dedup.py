@@ -27,6 +27,8 @@ BANDS, ROWS = 8, 3
 # Buckets up to this size are compared pair by pair; larger ones go by ``_large_buckets``.
 PAIRWISE = 32
 BLANKS = " \t\n\r\x0b\x0c"
+# Bits of the sieve that keeps most other lines' texts from being moved: 16 MB.
+SIEVE_BITS = 1 << 27
 # Lines whose signature a task remembers having sent.
 REMEMBERED = 1_000_000
 KEYS = [f"b{i}" for i in range(BANDS)]
@@ -119,11 +121,33 @@ def _scanned(batches: Iterable[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([*head, pa.array(places, pa.int32()), pa.array(ids), *columns], names)
 
 
-def _line_texts(batches: Iterable[pa.RecordBatch]):
+def short_id(line: bytes) -> int:
+    """The first half of a line's id, as a signed number."""
+    return int.from_bytes(line[:8], "big", signed=True)
+
+
+def _line_texts(batches: Iterable[pa.RecordBatch], sieve):
+    """Lines whose bit is set; a set bit may be another line's, which a join sorts out."""
+    bits = sieve.value
     for batch in slices(batches, 500):
-        lines = {line for text in batch.column(0).to_pylist() for _, line in text_lines(text or "")}
-        made = list(lines)
-        yield pa.RecordBatch.from_arrays([pa.array(map(line_id, made), pa.binary()), pa.array(made, pa.string())], ["line", "content"])
+        lines = list({line for text in batch.column(0).to_pylist() for _, line in text_lines(text or "")})
+        ids = [line_id(line) for line in lines]
+        places = np.array([short_id(i) for i in ids], np.int64) & (SIEVE_BITS - 1)
+        chosen = np.flatnonzero(bits[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)) if ids else []
+        columns = ([ids[n] for n in chosen], [short_id(ids[n]) for n in chosen], [lines[n] for n in chosen])
+        kinds = (pa.binary(), pa.int64(), pa.string())
+        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(made, ["line", "short", "content"])
+
+
+def _sieve(wanted: DataFrame) -> np.ndarray:
+    """A bit for each wanted line. Its size is fixed: with very many lines it lets all through."""
+    place = F.col("short").bitwiseAND(F.lit(SIEVE_BITS - 1))
+    bit = F.expr("shiftleft(1L, CAST(short & 63 AS INT))")
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(SIEVE_BITS >> 6, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.view(np.uint64)
 
 
 def _verified(batches: Iterable[pa.RecordBatch], similar: float):
@@ -135,44 +159,47 @@ def _verified(batches: Iterable[pa.RecordBatch], similar: float):
             # Sets of very different size can't be similar.
             n, m = len(first), max(len(b) - SHINGLE + 1, 1)
             keep.append(m >= similar * n and jaccard(first, shingles(b)) >= similar)
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "sa", "sb"])
 
 
 def _similar(pairs: DataFrame, contents: DataFrame, similar: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose lines are similar."""
-    a = contents.select(F.col("line").alias("a"), F.col("content").alias("ta"))
-    b = contents.select(F.col("line").alias("b"), F.col("content").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(lambda x: _verified(x, similar), "a binary, b binary")
+    """Links ``(a, b)`` of lines, from pairs of short ids, where the lines are similar."""
+    a = contents.select(F.col("short").alias("sa"), F.col("line").alias("a"), F.col("content").alias("ta"))
+    b = contents.select(F.col("short").alias("sb"), F.col("line").alias("b"), F.col("content").alias("tb"))
+    both = pairs.join(a, "sa").join(b, "sb").select("a", "b", "ta", "tb", "sa", "sb")
+    return both.mapInArrow(lambda x: _verified(x, similar), "a binary, b binary, sa long, sb long")
 
 
 def similar_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
     """Links ``(a, b)`` of line ids that connect all similar lines sharing a band.
 
-    ``lines`` has a row for each distinct line. In buckets of up to ``pairwise`` lines all pairs
-    are compared. In a larger one every line is compared with the first, and a line that is not
-    similar to it with all others: what is similar to the first is connected already.
+    ``lines`` has ``short`` and the band keys of each distinct line. In buckets of up to
+    ``pairwise`` lines all pairs are compared. In a larger one every line is compared with the
+    first, and a line that is not similar to it with all others: what is similar to the first is
+    connected already. Half of a line's id stands for it until its text is at hand.
     """
-    keys = F.explode(F.array(*KEYS)).alias("key")
-    placed = lines.select("line", keys)
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("first")).where("n > 1")
+    placed = lines.select("short", F.explode(F.array(*KEYS)).alias("key"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut_lineage(placed.join(sizes, "key"))
-    few = shared.where(F.col("n") <= pairwise).select("key", F.col("line").alias("a"))
-    small = few.join(few.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
+    few = shared.where(F.col("n") <= pairwise).select("key", F.col("short").alias("sa"))
+    small = few.join(few.withColumnRenamed("sa", "sb"), "key").where("sa < sb").select("sa", "sb")
     many = shared.where(F.col("n") > pairwise)
-    starred = many.where("line <> first").select(F.col("first").alias("a"), F.col("line").alias("b"))
-    wanted = shared.select("line").distinct()
-    found = docs.select("text").mapInArrow(_line_texts, "line binary, content string")
-    contents = cut_lineage(found.join(wanted, "line", "left_semi").dropDuplicates(["line"]))
+    firsts = many.groupBy("key").agg(F.min("short").alias("first"))
+    placed_many = cut_lineage(many.join(firsts, "key"))
+    starred = placed_many.where("short <> first").select(F.col("first").alias("sa"), F.col("short").alias("sb"))
+    wanted = shared.select("short").distinct()
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
+    found = docs.select("text").mapInArrow(lambda b: _line_texts(b, sieve), "line binary, short long, content string")
+    contents = cut_lineage(found.join(wanted, "short", "left_semi").dropDuplicates(["line"]))
     links = cut_lineage(_similar(small.unionByName(starred).distinct(), contents, similar))
-    unlike = many.where("line <> first").join(
-        links.select(F.col("a").alias("first"), F.col("b").alias("line")), ["first", "line"], "left_anti"
+    unlike = placed_many.where("short <> first").join(
+        links.select(F.col("sa").alias("first"), F.col("sb").alias("short")), ["first", "short"], "left_anti"
     )
-    others = many.select("key", F.col("line").alias("other"))
-    rest = unlike.join(others, "key").where("line <> other and other <> first").select(
-        F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")
+    others = placed_many.select("key", F.col("short").alias("other"))
+    rest = unlike.join(others, "key").where("short <> other and other <> first").select(
+        F.least("short", "other").alias("sa"), F.greatest("short", "other").alias("sb")
     )
-    return links.unionByName(_similar(rest.distinct(), contents, similar))
+    return links.unionByName(_similar(rest.distinct(), contents, similar)).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
@@ -190,10 +217,13 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAI
     source.mapInArrow(_scanned, schema).write.parquet(path)
     scan = spark.read.parquet(path)
     placed = scan.where("line is not null")
-    lines = cut_lineage(
-        placed.groupBy("line").agg(F.count("*").alias("n"), *[F.max(k).alias(k) for k in KEYS])
-    )
-    roots = components(similar_links(docs, lines.select("line", *KEYS), similar, pairwise))
+    short = F.conv(F.substring(F.hex("line"), 1, 16), 16, -10).cast("long").alias("short")
+    distinct = placed.groupBy("line").agg(F.count("*").alias("n"), *[F.max(k).alias(k) for k in KEYS])
+    # Parquet keeps these, the largest of what is stored, small.
+    path = scratch_path(spark, "distinct-lines")
+    distinct.select("line", short, "n", *KEYS).write.parquet(path)
+    lines = spark.read.parquet(path)
+    roots = components(similar_links(docs, lines.select("short", *KEYS), similar, pairwise))
     known = lines.select("line", "n").join(roots.withColumnRenamed("node", "line"), "line", "left")
     # A line that occurs once and is like no other stays, without more to be done.
     shared = known.where("n > 1 or root is not null").select("line", F.coalesce("root", "line").alias("root"))
