@@ -29,11 +29,12 @@ SYMBOLS = b"#*$%&|<>"
 TREES = 100
 SUBSAMPLE = 256
 # Share of labelled good rows that the forest may reject.
-GOOD_LOSS = 0.005
+GOOD_LOSS = 0.002
 SCORE_STEPS = 1000
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["upper", "shout", "symbol", "repeat", "dup_line"]
+# Repeated words and lines are left to the fixed rules: below their limits they are no oddity.
+FEATURES = ["upper", "shout", "symbol"]
 STATS = T.StructType(
     [T.StructField(c, T.LongType()) for c in BASE] + [T.StructField(c, T.DoubleType()) for c in FEATURES]
 )
@@ -77,8 +78,6 @@ def text_stats(text: bytes) -> tuple:
         _count(joined, _UPPER) / letters,
         sqrt(_count(joined, b"!?") / max(chars, 1)),
         sqrt(symbols / max(chars, 1)),
-        repeats / max(len(words), 1),
-        dup_lines / max(len(lines), 1),
     )
     return (len(words), chars, symbols, dup_lines, repeats, *features)
 
