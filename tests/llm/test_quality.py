@@ -58,6 +58,20 @@ def test_forest_rejects_odd_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, k in found.items() if k}
 
 
+def test_repeated_lines_are_odd_whatever_the_labelled_bad_rows_are(spark):
+    """Half of each text is menu lines between unique ones: no repeated window, capitals or symbols."""
+    good, bad, marks = good_and_bad()
+    menus = []
+    for i in range(20):
+        words = prose(500 + i, 80, 5000).replace("\n", " ").split()
+        menus.append((2000 + i, "\n".join(f"{' '.join(words[k : k + 4])}\nread more" for k in range(0, 80, 4))))
+    docs = documents(spark, good + bad + menus)
+    found = {r["doc_id"]: r for r in judge(docs, labels(spark, marks)).collect()}
+    assert not any(found[i]["base_failed"] for i, _ in menus)
+    assert sum(found[i]["kept"] for i, _ in menus) <= 2
+    assert sum(found[i]["kept"] for i, _ in good) >= 0.98 * len(good)
+
+
 def test_fixed_rules_alone(spark):
     rows = [*AWKWARD, (20, REPEATED)]
     for marks in ([], [(6, 1, 0)], [(None, 0, None), (6, None, 1)]):

@@ -1,14 +1,16 @@
 """Quality rules: fixed rules, and an isolation forest on rule statistics.
 
-Statistics of each text come from one Arrow pass. The forest is grown on small subsamples, as the
-method asks; the threshold on its anomaly score is set from all labelled rows.
+Statistics of each text come from one Arrow pass. Forests are grown on small subsamples, as the
+method asks: one each for characters, repetition and words, so that what is odd in one respect is
+not hidden by being plain in the others. Their thresholds are set from all labelled rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
-from math import sqrt
+from itertools import product
+from math import log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,13 @@ SUBSAMPLE = 256
 # Share of labelled good rows that the forest may reject.
 GOOD_LOSS = 0.002
 SCORE_STEPS = 1000
+# Parts in which kinds of statistics share that loss.
+SHARES = 20
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-# Repeated words and lines are left to the fixed rules: below their limits they are no oddity.
-FEATURES = ["upper", "shout", "symbol"]
+FEATURES = ["upper", "shout", "symbol", "repeat", "dup_line", "words", "word_length"]
+# Statistics of one kind share a forest.
+KINDS = (slice(0, 3), slice(3, 5), slice(5, 7))
 STATS = T.StructType(
     [T.StructField(c, T.LongType()) for c in BASE] + [T.StructField(c, T.DoubleType()) for c in FEATURES]
 )
@@ -73,11 +78,15 @@ def text_stats(text: bytes) -> tuple:
     dup_lines = len(lines) - len(set(lines))
     repeats = repeated_words(words)
     letters = max(_count(joined, _UPPER + _LOWER + _WIDE), 1)
-    # Square roots spread the small shares, where random cuts would hardly fall.
+    # Roots and logarithms spread the small values, where random cuts would hardly fall.
     features = (
         _count(joined, _UPPER) / letters,
         sqrt(_count(joined, b"!?") / max(chars, 1)),
         sqrt(symbols / max(chars, 1)),
+        sqrt(repeats / max(len(words), 1)),
+        sqrt(dup_lines / max(len(lines), 1)),
+        log1p(len(words)),
+        log1p(chars / max(len(words), 1)),
     )
     return (len(words), chars, symbols, dup_lines, repeats, *features)
 
@@ -159,21 +168,28 @@ class Forest:
         return 2.0 ** (-total / len(self.path) / self.unit)
 
 
-def _anomaly(forest: Forest | None, columns: list[pa.Array]) -> np.ndarray:
-    if forest is None or not len(columns[0]):
-        return np.zeros(len(columns[0]))
-    return forest.scores(np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]))
+Forests = list[Forest] | None
+ANOMALIES = [f"anomaly_{k}" for k in range(len(KINDS))]
 
 
-def _with_scores(batches: Iterable[pa.RecordBatch], forest: Forest | None):
+def _anomalies(forests: Forests, columns: list[pa.Array]) -> np.ndarray:
+    """One column of scores for each kind."""
+    if forests is None or not len(columns[0]):
+        return np.zeros((len(columns[0]), len(KINDS)))
+    rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+    return np.column_stack([f.scores(rows[:, k]) for f, k in zip(forests, KINDS, strict=True)])
+
+
+def _with_scores(batches: Iterable[pa.RecordBatch], forests: Forests):
     for batch in batches:
-        made = _anomaly(forest, [batch.column(c) for c in FEATURES])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], [*batch.schema.names, "anomaly"])
+        made = _anomalies(forests, [batch.column(c) for c in FEATURES])
+        columns = [pa.array(made[:, k]) for k in range(len(KINDS))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *ANOMALIES])
 
 
-def _scored(stats: DataFrame, forest: Forest | None) -> DataFrame:
-    schema = T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())])
-    return stats.mapInArrow(lambda b: _with_scores(b, forest), schema)
+def _scored(stats: DataFrame, forests: Forests) -> DataFrame:
+    schema = T.StructType([*stats.schema.fields, *(T.StructField(a, T.DoubleType()) for a in ANOMALIES)])
+    return stats.mapInArrow(lambda b: _with_scores(b, forests), schema)
 
 
 def _sample(stats: DataFrame, rows: int) -> np.ndarray:
@@ -185,36 +201,44 @@ def _sample(stats: DataFrame, rows: int) -> np.ndarray:
     return found[np.lexsort(found.T)] if len(found) else found
 
 
-def _threshold(scored: DataFrame, labels: DataFrame, good_loss: float) -> float:
-    """The score above which the most labelled bad rows go while few good ones do.
+def _thresholds(scored: DataFrame, labels: DataFrame, good_loss: float) -> list[float]:
+    """For each kind the score above which the most labelled bad rows go while few good ones do.
 
-    All labelled rows count, as one histogram of fixed size. Infinite, so that nothing is
-    rejected, unless both labels occur.
+    All labelled rows count, as histograms of fixed size. The kinds share ``good_loss`` as catches most.
+    Where no bad row is odd in a kind, what is odder than all good rows goes. Infinite, so that nothing
+    is rejected, unless both labels occur.
     """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
-    step = F.floor(F.col("anomaly") * SCORE_STEPS)
-    table = scored.where(f"n_words >= {MIN_WORDS}").select("doc_id", step.alias("step")).join(known, "doc_id")
-    counts = table.groupBy("step").agg(
+    steps = [F.struct(F.lit(k).alias("kind"), F.floor(F.col(a) * SCORE_STEPS).alias("step")) for k, a in enumerate(ANOMALIES)]
+    table = scored.where(f"n_words >= {MIN_WORDS}").select("doc_id", *ANOMALIES).join(known, "doc_id")
+    counts = table.select("quality", F.explode(F.array(*steps)).alias("at")).groupBy("at.kind", "at.step").agg(
         F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")
     )
-    good, bad = np.zeros(SCORE_STEPS + 2), np.zeros(SCORE_STEPS + 2)
+    good, bad = np.zeros((2, len(KINDS), SCORE_STEPS + 2))
     for row in counts.collect():
-        good[row["step"]], bad[row["step"]] = row["good"], row["bad"]
+        good[row["kind"], row["step"]], bad[row["kind"], row["step"]] = row["good"], row["bad"]
     if not good.sum() or not bad.sum():
-        return float("inf")
+        return [float("inf")] * len(KINDS)
     # Rows at steps >= s are rejected.
-    lost, caught = good[::-1].cumsum()[::-1] / good.sum(), bad[::-1].cumsum()[::-1] / bad.sum()
-    allowed = np.flatnonzero(lost <= good_loss)
-    best = allowed[np.argmax(caught[allowed] - lost[allowed])]
-    return best / SCORE_STEPS
+    lost, caught = (n[:, ::-1].cumsum(axis=1)[:, ::-1] / n[0].sum() for n in (good, bad))
+
+    def best(kind: int, share: int) -> tuple[float, int]:
+        allowed = np.flatnonzero(lost[kind] <= good_loss * share / SHARES)
+        gain = caught[kind, allowed] - lost[kind, allowed]
+        return gain.max(), int(allowed[gain.argmax()])
+
+    choices = [[best(kind, share) for share in range(SHARES + 1)] for kind in range(len(KINDS))]
+    splits = (split for split in product(range(SHARES + 1), repeat=len(KINDS)) if sum(split) == SHARES)
+    chosen = max(splits, key=lambda split: sum(c[share][0] for c, share in zip(choices, split, strict=True)))
+    return [c[share][1] / SCORE_STEPS for c, share in zip(choices, chosen, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS) -> tuple[DataFrame, Forest | None, float]:
-    """Statistics of all documents, the forest, and its threshold."""
+def fit(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS) -> tuple[DataFrame, Forests, list[float]]:
+    """Statistics of all documents, the forests, and their thresholds."""
     stats = cut_lineage(rule_statistics(docs))
     rows = _sample(stats, TREES * SUBSAMPLE)
-    forest = Forest(rows) if len(rows) else None
-    return stats, forest, _threshold(_scored(stats, forest), labels, good_loss)
+    forests = [Forest(rows[:, k]) for k in KINDS] if len(rows) else None
+    return stats, forests, _thresholds(_scored(stats, forests), labels, good_loss)
 
 
 def _failed(n_words: str = "n_words", n_repeat: str = "n_repeat_words"):
@@ -227,26 +251,29 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A missing or empty text has no words and fails. Repeated rows are judged alike. Labels with a
     missing id or quality are not used; without labels of both kinds only the fixed rules reject.
+    ``anomaly`` is the largest of the kinds.
     """
-    stats, forest, limit = fit(docs, labels)
-    scored = _scored(stats, forest)
-    kept = ~F.col("base_failed") & (F.col("anomaly") < limit)
+    stats, forests, limits = fit(docs, labels)
+    scored = _scored(stats, forests)
+    kept = ~F.col("base_failed")
+    for name, limit in zip(ANOMALIES, limits, strict=True):
+        kept &= F.col(name) < limit
     return scored.withColumn("base_failed", _failed()).select(
-        "doc_id", *BASE, "base_failed", kept.alias("kept"), "anomaly"
+        "doc_id", *BASE, "base_failed", kept.alias("kept"), F.greatest(*ANOMALIES).alias("anomaly")
     )
 
 
-def _passing(batches: Iterable[pa.RecordBatch], text_at: int, forest: Forest | None, limit: float):
+def _passing(batches: Iterable[pa.RecordBatch], text_at: int, forests: Forests, limits: list[float]):
     for batch in slices(batches, 1000):
         made = _stats_array(utf8(batch.column(text_at)))
         words, repeats = (made.field(c).to_numpy() for c in ("n_words", "n_repeat_words"))
-        anomaly = _anomaly(forest, [made.field(c) for c in FEATURES])
+        plain = (_anomalies(forests, [made.field(c) for c in FEATURES]) < limits).all(axis=1)
         failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
-        yield batch.filter(pa.array(~failed & (anomaly < limit), pa.bool_()))
+        yield batch.filter(pa.array(~failed & plain, pa.bool_()))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns unchanged."""
-    _, forest, limit = fit(docs, labels)
+    _, forests, limits = fit(docs, labels)
     text_at = docs.columns.index("text")
-    return docs.mapInArrow(lambda b: _passing(b, text_at, forest, limit), docs.schema)
+    return docs.mapInArrow(lambda b: _passing(b, text_at, forests, limits), docs.schema)
