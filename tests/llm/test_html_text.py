@@ -71,3 +71,20 @@ def test_all_visible_words_of_the_table(spark):
         page = re.sub(r"<head>.*?</head>|<!--.*?-->", "", html[row["page_id"]], flags=re.S)
         want = unescape(re.sub(r"<[^>]*(>|$)", " ", page)).split()
         assert [w for w in row["text"].split() if w != "-"] == [w for w in want if w != "-"]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is", "where x=2 is"),
+        ("<math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math> z", "y z"),
+        ("a<svg><title>t</title><desc>d</desc><defs><text>n</text></defs><text>b</text><text>c</text></svg>d", "a b c d"),
+        ("<svg><defs/><path d='M0 0'/><text>b</text></svg>", "b"),
+        ("<svg><foreignObject><div>in<desc>e</desc></div></foreignObject></svg>", "ine"),
+        ("<desc>shown</desc>", "shown"),
+        ("pick <select><option>a<option selected>b<option>c</select> now", "pick b now"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+    ],
+)
+def test_drawings_formulas_and_choices(html, text):
+    assert render(html) == text

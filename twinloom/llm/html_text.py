@@ -22,8 +22,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
     "head script style template title noscript datalist iframe noembed noframes audio video canvas object "
-    "svg math select rp".split()
+    "rp".split()
 )
+# Not painted inside drawings and formulas; elsewhere these are tags like any other.
+FOREIGN = ("svg", "math")
+FOREIGN_HIDDEN = frozenset(
+    "annotation annotation-xml mphantom defs symbol title desc metadata clippath mask pattern marker".split()
+)
+# Drawn at places of their own.
+APART = frozenset("text mtr mtd".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl pre blockquote table figure xmp".split())
 BLOCKS = SPACED | frozenset(
     "html body address article aside center details dialog dd div dt fieldset figcaption footer form "
@@ -114,6 +121,13 @@ class TreeBuilder:
         if tag not in HEAD_ONLY and self.open[-1].tag == "head":
             self.open.pop()
 
+    def foreign(self) -> bool:
+        """Whether a drawing or formula is open, and no HTML inside it."""
+        for node in reversed(self.open):
+            if node.tag in FOREIGN or node.tag == "foreignobject":
+                return node.tag != "foreignobject"
+        return False
+
     def start(self, tag: str, attrs: dict[str, str], alone: bool = False) -> None:
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
             return
@@ -127,6 +141,8 @@ class TreeBuilder:
         parent = self.open[-1].tag
         if tag in ("td", "th") and parent in ("table", "tbody", "thead", "tfoot"):
             self.start("tr", {})
+        if tag in FOREIGN_HIDDEN and self.foreign():
+            attrs = attrs | {"hidden": ""}
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if not alone and tag not in VOID and len(self.open) < DEEPEST:
@@ -165,8 +181,10 @@ def parse(html: str) -> Node:
             if match["end"]:
                 builder.end(tag)
             else:
-                builder.start(tag, _attributes(match["attrs"]))
-                if tag in RAW:
+                # Only foreign elements can end themselves.
+                alone = match["attrs"].endswith("/") and (tag in FOREIGN or builder.foreign())
+                builder.start(tag, _attributes(match["attrs"]), alone)
+                if tag in RAW and not alone:
                     stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
                     end = stop.start() if stop else len(html)
                     raw = html[at:end]
@@ -251,6 +269,12 @@ def _element(node: Node, out: Writer, depth: int, pre: bool) -> None:
     elif tag == "input":
         if node.attrs.get("type", "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
             out.inline(" " + node.attrs["value"] + " ")
+    elif tag == "select":
+        _select(node, out, depth)
+    elif tag in APART:
+        out.space = out.space or bool(out.line)
+        _render(node, out, depth, pre)
+        out.space = bool(out.line)
     elif tag == "table":
         out.block(True)
         _table(node, out, depth)
@@ -273,6 +297,26 @@ def _element(node: Node, out: Writer, depth: int, pre: bool) -> None:
         _render(node, out, depth, pre or tag == "textarea")
 
 
+def _options(node: Node) -> Iterable[Node]:
+    for child in node.children:
+        if isinstance(child, Node) and child.shown():
+            if child.tag == "option":
+                yield child
+            else:
+                yield from _options(child)
+
+
+def _select(node: Node, out: Writer, depth: int) -> None:
+    """All options of a list box; of a menu the last that is marked as selected."""
+    if "multiple" in node.attrs or node.number("size", 1) > 1:
+        _render(node, out, depth, False)
+        return
+    for option in [o for o in _options(node) if "selected" in o.attrs][-1:]:
+        out.space = out.space or bool(out.line)
+        _render(option, out, depth, False)
+        out.space = bool(out.line)
+
+
 def _list(node: Node, out: Writer, depth: int) -> None:
     number = node.number("start", 1)
     for child in node.children:
