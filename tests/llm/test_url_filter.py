@@ -1,9 +1,11 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from compare import rows_of
 from twinloom.llm.queries import ORACLES, URL_RULES
-from twinloom.llm.url_filter import judge_urls
+from twinloom.llm.url_filter import judge_urls, registered_domain, suffix_of
 
 URLS = [
     (1, "http://a.net/x"), (2, "http://a.net"), (3, "https://Example.NET/en/1?q#f"), (4, "https://m.example.net/en"),
@@ -63,6 +65,27 @@ def test_same_as_sql(spark, kind):
     assert rows_of(ours.columns, ours.collect()) == theirs
 
 
+def test_levels(spark):
+    want = {
+        "shop.spam.co.uk": ("spam.co.uk", "co.uk"), "a.b.com.br": ("b.com.br", "com.br"), "b.com.br": ("b.com.br", "com.br"),
+        "co.uk": ("co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "y.com": ("y.com", "com"), "com": ("com", "com"), "": ("", ""),
+        "10.1.1.1": ("10.1.1.1", "10.1.1.1"), "10.1.1.1:80": ("10.1.1.1:80", "10.1.1.1:80"),
+        "[2001:db8::1.2.3.4]": ("[2001:db8::1.2.3.4]", "[2001:db8::1.2.3.4]"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    found = hosts.select("host", registered_domain(F.col("host")), suffix_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == want
+
+
+def test_siblings_under_a_public_suffix(spark):
+    """A new host learns from its own domain, not from others under the same suffix."""
+    rows = [(i, f"http://s{i % 5}.{d}.co.uk/{i}") for d, r in (("bad", range(100)), ("good", range(100, 200))) for i in r]
+    rows += [(200, "http://new.bad.co.uk/"), (201, "http://new.good.co.uk/")]
+    marks = [(i, int(i >= 100), 0) for i in range(200)]
+    found = {r["page_id"]: r for r in judge_urls(pages(spark, rows), labelled(spark, marks), URL_RULES).collect()}
+    assert found[200]["verdict"] == "block" and found[201]["verdict"] == "allow"
+
+
 def test_no_python_and_empty(spark):
     found = judge_urls(pages(spark, []), labelled(spark, []), URL_RULES)
     assert found.count() == 0

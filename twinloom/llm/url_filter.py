@@ -18,6 +18,30 @@ BOUND = 1.645
 MAX_BAD_RATE = 0.5
 # Prior weights stay inside these; a level without spread gets the largest.
 WEIGHTS = (1.0, 1000.0)
+# Public suffixes of more than one label: those under which a country's names are commonly registered.
+# Private ones (hosting services) and rarer ones are not listed; under them the last label is the suffix.
+_SECOND = {
+    "ac": "ao at be bw ci cn cr cy fj gn id il im in ir jp ke kr lk ls ma me mu mw mz ni nz pa pr rs rw se sz th tj tz ug uk uz vn za zm zw",
+    "co": "ag ao at bb bi bw bz ci cm cr cz gg gy id il im in ir it je jp ke kr lc ls ma me mu mw mz na ni nz pn rs rw sz th tj tm tt tz ug uk uz ve vi za zm zw",
+    "com": "ag ai al an ar au aw az ba bb bd bh bi bm bn bo br bs bt by bz ci cn co cu cv cw cy dm do dz ec ee eg es et fj ge gh gi gl gn gp gr gt gu gy hk hn hr ht im iq is jm jo kg kh ki km kp kw ky kz la lb lc lk lr lv ly mg mk ml mm mo ms mt mu mv mw mx my na nf ng ni np nr om pa pe pf pg ph pk pl pr ps pt py qa re ro sa sb sc sd sg sh sl sn so st sv sy tj tm tn to tr tt tw ua ug uy uz vc ve vi vn vu ws ye zm",
+    "edu": "ac al ar au az ba bb bd bh bo br bs bt bz cn co cu cw dm do dz ec eg es et ge gh gr gt hk hn iq it jo kg kh kw ky kz lb lk lr lv ly mk mm mo ms mt mx my ng ni np om pa pe ph pk pl ps pt py qa ro sa sb sc sg sv sy tr tt tw ua uy ve vn za",
+    "gov": "ac ae af al ar as au az ba bb bd bh bm bn br bs bt by bz cn co cu cy dm do dz ec eg et ge gh gi gr ie il in iq ir it jm jo kh ki kw ky kz la lb lk lr lt lv ly ma me mk mm mo ms mt mu my ng np om ph pk pl ps pt py qa rs ru rw sa sb sc sd sg sl st sy tr tt tw ua uk ve vn za zm",
+    "net": "ac ae ag ai al ar au az ba bb bd bh bm bn bo br bs bt bz ci cn co cu cw cy dm do dz ec eg et fj ge gg gl gn gp gr gt gy hk hn id il im in iq ir is je jm jo kg kh ki kn kw ky kz la lb lc lk lr lv ly ma me mk ml mm mo ms mt mu mv mw mx my nf ng ni nr nz om pa pe ph pk pl pr ps pt py qa rw sa sb sc sd sg sh sl so st sy th tj tm tn to tr tt tw ua uk uy uz vc ve vi vn vu ws ye za zm",
+    "org": "ac ae ag ai al ar au az ba bb bd bh bi bm bn bo br bs bt bw bz ci cn co cu cw cy dm do dz ec ee eg es et fj ge gg gh gi gl gn gp gr gt gy hk hn hu il im in iq ir is je jm jo kg kh ki km kn kp kw ky kz la lb lc lk lr ls lv ly ma me mg mk ml mm mn mo ms mt mu mv mw mx my mz na ng ni nr nz om pa pe pf ph pk pl pr ps pt py qa ro rs rw sa sb sc sd se sg sh sl sn so st sv sy sz tj tm tn to tr tt tw ua ug uk uy uz vc ve vi vn vu ws ye za zm zw",
+    "gob": "ar bo cl do ec es gt hn mx ni pa pe sv ve",
+    "go": "ci cr id jp ke kr th tj tz ug",
+    "or": "at bi ci cr id it jp ke kr mu na th tz ug",
+    "ne": "jp ke kr tz ug us",
+    "nom": "br co es fr ni pa pe pl re ro za",
+    "gen": "in nz tr", "ltd": "uk cy lk", "plc": "uk ly", "me": "uk tz", "sch": "uk id ae sa ng", "nhs": "uk", "police": "uk",
+    "firm": "in ro", "ind": "br in", "nic": "in", "res": "in", "mil": "br cn co kr ph pl tr za",
+    "id": "au ir lv ly", "asn": "au lv", "school": "nz", "geek": "nz", "maori": "nz", "iwi": "nz", "govt": "nz",
+    "art": "br dz", "adv": "br", "blog": "br", "eco": "br", "eng": "br", "jus": "br", "leg": "br", "tv": "br tr", "wiki": "br",
+    "ad": "jp", "ed": "jp cr", "gr": "jp", "lg": "jp", "re": "kr", "pe": "kr", "idv": "tw hk", "in": "th", "mi": "th",
+    "web": "id za tr", "my": "id", "biz": "id pl tr pk", "info": "pl tr", "waw": "pl", "muni": "il", "k12": "il tr", "bel": "tr",
+}
+SUFFIXES = tuple(sorted(f"{name}.{country}" for name, countries in _SECOND.items() for country in countries.split()))
+_ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]*)?$|^\["
 # (rule, verdict)
 Rules = tuple[tuple[str, str], ...]
 
@@ -42,15 +66,26 @@ def _labels_of(host: Column) -> Column:
     return F.split(host, r"\.")
 
 
+def _suffix_labels(host: Column) -> Column:
+    """How many labels the public suffix has."""
+    return F.when(F.array_join(F.slice(_labels_of(host), -2, 2), ".").isin(*SUFFIXES), 2).otherwise(1)
+
+
+def _last(host: Column, labels: Column) -> Column:
+    """The last labels; the host if it has no more, or is an address."""
+    parts = _labels_of(host)
+    whole = (F.size(parts) <= labels) | host.rlike(_ADDRESS)
+    return F.when(whole, host).otherwise(F.array_join(F.slice(parts, -labels, labels), "."))
+
+
 def suffix_of(host: Column) -> Column:
-    """The last label."""
-    return F.element_at(_labels_of(host), -1)
+    """The public suffix: a listed one of two labels, or the last label."""
+    return _last(host, _suffix_labels(host))
 
 
 def registered_domain(host: Column) -> Column:
-    """The last two labels, or the host if it has fewer."""
-    parts = _labels_of(host)
-    return F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(host)
+    """The public suffix and the label before it, or the host if it has no more."""
+    return _last(host, _suffix_labels(host) + 1)
 
 
 def longest_rule(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
