@@ -97,6 +97,16 @@ def test_texts(spark):
     assert found == {1: rows[0][1], 2: "new text", 3: None}
 
 
+def test_texts_with_missing_and_repeated_ids(spark):
+    rows = [(1, "one line of this text\nold words again"), (1, "old words again\nother words"), (None, "old words again\nz"), (None, None)]
+    docs = documents(spark, rows, clashes=True).coalesce(1)
+    found = drop_lines(docs)
+    assert found.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in found.collect()), key=repr)
+    want = [(1, rows[0][1]), (1, "other words"), (None, "z"), (None, None)]
+    assert got == sorted(((i, t, len(r[1] or "")) for (i, t), r in zip(want, rows, strict=True)), key=repr)
+
+
 def test_recall_of_bands():
     """Lines at the threshold share a band about as often as the formula says."""
     draw = random.Random(5)

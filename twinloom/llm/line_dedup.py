@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import components, slices
+from twinloom.llm.common import columns_of, components, fresh, slices
 from twinloom.storage import cut_lineage, scratch_path
 
 SHINGLE = 8
@@ -89,13 +89,17 @@ SCAN = "row long, doc_id {}, n_lines int, place int, line binary, " + ", ".join(
 
 
 def _scanned(batches: Iterable[pa.RecordBatch]):
-    """A row for each document, and one for each line that has a word; band keys are sent once."""
+    """A row for each document, and one for each line that has a word; band keys are sent once.
+
+    Documents are numbered unless a third column does that.
+    """
     base, number = TaskContext.get().partitionId() << 40, count()
     sent: set[bytes] = set()
     names = [part.split()[0] for part in SCAN.split(", ")]
     for batch in slices(batches, 200):
         size = batch.num_rows
-        rows = pa.array([base + next(number) for _ in range(size)], pa.int64())
+        given = batch.num_columns > 2
+        rows = batch.column(2) if given else pa.array([base + next(number) for _ in range(size)], pa.int64())
         texts = [t or "" for t in batch.column(1).to_pylist()]
         totals = pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32())
         empty = [pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), *[pa.nulls(size, pa.int64())] * BANDS]
@@ -210,8 +214,12 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAI
     has no lines. Repeated rows are documents of their own; a missing ``doc_id`` comes last; an
     empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
+    return _dropped(docs.select("doc_id", "text"), similar, pairwise).drop("row")
+
+
+def _dropped(source: DataFrame, similar: float, pairwise: int) -> DataFrame:
+    """``dropped_lines`` of ``(doc_id, text)``, or of ``(doc_id, text, row)``, and the ``row``."""
+    spark = source.sparkSession
     path = scratch_path(spark, "lines")
     schema = SCAN.format(source.schema["doc_id"].dataType.simpleString())
     source.mapInArrow(_scanned, schema).write.parquet(path)
@@ -223,7 +231,7 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAI
     path = scratch_path(spark, "distinct-lines")
     distinct.select("line", short, "n", *KEYS).write.parquet(path)
     lines = spark.read.parquet(path)
-    roots = components(similar_links(docs, lines.select("short", *KEYS), similar, pairwise))
+    roots = components(similar_links(source, lines.select("short", *KEYS), similar, pairwise))
     known = lines.select("line", "n").join(roots.withColumnRenamed("node", "line"), "line", "left")
     # A line that occurs once and is like no other stays, without more to be done.
     shared = known.where("n > 1 or root is not null").select("line", F.coalesce("root", "line").alias("root"))
@@ -237,13 +245,19 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAI
     documents = scan.where("line is null").select("row", "doc_id", "n_lines")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return documents.join(gone, "row", "left").select(
-        "doc_id", "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped")
+        "row", "doc_id", "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped")
     )
 
 
-def drop_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id`` and ``text`` without the dropped lines; ``doc_id`` must identify a row."""
-    lines = F.split(F.col("text"), "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains("dropped", i))
-    rows = docs.select("doc_id", "text").join(dropped_lines(docs, similar), "doc_id")
-    return rows.select("doc_id", F.array_join(left, "\n").alias("text"))
+def drop_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
+    """The rows of ``docs`` with the dropped lines taken out of ``text``, other columns unchanged.
+
+    Rows are numbered and stored first, so missing and repeated ids are documents of their own.
+    """
+    row, gone = fresh(docs, "_row"), fresh(docs, "_dropped")
+    stored = cut_lineage(docs.select(*columns_of(docs), F.monotonically_increasing_id().alias(row)))
+    found = _dropped(stored.select("doc_id", "text", row), similar, pairwise)
+    found = found.select(F.col("row").alias(row), F.col("dropped").alias(gone))
+    left = F.filter(F.split(F.col("text"), "\n"), lambda _, i: ~F.array_contains(gone, i))
+    joined = stored.join(found, row).withColumn("text", F.array_join(left, "\n"))
+    return joined.select(*columns_of(docs))
