@@ -123,3 +123,17 @@ def test_validation_and_evaluation_batches(spark, indexed, vocab):
     first = next(r for r in test if r.row_idx == 0)
     assert first.tgt_text == "lez 0 x" and first.forced_bos_token_id == 4
     assert first.max_new_tokens == 32 + 3 * len(first.x)
+
+
+def test_large_vocabularies_are_joined(spark, indexed, vocab, monkeypatch):
+    """The same ids, missing texts and repeated rows included, as where the vocabulary is sent."""
+    texts = indexed.select("ru", "lez").unionByName(indexed.select("ru", "lez").limit(2))
+    texts = texts.unionByName(texts.limit(1).select(F.lit(None).cast("string").alias("ru"), "lez"))
+    columns = {"x": "ru", "y": "lez"}
+
+    def found():
+        return sorted((tuple(r) for r in plans.encode_texts(texts, columns, vocab, 2).select("ru", "lez", "x", "y").collect()), key=repr)
+
+    want = found()
+    monkeypatch.setattr(plans, "encode_columns", lambda *_: None)
+    assert found() == want

@@ -10,15 +10,25 @@ from twinloom.functions.text import preprocess
 from twinloom.functions.tokens import NEW_TOKENS_BASE, NEW_TOKENS_PER_INPUT
 from twinloom.operators import batching
 from twinloom.operators.ordering import draw_rows, epoch_shuffle, with_row_idx
-from twinloom.operators.segment import encode_columns
+from twinloom.operators.segment import encode_by_joins, encode_columns
+from twinloom.storage import cut_lineage
 
 
 def encode_texts(df: DataFrame, columns: dict[str, str], vocab: DataFrame, unk_id: int) -> DataFrame:
-    """``df`` with the ids of its normalised texts, each text once and in place."""
+    """``df`` with the ids of its normalised texts, each text once and in place.
+
+    With a vocabulary too large to be sent, texts are encoded by joins on numbers given to the rows.
+    """
     clean = df.withColumns({f"_clean_{new}": preprocess(F.col(old)) for new, old in columns.items()})
     encoded = encode_columns(clean, {new: f"_clean_{new}" for new in columns}, vocab, unk_id)
     if encoded is None:
-        raise ValueError("the vocabulary is too large to be sent to the tasks")
+        # Stored, so that every join sees the same numbers.
+        encoded = numbered = cut_lineage(clean.withColumn("_row", F.monotonically_increasing_id()))
+        for new in columns:
+            ready = numbered.select("_row", F.col(f"_clean_{new}").alias("_text"))
+            ids = encode_by_joins(ready, ["_row"], vocab, unk_id).withColumnRenamed("ids", new)
+            encoded = encoded.join(ids, "_row")
+        encoded = encoded.drop("_row")
     return encoded.drop(*(f"_clean_{new}" for new in columns))
 
 
