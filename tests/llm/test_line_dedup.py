@@ -107,6 +107,22 @@ def test_texts_with_missing_and_repeated_ids(spark):
     assert got == sorted(((i, t, len(r[1] or "")) for (i, t), r in zip(want, rows, strict=True)), key=repr)
 
 
+def test_shared_passages_are_not_all_pairs(spark, monkeypatch):
+    """Unlike lines that share a passage meet in large buckets; few of their pairs are compared."""
+    passage = " ".join(prose(1, 30, 5000).split())
+    rows = [(i, f"{passage} {' '.join(prose(1000 + i, 14, 50000).split())}") for i in range(150)]
+    rows += [(200 + i, rows[i][1] + "x") for i in range(0, 150, 10)]
+    similar, compared = line_dedup._similar, []
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_similar", counted)
+    assert result(dropped_lines(documents(spark, rows).coalesce(1), pairwise=8)) == brute(rows)
+    assert sum(compared) < len(rows) * 12
+
+
 def test_recall_of_bands():
     """Lines at the threshold share a band about as often as the formula says."""
     draw = random.Random(5)

@@ -8,6 +8,7 @@ distributed union, and the first line of each component stays.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable
 from itertools import count
 
@@ -31,6 +32,10 @@ BLANKS = " \t\n\r\x0b\x0c"
 SIEVE_BITS = 1 << 27
 # Lines whose signature a task remembers having sent.
 REMEMBERED = 1_000_000
+# Cells that count how common shingles are, for their order only.
+CELLS = 1 << 20
+# After so many rounds of comparing with one line what still shares a rare shingle is compared pair by pair.
+ROUNDS = 8
 KEYS = [f"b{i}" for i in range(BANDS)]
 
 _DRAW = np.random.default_rng(42)
@@ -49,8 +54,8 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """One row of band keys for each line. Lines with equal shingles have equal keys."""
+def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, line after line, and how many each line has."""
     padded = [line.ljust(SHINGLE, "\0") for line in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     sizes = np.array([len(p) for p in padded])
@@ -62,7 +67,13 @@ def band_keys(lines: list[str]) -> np.ndarray:
     counts = sizes - SHINGLE + 1
     begin = np.cumsum(counts) - counts
     at = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - begin, counts)
-    mixed = (rolled[at] ^ (rolled[at] >> np.uint64(31))) * _MIX
+    return (rolled[at] ^ (rolled[at] >> np.uint64(31))) * _MIX, counts
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """One row of band keys for each line. Lines with equal shingles have equal keys."""
+    mixed, counts = shingle_codes(lines)
+    begin = np.cumsum(counts) - counts
     base = (mixed >> np.uint64(32)).astype(np.uint32)
     keys = np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
@@ -174,13 +185,102 @@ def _similar(pairs: DataFrame, contents: DataFrame, similar: float) -> DataFrame
     return both.mapInArrow(lambda x: _verified(x, similar), "a binary, b binary, sa long, sb long")
 
 
+def _code_sets(texts: list[str]) -> list[np.ndarray]:
+    codes, counts = shingle_codes(texts)
+    return [np.unique(c) for c in np.split(codes, np.cumsum(counts)[:-1])]
+
+
+def _commonness(batches: Iterable[pa.RecordBatch]):
+    """How many of the task's lines have a shingle of each cell."""
+    cells = np.zeros(CELLS, np.int64)
+    for batch in slices(batches, 500):
+        if batch.num_rows:
+            found = np.concatenate(_code_sets(batch.column(0).to_pylist())) & np.uint64(CELLS - 1)
+            cells += np.bincount(found.astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(cells)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+
+
+PREFIXES = "token long, short long, unlike boolean, size int, tight boolean"
+
+
+def _prefixes(batches: Iterable[pa.RecordBatch], common, similar: float):
+    """The rarest shingles of each line, as many as a similar line can't all be without.
+
+    Of a similar pair the shorter line has a ``tight`` one among all of the longer line's.
+    """
+    cells = common.value
+    for batch in slices(batches, 500):
+        tokens, rows, sizes, tight = [], [], [], []
+        for row, codes in enumerate(_code_sets(batch.column(2).to_pylist()) if batch.num_rows else ()):
+            n = len(codes)
+            ordered = codes[np.lexsort((codes, cells[(codes & np.uint64(CELLS - 1)).astype(np.int64)]))]
+            # A similar line has at least so many of them, and one that is not shorter, so many.
+            least, more = (math.ceil(share * n - 1e-9) for share in (similar, 2 * similar / (1 + similar)))
+            size = n - least + 1
+            tokens.append(ordered[:size].view(np.int64))
+            rows.append(np.full(size, row))
+            sizes.append(np.full(size, n, np.int32))
+            tight.append(np.arange(size) <= n - more)
+        if tokens:
+            chosen = pa.array(np.concatenate(rows))
+            made = [pa.array(np.concatenate(c)) for c in (tokens, sizes, tight)]
+            columns = [made[0], batch.column(0).take(chosen), batch.column(1).take(chosen), made[1], made[2]]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "short", "unlike", "size", "tight"])
+
+
+def _rest_links(members: DataFrame, contents: DataFrame, similar: float, pairwise: int) -> DataFrame:
+    """Links that connect each line marked ``unlike`` in ``(short, unlike)`` with all similar lines.
+
+    Only lines that share a rare shingle meet, which loses no similar pair whatever the order of
+    shingles. Where many do, they are compared with one of the unlike lines; what is like it needs
+    no comparison among its own any more.
+    """
+    texts = cut_lineage(contents.join(members, "short").select("short", "unlike", "content"))
+    cells = texts.select("content").mapInArrow(_commonness, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(CELLS, np.int64)
+    common[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+    left = texts.mapInArrow(lambda b: _prefixes(b, sent, similar), PREFIXES)
+    links = None
+    for round_ in range(ROUNDS + 1):
+        counts = left.groupBy("token").agg(
+            F.count("*").alias("n"), F.min(F.when(F.col("unlike"), F.col("short"))).alias("leader")
+        )
+        left = cut_lineage(left.join(counts.where("n > 1 and leader is not null"), "token"))
+        few = left if round_ == ROUNDS else left.where(F.col("n") <= pairwise)
+        x, y = few.alias("x"), few.alias("y")
+        meet = (
+            "x.token = y.token and (x.size > y.size or x.size = y.size and x.short > y.short) and y.tight"
+            f" and (x.unlike or y.unlike) and y.size >= {similar} * x.size"
+        )
+        pairs = x.join(y, F.expr(meet)).select(
+            F.least("x.short", "y.short").alias("sa"), F.greatest("x.short", "y.short").alias("sb")
+        )
+        many = left.where(F.col("n") > pairwise)
+        if round_ < ROUNDS:
+            starred = many.where("short <> leader").select(
+                F.least("leader", "short").alias("sa"), F.greatest("leader", "short").alias("sb")
+            )
+            pairs = pairs.unionByName(starred)
+        found = cut_lineage(_similar(pairs.distinct(), contents, similar))
+        links = found if links is None else links.unionByName(found)
+        if round_ == ROUNDS or many.isEmpty():
+            return links
+        both = found.select("sa", "sb").unionByName(found.select(F.col("sb").alias("sa"), F.col("sa").alias("sb")))
+        like = both.distinct().select(F.col("sa").alias("leader"), F.col("sb").alias("short"), F.lit(True).alias("like"))
+        still = F.col("unlike") & (F.col("short") != F.col("leader")) & F.col("like").isNull()
+        left = many.join(like, ["leader", "short"], "left").select("token", "short", still.alias("unlike"), "size", "tight")
+    return links
+
+
 def similar_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
     """Links ``(a, b)`` of line ids that connect all similar lines sharing a band.
 
     ``lines`` has ``short`` and the band keys of each distinct line. In buckets of up to
     ``pairwise`` lines all pairs are compared. In a larger one every line is compared with the
-    first, and a line that is not similar to it with all others: what is similar to the first is
-    connected already. Half of a line's id stands for it until its text is at hand.
+    first: what is similar to it is connected already. The others go by their rare shingles. Half
+    of a line's id stands for it until its text is at hand.
     """
     placed = lines.select("short", F.explode(F.array(*KEYS)).alias("key"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -199,11 +299,13 @@ def similar_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, p
     unlike = placed_many.where("short <> first").join(
         links.select(F.col("sa").alias("first"), F.col("sb").alias("short")), ["first", "short"], "left_anti"
     )
-    others = placed_many.select("key", F.col("short").alias("other"))
-    rest = unlike.join(others, "key").where("short <> other and other <> first").select(
-        F.least("short", "other").alias("sa"), F.greatest("short", "other").alias("sb")
-    )
-    return links.unionByName(_similar(rest.distinct(), contents, similar)).select("a", "b")
+    buckets = unlike.select("key").distinct()
+    odd = unlike.select("short").distinct().withColumn("unlike", F.lit(True))
+    members = placed_many.join(buckets, "key", "left_semi").select("short").distinct().join(odd, "short", "left")
+    members = cut_lineage(members.select("short", F.coalesce("unlike", F.lit(False)).alias("unlike")))
+    if members.isEmpty():
+        return links.select("a", "b")
+    return links.unionByName(_rest_links(members, contents, similar, pairwise)).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
