@@ -7,8 +7,20 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinloom.llm import bpe, exact_dedup, html_text, language, line_dedup, lm, mixing, quality, simhash, url_filter
-from twinloom.llm.common import id_remainder, table
+from twinloom.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    language,
+    line_dedup,
+    lm,
+    mixing,
+    periodic_runs,
+    quality,
+    simhash,
+    url_filter,
+)
+from twinloom.llm.common import id_remainder, table, words_of
 
 # The file that the contract names, in the package of public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
@@ -64,6 +76,48 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` as the contract wants them: a tenth of the texts ends in a repeated part.
+
+    Where crc32 of the id is ``h = 10 * g``, words from the ``g % n``-th on repeat with a period. Texts
+    of missing ids stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words_of(F.col("text"))).alias("w"))
+    size = chosen.withColumn("n", F.size("w"))
+    start = F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int"))
+    placed = size.withColumn("a", start)
+    left = F.col("n") - F.col("a")
+    placed = placed.withColumn("p", (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int"))
+    part = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(part, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    periodic = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(_made_periodic(docs))
+    # Runs come by start and period, so the first of equally strong ones is the one to keep.
+    none = F.lit(None).cast(periodic_runs.RUN)
+    best = F.reduce(
+        "runs",
+        none,
+        lambda top, r: F.when(top.isNull() | (r["length"] * top["period"] > top["length"] * r["period"]), r).otherwise(top),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +131,7 @@ QUERIES = {
         op8_mixing,
         op9_simhash,
         op10_url_filters,
+        op11_periodic_runs,
     )
 }
 
