@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ from twinloom.llm import (
     line_dedup,
     lm,
     mixing,
+    nearest,
     periodic_runs,
     quality,
     simhash,
     url_filter,
+    vector_codes,
 )
 from twinloom.llm.common import id_remainder, table, words_of
 
@@ -118,6 +121,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return vector_codes.total_errors(coded).select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -132,6 +148,8 @@ QUERIES = {
         op9_simhash,
         op10_url_filters,
         op11_periodic_runs,
+        op12_nearest_neighbours,
+        op13_vector_codes,
     )
 }
 
@@ -144,6 +162,21 @@ def _prior_weight_sql(groups: str) -> str:
                             sum(n * (n - 1) * m * (1 - m)) AS most FROM {groups} WHERE n > 1))"""
 
 
+def _nearest_sql(book: str) -> str:
+    """Nearest entry ``e`` and squared distance ``d`` of each part; the distance leads in one number."""
+    far = " + ".join(f"(p.x{k} - b.x{k}) ** 2" for k in range(4))
+    return f"""(SELECT r, part, m % 64 AS e, m // 64 AS d FROM (SELECT r, part, min(({far})::BIGINT * 64 + e) AS m
+               FROM p JOIN {book} b USING (part) GROUP BY r, part))"""
+
+
+def _moved_sql(book: str) -> str:
+    """Entries moved to the floor of their parts' mean; unused ones stay."""
+    means = ", ".join(f"floor(sum(x{k}) / count(*))::BIGINT AS x{k}" for k in range(4))
+    now = ", ".join(f"coalesce(m.x{k}, b.x{k}) AS x{k}" for k in range(4))
+    return f"""(SELECT b.part, b.e, {now} FROM {book} b LEFT JOIN (SELECT part, e, {means}
+               FROM p JOIN {_nearest_sql(book)} USING (r, part) GROUP BY part, e) m USING (part, e))"""
+
+
 ORACLES = {
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
@@ -186,4 +219,22 @@ ORACLES = {
                round(bound, 6) AS bad_rate_bound
         FROM f
     """,
+    "op13_vector_codes": f"""
+        WITH k AS MATERIALIZED (
+            SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r
+            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        p AS MATERIALIZED (
+            SELECT r, part, {", ".join(f"floor(256 * v[4 * part + {k + 1}]::DOUBLE)::BIGINT AS x{k}" for k in range(4))}
+            FROM k, range(16) AS t(part)),
+        b0 AS MATERIALIZED (SELECT part, r - 1 AS e, x0, x1, x2, x3 FROM p WHERE r <= 64),
+        b1 AS MATERIALIZED {_moved_sql("b0")},
+        b2 AS MATERIALIZED {_moved_sql("b1")},
+        f AS MATERIALIZED (
+            SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+            FROM {_nearest_sql("b2")} GROUP BY r),
+        h AS (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM k JOIN f USING (r), h
+    """,
 }
