@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.operators.parts import explode_substrings
+from twinloom.operators.parts import explode_substrings, text_ranges
 from twinloom.storage import fan_out
 
 # The kernels travel inside the job, so executors need no copy of this package.
@@ -29,17 +29,19 @@ def build_lattice(
     words: DataFrame,
     pieces: DataFrame,
     max_length: int,
-    word: str = "word",
+    *keep: str,
     unknown_score: float | None = None,
 ) -> DataFrame:
-    """``words`` plus ``size`` and the parallel edge arrays ``e``, ``s``, ``pid``.
+    """``(*keep, size)`` of ``words(word, *keep)`` and the parallel edge arrays ``e``, ``s``, ``pid``.
 
-    ``pieces`` is ``(piece, pid)``, or ``(piece, pid, score)`` to add an array ``score``. Given
-    an ``unknown_score``, a character without a piece of its own gets an edge ``NO_PIECE``, so
-    that every word has a path.
+    ``keep`` identifies a word, so that the word itself need not travel with its edges. ``pieces`` is
+    ``(piece, pid)``, or ``(piece, pid, score)`` to add an array ``score``. Given an
+    ``unknown_score``, a character without a piece of its own gets an edge ``NO_PIECE``, so that
+    every word has a path. Words are exploded in ranges.
     """
-    sized = fan_out(words, word).withColumn("size", F.length(word))
-    parts = explode_substrings(sized, word, max_length, *words.columns, "size")
+    sized = words.select(*keep, F.col("word").alias("_text"), F.length("word").alias("size"))
+    ranges = fan_out(text_ranges(sized, "_text", max_length, *keep, "size"), *keep, "at")
+    parts = explode_substrings(ranges, "_text", max_length, *keep, "size", "at", starts="own")
     values = [c for c in ("pid", "score") if c in pieces.columns]
     lookup = pieces.select("piece", *values)
     if unknown_score is None:
@@ -52,11 +54,12 @@ def build_lattice(
             .withColumns({c: F.coalesce(c, fallback[c]) for c in values})
         )
     edge = ("e", "s", *values)
-    edges = F.sort_array(F.collect_list(F.struct(*edge)))
+    moved = [(F.col("at") + F.col(c)).alias(c) for c in ("e", "s")]
+    edges = F.sort_array(F.collect_list(F.struct(*moved, *values)))
     return (
-        found.groupBy(*words.columns, "size")
+        found.groupBy(*keep, "size")
         .agg(edges.alias("_edges"))
-        .select(*words.columns, "size", *[F.col("_edges")[c].alias(c) for c in edge])
+        .select(*keep, "size", *[F.col("_edges")[c].alias(c) for c in edge])
     )
 
 

@@ -1,7 +1,8 @@
 """Text to subword ids and back.
 
-A vocabulary is the small side: it is sent to the tasks, after its size has been checked, and
-texts are encoded where they lie, without a shuffle. A vocabulary too large for that is joined.
+A vocabulary is the small side: it is sent to the tasks as a few flat arrays, after their size has
+been checked, and texts are encoded where they lie, without a shuffle. A vocabulary too large for that
+is joined.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 
 from twinloom.functions.subwords import SPACE_MARK, marked_words
 from twinloom.operators.lattice import NO_PIECE, best_paths, build_lattice, read_edges
+from twinloom.operators.pieces import BYTES_PER_PIECE, PieceTable, Spelling, portions, ragged
 from twinloom.operators.vocabulary import NORMAL, normal_pieces
 from twinloom.storage import fan_out
 
@@ -26,64 +29,45 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed value: how far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
-# Bytes of pieces that are sent to every task; about ten times as much in a worker's memory.
+# Bytes of the arrays that are sent to every task, and held there.
 SHIPPED_BYTES = 64 << 20
-# Words whose ids a worker remembers; forgetting them costs time only.
-REMEMBERED = 300_000
-
-
-class Segmenter:
-    """Best segmentations of words, over pieces ``{text: (score, id)}``."""
-
-    def __init__(self, pieces: dict[str, tuple[float, int]], unk_id: int):
-        self.pieces, self.unk_id = pieces, unk_id
-        self.unknown = min((s for s, _ in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        # Beginnings of pieces: a walk along the word stops where none goes on.
-        self.begun = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
-        self.known: dict[str, list[int]] = {}
-
-    def best(self, word: str) -> list[int]:
-        """Ids of the best path; of equally good ones, that whose last piece is longest."""
-        size = len(word)
-        score, back = [0.0] + [-np.inf] * size, [(0, self.unk_id)] * (size + 1)
-        for start in range(size):
-            here = score[start]
-            end = start + 1
-            if word[start] not in self.pieces and here + self.unknown > score[end]:
-                score[end], back[end] = here + self.unknown, (start, self.unk_id)
-            while end <= size and (part := word[start:end]) in self.begun:
-                found = self.pieces.get(part)
-                if found is not None and here + found[0] > score[end]:
-                    score[end], back[end] = here + found[0], (start, found[1])
-                end += 1
-        ids, at = [], size
-        while at:
-            at, piece = back[at]
-            ids.append(piece)
-        return ids[::-1]
-
-    def of(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = self.known[word] = self.best(word)
-        return ids
-
-    def encode(self, words: list[str] | None) -> list[int]:
-        """Ids of a text; a run of unknown characters is one unknown token."""
-        ids: list[int] = []
-        for word in words or ():
-            for i in self.of(word):
-                if i != self.unk_id or not ids or ids[-1] != i:
-                    ids.append(i)
-        return ids
-
-
-def shipped(vocab: DataFrame, limit: int = SHIPPED_BYTES) -> pa.Table | None:
-    """``(id, piece, score, type)`` on the driver, or None if it is larger than ``limit``."""
-    size = vocab.agg(F.coalesce(F.sum(F.octet_length("piece") + 16), F.lit(0))).first()[0]
-    return vocab.select("id", "piece", "score", "type").toArrow() if size <= limit else None
+# Words, or bytes of distinct words or ids, that are worked on together.
+TOGETHER = 1 << 21
+
+
+def shipped(vocab: DataFrame, limit: int | None = None) -> pa.Table | None:
+    """Normal pieces ``(id, piece, score)`` on the driver, or None if their arrays are over ``limit``."""
+    normal = normal_pieces(vocab).where("piece <> ''").select("id", "piece", F.col("score").cast("double"))
+    size = normal.agg(F.coalesce(F.sum(F.octet_length("piece") + BYTES_PER_PIECE), F.lit(0))).first()[0]
+    return normal.toArrow() if size <= (SHIPPED_BYTES if limit is None else limit) else None
+
+
+def piece_table(pieces: pa.Table) -> PieceTable:
+    return PieceTable.build(pieces.column("piece"), pieces.column("score"), pieces.column("id"))
+
+
+def _encoded(words: pa.ListArray, table: PieceTable, unk_id: int, unknown_score: float) -> pa.ListArray:
+    """Ids of lists of words; distinct words are segmented once, missing lists have no ids."""
+    per_text = words.value_lengths().fill_null(0).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    found, length = [], []
+    sizes = pc.binary_length(coded.dictionary).to_numpy()
+    for start, stop in portions(sizes, TOGETHER):
+        ids, counts = table.segment(coded.dictionary.slice(start, stop - start), unk_id, unknown_score)
+        found.append(ids)
+        length.append(counts)
+    ids, length = (np.concatenate([np.empty(0, np.int64), *x]) for x in (found, length))
+    length = length.astype(np.int64)
+    word = coded.indices.to_numpy().astype(np.int64)
+    starts = np.cumsum(length) - length
+    tokens = ids[ragged(starts[word], length[word])].astype(np.int32)
+    cuts = np.append(0, np.cumsum(length[word]))[np.append(0, np.cumsum(per_text))]
+    # A run of unknown characters is one unknown token.
+    kept = np.ones(len(tokens), dtype=bool)
+    kept[1:] = (tokens[1:] != unk_id) | (tokens[:-1] != unk_id)
+    kept[cuts[:-1][cuts[:-1] < len(tokens)]] = True
+    offsets = np.append(0, np.cumsum(kept))[cuts]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[kept]))
 
 
 def encode_columns(
@@ -93,12 +77,12 @@ def encode_columns(
 
     No row moves. None stands for a vocabulary that is too large to be sent.
     """
-    table = shipped(vocab)
-    if table is None:
+    pieces = shipped(vocab)
+    if pieces is None:
         return None
-    rows = zip(*(table.column(c).to_pylist() for c in ("piece", "score", "id", "type")), strict=True)
-    pieces = {p: (float(s), i) for p, s, i, kind in rows if kind == NORMAL and p}
-    model = df.sparkSession.sparkContext.broadcast(Segmenter(pieces, unk_id))
+    table = piece_table(pieces)
+    unknown = float(table.score.min() if len(table) else 0.0) - UNKNOWN_PENALTY
+    model = df.sparkSession.sparkContext.broadcast(table)
     split = {f"_words_{new}": marked_words(F.col(old), dummy_prefix) for new, old in columns.items()}
     ready = df.withColumns(split)
     kept, schema = df.columns, df.schema
@@ -107,13 +91,13 @@ def encode_columns(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = model.value.encode
         for batch in batches:
-            made = []
-            for new in columns:
-                texts = batch.column(f"_words_{new}").to_pylist()
-                made.append(pa.array([encode(w) for w in texts], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *columns])
+            words = [batch.column(f"_words_{new}") for new in columns]
+            sizes = sum(w.value_lengths().fill_null(0).to_numpy() for w in words)
+            for start, stop in portions(sizes, TOGETHER):
+                made = [_encoded(w.slice(start, stop - start), model.value, unk_id, unknown) for w in words]
+                rows = [batch.column(c).slice(start, stop - start) for c in kept]
+                yield pa.RecordBatch.from_arrays([*rows, *made], [*kept, *columns])
 
     return ready.mapInArrow(run, whole)
 
@@ -123,7 +107,9 @@ def segment_words(words: DataFrame, vocab: DataFrame, unk_id: int) -> DataFrame:
     pieces = normal_pieces(vocab).select("piece", F.col("id").alias("pid"), F.col("score").cast("double"))
     span, lowest = pieces.agg(F.max(F.length("piece")), F.min("score")).first()
     unknown = (lowest or 0.0) - UNKNOWN_PENALTY
-    lattice = build_lattice(words, pieces, span or 1, unknown_score=unknown)
+    # A word's digest stands for it while its edges are gathered.
+    named = words.withColumn("_w", F.unhex(F.md5(F.encode("word", "UTF-8"))))
+    lattice = build_lattice(named, pieces, span or 1, "_w", unknown_score=unknown)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +119,9 @@ def segment_words(words: DataFrame, vocab: DataFrame, unk_id: int) -> DataFrame:
             per_word = np.bincount(edges.word[path], minlength=batch.num_rows)
             offsets = np.concatenate([[0], np.cumsum(per_word)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), lists], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("_w"), lists], ["_w", "ids"])
 
-    return lattice.mapInArrow(run, "word string, ids array<int>")
+    return named.join(lattice.mapInArrow(run, "_w binary, ids array<int>"), "_w").select("word", "ids")
 
 
 def merge_unknown(ids: Column, unk_id: int) -> Column:
@@ -178,21 +164,22 @@ def encode_by_joins(
 
 def decode(df: DataFrame, key: list[str], ids: str, vocab: DataFrame) -> DataFrame:
     """``(*key, text)``: pieces joined, special tokens skipped, space marks resolved."""
-    table = shipped(vocab)
-    if table is None:
+    pieces = shipped(vocab)
+    if pieces is None:
         return decode_by_join(df, key, ids, vocab)
-    rows = zip(*(table.column(c).to_pylist() for c in ("id", "piece", "type")), strict=True)
-    pieces = df.sparkSession.sparkContext.broadcast({i: p for i, p, kind in rows if kind == NORMAL})
+    spelled = df.sparkSession.sparkContext.broadcast(Spelling.build(pieces.column("id"), pieces.column("piece")))
     ready = df.select(*key, F.col(ids).alias("_ids"))
     schema = T.StructType([*ready.drop("_ids").schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces.value
         for batch in batches:
-            lists = batch.column("_ids").to_pylist()
-            joined = ["".join([of.get(i, "") for i in found or ()]) for found in lists]
-            texts = pa.array([t.replace(SPACE_MARK, " ").strip(" ") for t in joined], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), texts], [*key, "text"])
+            lists = batch.column("_ids")
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            for start, stop in portions(sizes, TOGETHER):
+                joined = spelled.value.texts(lists.slice(start, stop - start))
+                texts = pa.array([t.replace(SPACE_MARK, " ").strip(" ") for t in joined], pa.string())
+                rows = [batch.column(c).slice(start, stop - start) for c in key]
+                yield pa.RecordBatch.from_arrays([*rows, texts], [*key, "text"])
 
     return ready.mapInArrow(run, schema)
 

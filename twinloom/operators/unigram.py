@@ -1,10 +1,10 @@
 """Learning a unigram subword vocabulary (Kudo 2018) as a sequence of Spark jobs.
 
-Words are counted once; everything after works on distinct words. Seed pieces come from a
-grouped count of substrings, and a join of substrings with the seeds gives each word its
-lattice. Every EM round is one pass over the lattices followed by a grouped sum. Only the
-model itself, one float per seed piece and so at most the initial model's size, moves through
-the driver.
+Words are counted once; everything after works on distinct words. Seed pieces are the repeated
+substrings. The lattice of a word holds all seeds inside it; a compact table of the seeds finds them
+where the words lie, or a join does if the table is too large to be sent. Every EM round is one pass
+over the lattices followed by a grouped sum. Only the model itself, a float and a table entry per
+seed piece and so at most the initial model's size, moves through the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinloom.functions.subwords import marked_words, script_runs
 from twinloom.operators.lattice import (
@@ -29,7 +30,9 @@ from twinloom.operators.lattice import (
     select_edges,
 )
 from twinloom.operators.ordering import with_row_idx
-from twinloom.operators.parts import explode_substrings
+from twinloom.operators.parts import cut
+from twinloom.operators.pieces import BYTES_PER_PIECE, PieceTable
+from twinloom.operators.substrings import repeated_substrings
 from twinloom.operators.vocabulary import CONTROL, NORMAL, UNKNOWN
 from twinloom.storage import cut_lineage, fan_out
 
@@ -47,6 +50,11 @@ INITIAL_MODEL = 1_000_000
 
 LATTICE = ("size", "e", "s", "pid")
 
+# Bytes of seeds, as a table, that are sent to every task.
+SENT_BYTES = 128 << 20
+# Words whose seeds are looked for together.
+MATCHED_TOGETHER = 4096
+
 
 @dataclass(frozen=True)
 class UnigramOptions:
@@ -80,12 +88,6 @@ def word_counts(
     )
 
 
-def substring_counts(words: DataFrame, max_length: int) -> DataFrame:
-    """``(piece, freq, size)`` for every substring, weighted by word count."""
-    parts = explode_substrings(fan_out(words, "word"), "word", max_length, "n")
-    return parts.groupBy("piece", (F.col("e") - F.col("s")).alias("size")).agg(F.sum("n").alias("freq"))
-
-
 def substring_seeds(
     words: DataFrame, options: UnigramOptions = UnigramOptions()
 ) -> DataFrame:
@@ -94,14 +96,12 @@ def substring_seeds(
     ``weight`` is frequency times length. With ``seed_size`` only so many of the longer ones are
     returned, those of highest weight.
     """
-    counts = substring_counts(words, options.max_piece_length)
-    usable = counts.where((F.col("size") == 1) | (F.col("freq") >= 2))
-    weighted = usable.withColumn("weight", F.col("freq") * F.col("size"))
-    stored = cut_lineage(weighted)
+    usable = repeated_substrings(words, options.max_piece_length)
+    weighted = usable.select("piece", "freq", "size", (F.col("freq") * F.col("size")).alias("weight"))
     if options.seed_size is None:
-        return stored
-    letters = stored.where(F.col("size") == 1)
-    longer = top_weighted(stored.where(F.col("size") > 1), options.seed_size)
+        return weighted
+    letters = weighted.where(F.col("size") == 1)
+    longer = top_weighted(weighted.where(F.col("size") > 1), options.seed_size)
     return letters.unionByName(longer)
 
 
@@ -222,16 +222,42 @@ def maximise(expected: np.ndarray, is_char: np.ndarray) -> np.ndarray:
     return logp
 
 
+def lattices(words: DataFrame, pieces: DataFrame, max_length: int, *keep: str) -> DataFrame:
+    """``(*keep, size, e, s, pid)`` of each word of ``words(word, *keep)``; ``keep`` identifies a word."""
+    size = pieces.agg(F.sum(F.octet_length("piece") + BYTES_PER_PIECE)).first()[0]
+    if (size or 0) > SENT_BYTES:
+        return build_lattice(words, pieces, max_length, *keep)
+    rows = pieces.select("piece", "pid").toArrow()
+    same = pa.chunked_array([pa.nulls(len(rows), pa.float64()).fill_null(0.0)])
+    table = words.sparkSession.sparkContext.broadcast(PieceTable.build(rows.column("piece"), same, rows.column("pid")))
+    spread = fan_out(words.select(F.col("word").alias("_text"), *keep), "_text")
+    schema = T.StructType([*(spread.schema[c] for c in keep), T.StructField("size", T.IntegerType())])
+    for c in LATTICE[1:]:
+        schema.add(c, T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, MATCHED_TOGETHER):
+                part = batch.slice(start, MATCHED_TOGETHER)
+                size, source, target, piece, word = table.value.found(part.column("_text"))
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(word, minlength=len(size)))), pa.int32())
+                edges = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (target, source, table.value.id[piece])]
+                columns = [*(part.column(c) for c in keep), pa.array(size, pa.int32()), *edges]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *LATTICE])
+
+    return spread.mapInArrow(run, schema)
+
+
 def piece_lattices(pieces: DataFrame, logp: np.ndarray, max_length: int) -> DataFrame:
     """Lattices of the longer live pieces over the other live pieces."""
     pids = pa.table({"pid": pa.array(np.flatnonzero(np.isfinite(logp)), pa.int32())})
-    live = pieces.join(pieces.sparkSession.createDataFrame(pids), "pid")
+    live = cut_lineage(pieces.join(pieces.sparkSession.createDataFrame(pids), "pid"))
     own = live.where(F.col("size") > 1).select(F.col("piece").alias("word"), F.col("pid").alias("self"))
     edges = F.arrays_zip("e", "s", "pid")
     # A piece is no alternative to itself.
     proper = F.filter(edges, lambda x: x["e"] - x["s"] < F.col("size"))
-    lattices = build_lattice(own, live, max_length).withColumn("_x", proper)
-    return lattices.select("self", "size", "_x.e", "_x.s", "_x.pid").persist(StorageLevel.MEMORY_AND_DISK)
+    found = lattices(own, live, max_length, "self").withColumn("_x", proper)
+    return found.select("self", "size", "_x.e", "_x.s", "_x.pid").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def prune(
@@ -290,8 +316,10 @@ def learn_vocab(
     numbered = with_row_idx(seeds, *order, name="pid").withColumn("pid", F.col("pid").cast("int"))
     pieces = cut_lineage(numbered)
 
-    lattices = build_lattice(words, pieces, options.max_piece_length).select("n", *LATTICE)
-    lattices = lattices.persist(StorageLevel.MEMORY_AND_DISK)
+    # A word longer than a range is learned from in parts: no row holds more than a range's paths.
+    parts = words.select(F.explode(cut(F.col("word"))).alias("word"), "n").withColumn("wid", F.monotonically_increasing_id())
+    graphs = lattices(cut_lineage(parts), pieces, options.max_piece_length, "wid", "n").drop("wid")
+    graphs = graphs.persist(StorageLevel.MEMORY_AND_DISK)
     table = pieces.select("pid", "weight", "size").toArrow()
     place = table.column("pid").to_numpy()
     weight, size = np.zeros(len(place)), np.zeros(len(place), dtype=np.int64)
@@ -306,23 +334,23 @@ def learn_vocab(
     inner, stored = None, len(logp)
     while True:
         for _ in range(options.sub_iterations):
-            logp = maximise(expected_counts(lattices, logp), is_char)
+            logp = maximise(expected_counts(graphs, logp), is_char)
         alive = int(np.isfinite(logp).sum())
         if alive <= desired:
             break
         if alive <= stored // 2:
-            full, lattices, stored = lattices, live_edges(lattices, logp), alive
-            lattices.count()
+            full, graphs, stored = graphs, live_edges(graphs, logp), alive
+            graphs.count()
             full.unpersist()
         target = max(desired, int(options.shrinking_factor * alive))
-        freq = viterbi_counts(lattices, logp)
+        freq = viterbi_counts(graphs, logp)
         # The first round drops most seeds, and a dropped piece never returns.
         inner = inner or piece_lattices(pieces, logp, options.max_piece_length)
         logp = prune(inner, logp, freq, is_char, target)
         if int(np.isfinite(logp).sum()) >= alive:
             # What is left cannot be spelled by other pieces; the best of it are chosen below.
             break
-    lattices.unpersist()
+    graphs.unpersist()
     if inner is not None:
         inner.unpersist()
     return finalise(pieces, logp, is_char, options, required_chars)
