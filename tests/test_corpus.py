@@ -1,3 +1,5 @@
+import math
+import re
 from collections import Counter
 
 import pytest
@@ -79,6 +81,48 @@ def test_row_idx_with_a_third_of_equal_rows(spark):
 
 def test_row_idx_of_nothing(spark):
     assert ordering.with_row_idx(spark.range(0), "id").count() == 0
+    assert ordering.with_row_idx(spark.createDataFrame([], "k long, t string"), "k").count() == 0
+
+
+def wide(spark, keys):
+    rows = [(None if k is None else float(k), f"text {n}", [n]) for n, k in enumerate(keys)]
+    return spark.createDataFrame(rows, "k double, t string, a array<int>").repartition(5)
+
+
+@pytest.mark.parametrize("sent", [0, 8 << 20])
+def test_wide_rows_find_their_key(spark, monkeypatch, sent):
+    monkeypatch.setattr(ordering, "SENT_BYTES", sent)
+    keys = [(n * 37) % 500 for n in range(500)]
+    rows = ordering.with_row_idx(wide(spark, keys), -F.col("k")).collect()
+    assert [r.row_idx for r in rows] == [499 - int(r.k) for r in rows]
+    assert {r.t: r.a for r in rows} == {f"text {n}": [n] for n in range(500)}
+
+
+@pytest.mark.parametrize("sent", [0, 8 << 20])
+def test_wide_rows_that_share_keys(spark, monkeypatch, sent):
+    monkeypatch.setattr(ordering, "SENT_BYTES", sent)
+    nan = float("nan")
+    keys = [None, None, None, nan, nan, 0.0, -0.0, *[7.0] * 200, *[float(n) for n in range(100, 400)]]
+    rows = ordering.with_row_idx(wide(spark, keys), "k").orderBy("row_idx").collect()
+    assert [r.row_idx for r in rows] == list(range(len(keys)))
+    assert {r.t for r in rows} == {f"text {n}" for n in range(len(keys))}
+    order = [-1.0 if r.k is None else math.inf if math.isnan(r.k) else r.k for r in rows]
+    assert order == sorted(order)
+
+
+@pytest.mark.parametrize("sent", [0, 8 << 20])
+def test_positions_neither_sort_nor_store_wide_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(ordering, "SENT_BYTES", sent)
+    stored = []
+    cut = ordering.cut_lineage
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: stored.append(df.schema) or cut(df))
+    indexed = ordering.with_row_idx(wide(spark, range(300)), "k")
+    indexed.collect()
+    assert stored and all(isinstance(f.dataType, ordering.FIXED_WIDTH) for schema in stored for f in schema)
+    plan = indexed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and not re.search(r"Sort \[[^]]*\b(t|a)#", plan)
+    moved = re.search(r"hashpartitioning\(.*_k0", plan)
+    assert ("ShuffledHashJoin" in plan) == (sent == 0) and (sent == 0 or not moved)
 
 
 def test_epoch_shuffle_is_a_repeatable_permutation(spark):
