@@ -193,7 +193,7 @@ means AS (
 
 
 def bleu(source: str, group: str) -> str:
-    """CTEs from ``source(id, g, hyp, ref)`` to ``bleu(g, bleu)``."""
+    """CTEs from ``source(id, g, hyp, ref)`` to ``bleu(g, bleu, precision_1, ..., hyp_len, ref_len)``."""
     def tokens(column: str) -> str:
         trimmed = f"regexp_replace({column}, {q(WS + '+$')}, '')"
         return words(chain(f"concat(' ', {chain(trimmed, TOKENIZE_13A)}, ' ')", TOKENIZE_13A_SPLIT))
@@ -217,14 +217,29 @@ b_stat AS (
     sum(CASE WHEN coalesce(m, 0) = 0 AND t > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY t.g ORDER BY t.n) AS missed
   FROM b_total t LEFT JOIN b_match b ON b.g = t.g AND b.n = t.n
 ),
+b_part AS (
+  SELECT *, CASE WHEN m > 0 THEN 100 * m / t WHEN t > 0 THEN 100 / (pow(2, missed) * t) ELSE 0 END AS p FROM b_stat
+),
+b_sum AS (
+  SELECT g, sum(m) AS matched, min(t) AS least, min(sys) AS hyp_len, min(refs) AS ref_len,
+    sum(ln(CASE WHEN p > 0 THEN p ELSE 1 END)) / 4 AS mean,
+    CASE WHEN min(sys) >= min(refs) THEN 1 WHEN min(sys) = 0 THEN 0 ELSE exp(1 - min(refs) / min(sys)) END AS brevity_penalty,
+    {", ".join(f"CASE WHEN sum(m) = 0 THEN 0 ELSE sum(p) FILTER (n = {n}) END AS precision_{n}" for n in range(1, 5))}
+  FROM b_part GROUP BY g
+),
 bleu AS (
-  SELECT g, CASE WHEN sum(m) = 0 OR min(t) = 0 THEN 0 ELSE
-    (CASE WHEN min(sys) >= min(refs) THEN 1 ELSE exp(1 - min(refs) / min(sys)) END)
-    * exp(sum(ln(CASE WHEN m > 0 THEN 100 * m / t WHEN t > 0 THEN 100 / (pow(2, missed) * t) ELSE 1 END)) / 4) END AS bleu
-  FROM b_stat GROUP BY g
+  SELECT *, CASE WHEN matched = 0 OR least = 0 THEN 0 ELSE brevity_penalty * exp(mean) END AS bleu FROM b_sum
 )"""
 
 
+#: The parts of a score as they are compared.
+SCORE_PARTS = ", ".join(
+    ["round(bleu, 6) AS bleu", *(f"round(precision_{n}, 6) AS precision_{n}" for n in range(1, 5)),
+     "round(brevity_penalty, 6) AS brevity_penalty", "hyp_len::BIGINT AS hyp_len", "ref_len::BIGINT AS ref_len",
+     "round(chrf, 6) AS chrf"]
+)
+
+
 def chrf(source: str, group: str) -> str:
     """CTEs from ``source(id, g, hyp, ref)`` to ``chrf(g, chrf)``."""
     punct_set = q("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -401,6 +416,24 @@ counts AS (SELECT ch, count(*) AS n FROM ch WHERE ch <> '' GROUP BY ch)"""
 
 MATRIX_DIMS = "SELECT vec_id AS id, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings"
 
+
+def trained_batches(order: str) -> str:
+    """Training batches of the pairs as ``order`` numbers them, CTEs up to ``shuffled(..., row_idx)``."""
+    return f"""
+      WITH RECURSIVE {SEED_VOCAB}, {PAIRS}, {order},
+      coin AS (SELECT *, row_idx // 16 AS batch_id, {hash32("'42'", "'0'", 'row_idx // 16')} % 2 = 0 AS fwd FROM shuffled),
+      src AS (
+        SELECT row_idx, 'x' AS side, {clean('CASE WHEN fwd THEN ru ELSE lez END')} AS text FROM coin
+        UNION ALL SELECT row_idx, 'y', {clean('CASE WHEN fwd THEN lez ELSE ru END')} FROM coin
+      ),
+      {encoded('src', 'row_idx', 'side')},
+      sides AS (
+        SELECT batch_id, row_idx, CASE WHEN fwd THEN 'rus_Cyrl' ELSE 'lez_Cyrl' END AS src_lang, a.ids AS xs, b.ids AS ys
+        FROM coin JOIN ids a USING (row_idx) JOIN ids b USING (row_idx) WHERE a.side = 'x' AND b.side = 'y'
+      ),
+      {batch_rows('sides')}"""
+
+
 ORACLES = {
     "parallel_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "read_parallel": f"WITH {PAIRS} SELECT ru, lez FROM pairs",
@@ -495,22 +528,17 @@ ORACLES = {
       WITH RECURSIVE {SEED_VOCAB}, src AS (SELECT doc_id, {clean('text')} AS text FROM documents),
       {encoded('src', 'doc_id')}
       SELECT doc_id, {joined('ids')} AS ids FROM ids""",
-    "training_batches": f"""
-      WITH RECURSIVE {SEED_VOCAB}, {PAIRS},
+    "training_batches": trained_batches(f"""
       shuffled AS (
         SELECT *, row_number() OVER (ORDER BY {hash32("'42'", "'0'", 'conv_id', 'turn')}, conv_id, turn) - 1 AS row_idx FROM pairs
-      ),
-      coin AS (SELECT *, row_idx // 16 AS batch_id, {hash32("'42'", "'0'", 'row_idx // 16')} % 2 = 0 AS fwd FROM shuffled),
-      src AS (
-        SELECT row_idx, 'x' AS side, {clean('CASE WHEN fwd THEN ru ELSE lez END')} AS text FROM coin
-        UNION ALL SELECT row_idx, 'y', {clean('CASE WHEN fwd THEN lez ELSE ru END')} FROM coin
-      ),
-      {encoded('src', 'row_idx', 'side')},
-      sides AS (
-        SELECT batch_id, row_idx, CASE WHEN fwd THEN 'rus_Cyrl' ELSE 'lez_Cyrl' END AS src_lang, a.ids AS xs, b.ids AS ys
-        FROM coin JOIN ids a USING (row_idx) JOIN ids b USING (row_idx) WHERE a.side = 'x' AND b.side = 'y'
-      ),
-      {batch_rows('sides')}""",
+      )"""),
+    "drawn_batches": trained_batches(f"""
+      placed AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM pairs),
+      draws AS (SELECT unnest(range((SELECT count(*) FROM pairs))) AS row_idx),
+      shuffled AS (
+        SELECT placed.*, row_idx FROM draws JOIN placed
+          ON place = {hash60("'42'", "'0'", 'row_idx')} % (SELECT count(*) FROM pairs)
+      )"""),
     "validation_batches": f"""
       WITH RECURSIVE {SEED_VOCAB}, {INDEXED},
       src AS (
@@ -560,7 +588,7 @@ ORACLES = {
     "corpus_chrf": f"WITH {SCORED}, {chrf('src', '0')} SELECT round(chrf, 6) AS chrf FROM chrf",
     "metrics_row": f"""
       WITH {SCORED}, {bleu('src', 'turn')}, {chrf('src', 'turn')}
-      SELECT turn, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, n
+      SELECT turn, {SCORE_PARTS}, n
       FROM (SELECT turn, count(*) AS n FROM src GROUP BY turn) s JOIN bleu b ON b.g = turn JOIN chrf c ON c.g = turn""",
     "word_counts": f"WITH {UNITS} SELECT word, n FROM units",
     "substring_seeds": f"""
@@ -622,5 +650,5 @@ ORACLES = {
     "evaluate": f"""
       WITH {PAIRS}, src AS (SELECT conv_id * 1000 + turn AS id, {REVERSED.format(clean('ru'))} AS hyp, {clean('lez')} AS ref FROM pairs),
       {bleu('src', '0')}, {chrf('src', '0')}
-      SELECT round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, (SELECT count(*) FROM src) AS n FROM bleu, chrf""",
+      SELECT {SCORE_PARTS}, (SELECT count(*) FROM src) AS n FROM bleu, chrf""",
 }

@@ -435,13 +435,23 @@ def decode(spark, folder):
     return segment.decode(ids, ["doc_id"], "ids", vocab)
 
 
-def training_batches(spark, folder):
+def _trained(spark: SparkSession, folder: str, replacement: bool) -> DataFrame:
+    vocab = seed_vocab(spark, folder)
     rows = batch_plans.training_batches(
-        pairs(spark, folder), ["conv_id", "turn"], seed_vocab(spark, folder), LANG_IDS, PAD, EOS, UNK
+        pairs(spark, folder), ["conv_id", "turn"], vocab, LANG_IDS, PAD, EOS, UNK, replacement=replacement
     )
     return rows.withColumns({c: joined(F.col(c)) for c in ("x", "x_mask", "y", "y_mask")})
 
 
+def training_batches(spark, folder):
+    return _trained(spark, folder, False)
+
+
+def drawn_batches(spark, folder):
+    """An epoch of as many rows, each drawn from all pairs."""
+    return _trained(spark, folder, True)
+
+
 def validation_batches(spark, folder):
     rows = batch_plans.validation_batches(
         indexed_pairs(spark, folder), seed_vocab(spark, folder), LANG_IDS, PAD, EOS, UNK
@@ -532,9 +542,13 @@ def corpus_chrf(spark, folder):
     return scoring.corpus_chrf(scored_pairs(spark, folder)).withColumn("chrf", F.round("chrf", 6))
 
 
+def _rounded_scores(rows: DataFrame) -> DataFrame:
+    parts = ("bleu", "chrf", "brevity_penalty", *(f"precision_{n}" for n in range(1, 5)))
+    return rows.withColumns({c: F.round(c, 6) for c in parts})
+
+
 def metrics_row(spark, folder):
-    rows = scoring.metrics_row(scored_pairs(spark, folder), "turn")
-    return rows.withColumns({c: F.round(c, 6) for c in ("bleu", "chrf")})
+    return _rounded_scores(scoring.metrics_row(scored_pairs(spark, folder), "turn"))
 
 
 # --- vocabularies and embeddings -----------------------------------------------------------
@@ -552,7 +566,7 @@ def substring_seeds(spark, folder):
 
 def learn_vocab(spark, folder):
     """What a learned vocabulary must fulfil; its pieces are no SQL engine's business."""
-    clean = documents(spark, folder).select(text.preprocess(F.col("text")).alias("clean"))
+    clean = cut_lineage(documents(spark, folder).select(text.preprocess(F.col("text")).alias("clean")))
     words = cut_lineage(unigram.word_counts(clean, "clean"))
     learned = cut_lineage(unigram.learn_vocab(clean, "clean"))
     letters = words.select(F.explode(F.split("word", "")).alias("piece")).where("piece <> ''").distinct()
@@ -681,8 +695,7 @@ def translate_split(spark, folder):
 
 
 def evaluate(spark, folder):
-    rows = evaluation.evaluate(pairs(spark, folder), reverser)
-    return rows.withColumns({c: F.round(c, 6) for c in ("bleu", "chrf")})
+    return _rounded_scores(evaluation.evaluate(pairs(spark, folder), reverser))
 
 
 QUERIES = {
@@ -735,6 +748,7 @@ QUERIES = {
         encode,
         decode,
         training_batches,
+        drawn_batches,
         validation_batches,
         evaluation_batches,
         corpus_size,

@@ -107,6 +107,43 @@ def test_scores_match_brute_force(spark, pairs):
     assert row.n == len(pairs)
 
 
+def bleu_parts(pairs):
+    """Precisions, brevity penalty and lengths, order by order."""
+    matched, total = [0] * 4, [0] * 4
+    hyps, refs = [tok13a(h) for h, _ in pairs], [tok13a(r) for _, r in pairs]
+    for h, r in zip(hyps, refs, strict=True):
+        for n in range(1, 5):
+            grams = [Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (h, r)]
+            matched[n - 1] += sum((grams[0] & grams[1]).values())
+            total[n - 1] += sum(grams[0].values())
+    hyp_len, ref_len = sum(map(len, hyps)), sum(map(len, refs))
+    precisions, missed = [0.0] * 4, 0
+    for n in range(4):
+        if not any(matched) or not total[n]:
+            break
+        missed += matched[n] == 0
+        precisions[n] = 100 * matched[n] / total[n] if matched[n] else 100 / (2**missed * total[n])
+    penalty = 1.0 if hyp_len >= ref_len else math.exp(1 - ref_len / hyp_len) if hyp_len else 0.0
+    return precisions, penalty, hyp_len, ref_len
+
+
+@pytest.mark.parametrize("pairs", [PAIRS, PAIRS[:1], PAIRS[1:2], PAIRS * 2, [("", "a b")], [("a", "")], [("a b c", "a b c")], [("x y", "a b")]])
+def test_score_parts(spark, pairs):
+    row = scoring.metrics_row(frame(spark, pairs)).first()
+    precisions, penalty, hyp_len, ref_len = bleu_parts(pairs)
+    assert [row[f"precision_{n}"] for n in range(1, 5)] == pytest.approx(precisions)
+    assert row.brevity_penalty == pytest.approx(penalty)
+    assert (row.hyp_len, row.ref_len) == (hyp_len, ref_len)
+
+
+def test_pairs_are_folded_and_dealt_out_once(spark):
+    scores = scoring.metrics_row(frame(spark, PAIRS), "g")
+    scores.collect()
+    plan = scores._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    made = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "Reused" not in x]
+    assert sum("_pair#" in x for x in made) == 1 and sum("hyp#" in x for x in made) == 1
+
+
 def test_groups(spark):
     for r in scoring.metrics_row(frame(spark, PAIRS), "g").collect():
         assert r.bleu == pytest.approx(bleu(PAIRS[r.g :: 2]), abs=1e-9)

@@ -1,9 +1,8 @@
+import random
 import re
 import unicodedata
 
 import pyarrow as pa
-
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +76,44 @@ def test_nfkc(spark):
     assert want[0] == "Francesca"
 
 
+def test_settled_texts_are_left_alone(monkeypatch):
+    """Normalised texts of the corpus languages reach no Python call of their own."""
+    points = text.unsettled_points()
+    settled = ["Привет, мир", "гьа кӀвал", "日本語の文", "한국어", "naïve café", "", None, "\U0001f600", "xy"]
+    assert all(t is None or unicodedata.is_normalized("NFKC", t) for t in settled)
+    calls = []
+    monkeypatch.setattr(text, "normalize", lambda form, t: calls.append(t) or unicodedata.normalize(form, t))
+    assert text.composed(pa.array(settled), points).to_pylist() == settled and not calls
+    mixed = ["ﬁ", *settled, "e\u0301", "\u1100\u1161", "\uac00\u11a8", "ß"]
+    want = [t and unicodedata.normalize("NFKC", t) for t in mixed]
+    for start in range(3):
+        part = pa.array(["ab", "é", *mixed]).slice(2 - start)
+        assert text.composed(part, points).to_pylist()[start:] == want
+    assert set(calls) == {"ﬁ", "e\u0301", "\u1100\u1161", "\uac00\u11a8"}
+
+
+def test_unsettled_rows_over_many_portions(monkeypatch):
+    monkeypatch.setattr(text, "CHECKED_TOGETHER", 40)
+    draw = random.Random(1)
+    letters = [*"abя日é\u0301\u1161ﬁ½\uac00\U0001d4d5", "x" * 50]
+    texts = [None if draw.random() < 0.1 else "".join(draw.choice(letters) for _ in range(draw.randint(0, 9))) for _ in range(300)]
+    want = [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert text.composed(pa.array(texts), text.unsettled_points()).to_pylist() == want
+
+
+def test_texts_without_unsettled_points_are_normalised():
+    """Any pair of settled characters stays as it is: what joins the one before is in the table."""
+    unsettled = set(text.unsettled_points().tolist())
+    draw = random.Random(2)
+    settled = [c for c in range(0x110000) if c not in unsettled and not 0xD800 <= c < 0xE000]
+    for _ in range(300):
+        t = "".join(chr(draw.choice(settled)) for _ in range(2000))
+        assert unicodedata.is_normalized("NFKC", t)
+    assert all(unicodedata.normalize("NFKC", chr(c)) == chr(c) for c in settled)
+    pairs = [unicodedata.decomposition(chr(c)).split() for c in range(0x110000)]
+    assert all(int(p[1], 16) in unsettled for p in pairs if len(p) == 2 and p[0][0] != "<")
+
+
 def test_preprocess_keeps_null_and_is_idempotent_on_ascii(spark):
     assert column(spark, [None, "a\u00adb“"], text.preprocess) == [None, 'a b"']
     once = column(spark, ["Hello ( world ) , 5 % ''ok''  done ."], text.preprocess)

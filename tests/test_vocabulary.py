@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,50 @@ def test_member_without_a_vector(spark):
     assert embeddings.init_embeddings(tokens, matrix, unk_id=1).first().vec == [2.0]
 
 
+@pytest.mark.parametrize("held", [1, 500, 32 << 20])
+def test_means_in_any_portions(spark, monkeypatch, held):
+    """Whatever a task holds, sums are those of all members, missing keys among them."""
+    monkeypatch.setattr(embeddings, "HELD_BYTES", held)
+    draw = random.Random(held)
+    vectors = {i: [draw.random() for _ in range(3)] for i in range(20)}
+    matrix = spark.createDataFrame(list(vectors.items()), "id int, vec array<double>")
+    pairs = [(draw.choice([None, "", "a", "b", "cc"]), draw.randrange(20)) for _ in range(400)]
+    members = spark.createDataFrame(pairs, "piece string, id int").repartition(3)
+    monkeypatch.setattr(embeddings, "_task_sums", _small_batches(embeddings._task_sums))
+    monkeypatch.setattr(embeddings, "_sorted_sums", _small_batches(embeddings._sorted_sums))
+    got = {r.piece: r.vec for r in embeddings.embedding_mean(members, matrix).collect()}
+    assert set(got) == {k for k, _ in pairs}
+    for key, mean in got.items():
+        rows = [vectors[i] for k, i in pairs if k == key]
+        assert mean == pytest.approx([sum(c) / len(rows) for c in zip(*rows, strict=True)])
+
+
+def _small_batches(kernel):
+    def run(batches):
+        yield from kernel(b.slice(k, 7) for b in batches for k in range(0, b.num_rows, 7))
+
+    return run
+
+
+def test_vectors_of_different_lengths(spark):
+    matrix = spark.createDataFrame([(0, [1.0]), (1, [3.0, 4.0])], "id int, vec array<float>")
+    members = spark.createDataFrame([("x", 0), ("x", 1)], "piece string, id int")
+    with pytest.raises(Exception, match="components"):
+        embeddings.embedding_mean(members.coalesce(1), matrix).collect()
+
+
+def test_character_counts_in_any_portions(spark, monkeypatch):
+    monkeypatch.setattr(charstats, "COUNTED_TOGETHER", 5)
+    draw = random.Random(1)
+    texts = [None, "", "\x00\n", *("".join(draw.choice("abя日𝒳 ") for _ in range(draw.randint(0, 30))) for _ in range(50))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    got = {r.ch: r.n for r in charstats.char_counts(df, "t").collect()}
+    assert got == Counter("".join(t or "" for t in texts))
+    exploded = charstats.explode_chars(df, "t").groupBy("ch").count().collect()
+    assert got == {r.ch: r["count"] for r in exploded}
+    assert charstats.char_counts(df.limit(0), "t").collect() == []
+
+
 def test_extended_vocabulary_gets_vectors(spark, base, new):
     matrix = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id int, vec array<float>")
     merged, grown = plans.extend_vocabulary(base, new, matrix, unk_id=0)

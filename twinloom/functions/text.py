@@ -9,15 +9,22 @@ the regex engine.
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache, reduce
 from typing import NamedTuple
-from unicodedata import category
+from unicodedata import category, combining, decomposition, normalize
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The kernels travel inside the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NBSP = "\u00a0"
 
 
@@ -174,24 +181,73 @@ def nonprint_pattern() -> str:
     return rf"[\p{{C}}&&[^{listed}]]"
 
 
-@F.arrow_udf(T.StringType())
-def _compose(text: pa.Array) -> pa.Array:
-    """Only texts with other than ASCII characters are normalised."""
-    from unicodedata import normalize
+# Bytes of text whose code points are looked at together.
+CHECKED_TOGETHER = 4 << 20
+
+# Hangul vowels and final consonants, which join the letter before by rule, not by table.
+HANGUL_PARTS = (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))
 
-    import pyarrow.compute as pc
 
-    plain = pc.fill_null(pc.string_is_ascii(text), True)
-    if pc.all(plain).as_py() is not False:
+@lru_cache(maxsize=1)
+def unsettled_points() -> np.ndarray:
+    """Code points with which a text may change by NFKC.
+
+    Such a character changes by itself, takes part in the order of marks, or can join the character
+    before. A text without any is normalised as it stands.
+    """
+    found = set(HANGUL_PARTS)
+    for point in (*range(0xD800), *range(0xE000, 0x110000)):
+        char = chr(point)
+        parts = decomposition(char)
+        if combining(char) or (parts and normalize("NFKC", char) != char):
+            found.add(point)
+        if parts and parts[0] != "<":
+            found.update(int(p, 16) for p in parts.split()[1:])
+    return np.array(sorted(found), dtype=np.int32)
+
+
+def unsettled_rows(text: pa.Array, points: np.ndarray) -> np.ndarray:
+    """Rows of a string array that hold one of the code points."""
+    table = np.zeros(0x110000, dtype=bool)
+    table[points] = True
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2]
+    found, start = [np.empty(0, dtype=np.int64)], 0
+    while start < len(text):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHECKED_TOGETHER, side="right")) - 1)
+        raw = memoryview(data)[offsets[start] : offsets[stop]] if data is not None else b""
+        flagged = table[np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)]
+        if flagged.any():
+            # The byte that each character begins at tells its row.
+            begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[flagged] + offsets[start]
+            found.append(np.searchsorted(offsets, begins, side="right") - 1)
+        start = stop
+    return np.unique(np.concatenate(found))
+
+
+def composed(text: pa.Array, points: np.ndarray) -> pa.Array:
+    """NFKC of a string array; only texts with one of the code points are normalised one by one."""
+    text = text.cast(pa.string())
+    if pc.all(pc.string_is_ascii(text)).as_py() is not False:
+        return text
+    rows = unsettled_rows(text, points)
+    if not len(rows):
         return text
-    rest = text.filter(pc.invert(plain))
-    composed = pa.array([normalize("NFKC", t) for t in rest.to_pylist()], pa.string())
-    return pc.replace_with_mask(text.cast(pa.string()), pc.invert(plain), composed)
+    changed = [normalize("NFKC", t) for t in text.take(pa.array(rows)).to_pylist()]
+    mask = np.zeros(len(text), dtype=bool)
+    mask[rows] = True
+    return pc.replace_with_mask(text, pa.array(mask), pa.array(changed, pa.string()))
 
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility composition, one Arrow batch at a time."""
-    return _compose(text)
+    points = unsettled_points()
+
+    @F.arrow_udf(T.StringType())
+    def compose(texts: pa.Array) -> pa.Array:
+        return composed(texts, points)
+
+    return compose(text)
 
 
 def preprocess(text: Column, lang: str = "en", replace_by: str = " ") -> Column:

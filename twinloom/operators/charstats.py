@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.text import chars
+from twinloom.operators.pieces import portions
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: rarer characters are not forced into the vocabulary.
 MIN_CHAR_COUNT = 3
 
+# Bytes of text that are counted together.
+COUNTED_TOGETHER = 4 << 20
+
 
 def explode_chars(df: DataFrame, text: Column | str) -> DataFrame:
     """One row ``ch`` per code point."""
@@ -18,8 +31,24 @@ def explode_chars(df: DataFrame, text: Column | str) -> DataFrame:
 
 
 def char_counts(df: DataFrame, text: Column | str) -> DataFrame:
-    """``(ch, n)``; counts combine inside each task, so only distinct characters shuffle."""
-    return explode_chars(df, text).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    """``(ch, n)``: a histogram of fixed size per task, so one row for each of its characters is shuffled."""
+    source = F.col(text) if isinstance(text, str) else text
+    points = df.select(source.alias("_t")).mapInArrow(_histogram, "ch string, n long")
+    return points.groupBy("ch").agg(F.sum("n").alias("n"))
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0x110000, dtype=np.int64)
+    for batch in batches:
+        texts = batch.column(0).cast(pa.binary())
+        for start, stop in portions(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), COUNTED_TOGETHER):
+            whole = b"".join(t for t in texts.slice(start, stop - start).to_pylist() if t)
+            points = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
+            counts = np.bincount(points)
+            total[: len(counts)] += counts
+    seen = np.flatnonzero(total)
+    chars = pa.array([chr(p) for p in seen.tolist()], pa.string())
+    yield pa.RecordBatch.from_arrays([chars, pa.array(total[seen])], ["ch", "n"])
 
 
 def char_filter(counts: DataFrame, min_count: int = MIN_CHAR_COUNT) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Keys whose sums a task holds at once.
-HELD_KEYS = 10_000
+# Bytes of sums that a task holds before it adds up those of equal keys, and hands them on if many remain.
+HELD_BYTES = 32 << 20
 
 
 def embedding_mean(
@@ -24,7 +24,7 @@ def embedding_mean(
 
     Repeats fold into a weight before the join. Whole vectors are added up inside each task, and
     one for each key and task is shuffled, so a key with very many members gathers nowhere. A
-    member id without a vector is an error.
+    member id without a vector is an error, and so are vectors of different lengths.
     """
     weighted = members.groupBy(key, "id").agg(F.count(F.lit(1)).alias("_w"))
     vectors = embeddings.select("id", F.col("vec").cast("array<double>").alias("_v"))
@@ -40,43 +40,74 @@ def embedding_mean(
     return total.select(key, F.transform("_v", lambda v: v / F.col("_w")).alias(out))
 
 
-def _batch(keys: list, sums: dict, like: pa.Schema) -> pa.RecordBatch:
-    columns = [keys, [sums[k][0] for k in keys], [sums[k][1].tolist() for k in keys]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, like.types, strict=True)], names=like.names)
+def _matrix(column: pa.Array, width: int | None) -> np.ndarray:
+    """Vectors as rows of one flat buffer; missing components count as not a number."""
+    lengths = column.value_lengths().to_numpy()
+    width = int(lengths[0]) if width is None else width
+    if (lengths != width).any():
+        raise ValueError(f"vectors of {width} and of {int(lengths[lengths != width][0])} components")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
+def _rows(keys: pa.Array, weight: np.ndarray, sums: np.ndarray, like: pa.Schema) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(keys) + 1) * sums.shape[1], pa.int32())
+    vectors = pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
+    return pa.RecordBatch.from_arrays([keys, pa.array(weight), vectors.cast(like.types[2])], names=like.names)
+
+
+def _added(keys: pa.Array, weight: np.ndarray, vectors: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """One row per key: the rows are brought together by key and summed in segments."""
+    coded = keys.dictionary_encode(null_encoding="encode")
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+    return coded.dictionary, np.add.reduceat(weight[order], starts), np.add.reduceat(vectors[order], starts, axis=0)
 
 
 def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted sums of a task's vectors, handed on when many keys are held."""
-    sums: dict = {}
-    like = None
+    """Weighted sums of a task's vectors, handed on when their bytes are many."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    size, like, width = 0, None, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         like = batch.schema
-        for key, weight, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            added = weight * np.array(vector)
-            held = sums.get(key)
-            sums[key] = (weight, added) if held is None else (held[0] + weight, held[1] + added)
-        if len(sums) > HELD_KEYS:
-            yield _batch(list(sums), sums, like)
-            sums = {}
-    if sums:
-        yield _batch(list(sums), sums, like)
+        weight = batch.column(1).to_numpy()
+        vectors = _matrix(batch.column(2), width)
+        width = vectors.shape[1]
+        held.append(_added(batch.column(0), weight, vectors * weight[:, None]))
+        size += held[-1][2].nbytes
+        if size > HELD_BYTES:
+            held = [_joined(held)]
+            size = held[0][2].nbytes
+            if size > HELD_BYTES // 2:
+                yield _rows(*held[0], like)
+                held, size = [], 0
+    if held:
+        yield _rows(*_joined(held), like)
+
+
+def _joined(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    keys, weights, sums = zip(*held, strict=True)
+    return _added(pa.concat_arrays(keys), np.concatenate(weights), np.concatenate(sums))
 
 
 def _sorted_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over rows that arrive sorted by key, one key at a time."""
-    current: tuple | None = None
+    """Sums over rows that arrive sorted by key; a batch's last key waits for the next batch."""
+    held, width = None, None
     for batch in batches:
-        done: list[tuple] = []
-        for key, weight, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if current is not None and current[0] == key:
-                current = (key, current[1] + weight, current[2] + np.array(vector))
-            else:
-                done += [current] if current is not None else []
-                current = (key, weight, np.array(vector))
+        if not batch.num_rows:
+            continue
         like = batch.schema
-        yield _batch([k for k, *_ in done], {k: (w, v) for k, w, v in done}, like)
-    if current is not None:
-        yield _batch([current[0]], {current[0]: current[1:]}, like)
+        vectors = _matrix(batch.column(2), width)
+        width = vectors.shape[1]
+        own = (batch.column(0), batch.column(1).to_numpy(), vectors)
+        keys, weight, sums = _added(*own) if held is None else _joined([held, own])
+        if len(keys) > 1:
+            yield _rows(keys[:-1], weight[:-1], sums[:-1], like)
+        held = (keys[-1:], weight[-1:], sums[-1:])
+    if held is not None:
+        yield _rows(*held, like)
 
 
 def init_embeddings(

@@ -89,9 +89,8 @@ def _with_matches(totals: DataFrame, matches: DataFrame, by: tuple[str, ...]) ->
     )
 
 
-def bleu_statistics(pairs: DataFrame, *by: str) -> DataFrame:
-    """``(*by, n, total, in_ref, matched)`` per n-gram order."""
-    distinct = _distinct_pairs(pairs, by)
+def bleu_statistics(distinct: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``(*by, n, total, in_ref, pairs, matched)`` per n-gram order, from folded pairs."""
     tokenized = distinct.select(
         *by, "_pair", "copies", tokenize_13a(F.col("hyp")).alias("h"), tokenize_13a(F.col("ref")).alias("r")
     )
@@ -101,6 +100,7 @@ def bleu_statistics(pairs: DataFrame, *by: str) -> DataFrame:
         .agg(
             F.sum(F.col("all_hyp") * F.col("copies")).alias("total"),
             F.sum(F.col("in_ref") * F.col("copies")).alias("in_ref"),
+            F.sum("copies").alias("pairs"),
         )
     )
     grams = explode_ngrams(_sides(tokenized, by, "h", "r"), "items", BLEU_ORDER, *by, *_ROW)
@@ -110,16 +110,27 @@ def bleu_statistics(pairs: DataFrame, *by: str) -> DataFrame:
 
 def corpus_bleu(pairs: DataFrame, *by: str) -> DataFrame:
     """Corpus BLEU with exponential smoothing, one row per group: ``(*by, bleu)``."""
-    stats = bleu_statistics(pairs, *by)
+    return _bleu(_distinct_pairs(pairs, by), by).select(*by, "bleu")
+
+
+def _bleu(distinct: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``(*by, bleu, precision_1, ..., brevity_penalty, hyp_len, ref_len, pairs)``.
+
+    Precisions are percentages, smoothed where no n-gram of an order matches. All are 0 if nothing
+    matches, as is that of an order without n-grams.
+    """
+    stats = bleu_statistics(distinct, by)
 
     def at(name: str, n: int) -> Column:
         return F.max(F.when(F.col("n") == n, F.col(name)))
 
     names = [(name, n) for name in ("matched", "total") for n in range(1, BLEU_ORDER + 1)]
-    lengths = [at("total", 1).alias("sys_len"), at("in_ref", 1).alias("ref_len")]
+    sizes = (("total", "hyp_len"), ("in_ref", "ref_len"), ("pairs", "pairs"))
+    lengths = [F.coalesce(at(x, 1), F.lit(0)).alias(y) for x, y in sizes]
     wide = stats.groupBy(*by).agg(*[at(x, n).alias(f"{x}_{n}") for x, n in names], *lengths)
 
-    log_sum, missed = F.lit(0.0), F.lit(0)
+    log_sum, missed, parts = F.lit(0.0), F.lit(0), []
+    any_match = sum((F.col(f"matched_{n}") for n in range(1, BLEU_ORDER + 1)), F.lit(0)) > 0
     for n in range(1, BLEU_ORDER + 1):
         matched, total = F.col(f"matched_{n}"), F.col(f"total_{n}")
         missed = missed + F.when((matched == 0) & (total > 0), 1).otherwise(0)
@@ -127,18 +138,17 @@ def corpus_bleu(pairs: DataFrame, *by: str) -> DataFrame:
             total > 0, 100 / (F.pow(F.lit(2.0), missed) * total)
         )
         log_sum = log_sum + F.log(precision)
-    brevity = F.when(F.col("sys_len") >= F.col("ref_len"), 1.0).otherwise(
-        F.exp(1 - F.col("ref_len") / F.col("sys_len"))
-    )
+        parts.append(F.coalesce(F.when(any_match, precision), F.lit(0.0)).alias(f"precision_{n}"))
+    hyp, ref = F.col("hyp_len"), F.col("ref_len")
+    brevity = F.when(hyp >= ref, 1.0).when(hyp == 0, 0.0).otherwise(F.exp(1 - ref / hyp))
     # An order without n-grams makes its precision 0, and so the whole score.
-    any_match = sum((F.col(f"matched_{n}") for n in range(1, BLEU_ORDER + 1)), F.lit(0)) > 0
     score = F.when(any_match, brevity * F.exp(log_sum / BLEU_ORDER))
-    return wide.select(*by, F.coalesce(score, F.lit(0.0)).alias("bleu"))
+    whole = F.coalesce(score, F.lit(0.0)).alias("bleu")
+    return wide.select(*by, whole, *parts, brevity.alias("brevity_penalty"), "hyp_len", "ref_len", "pairs")
 
 
-def chrf_statistics(pairs: DataFrame, *by: str) -> DataFrame:
-    """``(*by, kind, n, in_hyp, in_ref, matched)`` per character and word order."""
-    distinct = _distinct_pairs(pairs, by)
+def chrf_statistics(distinct: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``(*by, kind, n, in_hyp, in_ref, matched)`` per character and word order, from folded pairs."""
     sides = ("hyp", "ref")
     prepared = distinct.select(
         *by,
@@ -168,7 +178,11 @@ def chrf_statistics(pairs: DataFrame, *by: str) -> DataFrame:
 
 def corpus_chrf(pairs: DataFrame, *by: str) -> DataFrame:
     """chrF++ (six character orders, two word orders, beta 2): ``(*by, chrf)``."""
-    stats = chrf_statistics(pairs, *by)
+    return _chrf(_distinct_pairs(pairs, by), by)
+
+
+def _chrf(distinct: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    stats = chrf_statistics(distinct, by)
     scored = (F.col("in_hyp") > 0) & (F.col("in_ref") > 0)
     means = stats.groupBy(*by).agg(
         F.avg(F.when(scored, F.col("matched") / F.col("in_hyp"))).alias("p"),
@@ -180,13 +194,15 @@ def corpus_chrf(pairs: DataFrame, *by: str) -> DataFrame:
 
 
 def metrics_row(pairs: DataFrame, *by: str) -> DataFrame:
-    """``(*by, bleu, chrf, n)``: one row, or one per group, a group of missing keys among them."""
-    known = pairs.na.drop(subset=["hyp", "ref"])
-    counted = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    bleu, chrf = corpus_bleu(known, *by), corpus_chrf(known, *by)
-    if not by:
-        return bleu.crossJoin(chrf).crossJoin(counted)
-    return _join_groups(_join_groups(bleu, chrf, by), counted, by)
+    """Both scores with their parts: one row, or one per group, a group of missing keys among them.
+
+    ``(*by, bleu, precision_1, ..., brevity_penalty, hyp_len, ref_len, chrf, n)``, where ``n`` counts
+    pairs. These are folded and dealt out once: both scores read the same exchange.
+    """
+    distinct = _distinct_pairs(pairs, by)
+    bleu, chrf = _bleu(distinct, by), _chrf(distinct, by)
+    both = _join_groups(bleu, chrf, by) if by else bleu.crossJoin(chrf)
+    return both.select(*(c for c in both.columns if c != "pairs"), F.col("pairs").alias("n"))
 
 
 def _join_groups(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -17,7 +17,7 @@ def evaluate(
     options: TranslateOptions | None = None,
     by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(*by, bleu, chrf, n)`` of a split.
+    """Scores of a split with their parts, as ``metrics_row`` gives them.
 
     Translation is the expensive step, and both scores read its result, so that is stored.
     """
