@@ -80,3 +80,32 @@ def test_forgetting_changes_nothing(monkeypatch):
     want = [i.tolist() for i in large.encode_batch(texts)]
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     assert [small.encode_batch([t])[0].tolist() for t in texts] == want
+
+
+def test_a_file_that_lacks_letters():
+    """A word that the tokens of a file cannot spell is an error, and does not hang."""
+    import json
+
+    spec = json.load(open(tokenizer_path()))
+    for gone in ("b</w>", "a", "q"):
+        small = json.loads(json.dumps(spec))
+        vocab = small["model"]["vocab"]
+        small["model"]["vocab"] = {t: i for t, i in vocab.items() if t != gone and not (len(t) > 1 and gone[0] in t)}
+        known = small["model"]["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in small["model"]["merges"]]
+        small["model"]["merges"] = [m for m in pairs if m[0] in known and m[1] in known and m[0] + m[1] in known]
+        model = bpe.WordBpe(small)
+        with pytest.raises(ValueError, match="no encoding"):
+            model.encode_words(["x" + gone[0] if gone.endswith("</w>") else gone + "x"])
+
+
+def test_what_is_remembered_is_counted_in_bytes(monkeypatch):
+    import json
+
+    model = bpe.WordBpe(json.load(open(tokenizer_path())))
+    monkeypatch.setattr(bpe, "REMEMBERED", 200_000)
+    for k in range(30):
+        model.encode_batch([prose(k, 300, 5_000), "x" * 5_000 + str(k)])
+        entries = [*model.known.items(), *model.known_words.items()]
+        assert model.held >= sum(len(a) + len(b) for a, b in entries)
+        assert sum(len(a) + len(b) + bpe.ENTRY for a, b in entries) < 500_000

@@ -31,10 +31,12 @@ from pyspark.sql import types as T
 from twinloom.llm.common import fresh, slices
 
 END = "</w>"
-# Words, and chunks between blanks, whose encodings a worker remembers; forgetting costs time only.
-REMEMBERED = 500_000
+# Bytes of words, and of chunks between blanks, whose encodings a worker remembers; forgetting costs time only.
+REMEMBERED = 64 << 20
+# What an entry takes beside its text and ids.
+ENTRY = 200
 # Pairs of tokens whose answer a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 250_000
 # Texts whose words are encoded as one trie.
 TOGETHER = 500
 
@@ -46,6 +48,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _taken(entries: dict[str, bytes]) -> int:
+    return sum(len(k) + len(v) + ENTRY for k, v in entries.items())
+
+
 class WordBpe:
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -76,6 +82,7 @@ class WordBpe:
         self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
+        self.held = 0
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the texts of ``a`` and ``b`` together gives ``a, b``.
@@ -144,12 +151,12 @@ class WordBpe:
             size = len(word)
             for length in range(len(lasts), size):
                 reach = reaches[-1] + 1
-                while word[length - reach : length] not in starts:
+                while reach and word[length - reach : length] not in starts:
                     reach -= 1
                 reaches.append(reach)
                 lasts.append(self._last(word, length, reach, lasts, self.inner))
             reach = reaches[size - 1] + 1
-            while word[size - reach :] not in finals:
+            while reach and word[size - reach :] not in finals:
                 reach -= 1
             end = self._last(word, size, reach, lasts, self.final)
             ids, at = [end], size - self.sizes[end]
@@ -177,22 +184,23 @@ class WordBpe:
         """Remember the ids of chunks without blanks: normalising and splitting stay inside one."""
         words = {chunk: self.words(chunk) for chunk in chunks}
         new = {w for found in words.values() for w in found} - self.known_words.keys()
-        if len(self.known_words) + len(new) > REMEMBERED:
-            self.known_words = {}
-            new = {w for found in words.values() for w in found}
         special = self.special.keys() & new
-        self.known_words.update((w, pack("<I", self.special[w])) for w in special)
+        made = {w: pack("<I", self.special[w]) for w in special}
         spelled = {w: w.encode().decode("latin-1").translate(self.to_letters) for w in new - special}
         encoded = self.encode_words(spelled.values())
-        self.known_words.update((w, encoded[s]) for w, s in spelled.items())
+        made.update((w, encoded[s]) for w, s in spelled.items())
         known = self.known_words
-        self.known.update((c, b"".join([known[w] for w in found])) for c, found in words.items())
+        known.update(made)
+        whole = {c: b"".join([known[w] for w in found]) for c, found in words.items()}
+        self.known.update(whole)
+        self.held += _taken(made) + _taken(whole)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         chunks = set(chain.from_iterable(split))
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
+        if self.held > REMEMBERED:
+            self.known, self.known_words = {c: self.known[c] for c in chunks if c in self.known}, {}
+            self.held = _taken(self.known)
         self._encode_chunks(chunks - self.known.keys())
         of = self.known.__getitem__
         return [np.frombuffer(b"".join(map(of, chunks)), "<u4") for chunks in split]
@@ -220,23 +228,26 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def _encoded(batches: Iterable[pa.RecordBatch], spec, text_at: int, ids_name: str):
-    model = _loaded(spec.value)
-    for batch in slices(batches, TOGETHER):
-        ids = model.encode_batch(_texts(batch.column(text_at)))
-        offsets = np.cumsum([0, *map(len, ids)])
-        values = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
-        made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-        yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids_name])
-
-
 def encode(docs: DataFrame, tokenizer: str, name: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text``; a missing or empty text has none."""
+    """``docs`` with the token ids of ``text``; a missing or empty text has none.
+
+    Repeated rows repeat, and an empty table gives no rows. Texts go to Python, ids come back.
+    """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(tokenizer_spec(spark, tokenizer))
-    text_at, name = docs.columns.index("text"), fresh(docs, name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(lambda b: _encoded(b, spec, text_at, name), schema)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids_of(texts: pa.Array) -> pa.Array:
+        model = _loaded(spec.value)
+        made = []
+        for start in range(0, len(texts), TOGETHER):
+            ids = model.encode_batch(_texts(texts.slice(start, TOGETHER)))
+            offsets = np.cumsum([0, *map(len, ids)])
+            values = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
+            made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+
+    return docs.withColumn(fresh(docs, name), ids_of(F.col("text")))
 
 
 def _decoded(batches: Iterable[pa.RecordBatch], spec, ids_at: int, name: str):
@@ -248,7 +259,10 @@ def _decoded(batches: Iterable[pa.RecordBatch], spec, ids_at: int, name: str):
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``encoded`` with the tokens of ``ids`` as text; missing ids give an empty text."""
+    """``encoded`` with the tokens of ``ids`` as text; missing or no ids give an empty text.
+
+    Repeated rows repeat, and an empty table gives no rows. An id that the file lacks is an error.
+    """
     spark = encoded.sparkSession
     spec = spark.sparkContext.broadcast(tokenizer_spec(spark, tokenizer))
     ids_at, name = encoded.columns.index(ids), fresh(encoded, name)

@@ -214,6 +214,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
     A row appears floor(rate) times, and once more if the hash of its id and text falls below the
     rest, so the expected token totals are those of the rates, and a rerun makes the same choice.
+    Equal rows get the same number of copies each. A missing or empty text has no tokens, and the
+    posterior of one empty word. Without labels every rate moves the first domain only; an empty
+    table gives no rows.
     """
     model = fit_classifier(docs, labels)
     rates = _rate_table(_measured(docs, model), targets)

@@ -263,17 +263,23 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _passing(batches: Iterable[pa.RecordBatch], text_at: int, forests: Forests, limits: list[float]):
-    for batch in slices(batches, 1000):
-        made = _stats_array(utf8(batch.column(text_at)))
-        words, repeats = (made.field(c).to_numpy() for c in ("n_words", "n_repeat_words"))
-        plain = (_anomalies(forests, [made.field(c) for c in FEATURES]) < limits).all(axis=1)
-        failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
-        yield batch.filter(pa.array(~failed & plain, pa.bool_()))
-
-
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns unchanged."""
+    """The rows of ``docs`` that ``judge`` keeps, all columns unchanged.
+
+    A row with a missing or empty text goes, repeated rows go or stay alike, and no row comes of an
+    empty table. Texts go to Python, verdicts come back.
+    """
     _, forests, limits = fit(docs, labels)
-    text_at = docs.columns.index("text")
-    return docs.mapInArrow(lambda b: _passing(b, text_at, forests, limits), docs.schema)
+
+    @F.arrow_udf(T.BooleanType())
+    def passes(texts: pa.Array) -> pa.Array:
+        found = [np.empty(0, dtype=bool)]
+        for start in range(0, len(texts), 1000):
+            made = _stats_array(utf8(texts.slice(start, 1000)))
+            words, repeats = (made.field(c).to_numpy() for c in ("n_words", "n_repeat_words"))
+            plain = (_anomalies(forests, [made.field(c) for c in FEATURES]) < limits).all(axis=1)
+            failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
+            found.append(~failed & plain)
+        return pa.array(np.concatenate(found))
+
+    return docs.where(passes(F.col("text")))

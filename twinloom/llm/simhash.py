@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinloom.llm.common import columns_of, components, fresh, utf8
 from twinloom.storage import cut_lineage
@@ -157,14 +158,27 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+@F.arrow_udf(T.LongType())
+def _fingerprint_of(texts: pa.Array) -> pa.Array:
+    found: list[int] = []
+    for start in range(0, len(texts), 1000):
+        found += map(fingerprint, utf8(texts.slice(start, 1000)))
+    return pa.array(found, pa.int64())
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, all columns unchanged: one for each component, of the smallest id."""
+    """The rows that stay, all columns unchanged: one for each component, of the smallest id.
+
+    Rows without words are one component. Of rows that share id and fingerprint one stays, and a row
+    without an id only where its component has no other. An empty table gives no rows.
+    """
     fp, keep = fresh(docs, "_fp"), fresh(docs, "_keep")
     prints = cut_lineage(_fingerprinted(docs, "fp", "doc_id"))
     winners = _grouped(prints).select("keep").distinct().select(
         F.col("keep.doc_id").alias(f"{keep}_id"), F.col("keep.fp").alias(f"{keep}_fp")
     )
-    rows = _fingerprinted(docs, fp, *docs.columns)
+    # Texts go to Python, fingerprints come back.
+    rows = docs.withColumn(fp, _fingerprint_of(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col(f"{keep}_id")) & (F.col(fp) == F.col(f"{keep}_fp"))
     # Rows that share id and fingerprint: any fixed order will do.
     order = Window.partitionBy(f"{keep}_id", f"{keep}_fp").orderBy(F.xxhash64(*columns_of(docs)))
