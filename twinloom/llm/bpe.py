@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.llm.common import fresh, slices
+from twinloom.llm.common import fresh, give_back, slices
 
 END = "</w>"
 # Bytes of words, and of chunks between blanks, whose encodings a worker remembers; forgetting costs time only.
@@ -245,7 +245,10 @@ def encode(docs: DataFrame, tokenizer: str, name: str = "ids") -> DataFrame:
             offsets = np.cumsum([0, *map(len, ids)])
             values = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
             made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
-        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+        whole = pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+        del made
+        give_back()
+        return whole
 
     return docs.withColumn(fresh(docs, name), ids_of(F.col("text")))
 

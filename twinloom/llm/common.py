@@ -50,6 +50,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterable[pa.RecordBa
             yield batch.slice(start, rows)
 
 
+def give_back() -> None:
+    """Return what Arrow keeps for later; a Python worker lives through many stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: Column) -> Column:
     """Non-empty words between blanks; none for a missing text."""
     parts = F.split(F.coalesce(text, F.lit("")), BLANKS)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.llm.common import BLANK_BYTES, BLANKS, columns_of, fresh, utf8
+from twinloom.llm.common import BLANK_BYTES, BLANKS, columns_of, fresh, give_back, utf8
 
 # One bit of a long for each salt, so the salts of a group travel as a number.
 SALTS = 64
@@ -92,6 +92,7 @@ def _first_in_task() -> Callable[[Column, Column], Column]:
                     seen[norm] = doc_id
                     if held > LOCAL_BYTES:
                         seen, held = {}, 0
+            give_back()
             yield pa.array(passed, pa.bool_())
 
     return passes.asNondeterministic()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.llm.common import slices, utf8
+from twinloom.llm.common import give_back, slices, utf8
 from twinloom.storage import cut_lineage
 
 # Fixed rules.
@@ -280,6 +280,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             plain = (_anomalies(forests, [made.field(c) for c in FEATURES]) < limits).all(axis=1)
             failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
             found.append(~failed & plain)
+            del made
+        give_back()
         return pa.array(np.concatenate(found))
 
     return docs.where(passes(F.col("text")))

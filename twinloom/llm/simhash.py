@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.llm.common import columns_of, components, fresh, utf8
+from twinloom.llm.common import columns_of, components, fresh, give_back, utf8
 from twinloom.storage import cut_lineage
 
 BITS = 64
@@ -163,6 +163,7 @@ def _fingerprint_of(texts: pa.Array) -> pa.Array:
     found: list[int] = []
     for start in range(0, len(texts), 1000):
         found += map(fingerprint, utf8(texts.slice(start, 1000)))
+    give_back()
     return pa.array(found, pa.int64())
 
 
