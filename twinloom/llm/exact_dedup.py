@@ -8,12 +8,11 @@ one salt's share.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinloom.llm.common import BLANK_BYTES, BLANKS, columns_of, fresh, give_back, utf8
 
@@ -69,33 +68,26 @@ def _blank_runs_to_spaces(text: bytes) -> bytes:
     return b" " * (text[0] in BLANK_BYTES) + joined + b" " * (text[-1] in BLANK_BYTES)
 
 
-def _first_in_task() -> Callable[[Column, Column], Column]:
-    """Whether a row is let through: not if this task let one with the same text and no larger id through."""
-
-    @F.arrow_udf(T.BooleanType())
-    def passes(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        seen: dict[bytes, object] = {}
-        held = 0
-        for ids, texts in columns:
-            passed = []
-            for start in range(0, len(ids), 1000):
-                pairs = zip(ids.slice(start, 1000).to_pylist(), utf8(texts.slice(start, 1000)), strict=True)
-                for doc_id, text in pairs:
-                    norm = _blank_runs_to_spaces(text)
-                    known = norm in seen
-                    if known and (doc_id is None or (seen[norm] is not None and seen[norm] <= doc_id)):
-                        passed.append(False)
-                        continue
-                    passed.append(True)
-                    if not known:
-                        held += len(norm)
-                    seen[norm] = doc_id
-                    if held > LOCAL_BYTES:
-                        seen, held = {}, 0
-            give_back()
-            yield pa.array(passed, pa.bool_())
-
-    return passes.asNondeterministic()
+def _drop_local_copies(batches: Iterable[pa.RecordBatch], id_at: int, text_at: int):
+    """Drop a row if one with the same text and no larger id was let through by this task."""
+    seen: dict[bytes, int | None] = {}
+    held = 0
+    for batch in batches:
+        passes = []
+        for doc_id, text in zip(batch.column(id_at).to_pylist(), utf8(batch.column(text_at)), strict=True):
+            norm = _blank_runs_to_spaces(text)
+            known = norm in seen
+            if known and (doc_id is None or (seen[norm] is not None and seen[norm] <= doc_id)):
+                passes.append(False)
+                continue
+            passes.append(True)
+            if not known:
+                held += len(norm)
+            seen[norm] = doc_id
+            if held > LOCAL_BYTES:
+                seen, held = {}, 0
+        yield batch.filter(pa.array(passes, pa.bool_()))
+        give_back()
 
 
 def drop_copies(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -104,8 +96,8 @@ def drop_copies(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64
     Rows travel with their text once per combination; the normalised text is made where it is
     compared.
     """
-    # Ids and texts go to Python, verdicts come back.
-    local = docs.where(_first_in_task()(F.col("doc_id"), F.col("text")))
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    local = docs.mapInArrow(lambda batches: _drop_local_copies(batches, id_at, text_at), docs.schema)
     key, salt, norm, place = (fresh(docs, c) for c in ("_digest", "_salt", "_norm", "_place"))
     text = normalised(F.col("text"))
     rows = local.withColumns({key: digest(text), salt: _salt(F.col("doc_id"))})

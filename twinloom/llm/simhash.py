@@ -18,7 +18,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinloom.llm.common import columns_of, components, fresh, give_back, utf8
 from twinloom.storage import cut_lineage
@@ -57,6 +56,7 @@ def _with_fingerprints(batches: Iterable[pa.RecordBatch], text_at: int, name: st
         made = pa.array([fingerprint(t) for t in utf8(batch.column(text_at))], pa.int64())
         names = [batch.schema.names[i] for i in keep]
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [made], [*names, name])
+        give_back()
 
 
 def _fingerprinted(docs: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -158,15 +158,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf(T.LongType())
-def _fingerprint_of(texts: pa.Array) -> pa.Array:
-    found: list[int] = []
-    for start in range(0, len(texts), 1000):
-        found += map(fingerprint, utf8(texts.slice(start, 1000)))
-    give_back()
-    return pa.array(found, pa.int64())
-
-
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, all columns unchanged: one for each component, of the smallest id.
 
@@ -178,8 +169,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     winners = _grouped(prints).select("keep").distinct().select(
         F.col("keep.doc_id").alias(f"{keep}_id"), F.col("keep.fp").alias(f"{keep}_fp")
     )
-    # Texts go to Python, fingerprints come back.
-    rows = docs.withColumn(fp, _fingerprint_of(F.col("text")))
+    rows = _fingerprinted(docs, fp, *docs.columns)
     same = F.col("doc_id").eqNullSafe(F.col(f"{keep}_id")) & (F.col(fp) == F.col(f"{keep}_fp"))
     # Rows that share id and fingerprint: any fixed order will do.
     order = Window.partitionBy(f"{keep}_id", f"{keep}_fp").orderBy(F.xxhash64(*columns_of(docs)))
