@@ -19,6 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Missing, empty and short texts go; repeated rows go or stay alike; an empty table gives no rows.
     """
+    _small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -27,6 +28,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts that differ only in runs of blanks are equal, and a missing one is empty. A repeated row stays once.
     """
+    _small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
@@ -35,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words have one fingerprint, and one of them stays. A repeated row stays once.
     """
+    _small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -48,10 +51,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, lang, n_tokens, ids`` of every row; a missing or empty text has no ids."""
+    _small_batches(spark)
     encoded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path())
     return encoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
+# Rows of a batch that Python workers get at once, where the session does not say: documents are long.
+BATCH_ROWS = "1000"
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_duplicates),
