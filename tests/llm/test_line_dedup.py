@@ -1,17 +1,29 @@
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from helpers import AWKWARD, documents, prose
 from twinloom.llm import line_dedup
-from twinloom.llm.line_dedup import BANDS, band_keys, drop_lines, dropped_lines, jaccard, shingles
+from twinloom.llm.crowds import crowd_links
+from twinloom.llm.line_dedup import BANDS, SHINGLE, band_keys, drop_lines, dropped_lines, similar_pairs
 from twinloom.llm.queries import op3_line_dedup
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+def shingles(line):
+    """The line's shingles as texts; a shorter line is one."""
+    return {line[i : i + SHINGLE] for i in range(max(len(line) - SHINGLE + 1, 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def lines_of(rows):
     """``((null id last, id, row number), place, line)`` of all lines with a word."""
     for n, (i, text, *_) in enumerate(rows):
@@ -67,6 +79,101 @@ def corpus():
     return rows
 
 
+def chains(n, length):
+    """Chains of lines, each like the next one only, that all share a rare passage."""
+    passage = " ".join(prose(77, 12, 90_000).split())
+    rows = []
+    for c in range(n):
+        words = prose(2_000 + c, 40, 60_000).split()
+        for _ in range(length):
+            rows.append(f"{passage} {' '.join(words[:14])}")
+            words = words[1:]
+    random.Random(n).shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("held", [1, 2_000, 1_000_000])
+@pytest.mark.parametrize("pairwise", [2, 32])
+def test_links_survive_in_crowds(spark, monkeypatch, pairwise, held):
+    """What bucket and crowd sizes lead to other ways changes no result: chains are found whole."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rows = chains(9, 4) if held == 1 else chains(12, 5)
+    monkeypatch.setattr(line_dedup, "band_keys", lambda lines: np.zeros((len(lines), BANDS), np.int64))
+    lines = documents(spark, rows).coalesce(1)
+    assert result(dropped_lines(lines, pairwise=pairwise)) == brute(rows)
+
+
+def test_pairs_are_compared_exactly(monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMPARED_TOGETHER", 300)
+    draw = random.Random(4)
+    base = [" ".join(prose(i, draw.randint(1, 25)).split()) for i in range(30)] + ["", "a", "abc", "日本語のテキスト", "x" * 500]
+    lines = base + [noisy(line, draw) for line in base]
+    lines += [line + "!" for line in base]
+    pairs = [(draw.choice(lines), draw.choice(lines)) for _ in range(400)] + list(zip(base + base, lines[len(base) :], strict=True))
+    found = similar_pairs([a for a, _ in pairs], [b for _, b in pairs], 0.8)
+    assert found.tolist() == [jaccard(shingles(a), shingles(b)) >= 0.8 for a, b in pairs]
+    assert 15 < found.sum() < 200 and not len(similar_pairs([], [], 0.8))
+
+
+def connected(n, links):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(i) for i in range(n)]
+
+
+def random_sets(draw):
+    templates = [[draw.randrange(1000) for _ in range(draw.randint(3, 40))] for _ in range(draw.randint(1, 4))]
+    shared = [draw.randrange(1000) for _ in range(draw.randint(0, 40))]
+    sets = []
+    for _ in range(draw.randint(2, 60)):
+        like = draw.choice(templates + sets[-3:])
+        made = [x for x in like if draw.random() > 0.06] + [draw.randrange(1000) for _ in range(draw.randint(0, 3))]
+        sets.append(sorted(set(made + draw.choice([[], shared])) or {1}))
+    return sets
+
+
+@pytest.mark.parametrize("similar", [0.5, 0.8, 0.95])
+def test_crowds_connect_all_similar_sets(similar):
+    draw = random.Random(similar)
+    for _ in range(100):
+        sets = random_sets(draw)
+        n = len(sets)
+        pairs = [(a, b) for a in range(n) for b in range(a) if jaccard(set(sets[a]), set(sets[b])) >= similar]
+        want = connected(n, pairs)
+        # Labels join what is connected, in part.
+        label = np.array([1000 + want[i] if draw.random() < 0.4 else i for i in range(n)])
+        known = [(a, b) for a in range(n) for b in range(a) if label[a] == label[b]]
+        for pairwise in (2, 5, 32):
+            for given, before in ((np.arange(n), []), (label, known)):
+                links = crowd_links([np.array(s) for s in sets], given, similar, pairwise)
+                assert all((max(p), min(p)) in pairs for p in links)
+                assert connected(n, [*links, *before]) == want
+
+
+def test_crowds_grow_without_pairs():
+    """Thousands that share nearly all, a passage, or a template: far fewer sets are compared than pairs exist."""
+    draw = np.random.default_rng(1)
+    n = 3_000
+    made = {
+        "near": [np.append(np.arange(100), draw.integers(200, 10**5, 5)) for _ in range(n)],
+        "template": [np.append(np.arange(100), draw.integers(200, 10**9, 16)) for _ in range(n)],
+        "passage": [np.append(np.arange(10**6, 10**6 + 60), draw.zipf(1.3, 60) % 5000) for _ in range(n)],
+        "chain": [np.arange(4 * i, 4 * i + 100) for i in range(n)],
+    }
+    groups = {"near": 1, "template": n, "passage": n, "chain": 1}
+    for kind, sets in made.items():
+        start = time.process_time()
+        links = crowd_links([np.unique(s) for s in sets], np.arange(n), 0.8, 32)
+        assert len(set(connected(n, links))) == groups[kind] and time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("pairwise", [2, 32])
 def test_all_similar_lines_are_found(spark, pairwise):
     rows = corpus() + [r for r in AWKWARD if r[0] != 6]

@@ -32,11 +32,11 @@ from twinloom.llm.common import fresh, give_back, slices
 
 END = "</w>"
 # Bytes of words, and of chunks between blanks, whose encodings a worker remembers; forgetting costs time only.
-REMEMBERED = 112 << 20
+REMEMBERED = 128 << 20
 # What an entry takes beside its text and ids.
 ENTRY = 200
 # Pairs of tokens whose answer a worker remembers.
-PAIRS = 500_000
+PAIRS = 1_000_000
 # Texts whose words are encoded as one trie.
 TOGETHER = 500
 

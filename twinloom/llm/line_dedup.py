@@ -8,8 +8,8 @@ distributed union, and the first line of each component stays.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -19,23 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.llm.common import columns_of, components, fresh, slices
-from twinloom.storage import cut_lineage, scratch_path
+from twinloom.llm.crowds import SLACK, crowd_links
+from twinloom.storage import cut_lineage, fan_out, scratch_path
 
 SHINGLE = 8
 SIMILAR = 0.8
 # Eight bands of three: a pair at the threshold is found with probability 0.997.
 BANDS, ROWS = 8, 3
-# Buckets up to this size are compared pair by pair; larger ones go by ``_large_buckets``.
+# Buckets up to this size are compared pair by pair; larger ones go by ``_crowd_links``.
 PAIRWISE = 32
 BLANKS = " \t\n\r\x0b\x0c"
 # Bits of the sieve that keeps most other lines' texts from being moved: 16 MB.
 SIEVE_BITS = 1 << 27
 # Lines whose signature a task remembers having sent.
 REMEMBERED = 1_000_000
-# Cells that count how common shingles are, for their order only.
-CELLS = 1 << 20
-# After so many rounds of comparing with one line what still shares a rare shingle is compared pair by pair.
-ROUNDS = 8
+# Characters of a crowd that one task works on; shingle hashes that are compared together.
+HELD = 1_000_000
+COMPARED_TOGETHER = 1 << 20
 KEYS = [f"b{i}" for i in range(BANDS)]
 
 _DRAW = np.random.default_rng(42)
@@ -44,16 +44,6 @@ _OFFSETS = _DRAW.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(line: str) -> set[str]:
-    """The line's shingles; a shorter line is one."""
-    return {line[i : i + SHINGLE] for i in range(max(len(line) - SHINGLE + 1, 1))}
-
-
-def jaccard(a: set[str], b: set[str]) -> float:
-    shared = len(a & b)
-    return shared / (len(a) + len(b) - shared)
-
-
 def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, line after line, and how many each line has."""
     padded = [line.ljust(SHINGLE, "\0") for line in lines]
@@ -165,16 +155,58 @@ def _sieve(wanted: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
+def similar_pairs(a: list[str], b: list[str], similar: float) -> np.ndarray:
+    """Which pairs of lines are similar by their shingles, all of them at once."""
+    if not a:
+        return np.zeros(0, dtype=bool)
+    place: dict[str, int] = {}
+    pairs = np.array([[place.setdefault(x, len(place)), place.setdefault(y, len(place))] for x, y in zip(a, b, strict=True)])
+    codes, counts = _code_sets(list(place))
+    begin = np.cumsum(counts) - counts
+    result = np.zeros(len(pairs), dtype=bool)
+    size = counts[pairs]
+    # Sets of very different size can't be similar.
+    open_ = np.flatnonzero(size.min(axis=1) >= similar * size.max(axis=1) - SLACK)
+    for start, stop in _portions(size[open_].sum(axis=1), COMPARED_TOGETHER):
+        some = open_[start:stop]
+        sides, lengths = pairs[some].ravel(), size[some].ravel()
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(begin[sides] - (ends - lengths), lengths)
+        pair = np.repeat(np.arange(len(sides)) // 2, lengths)
+        order = np.lexsort((codes[at], pair))
+        code, pair = codes[at][order], pair[order]
+        # A shingle of both sides comes twice.
+        shared = np.bincount(pair[1:][(code[1:] == code[:-1]) & (pair[1:] == pair[:-1])], minlength=len(some))
+        result[some] = shared >= similar * (size[some].sum(axis=1) - shared) - SLACK
+    return result
+
+
+def _portions(sizes: np.ndarray, limit: int) -> Iterable[tuple[int, int]]:
+    """Ranges of consecutive items of about ``limit`` in total; a larger one stands alone."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(total):
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
+def _code_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each line, line after line, and how many each has."""
+    codes, counts = shingle_codes(lines)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((codes, owner))
+    codes, owner = codes[order], owner[order]
+    first = np.ones(len(codes), dtype=bool)
+    first[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
+    return codes[first], np.bincount(owner[first], minlength=len(lines))
+
+
 def _verified(batches: Iterable[pa.RecordBatch], similar: float):
-    for batch in batches:
-        keep, last, first = [], None, set()
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if a != last:
-                last, first = a, shingles(a)
-            # Sets of very different size can't be similar.
-            n, m = len(first), max(len(b) - SHINGLE + 1, 1)
-            keep.append(m >= similar * n and jaccard(first, shingles(b)) >= similar)
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "sa", "sb"])
+    for batch in slices(batches, 2000):
+        if batch.num_rows:
+            keep = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similar)
+            yield batch.filter(pa.array(keep)).select(["a", "b", "sa", "sb"])
 
 
 def _similar(pairs: DataFrame, contents: DataFrame, similar: float) -> DataFrame:
@@ -185,93 +217,107 @@ def _similar(pairs: DataFrame, contents: DataFrame, similar: float) -> DataFrame
     return both.mapInArrow(lambda x: _verified(x, similar), "a binary, b binary, sa long, sb long")
 
 
-def _code_sets(texts: list[str]) -> list[np.ndarray]:
-    codes, counts = shingle_codes(texts)
-    return [np.unique(c) for c in np.split(codes, np.cumsum(counts)[:-1])]
+MEMBER = "crowd long, short long, label long, size long, codes array<long>"
 
 
-def _commonness(batches: Iterable[pa.RecordBatch]):
-    """How many of the task's lines have a shingle of each cell."""
-    cells = np.zeros(CELLS, np.int64)
+def _coded(batches: Iterable[pa.RecordBatch]):
+    """Members with the shingle hashes of their text."""
     for batch in slices(batches, 500):
-        if batch.num_rows:
-            found = np.concatenate(_code_sets(batch.column(0).to_pylist())) & np.uint64(CELLS - 1)
-            cells += np.bincount(found.astype(np.int64), minlength=CELLS)
-    at = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
-
+        codes, counts = _code_sets(batch.column("content").to_pylist()) if batch.num_rows else (np.empty(0, np.uint64), np.empty(0, int))
+        offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))
+        kept = [batch.column(c) for c in ("crowd", "short", "label")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), lists], ["crowd", "short", "label", "size", "codes"])
 
-PREFIXES = "token long, short long, unlike boolean, size int, tight boolean"
 
+def _linked_crowds(batches: Iterable[pa.RecordBatch], similar: float, pairwise: int):
+    """Links ``(sa, sb)`` inside crowds, whose members come one after the other."""
+    held: list[tuple[np.ndarray, ...]] = []
 
-def _prefixes(batches: Iterable[pa.RecordBatch], common, similar: float):
-    """The rarest shingles of each line, as many as a similar line can't all be without.
+    def linked() -> pa.RecordBatch:
+        _, short, label, size = (np.concatenate(c) for c in list(zip(*held, strict=True))[:4])
+        codes = [own for *_, lists in held for own in lists]
+        pairs = np.array(crowd_links(codes, label, similar, pairwise, size), dtype=np.int64).reshape(-1, 2)
+        ends = np.sort(short[pairs], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["sa", "sb"])
 
-    Of a similar pair the shorter line has a ``tight`` one among all of the longer line's.
-    """
-    cells = common.value
     for batch in slices(batches, 500):
-        tokens, rows, sizes, tight = [], [], [], []
-        for row, codes in enumerate(_code_sets(batch.column(2).to_pylist()) if batch.num_rows else ()):
-            n = len(codes)
-            ordered = codes[np.lexsort((codes, cells[(codes & np.uint64(CELLS - 1)).astype(np.int64)]))]
-            # A similar line has at least so many of them, and one that is not shorter, so many.
-            least, more = (math.ceil(share * n - 1e-9) for share in (similar, 2 * similar / (1 + similar)))
-            size = n - least + 1
-            tokens.append(ordered[:size].view(np.int64))
-            rows.append(np.full(size, row))
-            sizes.append(np.full(size, n, np.int32))
-            tight.append(np.arange(size) <= n - more)
-        if tokens:
-            chosen = pa.array(np.concatenate(rows))
-            made = [pa.array(np.concatenate(c)) for c in (tokens, sizes, tight)]
-            columns = [made[0], batch.column(0).take(chosen), batch.column(1).take(chosen), made[1], made[2]]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "short", "unlike", "size", "tight"])
-
-
-def _rest_links(members: DataFrame, contents: DataFrame, similar: float, pairwise: int) -> DataFrame:
-    """Links that connect each line marked ``unlike`` in ``(short, unlike)`` with all similar lines.
-
-    Only lines that share a rare shingle meet, which loses no similar pair whatever the order of
-    shingles. Where many do, they are compared with one of the unlike lines; what is like it needs
-    no comparison among its own any more.
+        if not batch.num_rows:
+            continue
+        numbers = [batch.column(c).to_numpy() for c in ("crowd", "short", "label", "size")]
+        lists = batch.column("codes")
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        codes = np.split(lists.flatten().to_numpy(), ends[:-1])
+        cuts = np.flatnonzero(np.diff(numbers[0])) + 1
+        for start, stop in zip(np.append(0, cuts), np.append(cuts, batch.num_rows), strict=True):
+            if held and held[-1][0][0] != numbers[0][start]:
+                yield linked()
+                held = []
+            held.append((*(x[start:stop] for x in numbers), codes[start:stop]))
+    if held:
+        yield linked()
+
+
+def _split(rows: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Links ``(sa, sb)`` and smaller crowds of crowds too large for one task: a step of ``crowd_links``.
+
+    Tokens are counted by crowd, with partial sums inside tasks, and a member gathers only its own.
     """
-    texts = cut_lineage(contents.join(members, "short").select("short", "unlike", "content"))
-    cells = texts.select("content").mapInArrow(_commonness, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(CELLS, np.int64)
-    common[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    sent = texts.sparkSession.sparkContext.broadcast(common)
-    left = texts.mapInArrow(lambda b: _prefixes(b, sent, similar), PREFIXES)
-    links = None
-    for round_ in range(ROUNDS + 1):
-        counts = left.groupBy("token").agg(
-            F.count("*").alias("n"), F.min(F.when(F.col("unlike"), F.col("short"))).alias("leader")
-        )
-        left = cut_lineage(left.join(counts.where("n > 1 and leader is not null"), "token"))
-        few = left if round_ == ROUNDS else left.where(F.col("n") <= pairwise)
-        x, y = few.alias("x"), few.alias("y")
-        meet = (
-            "x.token = y.token and (x.size > y.size or x.size = y.size and x.short > y.short) and y.tight"
-            f" and (x.unlike or y.unlike) and y.size >= {similar} * x.size"
-        )
-        pairs = x.join(y, F.expr(meet)).select(
-            F.least("x.short", "y.short").alias("sa"), F.greatest("x.short", "y.short").alias("sb")
-        )
-        many = left.where(F.col("n") > pairwise)
-        if round_ < ROUNDS:
-            starred = many.where("short <> leader").select(
-                F.least("leader", "short").alias("sa"), F.greatest("leader", "short").alias("sb")
-            )
-            pairs = pairs.unionByName(starred)
-        found = cut_lineage(_similar(pairs.distinct(), contents, similar))
-        links = found if links is None else links.unionByName(found)
-        if round_ == ROUNDS or many.isEmpty():
-            return links
-        both = found.select("sa", "sb").unionByName(found.select(F.col("sb").alias("sa"), F.col("sa").alias("sb")))
-        like = both.distinct().select(F.col("sa").alias("leader"), F.col("sb").alias("short"), F.lit(True).alias("like"))
-        still = F.col("unlike") & (F.col("short") != F.col("leader")) & F.col("like").isNull()
-        left = many.join(like, ["leader", "short"], "left").select("token", "short", still.alias("unlike"), "size", "tight")
-    return links
+    sizes = rows.groupBy("crowd").agg(F.count("*").alias("m"), F.min(F.struct("size", "short", "label")).alias("lead"))
+    tokens = rows.select("crowd", "short", F.explode("codes").alias("token"))
+    counts = tokens.groupBy("crowd", "token").agg(F.count("*").alias("c"))
+    counted = cut_lineage(counts.join(sizes.select("crowd", "m"), "crowd"))
+    shared = counted.groupBy("crowd").agg(F.count_if(F.col("c") == F.col("m")).alias("all"))
+    known = rows.join(sizes, "crowd").join(shared, "crowd")
+    near = F.col("all") >= similar * (F.col("size") + F.col("lead.size") - F.col("all")) - SLACK
+    known = known.withColumn("near", near)
+    stars = known.where("near and short <> lead.short").select(
+        F.least("short", "lead.short").alias("sa"), F.greatest("short", "lead.short").alias("sb")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("c", "token")))
+    sorted_ = tokens.join(counted, ["crowd", "token"]).groupBy("crowd", "short").agg(ordered.alias("o"))
+    label = F.when(F.col("near"), F.col("lead.label")).otherwise(F.col("label")).alias("label")
+    first = F.size("o") - F.ceil(similar * F.col("size") - SLACK).cast("int") + 1
+    members = known.select("crowd", "short", label, "size", "m").join(sorted_, ["crowd", "short"])
+    members = cut_lineage(members.where(first > 0).withColumn("first", first))
+    places = members.select("crowd", "short", "label", "m", F.posexplode(F.slice("o", F.lit(1), F.col("first"))).alias("at", "t"))
+    places = places.where("t.c > 1 and t.c < m").select("crowd", "short", "label", "at", F.xxhash64("crowd", "t.token").alias("sub"))
+    mixed = places.groupBy("sub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    chosen = places.join(mixed.select("sub"), "sub", "left_semi").select("crowd", "short", "at", "sub")
+    rest = F.slice(F.col("o")["token"], F.col("at") + 1, F.size("o"))
+    smaller = chosen.join(members, ["crowd", "short"]).select(F.col("sub").alias("crowd"), "short", "label", "size", rest.alias("codes"))
+    return stars, smaller
+
+
+def _crowd_links(members: DataFrame, contents: DataFrame, similar: float, pairwise: int) -> DataFrame:
+    """Links ``(sa, sb)`` that connect the similar lines of each crowd of ``(crowd, short, label)``.
+
+    A crowd of up to ``HELD`` characters is worked on in one task; larger ones are split first.
+    """
+    texts = contents.select("short", "content", F.length("content").alias("chars"))
+    weighed = members.join(texts.select("short", "chars"), "short")
+    weights = cut_lineage(weighed.groupBy("crowd").agg(F.sum("chars").alias("chars")))
+    placed = members.join(weights, "crowd").join(texts.select("short", "content"), "short")
+    found = []
+
+    def linked(rows: DataFrame) -> None:
+        near = fan_out(rows, "crowd").sortWithinPartitions("crowd")
+        found.append(cut_lineage(near.mapInArrow(lambda b: _linked_crowds(b, similar, pairwise), "sa long, sb long")))
+
+    small = fan_out(placed.where(F.col("chars") <= HELD).drop("chars"), "crowd")
+    linked(small.mapInArrow(_coded, MEMBER))
+    if weights.where(F.col("chars") > HELD).isEmpty():
+        return found[0]
+    rows = cut_lineage(placed.where(F.col("chars") > HELD).drop("chars").mapInArrow(_coded, MEMBER))
+    while not rows.isEmpty():
+        stars, smaller = _split(rows, similar)
+        found.append(cut_lineage(stars))
+        smaller = cut_lineage(smaller)
+        sizes = smaller.groupBy("crowd").agg(F.sum(F.size("codes")).alias("codes_"))
+        sized = smaller.join(sizes, "crowd")
+        linked(sized.where(F.col("codes_") <= HELD).drop("codes_"))
+        rows = cut_lineage(sized.where(F.col("codes_") > HELD).drop("codes_"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
@@ -279,33 +325,31 @@ def similar_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, p
 
     ``lines`` has ``short`` and the band keys of each distinct line. In buckets of up to
     ``pairwise`` lines all pairs are compared. In a larger one every line is compared with the
-    first: what is similar to it is connected already. The others go by their rare shingles. Half
-    of a line's id stands for it until its text is at hand.
+    first, and those like it are connected. A bucket in which others remain is a crowd, whose members
+    like the first share a label. Half of a line's id stands for it until its text is at hand.
     """
     placed = lines.select("short", F.explode(F.array(*KEYS)).alias("key"))
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("first")).where("n > 1")
     shared = cut_lineage(placed.join(sizes, "key"))
     few = shared.where(F.col("n") <= pairwise).select("key", F.col("short").alias("sa"))
     small = few.join(few.withColumnRenamed("sa", "sb"), "key").where("sa < sb").select("sa", "sb")
     many = shared.where(F.col("n") > pairwise)
-    firsts = many.groupBy("key").agg(F.min("short").alias("first"))
-    placed_many = cut_lineage(many.join(firsts, "key"))
-    starred = placed_many.where("short <> first").select(F.col("first").alias("sa"), F.col("short").alias("sb"))
+    starred = many.where("short <> first").select(F.col("first").alias("sa"), F.col("short").alias("sb"))
     wanted = shared.select("short").distinct()
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
     found = docs.select("text").mapInArrow(lambda b: _line_texts(b, sieve), "line binary, short long, content string")
     contents = cut_lineage(found.join(wanted, "short", "left_semi").dropDuplicates(["line"]))
     links = cut_lineage(_similar(small.unionByName(starred).distinct(), contents, similar))
-    unlike = placed_many.where("short <> first").join(
-        links.select(F.col("sa").alias("first"), F.col("sb").alias("short")), ["first", "short"], "left_anti"
-    )
-    buckets = unlike.select("key").distinct()
-    odd = unlike.select("short").distinct().withColumn("unlike", F.lit(True))
-    members = placed_many.join(buckets, "key", "left_semi").select("short").distinct().join(odd, "short", "left")
-    members = cut_lineage(members.select("short", F.coalesce("unlike", F.lit(False)).alias("unlike")))
+    like = links.select(F.col("sa").alias("first"), F.col("sb").alias("short"), F.lit(True).alias("like"))
+    labelled = many.join(like.distinct(), ["first", "short"], "left")
+    label = F.when(F.col("like") | (F.col("short") == F.col("first")), F.col("first")).otherwise(F.col("short"))
+    crowds = cut_lineage(labelled.select(F.col("key").alias("crowd"), "short", label.alias("label")))
+    mixed = crowds.groupBy("crowd").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    members = cut_lineage(crowds.join(mixed.select("crowd"), "crowd", "left_semi"))
     if members.isEmpty():
         return links.select("a", "b")
-    return links.unionByName(_rest_links(members, contents, similar, pairwise)).select("a", "b")
+    more = _similar(_crowd_links(members, contents, similar, pairwise).distinct(), contents, similar)
+    return links.unionByName(cut_lineage(more)).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
