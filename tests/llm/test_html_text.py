@@ -28,7 +28,7 @@ CASES = [
     ("text <a href='x>y'>link</a>", "text link"),
     ("<img alt='a picture'><img src=x>", "a picture"),
     ("<dl><dt>t<dd>d1<dd>d2</dl>", "t\n  d1\n  d2"),
-    ("<select><option>a<option>b</select>c<noscript>n</noscript>", "c"),
+    ("<select><option>a<option>b</select>c<noscript>n</noscript>", "a c"),
     ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
     ("<script>unclosed", ""),
     ("<!doctype html><html><body><h1>H</h1><h2>I</h2>x", "H\n\nI\n\nx"),
@@ -84,6 +84,8 @@ def test_all_visible_words_of_the_table(spark):
         ("<desc>shown</desc>", "shown"),
         ("pick <select><option>a<option selected>b<option>c</select> now", "pick b now"),
         ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("pick <select><option disabled>a<optgroup><option>b<option>c</select> now", "pick b now"),
+        ("pick <select></select> now", "pick now"),
     ],
 )
 def test_drawings_formulas_and_choices(html, text):

@@ -52,7 +52,9 @@ def test_reputation(spark):
 @pytest.mark.parametrize("kind", ["given", "none"])
 def test_same_as_sql(spark, kind):
     rows = URLS + [(100 + i, f"http://h{i % 7}.d{i % 3}.com/{i}") for i in range(200)]
-    marks = [(i, int(i % 7 != 2), int(i % 5 == 0)) for i in range(0, 300, 2)] if kind == "given" else []
+    hosts = ["a.b.co.uk", "c.b.co.uk:8080", "co.uk", "10.1.1.1", "10.1.1.1:80", "[2001:db8::1]", "b.com.br:", "com:80", "x.y.com.", "uk"]
+    rows += [(300 + i, f"http://{hosts[i % len(hosts)]}/{i}") for i in range(60)]
+    marks = [(i, int(i % 7 != 2), int(i % 5 == 0)) for i in range(0, 360, 2)] if kind == "given" else []
     ours = judge_urls(pages(spark, rows), labelled(spark, marks), URL_RULES)
     db = duckdb.connect()
     db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
@@ -69,7 +71,8 @@ def test_levels(spark):
     want = {
         "shop.spam.co.uk": ("spam.co.uk", "co.uk"), "a.b.com.br": ("b.com.br", "com.br"), "b.com.br": ("b.com.br", "com.br"),
         "co.uk": ("co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "y.com": ("y.com", "com"), "com": ("com", "com"), "": ("", ""),
-        "10.1.1.1": ("10.1.1.1", "10.1.1.1"), "10.1.1.1:80": ("10.1.1.1:80", "10.1.1.1:80"),
+        "10.1.1.1": ("10.1.1.1", "10.1.1.1"), "10.1.1.1:80": ("10.1.1.1", "10.1.1.1"),
+        "x.y.com:8080": ("y.com", "com"), "a.b.co.uk:1": ("b.co.uk", "co.uk"), "com:80": ("com", "com"),
         "[2001:db8::1.2.3.4]": ("[2001:db8::1.2.3.4]", "[2001:db8::1.2.3.4]"),
     }
     hosts = spark.createDataFrame([(h,) for h in want], "host string")

@@ -307,11 +307,13 @@ def _options(node: Node) -> Iterable[Node]:
 
 
 def _select(node: Node, out: Writer, depth: int) -> None:
-    """All options of a list box; of a menu the last that is marked as selected."""
+    """All options of a list box; of a menu the last that is marked as selected, or else the first one allowed."""
     if "multiple" in node.attrs or node.number("size", 1) > 1:
         _render(node, out, depth, False)
         return
-    for option in [o for o in _options(node) if "selected" in o.attrs][-1:]:
+    options = list(_options(node))
+    marked = [o for o in options if "selected" in o.attrs][-1:]
+    for option in marked or [o for o in options if "disabled" not in o.attrs][:1]:
         out.space = out.space or bool(out.line)
         _render(option, out, depth, False)
         out.space = bool(out.line)

@@ -154,6 +154,10 @@ QUERIES = {
 }
 
 
+def _listed(texts: tuple[str, ...]) -> str:
+    return ", ".join(f"'{t}'" for t in texts)
+
+
 def _prior_weight_sql(groups: str) -> str:
     """The method of moments over ``(bad, n, m)``, m being the prior mean."""
     return f"""(SELECT CASE WHEN spread > 0 AND most > 0 THEN least(greatest(most / spread - 1, 1.0), 1000.0)
@@ -195,8 +199,14 @@ ORACLES = {
                      WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM labels),
         c AS (SELECT host, coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n
               FROM s LEFT JOIN l USING (page_id) GROUP BY host),
-        h AS (SELECT host, bad, n, regexp_extract(host, '([^.]*)$', 1) AS suffix,
-                     regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain FROM c),
+        b AS (SELECT host, bad, n, regexp_replace(host, ':[0-9]*$', '') AS bare FROM c),
+        k AS (SELECT *, CASE WHEN regexp_extract(bare, '[^.]*\.[^.]*$') IN ({_listed(url_filter.SUFFIXES)}) THEN 1 ELSE 0 END AS more,
+                     regexp_matches(bare, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$|^\[') AS address FROM b),
+        h AS (SELECT host, bad, n,
+                     CASE WHEN address THEN bare WHEN more = 1 THEN regexp_extract(bare, '([^.]*\.)?[^.]*$')
+                          ELSE regexp_extract(bare, '[^.]*$') END AS suffix,
+                     CASE WHEN address THEN bare WHEN more = 1 THEN regexp_extract(bare, '([^.]*\.)?([^.]*\.)?[^.]*$')
+                          ELSE regexp_extract(bare, '([^.]*\.)?[^.]*$') END AS domain FROM k),
         d AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY domain, suffix),
         x AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY suffix),
         o AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) ELSE 0.5::DOUBLE END AS m FROM h),

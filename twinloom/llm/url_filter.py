@@ -18,30 +18,45 @@ BOUND = 1.645
 MAX_BAD_RATE = 0.5
 # Prior weights stay inside these; a level without spread gets the largest.
 WEIGHTS = (1.0, 1000.0)
-# Public suffixes of more than one label: those under which a country's names are commonly registered.
-# Private ones (hosting services) and rarer ones are not listed; under them the last label is the suffix.
-_SECOND = {
-    "ac": "ao at be bw ci cn cr cy fj gn id il im in ir jp ke kr lk ls ma me mu mw mz ni nz pa pr rs rw se sz th tj tz ug uk uz vn za zm zw",
-    "co": "ag ao at bb bi bw bz ci cm cr cz gg gy id il im in ir it je jp ke kr lc ls ma me mu mw mz na ni nz pn rs rw sz th tj tm tt tz ug uk uz ve vi za zm zw",
-    "com": "ag ai al an ar au aw az ba bb bd bh bi bm bn bo br bs bt by bz ci cn co cu cv cw cy dm do dz ec ee eg es et fj ge gh gi gl gn gp gr gt gu gy hk hn hr ht im iq is jm jo kg kh ki km kp kw ky kz la lb lc lk lr lv ly mg mk ml mm mo ms mt mu mv mw mx my na nf ng ni np nr om pa pe pf pg ph pk pl pr ps pt py qa re ro sa sb sc sd sg sh sl sn so st sv sy tj tm tn to tr tt tw ua ug uy uz vc ve vi vn vu ws ye zm",
-    "edu": "ac al ar au az ba bb bd bh bo br bs bt bz cn co cu cw dm do dz ec eg es et ge gh gr gt hk hn iq it jo kg kh kw ky kz lb lk lr lv ly mk mm mo ms mt mx my ng ni np om pa pe ph pk pl ps pt py qa ro sa sb sc sg sv sy tr tt tw ua uy ve vn za",
-    "gov": "ac ae af al ar as au az ba bb bd bh bm bn br bs bt by bz cn co cu cy dm do dz ec eg et ge gh gi gr ie il in iq ir it jm jo kh ki kw ky kz la lb lk lr lt lv ly ma me mk mm mo ms mt mu my ng np om ph pk pl ps pt py qa rs ru rw sa sb sc sd sg sl st sy tr tt tw ua uk ve vn za zm",
-    "net": "ac ae ag ai al ar au az ba bb bd bh bm bn bo br bs bt bz ci cn co cu cw cy dm do dz ec eg et fj ge gg gl gn gp gr gt gy hk hn id il im in iq ir is je jm jo kg kh ki kn kw ky kz la lb lc lk lr lv ly ma me mk ml mm mo ms mt mu mv mw mx my nf ng ni nr nz om pa pe ph pk pl pr ps pt py qa rw sa sb sc sd sg sh sl so st sy th tj tm tn to tr tt tw ua uk uy uz vc ve vi vn vu ws ye za zm",
-    "org": "ac ae ag ai al ar au az ba bb bd bh bi bm bn bo br bs bt bw bz ci cn co cu cw cy dm do dz ec ee eg es et fj ge gg gh gi gl gn gp gr gt gy hk hn hu il im in iq ir is je jm jo kg kh ki km kn kp kw ky kz la lb lc lk lr ls lv ly ma me mg mk ml mm mn mo ms mt mu mv mw mx my mz na ng ni nr nz om pa pe pf ph pk pl pr ps pt py qa ro rs rw sa sb sc sd se sg sh sl sn so st sv sy sz tj tm tn to tr tt tw ua ug uk uy uz vc ve vi vn vu ws ye za zm zw",
-    "gob": "ar bo cl do ec es gt hn mx ni pa pe sv ve",
-    "go": "ci cr id jp ke kr th tj tz ug",
-    "or": "at bi ci cr id it jp ke kr mu na th tz ug",
-    "ne": "jp ke kr tz ug us",
-    "nom": "br co es fr ni pa pe pl re ro za",
-    "gen": "in nz tr", "ltd": "uk cy lk", "plc": "uk ly", "me": "uk tz", "sch": "uk id ae sa ng", "nhs": "uk", "police": "uk",
-    "firm": "in ro", "ind": "br in", "nic": "in", "res": "in", "mil": "br cn co kr ph pl tr za",
-    "id": "au ir lv ly", "asn": "au lv", "school": "nz", "geek": "nz", "maori": "nz", "iwi": "nz", "govt": "nz",
-    "art": "br dz", "adv": "br", "blog": "br", "eco": "br", "eng": "br", "jus": "br", "leg": "br", "tv": "br tr", "wiki": "br",
-    "ad": "jp", "ed": "jp cr", "gr": "jp", "lg": "jp", "re": "kr", "pe": "kr", "idv": "tw hk", "in": "th", "mi": "th",
-    "web": "id za tr", "my": "id", "biz": "id pl tr pk", "info": "pl tr", "waw": "pl", "muni": "il", "k12": "il tr", "bel": "tr",
-}
-SUFFIXES = tuple(sorted(f"{name}.{country}" for name, countries in _SECOND.items() for country in countries.split()))
-_ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]*)?$|^\["
+# Public suffixes of two labels under which names of these countries are commonly registered.
+# Others, private ones (hosting services) and longer ones are not listed: there the last label is the suffix.
+SUFFIXES = tuple("""
+    ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk police.uk sch.uk
+    asn.au com.au edu.au gov.au id.au net.au org.au
+    ac.nz co.nz geek.nz gen.nz govt.nz iwi.nz kiwi.nz maori.nz mil.nz net.nz org.nz school.nz
+    ac.jp ad.jp co.jp ed.jp go.jp gr.jp lg.jp ne.jp or.jp
+    ac.kr co.kr go.kr ne.kr or.kr pe.kr re.kr
+    ac.cn com.cn edu.cn gov.cn mil.cn net.cn org.cn
+    com.tw edu.tw gov.tw idv.tw net.tw org.tw
+    com.hk edu.hk gov.hk idv.hk net.hk org.hk
+    com.sg edu.sg gov.sg net.sg org.sg
+    com.my edu.my gov.my net.my org.my
+    ac.th co.th go.th in.th net.th or.th
+    ac.id co.id go.id net.id or.id sch.id web.id
+    com.ph edu.ph gov.ph net.ph org.ph
+    com.vn edu.vn gov.vn net.vn org.vn
+    ac.in co.in edu.in firm.in gen.in gov.in ind.in net.in nic.in org.in res.in
+    com.pk edu.pk gov.pk net.pk org.pk
+    ac.il co.il gov.il muni.il net.il org.il
+    com.tr edu.tr gen.tr gov.tr net.tr org.tr
+    com.sa edu.sa gov.sa org.sa
+    ac.ae co.ae gov.ae net.ae org.ae
+    ac.za co.za gov.za net.za org.za web.za
+    ac.ke co.ke go.ke or.ke
+    com.ng edu.ng gov.ng org.ng
+    adv.br art.br blog.br com.br eco.br edu.br gov.br jus.br net.br org.br
+    com.ar edu.ar gob.ar net.ar org.ar
+    com.mx edu.mx gob.mx net.mx org.mx
+    com.co edu.co gov.co net.co org.co
+    com.pe edu.pe gob.pe org.pe
+    com.ve co.ve gob.ve org.ve
+    com.ua edu.ua gov.ua net.ua org.ua
+    com.pl edu.pl gov.pl net.pl org.pl
+    ac.at co.at or.at
+    com.es org.es com.pt com.gr co.hu
+""".split())
+_ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\["
+_PORT = r":[0-9]*$"
 # (rule, verdict)
 Rules = tuple[tuple[str, str], ...]
 
@@ -62,13 +77,18 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def without_port(host: Column) -> Column:
+    """The host as the levels above it see it; the host itself keeps its port."""
+    return F.regexp_replace(host, _PORT, "")
+
+
 def _labels_of(host: Column) -> Column:
     return F.split(host, r"\.")
 
 
-def _suffix_labels(host: Column) -> Column:
+def _suffix_labels(host: Column, suffixes: tuple[str, ...]) -> Column:
     """How many labels the public suffix has."""
-    return F.when(F.array_join(F.slice(_labels_of(host), -2, 2), ".").isin(*SUFFIXES), 2).otherwise(1)
+    return F.when(F.array_join(F.slice(_labels_of(host), -2, 2), ".").isin(*suffixes), 2).otherwise(1)
 
 
 def _last(host: Column, labels: Column) -> Column:
@@ -78,14 +98,16 @@ def _last(host: Column, labels: Column) -> Column:
     return F.when(whole, host).otherwise(F.array_join(F.slice(parts, -labels, labels), "."))
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix: a listed one of two labels, or the last label."""
-    return _last(host, _suffix_labels(host))
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix: a listed one of two labels, or the last label. A port does not count."""
+    bare = without_port(host)
+    return _last(bare, _suffix_labels(bare, suffixes))
 
 
-def registered_domain(host: Column) -> Column:
-    """The public suffix and the label before it, or the host if it has no more."""
-    return _last(host, _suffix_labels(host) + 1)
+def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix and the label before it, or the host if it has no more. A port does not count."""
+    bare = without_port(host)
+    return _last(bare, _suffix_labels(bare, suffixes) + 1)
 
 
 def longest_rule(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
@@ -124,7 +146,7 @@ def _shrunk(groups: DataFrame, mean: Column, name: str) -> DataFrame:
     return groups.withColumns({"a": a, "b": b, name: a / (a + b)})
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``(host, a, b)`` from ``(host, bad)`` rows, ``bad`` being 1, 0 or null where unlabelled.
 
     Sums are combined before each shuffle. The levels above are joined to the one below, so no
@@ -134,23 +156,29 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     known = outcomes.groupBy("host").agg(
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("n")
     )
-    levels = {"domain": registered_domain(F.col("host")), "suffix": suffix_of(F.col("host"))}
+    levels = {"domain": registered_domain(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}
     hosts = cut_lineage(known.withColumns(levels))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
+    above = domains.groupBy("suffix").agg(*sums)
     total = hosts.agg(*sums).first()
     overall = (total["bad"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
-    suffixes = _shrunk(suffixes, F.lit(overall), "suffix_mean").select("suffix", "suffix_mean")
-    domains = _shrunk(domains.join(suffixes, "suffix"), F.col("suffix_mean"), "domain_mean")
+    above = _shrunk(above, F.lit(overall), "suffix_mean").select("suffix", "suffix_mean")
+    domains = _shrunk(domains.join(above, "suffix"), F.col("suffix_mean"), "domain_mean")
     domains = cut_lineage(domains.select("domain", "domain_mean"))
     return _shrunk(hosts.join(domains, "domain"), F.col("domain_mean"), "mean").select("host", "a", "b")
 
 
 def judge_urls(
-    pages: DataFrame, labels: DataFrame, rules: Rules, bound: float = BOUND, limit: float = MAX_BAD_RATE
+    pages: DataFrame,
+    labels: DataFrame,
+    rules: Rules,
+    bound: float = BOUND,
+    limit: float = MAX_BAD_RATE,
+    suffixes: tuple[str, ...] = SUFFIXES,
 ) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, bad_rate_bound``.
 
+    ``suffixes`` are the public suffixes of two labels, a list of bounded size.
     A label belongs to the page of its ``doc_id``; low quality or toxic counts as bad. A url that
     is missing or has no ``://`` has empty host and path and the reputation of the empty host.
     Repeated pages are judged alike; an empty table gives no rows; other columns are not read.
@@ -161,7 +189,7 @@ def judge_urls(
         F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0
     )
     known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    reputation = host_reputation(split.join(known, "page_id", "left").select("host", "bad"))
+    reputation = host_reputation(split.join(known, "page_id", "left").select("host", "bad"), suffixes)
     a, b = F.col("a"), F.col("b")
     lower = a / (a + b) - bound * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
