@@ -5,10 +5,10 @@ them. What all members share says nothing, so it comes last. Two sets whose firs
 that order, is among what all share have a similarity that follows from their sizes alone: if it
 suffices, both are similar to the smallest member, and one star links them all. Every other similar pair
 has a rarer token in common, among the first of both, by the usual prefix bound. For each such token
-there is a smaller crowd of those that have it, of which what came before need not be looked at again.
+there is a smaller crowd of those that have it; one that lies inside another which is done is skipped.
 
 Members are labelled: those of one label are connected already. A crowd of one label is done, and small
-crowds are compared pair by pair, as far as labels differ. No similar pair is left unconnected.
+crowds are compared pair by pair. No similar pair is left unconnected.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import numpy as np
 
 # Rounding of shares of set sizes.
 SLACK = 1e-9
+# Tokens that few members are compared by at once.
+COLUMNS = 4096
 
 
 def least_shared(size: np.ndarray | int, similar: float) -> np.ndarray | int:
@@ -52,26 +54,26 @@ class Labels:
 def _compared(
     members: np.ndarray, rest: list[np.ndarray], sizes: np.ndarray, labels: Labels, similar: float
 ) -> list[tuple[int, int]]:
-    """Links among few members, found pair by pair."""
-    links = []
-    size = sizes[members].tolist()
-    held: dict[int, set[int]] = {}
-
-    def tokens(k: int) -> set[int]:
-        if k not in held:
-            held[k] = set(rest[k].tolist())
-        return held[k]
-
-    for a in range(len(members)):
-        for b in range(a + 1, len(members)):
-            need = similar * (size[a] + size[b]) / (1 + similar) - SLACK
-            if min(len(rest[a]), len(rest[b])) < need or labels.root(int(members[a])) == labels.root(int(members[b])):
-                continue
-            shared = len(tokens(a) & tokens(b))
-            if shared >= similar * (size[a] + size[b] - shared) - SLACK:
-                labels.join(int(members[a]), int(members[b]))
-                links.append((int(members[a]), int(members[b])))
-    return links
+    """Links among few members: common tokens of all pairs are products of a table of who has which."""
+    lengths = [len(r) for r in rest]
+    _, token = np.unique(np.concatenate(rest), return_inverse=True)
+    owner = np.repeat(np.arange(len(members)), lengths)
+    shared = np.zeros((len(members), len(members)))
+    for start in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
+        here = (token >= start) & (token < start + COLUMNS)
+        has = np.zeros((len(members), COLUMNS), dtype=np.float32)
+        has[owner[here], token[here] - start] = 1
+        shared += has @ has.T
+    size = sizes[members]
+    alike = shared >= similar * (size[:, None] + size[None] - shared) - SLACK
+    pairs = ((int(members[a]), int(members[b])) for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True))
+    return [p for p in pairs if labels.join(*p)]
+
+
+def _bits(members: np.ndarray, total: int) -> int:
+    held = np.zeros(total, dtype=bool)
+    held[members] = True
+    return int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
 
 
 def crowd_links(
@@ -84,36 +86,39 @@ def crowd_links(
     """
     labels, links = Labels(label), []
     size = np.array([len(s) for s in sets]) if size is None else size
-    crowds = [(np.arange(len(sets)), sets)]
-    while crowds:
-        members, rest = crowds.pop()
-        if labels.all_one(members):
+    done: list[int] = []
+    # A crowd to be worked on, or the bits of one whose smaller crowds are all done.
+    waiting: list[np.ndarray | int] = [np.arange(len(sets))]
+    while waiting:
+        members = waiting.pop()
+        if isinstance(members, int):
+            done = [members, *(d for d in done if d & ~members)]
+            continue
+        bits = _bits(members, len(sets))
+        if labels.all_one(members) or any(bits & ~d == 0 for d in done):
             continue
+        waiting.append(bits)
+        rest, own = [sets[m] for m in members], size[members]
         if len(members) <= max(pairwise, 2):
             links += _compared(members, rest, size, labels, similar)
             continue
         lengths = np.array([len(r) for r in rest])
         flat, owner = np.concatenate(rest), np.repeat(np.arange(len(members)), lengths)
-        token, of, count = np.unique(flat, return_inverse=True, return_counts=True)
+        _, of, count = np.unique(flat, return_inverse=True, return_counts=True)
         shared = int((count == len(members)).sum())
-        own = size[members]
         lead = int(own.argmin())
         star = np.flatnonzero(shared >= similar * (own + own[lead] - shared) - SLACK)
         links += [(int(members[lead]), int(members[k])) for k in star if labels.join(int(members[lead]), int(members[k]))]
         if labels.all_one(members):
             continue
         order = np.lexsort((of, count[of], owner))
-        flat, of = flat[order], of[order]
-        begin = np.cumsum(lengths) - lengths
-        place = np.arange(len(flat)) - np.repeat(begin, lengths)
+        of = of[order]
+        place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         first = lengths - least_shared(own, similar) + 1
         chosen = np.flatnonzero((place < first[owner]) & (count[of] > 1) & (count[of] < len(members)))
-        chosen = chosen[np.argsort(of[chosen], kind="stable")]
-        cuts = np.flatnonzero(np.diff(of[chosen])) + 1
-        ends = begin + lengths
-        for part in np.split(chosen, cuts):
-            if len(part) > 1:
-                who = owner[part]
-                if not labels.all_one(members[who]):
-                    crowds.append((members[who], [flat[p : ends[k]] for p, k in zip(part, who, strict=True)]))
+        chosen = chosen[np.lexsort((owner[chosen], of[chosen]))]
+        parts = np.split(owner[chosen], np.flatnonzero(np.diff(of[chosen])) + 1)
+        smaller = {who.tobytes(): members[who] for who in parts if len(who) > 1}
+        # The largest are worked on first: what lies inside one of them needs no work then.
+        waiting += sorted(smaller.values(), key=len)
     return links

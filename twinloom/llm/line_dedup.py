@@ -33,6 +33,8 @@ BLANKS = " \t\n\r\x0b\x0c"
 SIEVE_BITS = 1 << 27
 # Lines whose signature a task remembers having sent.
 REMEMBERED = 1_000_000
+# Crowds up to so many times ``PAIRWISE`` are compared pair by pair as well, in one product.
+CROWD_SHARE = 16
 # Characters of a crowd that one task works on; shingle hashes that are compared together.
 HELD = 1_000_000
 COMPARED_TOGETHER = 1 << 20
@@ -237,7 +239,8 @@ def _linked_crowds(batches: Iterable[pa.RecordBatch], similar: float, pairwise:
     def linked() -> pa.RecordBatch:
         _, short, label, size = (np.concatenate(c) for c in list(zip(*held, strict=True))[:4])
         codes = [own for *_, lists in held for own in lists]
-        pairs = np.array(crowd_links(codes, label, similar, pairwise, size), dtype=np.int64).reshape(-1, 2)
+        found = crowd_links(codes, label, similar, CROWD_SHARE * pairwise, size)
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
         ends = np.sort(short[pairs], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["sa", "sb"])
 
@@ -281,9 +284,15 @@ def _split(rows: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     members = known.select("crowd", "short", label, "size", "m").join(sorted_, ["crowd", "short"])
     members = cut_lineage(members.where(first > 0).withColumn("first", first))
     places = members.select("crowd", "short", "label", "m", F.posexplode(F.slice("o", F.lit(1), F.col("first"))).alias("at", "t"))
-    places = places.where("t.c > 1 and t.c < m").select("crowd", "short", "label", "at", F.xxhash64("crowd", "t.token").alias("sub"))
-    mixed = places.groupBy("sub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    chosen = places.join(mixed.select("sub"), "sub", "left_semi").select("crowd", "short", "at", "sub")
+    sub = F.xxhash64("crowd", "t.token").alias("sub")
+    places = places.where("t.c > 1 and t.c < m").select("crowd", "short", "label", "at", sub, F.col("t").alias("token"))
+    # Of tokens with the same members only the first one can be the first that two of them share.
+    members_of = F.struct(F.count("*"), F.bit_xor(F.xxhash64("short")), F.min("short"), F.max("short"))
+    parts = places.groupBy("crowd", "sub", "token").agg(
+        members_of.alias("who"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    first_of = parts.where("low <> high").groupBy("crowd", "who").agg(F.min(F.struct("token", "sub")).alias("of"))
+    chosen = places.join(first_of.select(F.col("of.sub").alias("sub")), "sub", "left_semi").select("crowd", "short", "at", "sub")
     rest = F.slice(F.col("o")["token"], F.col("at") + 1, F.size("o"))
     smaller = chosen.join(members, ["crowd", "short"]).select(F.col("sub").alias("crowd"), "short", "label", "size", rest.alias("codes"))
     return stars, smaller
