@@ -103,8 +103,7 @@ def test_links_survive_in_crowds(spark, monkeypatch, pairwise, held):
     assert result(dropped_lines(lines, pairwise=pairwise)) == brute(rows)
 
 
-def test_pairs_are_compared_exactly(monkeypatch):
-    monkeypatch.setattr(line_dedup, "COMPARED_TOGETHER", 300)
+def test_pairs_are_compared_exactly():
     draw = random.Random(4)
     base = [" ".join(prose(i, draw.randint(1, 25)).split()) for i in range(30)] + ["", "a", "abc", "日本語のテキスト", "x" * 500]
     lines = base + [noisy(line, draw) for line in base]

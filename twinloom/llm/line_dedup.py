@@ -35,9 +35,8 @@ SIEVE_BITS = 1 << 27
 REMEMBERED = 1_000_000
 # Crowds up to so many times ``PAIRWISE`` are compared pair by pair as well, in one product.
 CROWD_SHARE = 16
-# Characters of a crowd that one task works on; shingle hashes that are compared together.
+# Characters of a crowd that one task works on.
 HELD = 1_000_000
-COMPARED_TOGETHER = 1 << 20
 KEYS = [f"b{i}" for i in range(BANDS)]
 
 _DRAW = np.random.default_rng(42)
@@ -158,50 +157,28 @@ def _sieve(wanted: DataFrame) -> np.ndarray:
 
 
 def similar_pairs(a: list[str], b: list[str], similar: float) -> np.ndarray:
-    """Which pairs of lines are similar by their shingles, all of them at once."""
-    if not a:
-        return np.zeros(0, dtype=bool)
+    """Which pairs of lines are similar by their shingles; each distinct line is cut once."""
     place: dict[str, int] = {}
-    pairs = np.array([[place.setdefault(x, len(place)), place.setdefault(y, len(place))] for x, y in zip(a, b, strict=True)])
-    codes, counts = _code_sets(list(place))
-    begin = np.cumsum(counts) - counts
+    pairs = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(a, b, strict=True)]
+    sets = _line_sets(list(place))
     result = np.zeros(len(pairs), dtype=bool)
-    size = counts[pairs]
-    # Sets of very different size can't be similar.
-    open_ = np.flatnonzero(size.min(axis=1) >= similar * size.max(axis=1) - SLACK)
-    for start, stop in _portions(size[open_].sum(axis=1), COMPARED_TOGETHER):
-        some = open_[start:stop]
-        sides, lengths = pairs[some].ravel(), size[some].ravel()
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) + np.repeat(begin[sides] - (ends - lengths), lengths)
-        pair = np.repeat(np.arange(len(sides)) // 2, lengths)
-        order = np.lexsort((codes[at], pair))
-        code, pair = codes[at][order], pair[order]
-        # A shingle of both sides comes twice.
-        shared = np.bincount(pair[1:][(code[1:] == code[:-1]) & (pair[1:] == pair[:-1])], minlength=len(some))
-        result[some] = shared >= similar * (size[some].sum(axis=1) - shared) - SLACK
+    for n, (x, y) in enumerate(pairs):
+        small, large = sorted((sets[x], sets[y]), key=len)
+        # Sets of very different size can't be similar.
+        if len(small) >= similar * len(large) - SLACK:
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            shared = int((large[at] == small).sum())
+            result[n] = shared >= similar * (len(small) + len(large) - shared) - SLACK
     return result
 
 
-def _portions(sizes: np.ndarray, limit: int) -> Iterable[tuple[int, int]]:
-    """Ranges of consecutive items of about ``limit`` in total; a larger one stands alone."""
-    total, start = np.cumsum(sizes), 0
-    while start < len(total):
-        done = total[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, done + limit, side="right")))
-        yield start, stop
-        start = stop
-
-
-def _code_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each line, line after line, and how many each has."""
+def _line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    if not lines:
+        return []
     codes, counts = shingle_codes(lines)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((codes, owner))
-    codes, owner = codes[order], owner[order]
-    first = np.ones(len(codes), dtype=bool)
-    first[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
-    return codes[first], np.bincount(owner[first], minlength=len(lines))
+    return [np.unique(own) for own in np.split(codes, np.cumsum(counts)[:-1])]
 
 
 def _verified(batches: Iterable[pa.RecordBatch], similar: float):
@@ -225,8 +202,10 @@ MEMBER = "crowd long, short long, label long, size long, codes array<long>"
 def _coded(batches: Iterable[pa.RecordBatch]):
     """Members with the shingle hashes of their text."""
     for batch in slices(batches, 500):
-        codes, counts = _code_sets(batch.column("content").to_pylist()) if batch.num_rows else (np.empty(0, np.uint64), np.empty(0, int))
+        sets = _line_sets(batch.column("content").to_pylist())
+        counts = np.array([len(own) for own in sets], dtype=np.int64)
         offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        codes = np.concatenate([np.empty(0, np.uint64), *sets])
         lists = pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))
         kept = [batch.column(c) for c in ("crowd", "short", "label")]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), lists], ["crowd", "short", "label", "size", "codes"])
