@@ -1,9 +1,9 @@
 """Text normalisation as native column expressions.
 
-Everything but the Unicode compatibility step runs inside whole-stage codegen.
-Most punctuation rules are plain substring replacements, which Spark applies to
-the UTF-8 bytes directly; only the few that need a character class go through
-the regex engine.
+Each step is a column expression of its own: punctuation and non-printing characters in
+whole-stage codegen, the Unicode compatibility step in Arrow batches. ``preprocess`` makes all
+three in one pass over an Arrow batch, from the same rules, and looks for a rule's pattern only in
+texts that hold the characters which it cannot do without.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ class Rule(NamedTuple):
     find: str
     put: str
     regex: bool = False
+    needs: str = ""  # every match of a regex rule holds this
 
 
 # The Moses punctuation-normalisation rules, in application order.
@@ -43,11 +44,11 @@ SPACING_RULES = (
     Rule("\r", ""),
     Rule("(", " ("),
     Rule(")", ") "),
-    Rule(" {2,}", " ", regex=True),
-    Rule(r"\) ([.!:?;,])", ")$1", regex=True),
+    Rule(" {2,}", " ", regex=True, needs="  "),
+    Rule(r"\) ([.!:?;,])", ")$1", regex=True, needs=") "),
     Rule("( ", "("),
     Rule(" )", ")"),
-    Rule(r"(\p{Nd}) %", "$1%", regex=True),
+    Rule(r"(\p{Nd}) %", "$1%", regex=True, needs=" %"),
     Rule(" :", ":"),
     Rule(" ;", ";"),
 )
@@ -61,7 +62,7 @@ QUOTE_AND_DASH_RULES = (
     Rule("”", '"'),
     Rule("–", "-"),
     Rule("—", " - "),
-    Rule(" {2,}", " ", regex=True),
+    Rule(" {2,}", " ", regex=True, needs="  "),
     Rule("´", "'"),
     # A quote between two letters and a quote elsewhere both become an apostrophe.
     Rule("‘", "'"),
@@ -88,25 +89,25 @@ PSEUDO_SPACE_RULES = (
     Rule(f"{NBSP}!", "!"),
     Rule(f"{NBSP};", ";"),
     Rule(f",{NBSP}", ", "),
-    Rule(" {2,}", " ", regex=True),
+    Rule(" {2,}", " ", regex=True, needs="  "),
 )
 QUOTE_COMMA_RULES = {
-    "en": (Rule(r'"([,.]+)', '$1"', regex=True),),
+    "en": (Rule(r'"([,.]+)', '$1"', regex=True, needs='"'),),
     **dict.fromkeys(
         ("de", "es", "fr"),
         (
             Rule(',"', '",'),
-            Rule(r'(\.+)"(\s*[^<])', '"$1$2', regex=True),
+            Rule(r'(\.+)"(\s*[^<])', '"$1$2', regex=True, needs='."'),
         ),
     ),
 }
 DIGIT_GROUP_RULES = {
     **dict.fromkeys(
         ("de", "es", "cz", "cs", "fr"),
-        (Rule(rf"(\p{{Nd}}){NBSP}(\p{{Nd}})", "$1,$2", regex=True),),
+        (Rule(rf"(\p{{Nd}}){NBSP}(\p{{Nd}})", "$1,$2", regex=True, needs=NBSP),),
     ),
 }
-DIGIT_GROUP_DEFAULT = (Rule(rf"(\p{{Nd}}){NBSP}(\p{{Nd}})", "$1.$2", regex=True),)
+DIGIT_GROUP_DEFAULT = (Rule(rf"(\p{{Nd}}){NBSP}(\p{{Nd}})", "$1.$2", regex=True, needs=NBSP),)
 
 # The characters Python's str.strip() and str.split() treat as blank.
 PY_WHITESPACE = "".join(
@@ -210,6 +211,11 @@ def unsettled_rows(text: pa.Array, points: np.ndarray) -> np.ndarray:
     """Rows of a string array that hold one of the code points."""
     table = np.zeros(0x110000, dtype=bool)
     table[points] = True
+    return flagged_rows(text, table)
+
+
+def flagged_rows(text: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Rows of a string array that hold a code point which ``table`` marks."""
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
     data = text.buffers()[2]
     found, start = [np.empty(0, dtype=np.int64)], 0
@@ -250,9 +256,76 @@ def nfkc(text: Column) -> Column:
     return compose(text)
 
 
+class Cleaner:
+    """Punctuation, non-printing characters and compatibility forms of a whole Arrow array.
+
+    Python patterns spell what the rules say in Java's; blanks in a rule are those of ASCII.
+    """
+
+    def __init__(self, rules: list[tuple], nonprint: str, flags: np.ndarray, replace_by: str):
+        self.rules, self.nonprint, self.flags, self.replace_by = rules, nonprint, flags, replace_by
+
+    def punctuated(self, text: str) -> str:
+        for needed, pattern, put in self.rules:
+            if needed in text:
+                text = pattern.sub(put, text) if pattern else text.replace(needed, put)
+        return text.strip()
+
+    def settled(self, text: str) -> str:
+        return normalize("NFKC", re.sub(self.nonprint, lambda _: self.replace_by, text))
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """Missing texts stay missing."""
+        made = []
+        for text in texts.to_pylist():
+            if text is not None:
+                text = self.punctuated(text)
+                # The non-printing characters that texts are full of.
+                if self.replace_by.isprintable():
+                    text = text.replace("\n", self.replace_by).replace("\t", self.replace_by)
+            made.append(text)
+        clean = pa.array(made, pa.string())
+        rows = flagged_rows(clean, np.unpackbits(self.flags).view(bool))
+        if not len(rows):
+            return clean
+        for row in rows.tolist():
+            made[row] = self.settled(made[row])
+        return pa.array(made, pa.string())
+
+
+def cleaner(lang: str = "en", replace_by: str = " ") -> Cleaner:
+    """What ``preprocess`` does, for use inside tasks; tables are made here and sent along."""
+    rules = [
+        (r.needs, re.compile(_python_pattern(r.find)), re.sub(r"\$(\d)", r"\\\1", r.put)) if r.regex else (r.find, None, r.put)
+        for r in punct_rules(lang)
+    ]
+    return Cleaner(rules, *_nonprint(), replace_by)
+
+
+def _python_pattern(java: str) -> str:
+    return java.replace(r"\p{Nd}", r"\d").replace(r"\s", r"[ \t\n\x0b\f\r]")
+
+
+@lru_cache(maxsize=1)
+def _nonprint() -> tuple[str, np.ndarray]:
+    """A pattern of the non-printing characters; as bits, these and the points that NFKC may change."""
+    hidden = np.array([category(chr(c))[0] == "C" for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hidden, [False]])))
+    listed = "".join(rf"\U{a:08x}-\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    flagged = hidden.copy()
+    flagged[unsettled_points()] = True
+    return f"[{listed}]", np.packbits(flagged)
+
+
 def preprocess(text: Column, lang: str = "en", replace_by: str = " ") -> Column:
-    """Punctuation, then non-printing characters, then compatibility forms."""
-    return nfkc(replace_nonprint(normalize_punct(text, lang), replace_by))
+    """Punctuation, then non-printing characters, then compatibility forms, one Arrow batch at a time."""
+    clean = cleaner(lang, replace_by)
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return clean(texts.cast(pa.string()))
+
+    return run(text)
 
 
 def collapse_blanks(text: Column) -> Column:

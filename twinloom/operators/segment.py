@@ -8,7 +8,8 @@ is joined.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,12 @@ UNKNOWN_PENALTY = 10.0
 
 # Bytes of the arrays that are sent to every task, and held there.
 SHIPPED_BYTES = 64 << 20
-# Words, or bytes of distinct words or ids, that are worked on together.
-TOGETHER = 1 << 21
+# Bytes of texts, or ids, that are worked on together.
+TOGETHER = 1 << 20
+# Bytes of new words that are segmented together: what that takes is some thousand times as much.
+SEGMENTED = 1 << 15
+# Distinct words, and their ids, that a task remembers before it begins anew.
+REMEMBERED = 200_000
 
 
 def shipped(vocab: DataFrame, limit: int | None = None) -> pa.Table | None:
@@ -46,36 +51,74 @@ def piece_table(pieces: pa.Table) -> PieceTable:
     return PieceTable.build(pieces.column("piece"), pieces.column("score"), pieces.column("id"))
 
 
-def _encoded(words: pa.ListArray, table: PieceTable, unk_id: int, unknown_score: float) -> pa.ListArray:
-    """Ids of lists of words; distinct words are segmented once, missing lists have no ids."""
-    per_text = words.value_lengths().fill_null(0).to_numpy()
-    coded = words.flatten().dictionary_encode()
-    found, length = [], []
-    sizes = pc.binary_length(coded.dictionary).to_numpy()
-    for start, stop in portions(sizes, TOGETHER):
-        ids, counts = table.segment(coded.dictionary.slice(start, stop - start), unk_id, unknown_score)
-        found.append(ids)
-        length.append(counts)
-    ids, length = (np.concatenate([np.empty(0, np.int64), *x]) for x in (found, length))
-    length = length.astype(np.int64)
-    word = coded.indices.to_numpy().astype(np.int64)
-    starts = np.cumsum(length) - length
-    tokens = ids[ragged(starts[word], length[word])].astype(np.int32)
-    cuts = np.append(0, np.cumsum(length[word]))[np.append(0, np.cumsum(per_text))]
-    # A run of unknown characters is one unknown token.
-    kept = np.ones(len(tokens), dtype=bool)
-    kept[1:] = (tokens[1:] != unk_id) | (tokens[:-1] != unk_id)
-    kept[cuts[:-1][cuts[:-1] < len(tokens)]] = True
-    offsets = np.append(0, np.cumsum(kept))[cuts]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[kept]))
+class _Encoder:
+    """Ids of lists of texts; a word is segmented when a task first meets it.
+
+    What is remembered is bounded, and so is what is worked on at once, however many rows a task has.
+    """
+
+    def __init__(self, table: PieceTable, unk_id: int, unknown_score: float, dummy_prefix: bool):
+        self.table, self.unk_id, self.unknown_score, self.dummy_prefix = table, unk_id, unknown_score, dummy_prefix
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.length = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def _words(self, text: str | None) -> list[str]:
+        """As ``marked_words`` gives them; Python splits at the blanks that it names."""
+        words = (text or "").split()
+        if self.dummy_prefix or not words:
+            return [SPACE_MARK + w for w in words]
+        return [words[0], *(SPACE_MARK + w for w in words[1:])]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.places) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            self._forget()
+        new = [w for w in dict.fromkeys(words) if w not in self.places]
+        if not new:
+            return
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+        spelled = pa.array(new, pa.string())
+        found, length = [self.ids], [self.length]
+        for start, stop in portions(pc.binary_length(spelled).to_numpy(), SEGMENTED):
+            ids, counts = self.table.segment(spelled.slice(start, stop - start), self.unk_id, self.unknown_score)
+            found.append(ids.astype(np.int32))
+            length.append(counts.astype(np.int64))
+        self.ids, self.length = np.concatenate(found), np.concatenate(length)
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        """Missing texts have no ids."""
+        split = [self._words(t) for t in texts.to_pylist()]
+        per_text = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        self._learn(words)
+        word = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        starts = np.cumsum(self.length) - self.length
+        length = self.length[word]
+        tokens = self.ids[ragged(starts[word], length)]
+        cuts = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(per_text))]
+        # A run of unknown characters is one unknown token.
+        kept = np.ones(len(tokens), dtype=bool)
+        kept[1:] = (tokens[1:] != self.unk_id) | (tokens[:-1] != self.unk_id)
+        kept[cuts[:-1][cuts[:-1] < len(tokens)]] = True
+        offsets = np.append(0, np.cumsum(kept))[cuts]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[kept], pa.int32()))
 
 
 def encode_columns(
-    df: DataFrame, columns: dict[str, str], vocab: DataFrame, unk_id: int, dummy_prefix: bool = True
+    df: DataFrame,
+    columns: dict[str, str],
+    vocab: DataFrame,
+    unk_id: int,
+    dummy_prefix: bool = True,
+    clean: Callable[[pa.Array], pa.Array] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame | None:
-    """``df`` with the ids of each text column, named by ``{new: column}``, or None.
+    """``df``, or its columns ``keep``, with the ids of each text column, named by ``{new: column}``, or None.
 
-    No row moves. None stands for a vocabulary that is too large to be sent.
+    ``clean`` normalises a batch of texts first. No row moves. None stands for a vocabulary that is too
+    large to be sent.
     """
     pieces = shipped(vocab)
     if pieces is None:
@@ -83,21 +126,22 @@ def encode_columns(
     table = piece_table(pieces)
     unknown = float(table.score.min() if len(table) else 0.0) - UNKNOWN_PENALTY
     model = df.sparkSession.sparkContext.broadcast(table)
-    split = {f"_words_{new}": marked_words(F.col(old), dummy_prefix) for new, old in columns.items()}
-    ready = df.withColumns(split)
-    kept, schema = df.columns, df.schema
-    whole = T.StructType(
-        [*schema.fields, *(T.StructField(new, T.ArrayType(T.IntegerType())) for new in columns)]
-    )
+    kept = df.columns if keep is None else keep
+    ready = df.select(*kept, *(F.col(old).alias(f"_text_{new}") for new, old in columns.items()))
+    fields = (ready.schema[c] for c in kept)
+    whole = T.StructType([*fields, *(T.StructField(new, T.ArrayType(T.IntegerType())) for new in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_texts = _Encoder(model.value, unk_id, unknown, dummy_prefix)
         for batch in batches:
-            words = [batch.column(f"_words_{new}") for new in columns]
-            sizes = sum(w.value_lengths().fill_null(0).to_numpy() for w in words)
+            texts = [batch.column(f"_text_{new}").cast(pa.string()) for new in columns]
+            sizes = sum(pc.fill_null(pc.binary_length(t), 0).to_numpy().astype(np.int64) for t in texts)
             for start, stop in portions(sizes, TOGETHER):
-                made = [_encoded(w.slice(start, stop - start), model.value, unk_id, unknown) for w in words]
+                parts = [t.slice(start, stop - start) for t in texts]
+                made = [encode_texts(clean(t) if clean else t) for t in parts]
                 rows = [batch.column(c).slice(start, stop - start) for c in kept]
                 yield pa.RecordBatch.from_arrays([*rows, *made], [*kept, *columns])
+            pa.default_memory_pool().release_unused()
 
     return ready.mapInArrow(run, whole)
 
@@ -141,9 +185,9 @@ def encode(
     """
     source = F.col(text) if isinstance(text, str) else text
     ready = df.select(*key, source.alias("_text"))
-    encoded = encode_columns(ready, {"ids": "_text"}, vocab, unk_id, dummy_prefix)
+    encoded = encode_columns(ready, {"ids": "_text"}, vocab, unk_id, dummy_prefix, keep=list(key))
     if encoded is not None:
-        return encoded.select(*key, "ids")
+        return encoded
     return encode_by_joins(ready, key, vocab, unk_id, dummy_prefix)
 
 

@@ -10,6 +10,7 @@ seed piece and so at most the initial model's size, moves through the driver.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.functions.subwords import marked_words, script_runs
+from twinloom.functions.subwords import SPACE_MARK, script_runs
 from twinloom.operators.lattice import (
     Edges,
     best_paths,
@@ -52,6 +53,9 @@ LATTICE = ("size", "e", "s", "pid")
 
 # Bytes of seeds, as a table, that are sent to every task.
 SENT_BYTES = 128 << 20
+# Texts whose words are counted between two looks at how many are held, and words that may be.
+COUNTED_TOGETHER = 256
+HELD_WORDS = 300_000
 # Words whose seeds are looked for together.
 MATCHED_TOGETHER = 4096
 
@@ -78,16 +82,41 @@ def word_counts(
     texts = df.select(source.alias("_t"))
     if options.max_sentence_bytes is not None:
         texts = texts.where(F.octet_length("_t") <= options.max_sentence_bytes)
-    marked = texts.select(F.explode(marked_words(F.col("_t"), options.dummy_prefix)).alias("_w"))
+    prefix = options.dummy_prefix
+    marked = texts.mapInArrow(lambda b: _task_counts(b, prefix), "_w string, _n long")
     return (
         marked.groupBy("_w")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_n").alias("_n"))
         .select(F.explode(script_runs(F.col("_w"))).alias("word"), "_n")
         .groupBy("word")
         .agg(F.sum("_n").alias("n"))
     )
 
 
+def _task_counts(batches: Iterator[pa.RecordBatch], dummy_prefix: bool) -> Iterator[pa.RecordBatch]:
+    """Words, marked as ``marked_words`` does, with counts; handed on when many are held."""
+    counts: Counter[str] = Counter()
+
+    def made() -> pa.RecordBatch:
+        numbers = pa.array(counts.values(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), numbers], ["_w", "_n"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, COUNTED_TOGETHER):
+            for text in batch.column(0).slice(start, COUNTED_TOGETHER).to_pylist():
+                # Python splits at the blanks that column functions name.
+                words = (text or "").split()
+                if words and not dummy_prefix:
+                    counts[words[0]] += 1
+                    del words[0]
+                counts.update([SPACE_MARK + w for w in words])
+            if len(counts) > HELD_WORDS:
+                yield made()
+                counts.clear()
+    if counts:
+        yield made()
+
+
 def substring_seeds(
     words: DataFrame, options: UnigramOptions = UnigramOptions()
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.languages import LEZGIAN, RUSSIAN, Language
-from twinloom.functions.text import preprocess
+from twinloom.functions.text import cleaner, preprocess
 from twinloom.functions.tokens import NEW_TOKENS_BASE, NEW_TOKENS_PER_INPUT
 from twinloom.operators import batching
 from twinloom.operators.ordering import draw_rows, epoch_shuffle, with_row_idx
@@ -14,22 +14,24 @@ from twinloom.operators.segment import encode_by_joins, encode_columns
 from twinloom.storage import cut_lineage
 
 
-def encode_texts(df: DataFrame, columns: dict[str, str], vocab: DataFrame, unk_id: int) -> DataFrame:
-    """``df`` with the ids of its normalised texts, each text once and in place.
+def encode_texts(
+    df: DataFrame, columns: dict[str, str], vocab: DataFrame, unk_id: int, keep: list[str] | None = None
+) -> DataFrame:
+    """``df``, or its columns ``keep``, with the ids of its normalised texts, each text once and in place.
 
-    With a vocabulary too large to be sent, texts are encoded by joins on numbers given to the rows.
+    Tasks normalise and encode in one pass. With a vocabulary too large to be sent, texts are encoded
+    by joins on numbers given to the rows.
     """
-    clean = df.withColumns({f"_clean_{new}": preprocess(F.col(old)) for new, old in columns.items()})
-    encoded = encode_columns(clean, {new: f"_clean_{new}" for new in columns}, vocab, unk_id)
+    encoded = encode_columns(df, columns, vocab, unk_id, True, cleaner(), keep)
     if encoded is None:
+        clean = df.withColumns({f"_clean_{new}": preprocess(F.col(old)) for new, old in columns.items()})
         # Stored, so that every join sees the same numbers.
         encoded = numbered = cut_lineage(clean.withColumn("_row", F.monotonically_increasing_id()))
         for new in columns:
             ready = numbered.select("_row", F.col(f"_clean_{new}").alias("_text"))
             ids = encode_by_joins(ready, ["_row"], vocab, unk_id).withColumnRenamed("ids", new)
             encoded = encoded.join(ids, "_row")
-        encoded = encoded.drop("_row")
-    return encoded.drop(*(f"_clean_{new}" for new in columns))
+    return encoded.select(*(df.columns if keep is None else keep), *columns)
 
 
 def _language_ids(lang_ids: dict[str, int]) -> dict[str, F.Column]:
@@ -43,8 +45,8 @@ def encode_sides(
     """``(batch_id, row_idx, src_lang, tgt_lang, x, y, src_id, tgt_id)``."""
     row = ["batch_id", "row_idx", "src_lang", "tgt_lang"]
     known = directed.na.drop(subset=["src_text", "tgt_text"]).select(*row, "src_text", "tgt_text")
-    encoded = encode_texts(known, {"x": "src_text", "y": "tgt_text"}, vocab, unk_id)
-    return encoded.drop("src_text", "tgt_text").withColumns(_language_ids(lang_ids))
+    encoded = encode_texts(known, {"x": "src_text", "y": "tgt_text"}, vocab, unk_id, keep=row)
+    return encoded.withColumns(_language_ids(lang_ids))
 
 
 def training_batches(
@@ -87,7 +89,7 @@ def validation_batches(
     """Both directions in row order, as ``loader`` 0 (from Russian) and 1 (from Lezgian)."""
     columns = {f"{lang.column}_ids": lang.column for lang in (RUSSIAN, LEZGIAN)}
     known = batching.assign_batches(indexed, batch_size).na.drop(subset=[*columns.values()])
-    encoded = encode_texts(known, columns, vocab, unk_id)
+    encoded = encode_texts(known, columns, vocab, unk_id, keep=["batch_id", "row_idx"])
 
     def loader(number: int, src: Language, tgt: Language) -> F.Column:
         return F.struct(
@@ -125,8 +127,8 @@ def evaluation_batches(
     batched = batching.assign_batches(indexed, batch_size)
     directed = batching.fixed_direction(batched, src_lang, tgt_lang)
     known = directed.na.drop(subset=["src_text", "tgt_text"])
-    rows = known.select("batch_id", "row_idx", "src_text", "tgt_text", "src_lang", "tgt_lang")
-    encoded = encode_texts(rows, {"x": "src_text"}, vocab, unk_id).withColumns(
+    kept = ["batch_id", "row_idx", "tgt_text", "src_lang", "tgt_lang"]
+    encoded = encode_texts(known, {"x": "src_text"}, vocab, unk_id, keep=kept).withColumns(
         {"tgt_text": preprocess(F.col("tgt_text")), **_language_ids(lang_ids)}
     )
     return batching.test_batch(encoded, pad_id, eos_id, a, b, num_beams, max_input_length)
