@@ -28,12 +28,17 @@ TOKENIZE_13A = (
 ASCII_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def tokenize_13a(text: Column) -> Column:
-    """Tokens of the default BLEU tokeniser."""
+def spaced_13a(text: Column) -> Column:
+    """The text with blanks between its tokens."""
     trimmed = F.rtrim(text, F.lit(PY_WHITESPACE))
     plain = reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), UNESCAPE, trimmed)
     padded = F.concat(F.lit(" "), plain, F.lit(" "))
-    return words(reduce(lambda c, r: F.regexp_replace(c, *r), TOKENIZE_13A, padded))
+    return reduce(lambda c, r: F.regexp_replace(c, *r), TOKENIZE_13A, padded)
+
+
+def tokenize_13a(text: Column) -> Column:
+    """Tokens of the default BLEU tokeniser."""
+    return words(spaced_13a(text))
 
 
 def chrf_words(text: Column) -> Column:

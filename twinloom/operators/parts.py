@@ -68,10 +68,3 @@ def explode_substrings(
     return sized.select(
         *keep, "s", (F.col("s") + F.col("_k")).alias("e"), F.left("_tail", "_k").alias("piece")
     )
-
-
-def explode_ngrams(df: DataFrame, items: str, longest: int, *keep: str) -> DataFrame:
-    """``(*keep, n, gram)`` for every run of at most ``longest`` list items, blank-joined."""
-    placed = df.select(*keep, F.explode(_tails(F.col(items), longest)).alias("_tail"))
-    sized = placed.select(*keep, "_tail", F.explode(F.sequence(F.lit(1), F.size("_tail"))).alias("n"))
-    return sized.select(*keep, "n", F.array_join(F.slice("_tail", 1, F.col("n")), " ").alias("gram"))

@@ -2,8 +2,8 @@
 
 Counts of a pair depend on its texts alone. Equal pairs are therefore folded into one row
 with a multiplicity first, and distinct pairs are then spread by a content hash. N-grams are
-exploded and matched inside that partitioning, so no n-gram is ever shuffled; only sums of a
-few numbers per order leave a task.
+matched inside that partitioning, some pairs at a time, so a task holds the n-grams of a bounded
+portion of text and none is ever shuffled; only sums of a few numbers per order leave a task.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twinloom.functions.ngrams import chrf_words, drop_blanks, ngram_count, tokenize_13a
-from twinloom.operators.parts import explode_ngrams, explode_substrings
+from twinloom.functions.ngrams import ngram_count, spaced_13a
+from twinloom.operators.matching import chars_of, cut_words, match_batches, words_of
 from twinloom.storage import fan_out
 
 # Fixed values.
@@ -24,9 +25,6 @@ CHAR_ORDER = 6
 WORD_ORDER = 2
 BETA = 2
 
-_ROW = ("_pair", "copies", "in_h", "in_r")
-
-
 def _distinct_pairs(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """``(*by, hyp, ref, copies, _pair)`` without null texts, hash-partitioned by ``_pair``."""
     known = pairs.na.drop(subset=["hyp", "ref"]).select(*by, "hyp", "ref")
@@ -36,34 +34,18 @@ def _distinct_pairs(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return fan_out(folded.withColumn("_pair", F.unhex(F.md5(content))), "_pair")
 
 
-def _matches(sides: DataFrame, by: tuple[str, ...], kind: str) -> DataFrame:
-    """``(*by, kind, n, matched)``: clipped matches per order, summed over the corpus.
-
-    ``sides`` is ``(*by, _pair, copies, in_h, in_r, n, gram)``, one row per n-gram.
-    """
-    clipped = sides.groupBy(*by, "_pair", "copies", "n", "gram").agg(
-        F.least(F.sum("in_h"), F.sum("in_r")).alias("m")
-    )
-    return (
-        clipped.groupBy(*by, "n")
-        .agg(F.sum(F.col("m") * F.col("copies")).alias("matched"))
-        .withColumn("kind", F.lit(kind))
-    )
-
-
-def _sides(pairs: DataFrame, by: tuple[str, ...], hyp: str, ref: str) -> DataFrame:
-    """Hypothesis and reference as two rows ``(*by, _pair, copies, in_h, in_r, items)``."""
-    side = F.explode(
-        F.array(
-            F.struct(F.lit(1).alias("in_h"), F.lit(0).alias("in_r"), F.col(hyp).alias("items")),
-            F.struct(F.lit(0).alias("in_h"), F.lit(1).alias("in_r"), F.col(ref).alias("items")),
-        )
-    )
-    return pairs.select(*by, "_pair", "copies", side.alias("_s")).select(*by, "_pair", "copies", "_s.*")
+def _matched(distinct: DataFrame, by: tuple[str, ...], kinds: dict[str, tuple]) -> DataFrame:
+    """``(*by, copies)`` of every pair, and what ``match_batches`` finds in it."""
+    keep = [*by, "copies"]
+    schema = T.StructType([distinct.schema[c] for c in keep])
+    for kind in kinds:
+        schema.add(f"{kind}_h", T.IntegerType()).add(f"{kind}_r", T.IntegerType()).add(f"{kind}_m", T.ArrayType(T.LongType()))
+    return distinct.mapInArrow(lambda b: match_batches(b, keep, kinds), schema)
 
 
-def _orders(kind: str, hyp: Column, ref: Column, max_n: int) -> list[Column]:
-    """Per-order n-gram totals of one pair; a reference without n-grams voids the hypothesis."""
+def _orders(kind: str, max_n: int) -> list[Column]:
+    """Per-order n-gram totals and matches of one pair; a reference without n-grams voids the hypothesis."""
+    hyp, ref, matched = (F.col(f"{kind}_{c}") for c in "hrm")
     rows = []
     for n in range(1, max_n + 1):
         in_ref = ngram_count(ref, n)
@@ -74,38 +56,24 @@ def _orders(kind: str, hyp: Column, ref: Column, max_n: int) -> list[Column]:
                 F.when(in_ref > 0, ngram_count(hyp, n)).otherwise(0).alias("in_hyp"),
                 ngram_count(hyp, n).alias("all_hyp"),
                 in_ref.alias("in_ref"),
+                matched[n - 1].alias("matched"),
             )
         )
     return rows
 
 
-def _with_matches(totals: DataFrame, matches: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """A handful of rows per group: one per n-gram kind and order."""
-    same = F.lit(True)
-    for c in (*by, "kind", "n"):
-        same = same & totals[c].eqNullSafe(matches[c])
-    return totals.join(matches.select(*by, "kind", "n", "matched"), same, "left").select(
-        totals["*"], F.coalesce(matches["matched"], F.lit(0)).alias("matched")
-    )
+def _totals(pairs: DataFrame, by: tuple[str, ...], orders: list[Column], **sums: str) -> DataFrame:
+    """``(*by, kind, n)`` with sums of the named numbers over all pairs, and ``pairs``."""
+    rows = pairs.select(*by, "copies", F.inline(F.array(*orders)))
+    wanted = [F.sum(F.col(c) * F.col("copies")).alias(name) for name, c in sums.items()]
+    return rows.groupBy(*by, "kind", "n").agg(*wanted, F.sum("copies").alias("pairs"))
 
 
 def bleu_statistics(distinct: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``(*by, n, total, in_ref, pairs, matched)`` per n-gram order, from folded pairs."""
-    tokenized = distinct.select(
-        *by, "_pair", "copies", tokenize_13a(F.col("hyp")).alias("h"), tokenize_13a(F.col("ref")).alias("r")
-    )
-    totals = (
-        tokenized.select(*by, "copies", F.inline(F.array(*_orders("word", F.size("h"), F.size("r"), BLEU_ORDER))))
-        .groupBy(*by, "kind", "n")
-        .agg(
-            F.sum(F.col("all_hyp") * F.col("copies")).alias("total"),
-            F.sum(F.col("in_ref") * F.col("copies")).alias("in_ref"),
-            F.sum("copies").alias("pairs"),
-        )
-    )
-    grams = explode_ngrams(_sides(tokenized, by, "h", "r"), "items", BLEU_ORDER, *by, *_ROW)
-    matches = _matches(grams, by, "word")
-    return _with_matches(totals, matches, by).drop("kind")
+    """``(*by, n, total, in_ref, matched, pairs)`` per n-gram order, from folded pairs."""
+    spaced = distinct.select(*by, "copies", spaced_13a(F.col("hyp")).alias("h"), spaced_13a(F.col("ref")).alias("r"))
+    pairs = _matched(spaced, by, {"word": ("h", "r", words_of, BLEU_ORDER)})
+    return _totals(pairs, by, _orders("word", BLEU_ORDER), total="all_hyp", in_ref="in_ref", matched="matched").drop("kind")
 
 
 def corpus_bleu(pairs: DataFrame, *by: str) -> DataFrame:
@@ -148,32 +116,14 @@ def _bleu(distinct: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def chrf_statistics(distinct: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``(*by, kind, n, in_hyp, in_ref, matched)`` per character and word order, from folded pairs."""
-    sides = ("hyp", "ref")
-    prepared = distinct.select(
-        *by,
-        "_pair",
-        "copies",
-        *[drop_blanks(F.col(side)).alias(f"{side}_c") for side in sides],
-        *[chrf_words(F.col(side)).alias(f"{side}_w") for side in sides],
-    )
-    hc, rc, hw, rw = F.length("hyp_c"), F.length("ref_c"), F.size("hyp_w"), F.size("ref_w")
-    orders = [*_orders("char", hc, rc, CHAR_ORDER), *_orders("word", hw, rw, WORD_ORDER)]
-    totals = (
-        prepared.select(*by, "copies", F.inline(F.array(*orders)))
-        .groupBy(*by, "kind", "n")
-        .agg(
-            F.sum(F.col("in_hyp") * F.col("copies")).alias("in_hyp"),
-            F.sum(F.col("in_ref") * F.col("copies")).alias("in_ref"),
-        )
-    )
-    substrings = explode_substrings(_sides(prepared, by, "hyp_c", "ref_c"), "items", CHAR_ORDER, *by, *_ROW)
-    char_grams = substrings.select(
-        *by, *_ROW, (F.col("e") - F.col("s")).alias("n"), F.col("piece").alias("gram")
-    )
-    word_grams = explode_ngrams(_sides(prepared, by, "hyp_w", "ref_w"), "items", WORD_ORDER, *by, *_ROW)
-    char_matches, word_matches = _matches(char_grams, by, "char"), _matches(word_grams, by, "word")
-    return _with_matches(totals, char_matches.unionByName(word_matches), by)
+    """``(*by, kind, n, in_hyp, in_ref, matched, pairs)`` per character and word order, from folded pairs."""
+    kinds = {
+        "char": ("hyp", "ref", chars_of, CHAR_ORDER),
+        "word": ("hyp", "ref", lambda texts: words_of(texts, cut_words), WORD_ORDER),
+    }
+    pairs = _matched(distinct.select(*by, "copies", "hyp", "ref"), by, kinds)
+    orders = [*_orders("char", CHAR_ORDER), *_orders("word", WORD_ORDER)]
+    return _totals(pairs, by, orders, in_hyp="in_hyp", in_ref="in_ref", matched="matched")
 
 
 def corpus_chrf(pairs: DataFrame, *by: str) -> DataFrame:
