@@ -53,6 +53,8 @@ LATTICE = ("size", "e", "s", "pid")
 
 # Bytes of seeds, as a table, that are sent to every task.
 SENT_BYTES = 128 << 20
+# Pieces whose sums are shuffled as one row.
+SUM_BLOCK = 1 << 12
 # Texts whose words are counted between two looks at how many are held, and words that may be.
 COUNTED_TOGETHER = 256
 HELD_WORDS = 300_000
@@ -173,9 +175,10 @@ def _sum_over_pieces(
     """Run ``per_batch`` over all lattices and add up its ``(pid, value)`` pairs.
 
     ``model`` holds a log-probability per piece, minus infinity for pruned ones. Values
-    combine per task first, then across tasks.
+    combine per task first, then across tasks, in blocks of consecutive pieces.
     """
-    shared = lattices.sparkSession.sparkContext.broadcast(model)
+    context = lattices.sparkSession.sparkContext
+    shared = context.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = shared.value
@@ -185,15 +188,21 @@ def _sum_over_pieces(
             edges = select_edges(edges, np.isfinite(logp[edges.pid]))
             pid, value = per_batch(batch, edges, logp)
             total += np.bincount(pid, weights=value, minlength=len(logp))
-        pid = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(pid, pa.int32()), pa.array(total[pid])], ["pid", "value"]
-        )
-
-    sums = lattices.mapInArrow(run, "pid int, value double").groupBy("pid").agg(F.sum("value"))
-    table = sums.toArrow()
+        starts = [at for at in range(0, len(total), SUM_BLOCK) if total[at : at + SUM_BLOCK].any()]
+        sums = [total[at : at + SUM_BLOCK].tobytes() for at in starts]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
+
+    def added(block: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in block.column("sums").to_pylist())
+        return pa.table({"block": block.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    # A task hands on as much as the model has pieces, so there are no more tasks than run at a time.
+    dealt = lattices.coalesce(context.defaultParallelism)
+    schema = "block int, sums binary"
+    table = dealt.mapInArrow(run, schema).groupBy("block").applyInArrow(added, schema).toArrow()
     result = np.zeros(len(model))
-    result[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    for at, sums in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
+        result[at : at + SUM_BLOCK] = np.frombuffer(sums)
     shared.destroy()
     return result
 
