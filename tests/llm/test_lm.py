@@ -126,3 +126,61 @@ def test_order_of_words_does_not_matter():
     one = dict(zip(words, model.log10_of(words), strict=True))
     draw.shuffle(words)
     assert np.allclose([one[w] for w in words], model.log10_of(words))
+
+
+def streams(texts):
+    """For each byte of a text: its word, its place there, what stands before it, and itself."""
+    for number, text in enumerate(texts):
+        before = b" "
+        for word in [t and t.encode() for t in tokens(text)]:
+            spelled = word + b" " if word else b"\n"
+            for place, byte in enumerate(spelled):
+                yield number, spelled[:place], before, byte
+                before += bytes([byte])
+
+
+STREAMS = ["ab c d e fghijklm a", "", "a", "c d e fghijklm", "fghijklm ab", "é \x01 b"]
+
+
+def test_heads_by_brute_force():
+    """The first bytes of a word see the last bytes of the text, across blanks and short words."""
+    places = {}
+    run = np.array([places.setdefault(t and t.encode() or b"", len(places)) for x in STREAMS for t in tokens(x)])
+    want = [[] for _ in range(lm.HEAD)]
+    for _, inside, before, byte in streams(STREAMS):
+        if len(inside) < lm.HEAD:
+            last = int.from_bytes(before[-lm.BACK :], "big")
+            want[len(inside)].append(len(inside) << 56 | last << 8 | byte)
+    assert [h.tolist() for h in lm.heads_of(lm.Spelled(list(places)), run)] == want
+
+
+def test_score_by_brute_force(spark, monkeypatch):
+    """A score is the sum over all bytes of the text as a stream, whatever is scored once only."""
+    kept = []
+    learn = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda v: kept.append(learn(v)) or kept[-1])
+    texts = [*STREAMS, *(prose(i) for i in range(20))]
+    docs = documents(spark, list(enumerate(texts))).withColumn("held_out", F.col("doc_id") % 5 == 1)
+    found = {r["doc_id"]: r["score"] for r in lm.score_texts(docs).collect()}
+    slots, mixer = kept[0]
+    rows = list(streams(texts))
+    bits = lm.Bits.__new__(lm.Bits)
+    prefix = [sum((b + 1) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, b in enumerate(r[1])) % (1 << 64) for r in rows]
+    bits._set(
+        np.array([int.from_bytes(r[2][-lm.BACK :], "big") for r in rows], np.uint64),
+        np.array([r[3] for r in rows], np.uint8),
+        np.array([len(r[1]) for r in rows]),
+        np.array(prefix, np.uint64),
+        np.array([r[0] for r in rows]),
+    )
+    want = lm.Model(*slots.value, mixer)._gains(bits, len(texts))
+    assert np.allclose([found[i] for i in range(len(texts))], want, rtol=1e-5)
+
+
+def test_order_of_words_in_a_text_matters(spark):
+    """Words that follow each other in the texts learned from cost less than the same ones in another order."""
+    rows = [(i, "zebra quilt " * 20) for i in range(5)] + [(i, "quartz zone " * 20) for i in range(5, 10)]
+    rows += [(20, "zebra quilt quartz zone"), (21, "quilt quartz zebra zone")]
+    docs = documents(spark, rows).withColumn("held_out", F.col("doc_id") >= 20)
+    found = {r["doc_id"]: r["score"] for r in lm.score_texts(docs).where("held_out").collect()}
+    assert found[20] > found[21] + 0.1
