@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from helpers import AWKWARD, documents, prose
-from twinloom.llm import line_dedup
-from twinloom.llm.crowds import crowd_links
+from twinloom.llm import crowds, line_dedup
+from twinloom.llm.crowds import crowd_links, sketches
 from twinloom.llm.line_dedup import BANDS, SHINGLE, band_keys, drop_lines, dropped_lines, similar_pairs
 from twinloom.llm.queries import op3_line_dedup
 
@@ -173,6 +173,38 @@ def test_crowds_grow_without_pairs():
         assert len(set(connected(n, links))) == groups[kind] and time.process_time() - start < 20
 
 
+@pytest.mark.parametrize("similar", [0.5, 0.8, 0.95])
+def test_crowds_are_split_without_loss(monkeypatch, similar):
+    """Also where no crowd is compared pair by pair because of its size alone."""
+    monkeypatch.setattr(crowds, "DIRECT", 0)
+    monkeypatch.setattr(crowds, "PAIRS_AT_ONCE", 100)
+    test_crowds_connect_all_similar_sets(similar)
+
+
+def test_crowds_that_overlap_in_part_take_no_longer():
+    """Lines that share a passage and common words in ever other mixtures: such a crowd once took minutes."""
+    draw = np.random.default_rng(2)
+    n = 2_500
+    sets = [np.append(np.arange(10**6, 10**6 + 60), draw.zipf(1.3, 60) % 5000) for _ in range(n)]
+    sets += [np.append(sets[i], 7 * 10**6) for i in range(0, n, 10)]
+    start = time.process_time()
+    links = crowd_links([np.unique(s) for s in sets], np.arange(len(sets)), 0.8, 32)
+    took = time.process_time() - start
+    groups = connected(len(sets), links)
+    assert all(groups[n + k] == groups[10 * k] for k in range(n // 10)) and took < 10
+
+
+def test_sketches_differ_no_more_than_sets():
+    """So no similar pair is left out by them, whatever the sizes."""
+    draw = random.Random(9)
+    sets = [np.array(sorted({draw.getrandbits(62) for _ in range(draw.choice([1, 3, 40, 700]))}), np.int64) for _ in range(30)]
+    sets += [np.unique(np.append(s[: len(s) - len(s) // 9], draw.getrandbits(62))) for s in sets]
+    sketch = sketches(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for a, b in combinations(range(len(sets)), 2):
+        bits = int(np.bitwise_count(sketch[:, a] ^ sketch[:, b]).sum())
+        assert bits <= len(np.setxor1d(sets[a], sets[b]))
+
+
 @pytest.mark.parametrize("pairwise", [2, 32])
 def test_all_similar_lines_are_found(spark, pairwise):
     rows = corpus() + [r for r in AWKWARD if r[0] != 6]

@@ -7,8 +7,9 @@ suffices, both are similar to the smallest member, and one star links them all.
 has a rarer token in common, among the first of both, by the usual prefix bound. For each such token
 there is a smaller crowd of those that have it; one that lies inside another which is done is skipped.
 
-Members are labelled: those of one label are connected already. A crowd of one label is done, and small
-crowds are compared pair by pair. No similar pair is left unconnected.
+Members are labelled: those of one label are connected already. A crowd of one label is done. Crowds of up to
+some thousand members are compared pair by pair, by sketches first, as are larger ones whose smaller
+crowds overlap so much that they have more pairs. No similar pair is left unconnected.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ import numpy as np
 
 # Rounding of shares of set sizes.
 SLACK = 1e-9
-# Tokens that few members are compared by at once.
-COLUMNS = 4096
+# Crowds up to this size are compared pair by pair in any case: splitting them would take longer.
+DIRECT = 8192
+# Pairs of members that are compared at once.
+PAIRS_AT_ONCE = 1 << 18
+# Sketches have from 2 to the 8th to 2 to the 13th bits.
+WIDTHS = (8, 13)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def least_shared(size: np.ndarray | int, similar: float) -> np.ndarray | int:
@@ -28,6 +34,11 @@ def least_shared(size: np.ndarray | int, similar: float) -> np.ndarray | int:
     return np.ceil(similar * size - SLACK).astype(np.int64) if isinstance(size, np.ndarray) else ceil(similar * size - SLACK)
 
 
+def differing(similar: float) -> float:
+    """The share of the sum of two similar sets' sizes that differs, at most."""
+    return (1 - similar) / (1 + similar)
+
+
 class Labels:
     """Which members are connected, as a forest."""
 
@@ -51,23 +62,65 @@ class Labels:
         return all(self.root(int(m)) == first for m in members[1:])
 
 
+def sketches(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A column for each set: parities of its tokens by hash, about as many as a set has tokens on average.
+
+    Two sets differ in at least as many tokens as their sketches in bits.
+    """
+    width = int(np.clip(int(lengths.mean()).bit_length(), *WIDTHS))
+    place = (flat.view(np.uint64) * _SPREAD) >> np.uint64(64 - width)
+    at = np.repeat(np.arange(len(lengths)) << width, lengths) + place.view(np.int64)
+    odd = (np.bincount(at, minlength=len(lengths) << width) & 1).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(odd.reshape(len(lengths), -1), axis=1).view(np.uint64).T)
+
+
 def _compared(
     members: np.ndarray, rest: list[np.ndarray], sizes: np.ndarray, labels: Labels, similar: float
 ) -> list[tuple[int, int]]:
-    """Links among few members: common tokens of all pairs are products of a table of who has which."""
-    lengths = [len(r) for r in rest]
-    _, token = np.unique(np.concatenate(rest), return_inverse=True)
-    owner = np.repeat(np.arange(len(members)), lengths)
-    shared = np.zeros((len(members), len(members)))
-    for start in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
-        here = (token >= start) & (token < start + COLUMNS)
-        has = np.zeros((len(members), COLUMNS), dtype=np.float32)
-        has[owner[here], token[here] - start] = 1
-        shared += has @ has.T
-    size = sizes[members]
-    alike = shared >= similar * (size[:, None] + size[None] - shared) - SLACK
-    pairs = ((int(members[a]), int(members[b])) for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True))
-    return [p for p in pairs if labels.join(*p)]
+    """Links among members whose pairs are all looked at, those that are connected already left out.
+
+    Pairs whose sketches differ too much for similar sets are compared no further; the rest are counted exactly.
+    """
+    members, rest = np.asarray(members), list(rest)
+    by_size = np.argsort(sizes[members], kind="stable")
+    members, rest = members[by_size], [rest[k] for k in by_size]
+    size, lengths = sizes[members], np.array([len(r) for r in rest])
+    begin = np.cumsum(lengths) - lengths
+    flat = np.concatenate(rest)
+    sketch = sketches(flat, lengths)
+    distinct, token = np.unique(flat, return_inverse=True)
+    has = np.zeros(len(distinct), dtype=bool)
+    alone = size - lengths - differing(similar) * size - SLACK
+    group = np.array([labels.root(int(m)) for m in members])
+    # Sets are ordered by size: behind these all are too large.
+    reach = np.searchsorted(size, size / similar + SLACK, side="right")
+    links = []
+    rows = max(PAIRS_AT_ONCE // len(members), 1)
+    for start in range(0, len(members), rows):
+        block, to = slice(start, start + rows), reach[start : start + rows].max()
+        bits = np.zeros((len(size[block]), to - start), dtype=np.int32)
+        for word in sketch:
+            bits += np.bitwise_count(word[block, None] ^ word[None, start:to])
+        near = bits + alone[block, None] <= -alone[None, start:to]
+        near &= group[block, None] != group[None, start:to]
+        near = np.triu(near, 1)
+        for own in np.flatnonzero(near.any(axis=1)) + start:
+            others = np.flatnonzero(near[own - start]) + start
+            others = others[group[others] != group[own]]
+            ends = np.cumsum(lengths[others])
+            at = np.arange(lengths[others].sum()) + np.repeat(begin[others] - ends + lengths[others], lengths[others])
+            mine = token[begin[own] : begin[own] + lengths[own]]
+            has[mine] = True
+            found = np.append(0, np.cumsum(has[token[at]]))
+            has[mine] = False
+            shared = found[ends] - found[ends - lengths[others]]
+            alike = others[shared >= similar * (size[own] + size[others] - shared) - SLACK]
+            joined, first = np.unique(group[alike], return_index=True)
+            links += [(int(members[own]), int(members[k])) for k in alike[first]]
+            group[np.isin(group, joined)] = group[own]
+    for i, j in links:
+        labels.join(i, j)
+    return links
 
 
 def _bits(members: np.ndarray, total: int) -> int:
@@ -99,7 +152,7 @@ def crowd_links(
             continue
         waiting.append(bits)
         rest, own = [sets[m] for m in members], size[members]
-        if len(members) <= max(pairwise, 2):
+        if len(members) <= max(pairwise, DIRECT, 2):
             links += _compared(members, rest, size, labels, similar)
             continue
         lengths = np.array([len(r) for r in rest])
@@ -119,6 +172,10 @@ def crowd_links(
         chosen = chosen[np.lexsort((owner[chosen], of[chosen]))]
         parts = np.split(owner[chosen], np.flatnonzero(np.diff(of[chosen])) + 1)
         smaller = {who.tobytes(): members[who] for who in parts if len(who) > 1}
+        if sum(len(who) ** 2 for who in smaller.values()) >= len(members) ** 2:
+            # Smaller crowds that overlap have more pairs in all than this one.
+            links += _compared(members, rest, size, labels, similar)
+            continue
         # The largest are worked on first: what lies inside one of them needs no work then.
         waiting += sorted(smaller.values(), key=len)
     return links

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.llm.common import columns_of, components, fresh, slices
-from twinloom.llm.crowds import SLACK, crowd_links
+from twinloom.llm.crowds import SLACK, crowd_links, differing, sketches
 from twinloom.storage import cut_lineage, fan_out, scratch_path
 
 SHINGLE = 8
@@ -36,7 +36,7 @@ REMEMBERED = 1_000_000
 # Crowds up to so many times ``PAIRWISE`` are compared pair by pair as well, in one product.
 CROWD_SHARE = 16
 # Characters of a crowd that one task works on.
-HELD = 1_000_000
+HELD = 2_000_000
 KEYS = [f"b{i}" for i in range(BANDS)]
 
 _DRAW = np.random.default_rng(42)
@@ -53,12 +53,16 @@ def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     factor, reach = 0x100000001B3, 1
     rolled = codes
     while reach < SHINGLE:
-        rolled = rolled[:-reach] * np.uint64(factor) + rolled[reach:]
+        later, rolled = rolled[reach:], rolled[:-reach] * np.uint64(factor)
+        rolled += later
         factor, reach = factor * factor % (1 << 64), 2 * reach
-    counts = sizes - SHINGLE + 1
-    begin = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - begin, counts)
-    return (rolled[at] ^ (rolled[at] >> np.uint64(31))) * _MIX, counts
+    # Windows that reach into the next line are no shingles.
+    inside = np.ones(len(codes), dtype=bool)
+    inside[np.cumsum(sizes)[:, None] - np.arange(1, SHINGLE)] = False
+    mixed = rolled[inside[: len(rolled)]]
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= _MIX
+    return mixed, sizes - SHINGLE + 1
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -66,12 +70,14 @@ def band_keys(lines: list[str]) -> np.ndarray:
     mixed, counts = shingle_codes(lines)
     begin = np.cumsum(counts) - counts
     base = (mixed >> np.uint64(32)).astype(np.uint32)
+    drawn = np.empty_like(base)
     keys = np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64)
         for k in range(band * ROWS, (band + 1) * ROWS):
-            lowest = np.minimum.reduceat(base * _FACTORS[k] + _OFFSETS[k], begin)
-            key = (key ^ lowest) * _MIX
+            np.multiply(base, _FACTORS[k], out=drawn)
+            np.add(drawn, _OFFSETS[k], out=drawn)
+            key = (key ^ np.minimum.reduceat(drawn, begin)) * _MIX
             key ^= key >> np.uint64(29)
         keys[:, band] = key
     return keys.view(np.int64)
@@ -160,9 +166,16 @@ def similar_pairs(a: list[str], b: list[str], similar: float) -> np.ndarray:
     """Which pairs of lines are similar by their shingles; each distinct line is cut once."""
     place: dict[str, int] = {}
     pairs = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(a, b, strict=True)]
-    sets = _line_sets(list(place))
     result = np.zeros(len(pairs), dtype=bool)
-    for n, (x, y) in enumerate(pairs):
+    if not pairs:
+        return result
+    sets = _line_sets(list(place))
+    sizes = np.array([len(own) for own in sets])
+    sketch = sketches(np.concatenate(sets), sizes)
+    one, other = np.array(pairs).T
+    bits = np.bitwise_count(sketch[:, one] ^ sketch[:, other]).sum(axis=0, dtype=np.int64)
+    for n in np.flatnonzero(bits <= differing(similar) * (sizes[one] + sizes[other]) + SLACK).tolist():
+        x, y = pairs[n]
         small, large = sorted((sets[x], sets[y]), key=len)
         # Sets of very different size can't be similar.
         if len(small) >= similar * len(large) - SLACK:
@@ -178,7 +191,15 @@ def _line_sets(lines: list[str]) -> list[np.ndarray]:
     if not lines:
         return []
     codes, counts = shingle_codes(lines)
-    return [np.unique(own) for own in np.split(codes, np.cumsum(counts)[:-1])]
+    ends = np.cumsum(counts)
+    # Sorted where they lie: for arrays this small ``np.unique`` takes several times as long.
+    for start, end in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        codes[start:end].sort()
+    first = np.append(True, codes[1:] != codes[:-1])
+    first[ends[:-1]] = True
+    begin = np.append(0, np.cumsum(np.add.reduceat(first, ends - counts, dtype=np.int64))).tolist()
+    codes = codes[first]
+    return [codes[start:end] for start, end in zip(begin, begin[1:], strict=False)]
 
 
 def _verified(batches: Iterable[pa.RecordBatch], similar: float):
