@@ -1,9 +1,11 @@
 import random
 import time
+from pathlib import Path
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import AWKWARD, documents, prose
@@ -11,6 +13,7 @@ from twinloom.llm import crowds, line_dedup
 from twinloom.llm.crowds import crowd_links, sketches
 from twinloom.llm.line_dedup import BANDS, SHINGLE, band_keys, drop_lines, dropped_lines, similar_pairs
 from twinloom.llm.queries import op3_line_dedup
+from twinloom.storage import REMOVAL, checkpoint_dir, cut_lineage, shuffles_removed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -290,3 +293,92 @@ def test_forgetting_and_empty(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "REMEMBERED", 3)
     assert result(dropped_lines(documents(spark, rows).coalesce(1))) == want
     assert dropped_lines(documents(spark, [])).count() == 0
+
+
+def bytes_below(path):
+    return sum(p.stat().st_size for p in Path(path.removeprefix("file:")).rglob("*") if p.is_file())
+
+
+def test_large_crowds_store_little(spark, monkeypatch):
+    """A crowd too large for one task: what is stored follows its text, not the pairs of its lines' shingles."""
+    passage = " ".join(prose(3, 60, 90_000).split())
+    rows = [(i, f"{passage} {' '.join(prose(5_000 + i, 40, 90_000).split())}") for i in range(120)]
+    rows += [(500 + i, noisy(rows[i][1], random.Random(i))) for i in range(0, 120, 4)]
+    text = sum(len(t) for _, t in rows)
+
+    def one_bucket(lines):
+        keys = np.array([[hash((line, b)) for b in range(BANDS)] for line in lines], np.int64)
+        keys[:, 0] = 7
+        return keys
+
+    stored = []
+
+    def weighed(df):
+        before = bytes_below(checkpoint_dir(spark))
+        done = cut_lineage(df)
+        stored.append(bytes_below(checkpoint_dir(spark)) - before)
+        return done
+
+    monkeypatch.setattr(line_dedup, "band_keys", one_bucket)
+    monkeypatch.setattr(line_dedup, "HELD", text // 4)
+    monkeypatch.setattr(line_dedup, "cut_lineage", weighed)
+    assert result(dropped_lines(documents(spark, rows).coalesce(1))) == brute(rows)
+    assert max(stored) < 6 * text
+
+
+@pytest.mark.parametrize("similar", [0.5, 0.8, 0.95])
+def test_blocks_connect_what_crowds_do(similar):
+    """Inside one side and across two sides together all similar sets are linked."""
+    draw = random.Random(similar)
+    for _ in range(30):
+        sets = [np.array(s) for s in random_sets(draw)]
+        n, size = len(sets), np.array([len(s) for s in sets])
+        side = np.array([draw.randrange(2) for _ in range(n)])
+        links = crowds.cross_links(sets, np.arange(n), side, similar, size)
+        assert all(side[a] != side[b] and jaccard(set(sets[a]), set(sets[b])) >= similar for a, b in links)
+        for own in (0, 1):
+            at = np.flatnonzero(side == own)
+            if len(at):
+                found = crowd_links([sets[k] for k in at], np.arange(len(at)), similar, 32, size[at])
+                links += [(at[a], at[b]) for a, b in found]
+        pairs = [(a, b) for a in range(n) for b in range(a) if jaccard(set(sets[a]), set(sets[b])) >= similar]
+        assert connected(n, links) == connected(n, pairs)
+
+
+def test_buckets_go_on_in_the_next_batch():
+    draw = random.Random(3)
+    pairs = sorted((draw.choice([-5, -1, 0, 3, 8, draw.getrandbits(40)]), draw.getrandbits(50)) for _ in range(120))
+    groups = defaultdict(list)
+    for key, short in pairs:
+        groups[key].append(short)
+    for rows in (1, 7, 1000):
+        cut = [pairs[i : i + rows] for i in range(0, len(pairs), rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b, strict=True)], ["key", "short"]) for b in cut]
+        found = [r for b in line_dedup._buckets(batches, 4) for r in b.to_pylist()]
+        members = defaultdict(list)
+        for r in found:
+            assert 0 < len(r["members"]) <= 4 and r["first"] == groups[r["key"]][0] and r["many"] == (len(groups[r["key"]]) > 4)
+            members[r["key"]] += r["members"]
+        assert members == {k: v for k, v in groups.items() if len(v) > 1}
+    assert [b.num_rows for b in line_dedup._buckets([], 4)] == []
+
+
+def test_shuffle_files_go_when_a_step_is_done(spark):
+    """They are not left to the driver's garbage collection; the query hands on DataFrames that are as before."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(REMOVAL, None)
+    with shuffles_removed(spark):
+        kept = cut_lineage(spark.range(1_000).selectExpr("id % 7 AS k").groupBy("k").count())
+    assert spark.conf.get(REMOVAL, None) == setting and kept.count() == 7
+    found = dropped_lines(documents(spark, corpus()))
+    end = time.time() + 20
+    while time.time() < end and len(shuffled() - before) > 30:
+        time.sleep(0.2)
+    # Those of ``kept.count()`` above, and of nothing that was a step only.
+    assert len(shuffled() - before) <= 30 and spark.conf.get(REMOVAL, None) == setting
+    assert result(found) == result(found)

@@ -75,11 +75,11 @@ def sketches(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _compared(
-    members: np.ndarray, rest: list[np.ndarray], sizes: np.ndarray, labels: Labels, similar: float
+    members: np.ndarray, rest: list[np.ndarray], sizes: np.ndarray, labels: Labels, similar: float, side: np.ndarray | None = None
 ) -> list[tuple[int, int]]:
     """Links among members whose pairs are all looked at, those that are connected already left out.
 
-    Pairs whose sketches differ too much for similar sets are compared no further; the rest are counted exactly.
+    With ``side`` given, only pairs of different sides are. Pairs whose sketches differ too much for similar sets are compared no further; the rest are counted exactly.
     """
     members, rest = np.asarray(members), list(rest)
     by_size = np.argsort(sizes[members], kind="stable")
@@ -92,6 +92,7 @@ def _compared(
     has = np.zeros(len(distinct), dtype=bool)
     alone = size - lengths - differing(similar) * size - SLACK
     group = np.array([labels.root(int(m)) for m in members])
+    side = None if side is None else side[members]
     # Sets are ordered by size: behind these all are too large.
     reach = np.searchsorted(size, size / similar + SLACK, side="right")
     links = []
@@ -103,6 +104,8 @@ def _compared(
             bits += np.bitwise_count(word[block, None] ^ word[None, start:to])
         near = bits + alone[block, None] <= -alone[None, start:to]
         near &= group[block, None] != group[None, start:to]
+        if side is not None:
+            near &= side[block, None] != side[None, start:to]
         near = np.triu(near, 1)
         for own in np.flatnonzero(near.any(axis=1)) + start:
             others = np.flatnonzero(near[own - start]) + start
@@ -123,6 +126,13 @@ def _compared(
     return links
 
 
+def cross_links(
+    sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, similar: float, size: np.ndarray
+) -> list[tuple[int, int]]:
+    """Pairs of indices as of ``crowd_links``, for similar sets of different sides only."""
+    return _compared(np.arange(len(sets)), sets, size, Labels(label), similar, side)
+
+
 def _bits(members: np.ndarray, total: int) -> int:
     held = np.zeros(total, dtype=bool)
     held[members] = True

@@ -10,17 +10,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 from functools import reduce
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinloom.llm.common import columns_of, components, fresh, slices
-from twinloom.llm.crowds import SLACK, crowd_links, differing, sketches
-from twinloom.storage import cut_lineage, fan_out, scratch_path
+from twinloom.llm.crowds import SLACK, cross_links, crowd_links, differing, sketches
+from twinloom.storage import cut_lineage, fan_out, scratch_path, shuffles_removed
 
 SHINGLE = 8
 SIMILAR = 0.8
@@ -37,6 +37,10 @@ REMEMBERED = 1_000_000
 CROWD_SHARE = 16
 # Characters of a crowd that one task works on.
 HELD = 2_000_000
+# Characters that a line of a larger crowd counts at least: two blocks of a crowd have few enough lines to compare all pairs.
+COUNTED = 256
+# The side of a member that is compared with all others.
+BOTH = -1
 KEYS = [f"b{i}" for i in range(BANDS)]
 
 _DRAW = np.random.default_rng(42)
@@ -217,7 +221,33 @@ def _similar(pairs: DataFrame, contents: DataFrame, similar: float) -> DataFrame
     return both.mapInArrow(lambda x: _verified(x, similar), "a binary, b binary, sa long, sb long")
 
 
-MEMBER = "crowd long, short long, label long, size long, codes array<long>"
+BUCKET = "key long, first long, many boolean, members array<long>"
+
+
+def _buckets(batches: Iterable[pa.RecordBatch], pairwise: int):
+    """Keys that several lines have, from ordered pairs of key and line; beyond ``pairwise`` lines in portions of so many."""
+    key = short = np.empty(0, np.int64)
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            key, short = np.append(key, batch.column(0).to_numpy()), np.append(short, batch.column(1).to_numpy())
+        if not len(key):
+            continue
+        # The last key may go on in the next batch.
+        stop = len(key) if batch is None else np.searchsorted(key, key[-1])
+        own, lines = key[:stop], short[:stop]
+        key, short = key[stop:], short[stop:]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])[:stop])
+        sizes = np.diff(np.append(begin, stop))
+        n, first = np.repeat(sizes, sizes), np.repeat(lines[begin], sizes)
+        place = np.arange(stop) - np.repeat(begin, sizes)
+        starts, shared = (n > 1) & (place % pairwise == 0), n > 1
+        offsets = pa.array(np.append(np.flatnonzero(starts[shared]), np.count_nonzero(shared)), pa.int32())
+        members = pa.ListArray.from_arrays(offsets, pa.array(lines[shared]))
+        columns = [pa.array(own[starts]), pa.array(first[starts]), pa.array((n > pairwise)[starts]), members]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "first", "many", "members"])
+
+
+MEMBER = "crowd long, short long, label long, side int, size long, codes array<long>"
 
 
 def _coded(batches: Iterable[pa.RecordBatch]):
@@ -228,8 +258,16 @@ def _coded(batches: Iterable[pa.RecordBatch]):
         offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
         codes = np.concatenate([np.empty(0, np.uint64), *sets])
         lists = pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))
-        kept = [batch.column(c) for c in ("crowd", "short", "label")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), lists], ["crowd", "short", "label", "size", "codes"])
+        names = ["crowd", "short", "label", "side"]
+        kept = [batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), lists], [*names, "size", "codes"])
+
+
+def _sized(batches: Iterable[pa.RecordBatch]):
+    """Rows with the number of distinct shingles of their text."""
+    for batch in slices(batches, 500):
+        sizes = [len(own) for own in _line_sets(batch.column("content").to_pylist())]
+        yield batch.append_column("size", pa.array(sizes, pa.int64()))
 
 
 def _linked_crowds(batches: Iterable[pa.RecordBatch], similar: float, pairwise: int):
@@ -237,9 +275,12 @@ def _linked_crowds(batches: Iterable[pa.RecordBatch], similar: float, pairwise:
     held: list[tuple[np.ndarray, ...]] = []
 
     def linked() -> pa.RecordBatch:
-        _, short, label, size = (np.concatenate(c) for c in list(zip(*held, strict=True))[:4])
+        _, short, label, side, size = (np.concatenate(c) for c in list(zip(*held, strict=True))[:5])
         codes = [own for *_, lists in held for own in lists]
-        found = crowd_links(codes, label, similar, CROWD_SHARE * pairwise, size)
+        if (side == BOTH).all():
+            found = crowd_links(codes, label, similar, CROWD_SHARE * pairwise, size)
+        else:
+            found = cross_links(codes, label, side, similar, size)
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
         ends = np.sort(short[pairs], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["sa", "sb"])
@@ -247,7 +288,7 @@ def _linked_crowds(batches: Iterable[pa.RecordBatch], similar: float, pairwise:
     for batch in slices(batches, 500):
         if not batch.num_rows:
             continue
-        numbers = [batch.column(c).to_numpy() for c in ("crowd", "short", "label", "size")]
+        numbers = [batch.column(c).to_numpy() for c in ("crowd", "short", "label", "side", "size")]
         lists = batch.column("codes")
         ends = np.cumsum(lists.value_lengths().to_numpy())
         codes = np.split(lists.flatten().to_numpy(), ends[:-1])
@@ -261,6 +302,37 @@ def _linked_crowds(batches: Iterable[pa.RecordBatch], similar: float, pairwise:
         yield linked()
 
 
+def _blocks(rows: DataFrame, similar: float) -> DataFrame:
+    """Members of crowds too large for one task as pairs of blocks, each such pair a crowd of its own.
+
+    Blocks are of lines of about the same size, so many pairs of them have none that are similar. Lines
+    like the first are connected already, and their blocks are compared with those of other lines only.
+    """
+    whole = max(HELD // 2, 1)
+    kept = "crowd long, short long, label long, like boolean, content string, size long"
+    sized = cut_lineage(rows.select("crowd", "short", "label", "like", "content").mapInArrow(_sized, kept))
+    sized = sized.withColumn("weight", F.greatest(F.length("content"), F.lit(COUNTED)))
+    weights = sized.groupBy("crowd", "like", "size").agg(F.sum("weight").alias("all"))
+    before = Window.partitionBy("crowd", "like").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    weights = weights.withColumn("begin", F.coalesce(F.sum("all").over(before), F.lit(0)))
+    share = F.pmod(F.xxhash64("short"), F.lit(1 << 20)) / (1 << 20)
+    block = F.floor((F.col("begin") + share * F.col("all")) / whole)
+    placed = sized.join(weights, ["crowd", "like", "size"]).withColumn("block", block)
+    blocks = placed.groupBy("crowd", "like", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    blocks = cut_lineage(blocks.select("crowd", F.struct("like", "block").alias("at"), "low", "high"))
+    others = blocks.select("crowd", *[F.col(c).alias(f"{c}_") for c in ("at", "low", "high")])
+    comparable = (F.col("high") >= similar * F.col("low_") - SLACK) & (F.col("high_") >= similar * F.col("low") - SLACK)
+    pairs = blocks.join(others, "crowd").where(F.col("at") <= F.col("at_"))
+    pairs = pairs.where(comparable & ~(F.col("at.like") & F.col("at_.like")))
+    one = F.struct("at", F.when(F.col("at") == F.col("at_"), F.lit(BOTH)).otherwise(0).alias("side"))
+    other = F.struct(F.col("at_").alias("at"), F.lit(1).alias("side"))
+    both = F.when(F.col("at") == F.col("at_"), F.array(one)).otherwise(F.array(one, other))
+    pairs = pairs.select("crowd", F.xxhash64("crowd", "at", "at_").alias("pair"), F.explode(both).alias("of"))
+    pairs = pairs.select("crowd", "pair", "of.at.like", "of.at.block", "of.side")
+    found = placed.join(pairs, ["crowd", "like", "block"])
+    return found.select(F.col("pair").alias("crowd"), "short", "label", "side", "content")
+
+
 def _split(rows: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     """Links ``(sa, sb)`` and smaller crowds of crowds too large for one task: a step of ``crowd_links``.
 
@@ -299,32 +371,39 @@ def _split(rows: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
 
 
 def _crowd_links(members: DataFrame, contents: DataFrame, similar: float, pairwise: int) -> DataFrame:
-    """Links ``(sa, sb)`` that connect the similar lines of each crowd of ``(crowd, short, label)``.
+    """Links ``(sa, sb)`` that connect the similar lines of each crowd of ``(crowd, short, label, like)``.
 
-    A crowd of up to ``HELD`` characters is worked on in one task; larger ones are split first.
+    A crowd of up to ``HELD`` characters is worked on in one task. Larger ones are compared by pairs of
+    blocks, or, if they have so many blocks of short lines that less is moved in this way, split.
     """
     texts = contents.select("short", "content", F.length("content").alias("chars"))
     weighed = members.join(texts.select("short", "chars"), "short")
-    weights = cut_lineage(weighed.groupBy("crowd").agg(F.sum("chars").alias("chars")))
+    weights = weighed.groupBy("crowd").agg(
+        F.count("*").alias("m"), F.sum("chars").alias("chars"), F.sum(F.greatest("chars", F.lit(COUNTED))).alias("weight")
+    )
+    # A text is moved once for each block; split, once for each of its shingles or so.
+    way = F.expr(f"CASE WHEN chars <= {HELD} THEN 0 WHEN weight / {max(HELD // 2, 1)} <= chars / m THEN 1 ELSE 2 END")
+    weights = cut_lineage(weights.select("crowd", way.alias("way")))
     placed = members.join(weights, "crowd").join(texts.select("short", "content"), "short")
-    found = []
-
-    def linked(rows: DataFrame) -> None:
-        near = fan_out(rows, "crowd").sortWithinPartitions("crowd")
-        found.append(cut_lineage(near.mapInArrow(lambda b: _linked_crowds(b, similar, pairwise), "sa long, sb long")))
-
-    small = fan_out(placed.where(F.col("chars") <= HELD).drop("chars"), "crowd")
-    linked(small.mapInArrow(_coded, MEMBER))
-    if weights.where(F.col("chars") > HELD).isEmpty():
+    ways = {r["way"] for r in weights.select("way").distinct().collect()}
+    whole = placed.where("way = 0").select("crowd", "short", "label", F.lit(BOTH).alias("side"), "content")
+    if 1 in ways:
+        whole = whole.unionByName(_blocks(placed.where("way = 1"), similar))
+    near = fan_out(whole, "crowd").sortWithinPartitions("crowd")
+    links = "sa long, sb long"
+    found = [cut_lineage(near.mapInArrow(lambda b: _linked_crowds(_coded(b), similar, pairwise), links))]
+    if 2 not in ways:
         return found[0]
-    rows = cut_lineage(placed.where(F.col("chars") > HELD).drop("chars").mapInArrow(_coded, MEMBER))
+    side = F.lit(BOTH).alias("side")
+    rows = cut_lineage(placed.where("way = 2").select("crowd", "short", "label", side, "content").mapInArrow(_coded, MEMBER))
     while not rows.isEmpty():
         stars, smaller = _split(rows, similar)
         found.append(cut_lineage(stars))
-        smaller = cut_lineage(smaller)
+        smaller = cut_lineage(smaller.select("crowd", "short", "label", side, "size", "codes"))
         sizes = smaller.groupBy("crowd").agg(F.sum(F.size("codes")).alias("codes_"))
         sized = smaller.join(sizes, "crowd")
-        linked(sized.where(F.col("codes_") <= HELD).drop("codes_"))
+        near = fan_out(sized.where(F.col("codes_") <= HELD).drop("codes_"), "crowd").sortWithinPartitions("crowd")
+        found.append(cut_lineage(near.mapInArrow(lambda b: _linked_crowds(b, similar, pairwise), links)))
         rows = cut_lineage(sized.where(F.col("codes_") > HELD).drop("codes_"))
     return reduce(DataFrame.unionByName, found)
 
@@ -337,22 +416,25 @@ def similar_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, p
     first, and those like it are connected. A bucket in which others remain is a crowd, whose members
     like the first share a label. Half of a line's id stands for it until its text is at hand.
     """
-    placed = lines.select("short", F.explode(F.array(*KEYS)).alias("key"))
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("first")).where("n > 1")
-    shared = cut_lineage(placed.join(sizes, "key"))
-    few = shared.where(F.col("n") <= pairwise).select("key", F.col("short").alias("sa"))
-    small = few.join(few.withColumnRenamed("sa", "sb"), "key").where("sa < sb").select("sa", "sb")
-    many = shared.where(F.col("n") > pairwise)
+    placed = lines.select(F.explode(F.array(*KEYS)).alias("key"), "short")
+    # One exchange and one sort bring the lines of a key together; most keys end there, with a single line.
+    ordered = fan_out(placed, "key").sortWithinPartitions("key", "short")
+    shared = cut_lineage(ordered.mapInArrow(lambda b: _buckets(b, pairwise), BUCKET))
+    few = shared.where("not many").select("members", F.explode("members").alias("sa"))
+    small = few.select("sa", F.explode("members").alias("sb")).where("sa < sb")
+    many = shared.where("many").select("key", "first", F.explode("members").alias("short"))
     starred = many.where("short <> first").select(F.col("first").alias("sa"), F.col("short").alias("sb"))
-    wanted = shared.select("short").distinct()
+    wanted = shared.select(F.explode("members").alias("short")).distinct()
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
     found = docs.select("text").mapInArrow(lambda b: _line_texts(b, sieve), "line binary, short long, content string")
-    contents = cut_lineage(found.join(wanted, "short", "left_semi").dropDuplicates(["line"]))
+    # Equal lines have the same half of an id, by which the join has brought them together.
+    contents = cut_lineage(found.join(wanted, "short", "left_semi").dropDuplicates(["short", "line"]))
     links = cut_lineage(_similar(small.unionByName(starred).distinct(), contents, similar))
     like = links.select(F.col("sa").alias("first"), F.col("sb").alias("short"), F.lit(True).alias("like"))
     labelled = many.join(like.distinct(), ["first", "short"], "left")
-    label = F.when(F.col("like") | (F.col("short") == F.col("first")), F.col("first")).otherwise(F.col("short"))
-    crowds = cut_lineage(labelled.select(F.col("key").alias("crowd"), "short", label.alias("label")))
+    alike = F.coalesce("like", F.col("short") == F.col("first"))
+    label = F.when(alike, F.col("first")).otherwise(F.col("short"))
+    crowds = cut_lineage(labelled.select(F.col("key").alias("crowd"), "short", label.alias("label"), alike.alias("like")))
     mixed = crowds.groupBy("crowd").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     members = cut_lineage(crowds.join(mixed.select("crowd"), "crowd", "left_semi"))
     if members.isEmpty():
@@ -372,31 +454,37 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, pairwise: int = PAI
     return _dropped(docs.select("doc_id", "text"), similar, pairwise).drop("row")
 
 
-def _dropped(source: DataFrame, similar: float, pairwise: int) -> DataFrame:
-    """``dropped_lines`` of ``(doc_id, text)``, or of ``(doc_id, text, row)``, and the ``row``."""
+def _rooted(source: DataFrame, similar: float, pairwise: int) -> tuple[str, DataFrame]:
+    """Where the scanned documents are, and ``(row, doc_id, place, root)`` of lines that are not the only one of their component."""
     spark = source.sparkSession
     path = scratch_path(spark, "lines")
     schema = SCAN.format(source.schema["doc_id"].dataType.simpleString())
     source.mapInArrow(_scanned, schema).write.parquet(path)
-    scan = spark.read.parquet(path)
-    placed = scan.where("line is not null")
+    placed = spark.read.parquet(path).where("line is not null")
     short = F.conv(F.substring(F.hex("line"), 1, 16), 16, -10).cast("long").alias("short")
     distinct = placed.groupBy("line").agg(F.count("*").alias("n"), *[F.max(k).alias(k) for k in KEYS])
     # Parquet keeps these, the largest of what is stored, small.
-    path = scratch_path(spark, "distinct-lines")
-    distinct.select("line", short, "n", *KEYS).write.parquet(path)
-    lines = spark.read.parquet(path)
+    stored = scratch_path(spark, "distinct-lines")
+    distinct.select("line", short, "n", *KEYS).write.parquet(stored)
+    lines = spark.read.parquet(stored)
     roots = components(similar_links(source, lines.select("short", *KEYS), similar, pairwise))
     known = lines.select("line", "n").join(roots.withColumnRenamed("node", "line"), "line", "left")
     # A line that occurs once and is like no other stays, without more to be done.
     shared = known.where("n > 1 or root is not null").select("line", F.coalesce("root", "line").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
-    rooted = cut_lineage(placed.select("row", "doc_id", "place", "line").join(shared, "line"))
-    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
+    return path, cut_lineage(placed.select("row", "doc_id", "place", "line").join(shared, "line"))
+
+
+def _dropped(source: DataFrame, similar: float, pairwise: int) -> DataFrame:
+    """``dropped_lines`` of ``(doc_id, text)``, or of ``(doc_id, text, row)``, and the ``row``."""
+    spark = source.sparkSession
+    with shuffles_removed(spark):
+        path, rooted = _rooted(source, similar, pairwise)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")).alias("first"))
     kept = first.select(F.col("first.row").alias("row"), F.col("first.place").alias("place"))
     gone = rooted.join(kept, ["row", "place"], "left_anti").groupBy("row").agg(
         F.sort_array(F.collect_list("place")).alias("dropped")
     )
+    scan = spark.read.parquet(path)
     documents = scan.where("line is null").select("row", "doc_id", "n_lines")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return documents.join(gone, "row", "left").select(
